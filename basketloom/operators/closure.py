@@ -65,11 +65,8 @@ def close_mapping(mapping: DataFrame, key: str = "subject_id", value: str = "obj
     """
     scratch = Scratch(mapping.sparkSession, "closure")
     current = scratch.keep(mapping.select(key, value))
-    most_rounds = max(current.count(), 1).bit_length() + 2
-    cycles = current.where(F.col(key) == F.col(value)).select(key)
-    for _ in range(most_rounds):
-        if not cycles.isEmpty():
-            return Closure(mapping, cycles)
+    # a chain without a cycle has settled by then
+    for _ in range(max(current.count(), 1).bit_length() + 2):
         step = current.select(F.col(key).alias(value), F.col(value).alias("_next"))
         jumped = scratch.keep(
             current.join(step, value, "left").select(
@@ -78,20 +75,32 @@ def close_mapping(mapping: DataFrame, key: str = "subject_id", value: str = "obj
                 F.col("_next").isNotNull().alias("_moved"),
             )
         )
-        moved = not jumped.where("_moved").isEmpty()
         scratch.drop(current)
         current = jumped
-        cycles = current.where(F.col(key) == F.col(value)).select(key)
-        if not moved:
-            break
-    else:
-        # a chain that still moves runs into a cycle of others: every key that moves is on or
-        # leads to one, and the ones on it are keys that are also values
-        cycles = current.where("_moved").select(key).join(
-            current.select(F.col(value).alias(key)), key, "left_semi"
+        if current.where("_moved").isEmpty():
+            return Closure(current.select(key, value), current.limit(0).select(key))
+    return Closure(mapping, cycle_members(mapping, key, value))
+
+
+def cycle_members(
+    mapping: DataFrame, key: str = "subject_id", value: str = "object_id"
+) -> DataFrame:
+    """All keys that come back to themselves under a one-valued mapping.
+
+    After enough doublings every pointer that still leads to a key points into a cycle, and the
+    keys of a cycle are exactly the ones that are pointed to.
+    """
+    scratch = Scratch(mapping.sparkSession, "cycles")
+    current = scratch.keep(mapping.select(key, value))
+    for _ in range(max(current.count(), 1).bit_length() + 1):
+        step = current.select(F.col(key).alias(value), F.col(value).alias("_next"))
+        # pointers that leave the keys can not come back and are dropped
+        jumped = scratch.keep(
+            current.join(step, value).select(key, F.col("_next").alias(value))
         )
-        return Closure(mapping, cycles)
-    return Closure(current.select(key, value), cycles)
+        scratch.drop(current)
+        current = jumped
+    return current.select(F.col(value).alias(key)).distinct()
 
 
 def named_cycles(cycles: DataFrame, items: DataFrame, key: str = "subject_id") -> DataFrame:
