@@ -1,0 +1,352 @@
+"""Line parsing over measure phrases and document lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from basketloom.catalog import bindings as b
+from basketloom.catalog import line_sql as ls
+from basketloom.catalog.registry import register
+from basketloom.functions import lines as fl
+from basketloom.functions.fixed_values import JUICE_PARTS, JUICED, NUMBER_WORDS
+from basketloom.functions.quantities import canonical_unit, lost_slash, quantity_bounds
+from basketloom.functions.text import once
+from basketloom.operators.lines import (
+    classify_lines,
+    equipment_rows,
+    parse_documents,
+    parse_lines,
+    rejected_documents,
+)
+
+_KEYS = ("src", "a", "b")
+
+
+def _normal(spark, sf):
+    return b.all_lines(spark, sf).withColumn("text", fl.normalise_line(F.col("text")))
+
+
+def _measured(spark, sf):
+    return _normal(spark, sf).select(*_KEYS, "text", once(fl.measure_parts(F.col("text"))))
+
+
+@register(
+    "t1_normalised_lines",
+    ls.over_all_lines("SELECT src, a, b, t AS text FROM normal"),
+)
+def _(spark, sf):
+    return _normal(spark, sf)
+
+
+@register(
+    "t2_measure_and_rest",
+    ls.over_all_lines(
+        "SELECT src, a, b, has_measure::INT AS matched, measure, CASE WHEN has_measure THEN rest END AS rest FROM measured WHERE k = 0"
+    ),
+)
+def _(spark, sf):
+    return _measured(spark, sf).select(
+        *_KEYS, F.col("matched").cast("int").alias("matched"), "measure", "rest"
+    )
+
+
+@register(
+    "t3_parentheses",
+    b.with_ctes(
+        f"SELECT src, a, b, {ls.without_parentheses('text')} AS bare, "
+        "length(text) - length(replace(text, ')', '')) AS closing FROM all_lines "
+        "WHERE contains(text, '(')",
+        b.LINES,
+    ),
+)
+def _(spark, sf):
+    lines = b.all_lines(spark, sf).where(F.col("text").contains("("))
+    taken = lines.select(*_KEYS, once(fl.take_parentheses(F.col("text"))))
+    # every closing parenthesis is either taken or still there
+    left = F.length("text") - F.length(F.replace("text", F.lit(")"), F.lit("")))
+    return taken.select(
+        *_KEYS,
+        F.col("text").alias("bare"),
+        (F.size("inside") + left).cast("long").alias("closing"),
+    )
+
+
+@register(
+    "t3_parenthetic_text",
+    b.with_ctes(
+        "SELECT src, a, b, array_to_string(list_transform("
+        "regexp_extract_all(text, '\\([^()]*\\)'), lambda x: x[2:-2]), '|') AS inside FROM all_lines "
+        "WHERE src = 'line'",
+        b.LINES,
+    ),
+)
+def _(spark, sf):
+    lines = b.order_lines(spark, sf)
+    inside = fl.take_parentheses(F.col("text"))["inside"]
+    return lines.select(*_KEYS, F.array_join(inside, "|").alias("inside"))
+
+
+def _units(spark, sf):
+    measured = _measured(spark, sf).where("matched")
+    return measured.select(*_KEYS, "measure", once(fl.unit_parts(F.col("measure"))))
+
+
+@register(
+    "t4_sized_containers",
+    ls.over_all_lines(
+        "SELECT src, a, b, raw_unit AS unit, quantity_str FROM worded "
+        "WHERE k = 0 AND has_measure AND (w1 <> '' OR w2 <> '')"
+    ),
+)
+def _(spark, sf):
+    sized = F.col("measure").rlike(fl.SIZED_CONTAINER) | F.col("measure").rlike(
+        fl.SIZED_CONTAINER_BARE
+    )
+    return _units(spark, sf).where(sized).select(*_KEYS, "unit", "quantity_str")
+
+
+@register(
+    "t5_units",
+    ls.over_all_lines(
+        "SELECT src, a, b, raw_unit AS unit, quantity_str FROM worded WHERE k = 0 AND has_measure"
+    ),
+)
+def _(spark, sf):
+    return _units(spark, sf).select(*_KEYS, "unit", "quantity_str")
+
+
+@register(
+    "t6_canonical_units",
+    ls.over_all_lines(
+        "SELECT raw_unit, unit, count(*) AS lines FROM worded WHERE k = 0 AND raw_unit IS NOT NULL "
+        "AND has_measure GROUP BY raw_unit, unit"
+    ),
+)
+def _(spark, sf):
+    units = _units(spark, sf).where("unit IS NOT NULL").select(F.col("unit").alias("raw_unit"))
+    return (
+        units.groupBy("raw_unit")
+        .agg(F.count("*").alias("lines"))
+        .withColumn("unit", canonical_unit(F.col("raw_unit")))
+    )
+
+
+@register(
+    "t7_t9_quantities",
+    ls.over_all_lines(
+        "SELECT src, a, b, quantity_low, quantity_high FROM parsed "
+        "WHERE k = 0 AND quantity_str IS NOT NULL"
+    ),
+)
+def _(spark, sf):
+    units = _units(spark, sf).where("quantity_str IS NOT NULL")
+    bounds = units.select(*_KEYS, once(quantity_bounds(F.col("quantity_str"), F.col("unit"))))
+    return bounds.withColumnsRenamed({"low": "quantity_low", "high": "quantity_high"})
+
+
+@register(
+    "t8_lost_slashes",
+    "SELECT DISTINCT l_quantity AS quantity, CASE l_quantity WHEN 12 THEN 0.5::DOUBLE "
+    "WHEN 13 THEN 0.33::DOUBLE WHEN 14 THEN 0.25::DOUBLE WHEN 23 THEN 0.67::DOUBLE "
+    "WHEN 34 THEN 0.75::DOUBLE END AS fraction FROM lineitem",
+)
+def _(spark, sf):
+    quantities = b.table(spark, sf, "lineitem").select(F.col("l_quantity").alias("quantity"))
+    return quantities.distinct().withColumn("fraction", lost_slash(F.col("quantity")))
+
+
+@register(
+    "t10_names_and_modifiers",
+    ls.over_all_lines(
+        "SELECT src, a, b, name, modifier FROM parsed WHERE k = 0 AND has_measure"
+    ),
+)
+def _(spark, sf):
+    rest = fl.take_parentheses(fl.strip(F.col("rest"), " ,"))["text"]
+    named = _measured(spark, sf).where("matched").select(*_KEYS, once(fl.split_name(rest)))
+    return named.withColumn("modifier", fl.blank_to_null(F.col("modifier")))
+
+
+_FRUIT = ("lemon", "orange", "lime", "grapefruit", "apple", "carrot", "plum", "mango")
+_JUICE_TEXT = (
+    "concat(CASE WHEN p_size % 3 = 0 THEN 'grated rind and ' ELSE '' END, 'juice of ', "
+    "CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN concat(p_size, ' ') WHEN 2 THEN 'one ' "
+    "ELSE 'half ' END, p_name, ' ', CASE p_partkey % 8 "
+    + " ".join(f"WHEN {i} THEN '{fruit}'" for i, fruit in enumerate(_FRUIT))
+    + " END)"
+)
+_JUICE = ls.quoted(
+    rf"((?:{' |'.join(JUICE_PARTS)})+(?:of |from ))"
+    rf"({'|'.join([w for w, _ in NUMBER_WORDS] + ['[1-9][0-9/ ]*'])} )?(?:the |a )?"
+    rf"((?:[a-z]* )*(?:{'|'.join(JUICED)}))"
+)
+
+
+@register(
+    "t11_juice_of",
+    f"""WITH juice AS (SELECT p_partkey, {_JUICE_TEXT} AS text FROM part)
+    SELECT p_partkey, regexp_extract(text, {_JUICE}, 0) AS matched,
+        nullif(regexp_extract(text, {_JUICE}, 2), '') AS quantity_str,
+        trim(regexp_extract(text, {_JUICE}, 3)) || CASE WHEN text LIKE '%mango' THEN 'es'
+            ELSE 's' END || ', ' || trim(regexp_extract(text, {_JUICE}, 1)) AS name FROM juice""",
+)
+def _(spark, sf):
+    text = F.expr(_JUICE_TEXT)
+    return b.table(spark, sf, "part").select("p_partkey", once(fl.juice_of(text)))
+
+
+@register(
+    "t12_unmeasured_lines",
+    ls.over_all_lines(
+        "SELECT src, a, b, name, modifier FROM parsed WHERE k = 0 AND NOT has_measure"
+    ),
+)
+def _(spark, sf):
+    lines = _measured(spark, sf).where("NOT matched")
+    parsed = F.inline(fl.parse_texts(F.array("text")))
+    return lines.select(*_KEYS, parsed).select(*_KEYS, "name", "modifier")
+
+
+@register(
+    "t13_alternatives",
+    ls.over_all_lines(
+        "SELECT n.src, n.a, n.b, w.name, w.unit, w.quantity_low, w.quantity_high, w.modifier, "
+        "CASE WHEN split THEN others END AS substitutions FROM normal n "
+        "LEFT JOIN agreed g USING (src, a, b) JOIN parsed w ON w.src = n.src AND w.a = n.a "
+        "AND w.b = n.b AND w.k = CASE WHEN split THEN 1 ELSE 0 END "
+        "WHERE NOT contains(n.text, ')')"
+    ),
+)
+def _(spark, sf):
+    lines = b.all_lines(spark, sf).where(~F.col("text").contains(")"))
+    return parse_lines(lines).select(
+        *_KEYS,
+        "name",
+        "unit",
+        "quantity_low",
+        "quantity_high",
+        "modifier",
+        F.array_join(F.transform("substitutions", lambda s: s["name"]), "|").alias("substitutions"),
+    )
+
+
+@register("t13_alternatives_outside_parentheses")
+def _(spark, sf):
+    return parse_lines(b.all_lines(spark, sf)).where("substitutions IS NOT NULL")
+
+
+_EQUIPMENT_TEXT = (
+    "concat(CASE p_size % 5 WHEN 0 THEN 'Special equipment: ' WHEN 1 THEN 'Equipment: ' "
+    "WHEN 2 THEN 'Equipment ' WHEN 3 THEN 'Note: ' ELSE '2 cups ' END, p_name, '; ', "
+    "lower(p_type), ': ', p_brand)"
+)
+
+
+def _gear(spark, sf):
+    return b.table(spark, sf, "part").select("p_partkey", F.expr(_EQUIPMENT_TEXT).alias("text"))
+
+
+@register(
+    "t14_line_classes",
+    b.with_ctes(
+        f"SELECT src, a, b, CASE WHEN regexp_matches(t, '^(equipment|special equipment)') "
+        f"THEN 'equipment' WHEN starts_with(t, 'note') THEN 'note' ELSE 'item' END AS line_class "
+        f"FROM (SELECT src, a, b, {ls.normalised('text')} AS t FROM all_lines UNION ALL "
+        f"SELECT 'part', p_partkey, 0, {ls.normalised(_EQUIPMENT_TEXT)} FROM part)",
+        b.LINES,
+    ),
+)
+def _(spark, sf):
+    gear = _gear(spark, sf).select(
+        F.lit("part").alias("src"),
+        F.col("p_partkey").alias("a"),
+        F.lit(0).cast("long").alias("b"),
+        "text",
+    )
+    return classify_lines(b.all_lines(spark, sf).unionByName(gear)).drop("text")
+
+
+@register(
+    "t15_equipment",
+    f"""WITH gear AS (SELECT p_partkey, lower({_EQUIPMENT_TEXT}) AS t FROM part),
+    listed AS (SELECT p_partkey, CASE WHEN regexp_matches(t, '^(special )?equipment:')
+        THEN substr(t, strpos(t, ':') + 1) ELSE substr(t, 10) END AS t FROM gear
+        WHERE regexp_matches(t, '^(special )?equipment'))
+    SELECT p_partkey, trim(unnest(string_split(t, ';'))) AS equipment FROM listed""",
+)
+def _(spark, sf):
+    return equipment_rows(_gear(spark, sf))
+
+
+def order_documents(spark, sf):
+    """Orders as nested documents: their lines, one equipment line per seventh order."""
+    lines = b.order_lines(spark, sf).groupBy("a").agg(
+        F.array_sort(F.collect_list(F.struct("b", "text"))).alias("_l")
+    )
+    text = F.transform("_l", lambda line: F.struct(line["text"].alias("text")))
+    gear = F.when(
+        F.col("a") % 7 == 0,
+        F.array(F.struct(F.lit("Special equipment: Rolling pin; 2 bowls").alias("text"))),
+    ).when(
+        F.col("a") % 11 == 0,
+        F.array(F.struct(F.lit("Possibly equipment: none").alias("text"))),
+    ).otherwise(F.array().cast("array<struct<text:string>>"))
+    orders = b.table(spark, sf, "orders")
+    return lines.join(orders, F.col("a") == F.col("o_orderkey")).select(
+        F.col("a").cast("string").alias("id"),
+        F.concat_ws(" ", F.lit("order"), "a").alias("title"),
+        F.concat_ws("/", F.lit("orders"), "a").alias("url"),
+        F.lit("train").alias("partition"),
+        F.concat(text, gear).alias("ingredients"),
+        F.array(
+            F.struct(F.col("o_orderpriority").alias("text")),
+            F.struct(F.col("o_orderstatus").alias("text")),
+        ).alias("instructions"),
+    )
+
+
+_DOCUMENT_COUNTS = """SELECT l_orderkey::VARCHAR AS id,
+    count(*) + CASE WHEN l_orderkey % 7 <> 0 AND l_orderkey % 11 = 0 THEN 1 ELSE 0 END AS n_items,
+    CASE WHEN l_orderkey % 7 = 0 THEN 'rolling pin|2 bowls' END AS equipment,
+    CASE WHEN l_orderkey % 7 <> 0 AND l_orderkey % 11 = 0 THEN 0 ELSE 1 END AS parse_ok
+    FROM lineitem GROUP BY l_orderkey"""
+
+
+@register("t17_routed_documents", _DOCUMENT_COUNTS)
+def _(spark, sf):
+    parsed = parse_documents(order_documents(spark, sf))
+    return parsed.select(
+        "id",
+        F.size("ingredients").cast("long").alias("n_items"),
+        F.array_join(F.transform("equipment", lambda e: e["text"]), "|").alias("equipment"),
+        F.col("parse_ok").cast("int").alias("parse_ok"),
+    )
+
+
+@register(
+    "t17_document_lines",
+    ls.over_all_lines(
+        "SELECT n.a::VARCHAR AS id, (row_number() OVER (PARTITION BY n.a ORDER BY n.b, n.text) "
+        "- 1)::INT AS pos, w.name, w.unit, w.quantity_low, w.quantity_high FROM normal n "
+        "LEFT JOIN agreed g ON g.src = n.src AND g.a = n.a AND g.b = n.b "
+        "JOIN parsed w ON w.src = n.src AND w.a = n.a AND w.b = n.b "
+        "AND w.k = CASE WHEN split THEN 1 ELSE 0 END "
+        "WHERE n.src = 'line' AND NOT (n.a % 7 <> 0 AND n.a % 11 = 0)"
+    ).replace("source AS (SELECT * FROM all_lines)",
+              "source AS (SELECT src, a, row_number() OVER (ORDER BY a, b, text) AS b, text FROM all_lines WHERE src = 'line')"),
+)
+def _(spark, sf):
+    parsed = parse_documents(order_documents(spark, sf)).where("parse_ok")
+    lines = parsed.select("id", F.posexplode("ingredients").alias("pos", "line"))
+    return lines.select(
+        "id", "pos", "line.name", "line.unit", "line.quantity_low", "line.quantity_high"
+    )
+
+
+@register(
+    "t18_rejected_documents",
+    "SELECT DISTINCT l_orderkey::VARCHAR AS id FROM lineitem "
+    "WHERE l_orderkey % 7 <> 0 AND l_orderkey % 11 = 0",
+)
+def _(spark, sf):
+    return rejected_documents(parse_documents(order_documents(spark, sf))).select("id")

@@ -15,6 +15,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(value: Column) -> Column:
+    """Generator column that computes ``value`` a single time per row.
+
+    A plain projection may be inlined into every later filter and column that uses it; a generator
+    is not, which matters for expensive values.  Structs come out as their fields.
+    """
+    return F.inline(F.array(value))
+
+
 def literal_map(pairs: Mapping[str, str]) -> Column:
     """A constant string map, folded by the optimizer."""
     text = "\x1e".join(f"{key}\x1f{value}" for key, value in pairs.items())
@@ -46,7 +55,7 @@ IRREGULAR_NOUNS = (
     ("goose", "geese"), ("foot", "feet"), ("tooth", "teeth"), ("mouse", "mice"),
     ("child", "children"), ("man", "men"), ("woman", "women"), ("person", "people"),
     ("cookie", "cookies"), ("brownie", "brownies"), ("smoothie", "smoothies"), ("pie", "pies"),
-    ("shoe", "shoes"), ("toe", "toes"), ("potato", "potatoes"), ("tomato", "tomatoes"),
+    ("shoe", "shoes"), ("toe", "toes"), ("canoe", "canoes"),
     ("sheep", "sheep"), ("fish", "fish"), ("rice", "rice"), ("news", "news"),
 )
 
@@ -73,7 +82,7 @@ def singular(name: Column) -> Column:
     """Singular of the last word of a phrase, by irregular list and then suffix rules."""
     rules = (
         F.when(name.rlike("[^ ]{2}ies$"), F.regexp_replace(name, "ies$", "y"))
-        .when(name.rlike("(?:ch|sh|ss|x|zz)es$"), F.regexp_replace(name, "es$", ""))
+        .when(name.rlike("(?:ch|sh|ss|x|zz|[^aeiou ]o)es$"), F.regexp_replace(name, "es$", ""))
         .when(name.rlike("[^s]s$") & ~name.rlike("(?:us|is)$"), F.regexp_replace(name, "s$", ""))
         .otherwise(name)
     )
@@ -85,7 +94,7 @@ def plural(name: Column) -> Column:
     """Plural of the last word of a phrase, by irregular list and then suffix rules."""
     rules = (
         F.when(name.rlike("[^aeiou ]y$"), F.regexp_replace(name, "y$", "ies"))
-        .when(name.rlike("(?:ch|sh|s|x|z)$"), F.concat(name, F.lit("es")))
+        .when(name.rlike("(?:ch|sh|s|x|z|[^aeiou ]o)$"), F.concat(name, F.lit("es")))
         .otherwise(F.concat(name, F.lit("s")))
     )
     known = _irregular(_last_word(name), 0, 1)

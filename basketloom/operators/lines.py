@@ -16,13 +16,13 @@ from basketloom.functions.lines import (
     parse_candidates,
     parse_line,
 )
+from basketloom.functions.text import once
 
 
 def parse_lines(lines: DataFrame, text: str = "text", keep_after: Sequence[str] = ()) -> DataFrame:
     """Add the parsed fields of column ``text``; narrow, one row in, one row out."""
-    parsed = lines.withColumn("_line", parse_line(F.col(text), keep_after))
     others = [c for c in lines.columns if c != text]
-    return parsed.select(*others, "_line.*")
+    return lines.select(*others, once(parse_line(F.col(text), keep_after)))
 
 
 def classify_lines(lines: DataFrame, text: str = "text") -> DataFrame:
@@ -51,28 +51,34 @@ def parse_documents(documents: DataFrame, keep_after: Sequence[str] = ()) -> Dat
         & F.forall(lines, lambda line: line["text"].isNotNull())
         & F.forall(equipment, lambda line: equipment_pieces(line["text"]).isNotNull())
     )
-    # steps are bound level by level, so each expression is evaluated once per line
-    routed = documents.withColumns(
-        {
-            "parse_ok": F.coalesce(parse_ok, F.lit(False)),
-            "_equipment": F.flatten(
-                F.transform(equipment, lambda line: equipment_pieces(line["text"]))
-            ),
-            "_items": F.when(F.coalesce(parse_ok, F.lit(False)), items).otherwise(lines),
-        }
+    routed = documents.select(
+        *documents.columns,
+        once(
+            F.struct(
+                F.coalesce(parse_ok, F.lit(False)).alias("parse_ok"),
+                F.flatten(
+                    F.transform(equipment, lambda line: equipment_pieces(line["text"]))
+                ).alias("_equipment"),
+                items.alias("_items"),
+            )
+        ),
     )
-    parsed = routed.withColumn(
-        "_parsed",
-        F.transform(
-            "_items",
-            lambda line: F.struct(
-                line["text"].alias("text"),
-                parse_candidates(normalise_line(line["text"]), keep_after).alias("candidates"),
-            ),
+    candidates = F.transform(
+        F.when(F.col("parse_ok"), F.col("_items")).otherwise(lines),
+        lambda line: F.struct(
+            line["text"].alias("text"),
+            parse_candidates(normalise_line(line["text"]), keep_after).alias("candidates"),
+        ),
+    )
+    parsed = routed.select(
+        *routed.columns,
+        once(
+            F.struct(
+                F.transform(
+                    candidates, lambda line: choose_reading(line["text"], line["candidates"])
+                ).alias("_parsed")
+            )
         ),
-    ).withColumn(
-        "_parsed",
-        F.transform("_parsed", lambda line: choose_reading(line["text"], line["candidates"])),
     )
     unparsed = F.transform(
         "_parsed",

@@ -84,14 +84,12 @@ if __name__ == "__main__":
         start = time.time()
         try:
             df = query(spark, sf)
-            if name in oracles:
-                problem = difference(df, con, oracles[name])
-            else:
-                problem = None if df.count() >= 0 else "no rows"
-            n = df.count()
+            n = len(df.collect())
+            took = time.time() - start
+            problem = difference(df, con, oracles[name]) if name in oracles else None
         except Exception as error:  # report and go on with the next query
-            problem, n = f"{type(error).__name__}: {str(error)[:1500]}", -1
+            problem, n, took = f"{type(error).__name__}: {str(error)[:1500]}", -1, 0
         failed += problem is not None
         kind = "sql" if name in oracles else "rows"
-        print(f"{'FAIL' if problem else 'ok':4} {kind:4} {name:36} rows={n} {time.time() - start:6.1f}s {problem or ''}", flush=True)
+        print(f"{'FAIL' if problem else 'ok':4} {kind:4} {name:36} rows={n} {took:6.1f}s of {time.time() - start:6.1f}s {problem or ''}", flush=True)
     print("failed:", failed)
