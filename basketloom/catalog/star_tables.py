@@ -1 +1,142 @@
+"""Basket, item and edge tables built from documents made of orders."""
 
+from __future__ import annotations
+
+from basketloom.catalog import bindings as b
+from basketloom.catalog import line_sql as ls
+from basketloom.catalog.line_parsing import order_documents
+from basketloom.catalog.registry import register
+from basketloom.operators import star
+from basketloom.operators.lines import parse_documents
+from basketloom.runtime import Scratch, dense_ids
+
+_PARTOF = "dataset:orders"
+# lines of accepted documents, and the readings chosen for them
+_SOURCE = """source AS (SELECT src, a, b, text FROM all_lines
+    WHERE src = 'line' AND NOT (a % 7 <> 0 AND a % 11 = 0))"""
+_READ = """readings AS (SELECT p.*, n.text AS line_text, coalesce(split, false) AS split
+    FROM parsed p JOIN normal n USING (src, a, b) LEFT JOIN agreed g USING (src, a, b)
+    WHERE CASE WHEN split THEN p.k >= 1 ELSE p.k = 0 END)"""
+_NAMES = "names AS (SELECT DISTINCT left(lower(name), 128) AS item_name FROM readings)"
+_DIMS = """item_dim AS (SELECT item_name, row_number() OVER (ORDER BY item_name) AS item_id
+    FROM names),
+    basket_dim AS (SELECT lid, row_number() OVER (ORDER BY lid) AS basket_id FROM (
+        SELECT DISTINCT l_orderkey::VARCHAR AS lid FROM lineitem
+        WHERE NOT (l_orderkey % 7 <> 0 AND l_orderkey % 11 = 0)))"""
+
+
+def _parsed(spark, sf):
+    """Accepted documents, parsed once."""
+    parsed = parse_documents(order_documents(spark, sf)).where("parse_ok")
+    return Scratch(spark, "parsed").keep(parsed)
+
+
+def _lines_sql(body: str) -> str:
+    return b.with_ctes(body, b.LINES, _SOURCE, ls.PARSED, _READ, _NAMES, _DIMS)
+
+
+@register(
+    "r1_basket_dimension",
+    f"""SELECT row_number() OVER (ORDER BY lid) AS basket_id, 'order ' || lid AS basket_name,
+    'orders/' || lid AS source, '{_PARTOF}' AS partof, lid FROM (
+    SELECT DISTINCT l_orderkey::VARCHAR AS lid FROM lineitem)""",
+)
+def _(spark, sf):
+    return star.basket_dimension(order_documents(spark, sf), _PARTOF)
+
+
+@register(
+    "r2_dense_ids",
+    "SELECT item_name, row_number() OVER (ORDER BY item_name) AS item_id FROM "
+    "(SELECT DISTINCT p_brand || ' ' || p_name AS item_name FROM part)",
+)
+def _(spark, sf):
+    part = b.table(spark, sf, "part")
+    names = part.selectExpr("p_brand || ' ' || p_name AS item_name").distinct()
+    return dense_ids(names, ["item_name"], "item_id")
+
+
+@register("r3_item_dimension", _lines_sql("SELECT item_id, item_name FROM item_dim"))
+def _(spark, sf):
+    return star.item_dimension(star.item_names(_parsed(spark, sf)))
+
+
+@register(
+    "r4_edge_fact",
+    _lines_sql(
+        "SELECT basket_id, item_id, quantity_low, quantity_high, unit, s.text FROM readings r "
+        "JOIN source s USING (src, a, b) JOIN item_dim ON item_name = left(lower(name), 128) "
+        "JOIN basket_dim ON lid = a::VARCHAR WHERE k = CASE WHEN split THEN 1 ELSE 0 END"
+    ),
+)
+def _(spark, sf):
+    documents = _parsed(spark, sf)
+    scratch = Scratch(spark, "dims")
+    baskets = scratch.keep(star.basket_dimension(documents, _PARTOF))
+    items = scratch.keep(star.item_dimension(star.item_names(documents)))
+    return star.edge_fact(documents, baskets, items).drop("edge_id")
+
+
+@register(
+    "r4_unresolved_lines",
+    _lines_sql(
+        "SELECT 'item' AS missing, left(lower(name), 128) AS item_name, count(*) AS lines "
+        "FROM readings WHERE k = CASE WHEN split THEN 1 ELSE 0 END "
+        "AND name NOT IN (SELECT p_name FROM part) GROUP BY 1, 2"
+    ),
+)
+def _(spark, sf):
+    documents = _parsed(spark, sf)
+    baskets = star.basket_dimension(documents, _PARTOF)
+    known = b.named_items(spark, sf)
+    missing = star.unresolved_lines(documents, baskets, known)
+    return missing.groupBy("missing", "item_name").count().withColumnRenamed("count", "lines")
+
+
+def _equipment(spark, sf):
+    documents = _parsed(spark, sf)
+    baskets = Scratch(spark, "dims").keep(star.basket_dimension(documents, _PARTOF))
+    return star.equipment_tables(documents, baskets)
+
+
+_GEAR = """gear AS (SELECT DISTINCT l_orderkey::VARCHAR AS lid, unnest(['rolling pin', '2 bowls'])
+    AS text FROM lineitem WHERE l_orderkey % 7 = 0)"""
+
+
+@register(
+    "r5_equipment_dimension",
+    b.with_ctes(
+        "SELECT row_number() OVER (ORDER BY text) AS equipment_id, text AS equipment_name "
+        "FROM (SELECT DISTINCT text FROM gear)",
+        _GEAR,
+    ),
+)
+def _(spark, sf):
+    return _equipment(spark, sf)[0]
+
+
+@register(
+    "r5_required_equipment",
+    b.with_ctes(
+        "SELECT basket_id, CASE text WHEN '2 bowls' THEN 1::BIGINT ELSE 2::BIGINT END "
+        "AS equipment_id, text FROM gear JOIN basket_dim USING (lid)",
+        _GEAR, "names AS (SELECT '' AS item_name)", _DIMS,
+    ),
+)
+def _(spark, sf):
+    return _equipment(spark, sf)[1].drop("id")
+
+
+@register(
+    "r6_instruction_steps",
+    b.with_ctes(
+        "SELECT basket_id, 1::INT AS step, o_orderpriority AS text FROM orders "
+        "JOIN basket_dim ON lid = o_orderkey::VARCHAR UNION ALL "
+        "SELECT basket_id, 2::INT, o_orderstatus FROM orders "
+        "JOIN basket_dim ON lid = o_orderkey::VARCHAR",
+        "names AS (SELECT '' AS item_name)", _DIMS,
+    ),
+)
+def _(spark, sf):
+    documents = order_documents(spark, sf).where("NOT (id % 7 <> 0 AND id % 11 = 0)")
+    return star.instruction_steps(documents, star.basket_dimension(documents, _PARTOF))

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import re
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# executors get the functions themselves, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # The published rule tables: (suffix, replacement), tried longest first.
 _STEP2 = (
@@ -112,10 +118,9 @@ def porter_stem(word: str) -> str:
     return word
 
 
-@F.pandas_udf("string")
 def _stem_series(words: pd.Series) -> pd.Series:
     return words.map(porter_stem, na_action="ignore")
 
 
 def stem(col: Column) -> Column:
-    return _stem_series(col)
+    return F.pandas_udf(_stem_series, T.StringType())(col)
