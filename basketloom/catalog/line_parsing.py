@@ -162,8 +162,9 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    rest = fl.take_parentheses(fl.strip(F.col("rest"), " ,"))["text"]
-    named = _measured(spark, sf).where("matched").select(*_KEYS, once(fl.split_name(rest)))
+    rest = fl.take_parentheses(fl.strip(F.col("rest"), " ,"))
+    bare = _measured(spark, sf).where("matched").select(*_KEYS, once(rest))
+    named = bare.select(*_KEYS, once(fl.split_name(F.col("text"))))
     return named.withColumn("modifier", fl.blank_to_null(F.col("modifier")))
 
 

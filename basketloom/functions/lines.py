@@ -21,28 +21,34 @@ from basketloom.functions.fixed_values import (
     NUMBER_WORDS,
     STANDARD_UNITS,
 )
-from basketloom.functions.quantities import canonical_unit, quantity_bounds, spellings
+from basketloom.functions.quantities import (
+    by_first_letter,
+    canonical_unit,
+    quantity_bounds,
+    spellings,
+)
 from basketloom.functions.text import blank_to_null, let, plural, strip
 
-_STANDARD = spellings(STANDARD_UNITS)
-_COUNT = spellings(COUNT_UNITS)
-_UNITS = f"{_STANDARD}|{_COUNT}"
-_WORDS = "|".join(word for word, _ in NUMBER_WORDS)
+_WORDS = [word for word, _ in NUMBER_WORDS]
+_STANDARD = by_first_letter(spellings(STANDARD_UNITS))
+_COUNT = by_first_letter(spellings(COUNT_UNITS))
+_UNITS = spellings(STANDARD_UNITS + COUNT_UNITS)
 
 # A measure is a run of words made of digits, signs, number words and units, each followed by a
 # space.  The engine recurses once per repetition of a group, so the run is possessive per word
 # (which is exact: once a word and its space fit, giving the space back already succeeds), signs
 # are taken in runs, and one word may hold up to 400 parts.  Lines of any length are safe.
-_WORD = rf"(?:[0-9/.\-x()]+|to|{_WORDS}|{_UNITS}){{0,400}}"
-MEASURE = rf"^\*?-? ?((?:{_WORD} )++)([^\n]*)"
+_WORD = rf"(?:[0-9/.\-x()]+|{by_first_letter(['to', *_WORDS, *_UNITS])}){{0,400}}"
+_BULLET = r"^\*?-? ?"
+MEASURE = rf"{_BULLET}(?:{_WORD} )++"
 
-UNIT = f"(?:{_UNITS})"
+UNIT = f"(?:{by_first_letter(_UNITS)})"
 # "(20 ounce) package", and the same without parentheses
 SIZED_CONTAINER = rf"\([1-9][0-9]?(?: 1/?2)?[ -]*(?:{_STANDARD})\) (?:{_COUNT})"
 SIZED_CONTAINER_BARE = rf"[1-9][0-9]?[ -]*(?:{_STANDARD}) (?:{_COUNT})"
 
 _JUICE_WORDS = " |".join(JUICE_PARTS)
-_QUANTIFIERS = "|".join([*(word for word, _ in NUMBER_WORDS), "[1-9][0-9/ ]*"])
+_QUANTIFIERS = "|".join([*_WORDS, "[1-9][0-9/ ]*"])
 # what is juiced may follow any run of lower-case words
 JUICE_OF = (
     rf"((?:{_JUICE_WORDS}){{1,200}}(?:of |from ))({_QUANTIFIERS} )?(?:the |a )?"
@@ -102,10 +108,9 @@ def take_parentheses(text: Column) -> Column:
             ),
         ).otherwise(state)
 
-    rounds = F.when(closing > 0, F.sequence(F.lit(1), closing)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.aggregate(rounds, start, take_one)
+    return F.when(
+        text.contains(")"), F.aggregate(F.sequence(F.lit(1), closing), start, take_one)
+    ).otherwise(start)
 
 
 def split_name(text: Column, keep_after: Sequence[str] = ()) -> Column:
@@ -114,21 +119,16 @@ def split_name(text: Column, keep_after: Sequence[str] = ()) -> Column:
     A cut right after one of the ``keep_after`` words (describing words, say) is passed over.
     """
     held = "".join(f"(?<!\\b{word})" for word in keep_after)
-    cut = rf"(?s)^(.+?){held}(?:{_DELIMITER})"
+    # a delimiter at the very start has no name before it
+    cut = F.regexp_instr(text, F.lit(rf"(?<!^){held}(?:{_DELIMITER})"))
 
-    def parts(pair: Column) -> Column:
-        left, whole = pair["left"], pair["text"]
-        name = F.when(left == "", strip(whole)).otherwise(left)
-        rest = F.when(left == "", F.lit("")).otherwise(
-            strip(F.substring(whole, F.length(left) + 2, F.length(whole)))
-        )
-        return F.struct(
-            strip(F.regexp_replace(name, "^of ", "")).alias("name"), rest.alias("modifier")
-        )
+    def parts(at: Column) -> Column:
+        name = F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text)
+        rest = F.when(at > 0, F.substring(text, at + 1, F.length(text))).otherwise(F.lit(""))
+        opening = F.when(name.startswith("of "), F.substring(name, 4, 1 << 30)).otherwise(name)
+        return F.struct(strip(opening).alias("name"), strip(rest).alias("modifier"))
 
-    return let(
-        F.struct(text.alias("text"), F.regexp_extract(text, cut, 1).alias("left")), parts
-    )
+    return let(cut, parts)
 
 
 def juice_of(text: Column) -> Column:
@@ -170,14 +170,16 @@ def juice_of(text: Column) -> Column:
 
 def measure_parts(text: Column) -> Column:
     """``struct<matched, measure, rest>``: the measure a line opens with, and what follows."""
-    return let(
-        F.regexp_extract(text, MEASURE, 1),
-        lambda raw: F.struct(
-            (raw != "").alias("matched"),
-            strip(raw).alias("measure"),
-            strip(F.when(raw != "", F.regexp_extract(text, MEASURE, 2))).alias("rest"),
-        ),
-    )
+    def parts(head: Column) -> Column:
+        rest = F.substring(text, F.length(head) + 1, F.length(text))
+        return F.struct(
+            (head != "").alias("matched"),
+            strip(F.regexp_replace(head, _BULLET, "")).alias("measure"),
+            # the rest of a line ends where the line does
+            F.when(head != "", strip(F.substring_index(rest, "\n", 1))).alias("rest"),
+        )
+
+    return let(F.regexp_extract(text, MEASURE, 0), parts)
 
 
 def unit_parts(measure: Column) -> Column:

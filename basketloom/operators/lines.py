@@ -17,12 +17,16 @@ from basketloom.functions.lines import (
     parse_line,
 )
 from basketloom.functions.text import once
+from basketloom.runtime import spread
 
 
 def parse_lines(lines: DataFrame, text: str = "text", keep_after: Sequence[str] = ()) -> DataFrame:
-    """Add the parsed fields of column ``text``; narrow, one row in, one row out."""
+    """Add the parsed fields of column ``text``; one row in, one row out, where it lies.
+
+    Input of a few small splits is spread over the cores first.
+    """
     others = [c for c in lines.columns if c != text]
-    return lines.select(*others, once(parse_line(F.col(text), keep_after)))
+    return spread(lines).select(*others, once(parse_line(F.col(text), keep_after)))
 
 
 def classify_lines(lines: DataFrame, text: str = "text") -> DataFrame:
@@ -38,6 +42,8 @@ def equipment_rows(lines: DataFrame, text: str = "text") -> DataFrame:
 def parse_documents(documents: DataFrame, keep_after: Sequence[str] = ()) -> DataFrame:
     """Parse every line of every document where it lies: a map-only job.
 
+    Input of a few small splits is spread over the cores first.
+
     Item lines gain their parsed fields, equipment lines leave ``ingredients`` for ``equipment``,
     and ``parse_ok`` is false for documents whose lines cannot be told apart (no lines, a line
     without text, or an equipment line that does not open as one).  Rejected documents keep their
@@ -51,7 +57,7 @@ def parse_documents(documents: DataFrame, keep_after: Sequence[str] = ()) -> Dat
         & F.forall(lines, lambda line: line["text"].isNotNull())
         & F.forall(equipment, lambda line: equipment_pieces(line["text"]).isNotNull())
     )
-    routed = documents.select(
+    routed = spread(documents).select(
         *documents.columns,
         once(
             F.struct(

@@ -82,6 +82,26 @@ class Scratch:
                 hadoop_path.getFileSystem(conf).delete(hadoop_path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition input that comes in fewer splits than there are cores.
+
+    For work that costs far more per row than moving the row does.  Input of many files or many
+    splits is left where it is; only file sizes are looked at.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    size = 0
+    for file in files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        size += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return df if size >= cores * split else df.repartition(cores)
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys holding more than ``hot_rows`` rows, with the number of splits each one needs."""
     return (
