@@ -94,7 +94,9 @@ def order_lines(spark: SparkSession, sf: str) -> DataFrame:
     return line.select(
         F.lit("line").alias("src"),
         F.col("l_orderkey").alias("a"),
-        F.expr("l_partkey * 100000000 + l_suppkey * 100 + l_linenumber").alias("b"),
+        F.expr(
+            "(l_partkey * 100000 + l_suppkey) * 1000 + l_linenumber * 100 + CAST(l_quantity AS BIGINT)"
+        ).alias("b"),
         F.expr(_LINE_TEXT).alias("text"),
     )
 
@@ -127,7 +129,7 @@ def all_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LINES = f"""all_lines AS (
-    SELECT 'line' AS src, l_orderkey AS a, l_partkey * 100000000 + l_suppkey * 100 + l_linenumber AS b,
+    SELECT 'line' AS src, l_orderkey AS a, (l_partkey * 100000 + l_suppkey) * 1000 + l_linenumber * 100 + CAST(l_quantity AS BIGINT) AS b,
         {_LINE_TEXT} AS text
     FROM lineitem JOIN part ON l_partkey = p_partkey
     UNION ALL

@@ -35,10 +35,14 @@ _COUNT = by_first_letter(spellings(COUNT_UNITS))
 _UNITS = spellings(STANDARD_UNITS + COUNT_UNITS)
 
 # A measure is a run of words made of digits, signs, number words and units, each followed by a
-# space.  The engine recurses once per repetition of a group, so the run is possessive per word
-# (which is exact: once a word and its space fit, giving the space back already succeeds), signs
-# are taken in runs, and one word may hold up to 400 parts.  Lines of any length are safe.
-_WORD = rf"(?:[0-9/.\-x()]+|{by_first_letter(['to', *_WORDS, *_UNITS])}){{0,400}}"
+# space.  The engine recurses once per repetition of a group and retries every way to cut a word,
+# so the pattern leaves it one way only, without changing what matches: the run is possessive per
+# word (once a word and its space fit, giving the space back already succeeds), signs and closing
+# dots are taken for good, "half" is listed once, and one word may hold up to 400 parts.
+_PARTS = by_first_letter(
+    ["to", *_WORDS, *(u.removesuffix(r"\.?") + r"\.?+" * u.endswith(r"\.?") for u in _UNITS if u != "half")]
+)
+_WORD = rf"(?:[0-9/.\-x()]++|{_PARTS}){{0,400}}"
 _BULLET = r"^\*?-? ?"
 MEASURE = rf"{_BULLET}(?:{_WORD} )++"
 
