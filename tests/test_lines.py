@@ -152,10 +152,11 @@ def test_nested_parentheses_come_out_in_closing_order(spark):
 
 def test_lines_of_any_length_parse(spark):
     texts = ["cup " * 9000 + "sugar", "-" * 40000 + " z", "a" * 20000 + " b", "juice " * 5000 + "of lemon",
-             "x, " * 20000, "(" * 3000 + " 1 cup", "1 cup " + ")" * 300]
+             "x, " * 20000, "(" * 3000 + " 1 cup", "1 cup " + ")" * 300, "oz." * 90 + "X y",
+             "half" * 90 + "X y", "1 " + "l." * 90 + "X y"]
     parsed = parse(spark, texts)
     assert parsed[texts[0]]["name"] == "sugar"
-    assert parsed[texts[1]]["quantity_str"] == "-" * 40000
+    assert parsed[texts[1]]["quantity_str"] == "-" * 39999  # the first one is a bullet
     assert len(parsed) == len(texts)
 
 
