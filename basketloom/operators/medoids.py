@@ -302,7 +302,7 @@ def k_medoids(
     )
     losses: list[float] = []
     previous = None
-    change = 2 * threshold
+    change = float("inf")
     labels = None
     while change > threshold:
         superseded = labels
@@ -316,7 +316,7 @@ def k_medoids(
         medoids = [found[i]["medoid"] if i in found else medoids[i] for i in range(k)]
         loss = sum(row["loss"] for row in found.values())
         losses.append(loss)
-        change = float("inf") if previous is None else previous - loss
+        change = change if previous is None else previous - loss
         previous = loss
         if iterations is not None and len(losses) >= iterations:
             break
