@@ -54,13 +54,12 @@ def _(spark, sf):
     "t3_parentheses",
     b.with_ctes(
         f"SELECT src, a, b, {ls.without_parentheses('text')} AS bare, "
-        "length(text) - length(replace(text, ')', '')) AS closing FROM all_lines "
-        "WHERE contains(text, '(')",
+        "length(text) - length(replace(text, ')', '')) AS closing FROM all_lines",
         b.LINES,
     ),
 )
 def _(spark, sf):
-    lines = b.all_lines(spark, sf).where(F.col("text").contains("("))
+    lines = b.all_lines(spark, sf)
     taken = lines.select(*_KEYS, once(fl.take_parentheses(F.col("text"))))
     # every closing parenthesis is either taken or still there
     left = F.length("text") - F.length(F.replace("text", F.lit(")"), F.lit("")))
@@ -214,13 +213,11 @@ def _(spark, sf):
         "SELECT n.src, n.a, n.b, w.name, w.unit, w.quantity_low, w.quantity_high, w.modifier, "
         "CASE WHEN split THEN others END AS substitutions FROM normal n "
         "LEFT JOIN agreed g USING (src, a, b) JOIN parsed w ON w.src = n.src AND w.a = n.a "
-        "AND w.b = n.b AND w.k = CASE WHEN split THEN 1 ELSE 0 END "
-        "WHERE NOT contains(n.text, ')')"
+        "AND w.b = n.b AND w.k = CASE WHEN split THEN 1 ELSE 0 END"
     ),
 )
 def _(spark, sf):
-    lines = b.all_lines(spark, sf).where(~F.col("text").contains(")"))
-    return parse_lines(lines).select(
+    return parse_lines(b.all_lines(spark, sf)).select(
         *_KEYS,
         "name",
         "unit",
@@ -231,11 +228,6 @@ def _(spark, sf):
     )
 
 
-@register("t13_alternatives_outside_parentheses")
-def _(spark, sf):
-    return parse_lines(b.all_lines(spark, sf)).where("substitutions IS NOT NULL")
-
-
 _EQUIPMENT_TEXT = (
     "concat(CASE p_size % 5 WHEN 0 THEN 'Special equipment: ' WHEN 1 THEN 'Equipment: ' "
     "WHEN 2 THEN 'Equipment ' WHEN 3 THEN 'Note: ' ELSE '2 cups ' END, p_name, '; ', "

@@ -96,12 +96,20 @@ def _is_whole(token: str, value: str) -> str:
 _SPLIT_OR = "string_split(t, ' or ')"
 
 PARSED = f"""normal AS (SELECT src, a, b, text, {normalised('text')} AS t FROM source),
+    pieces AS (SELECT src, a, b, generate_subscripts({_SPLIT_OR}, 1) AS i,
+        unnest({_SPLIT_OR}) AS piece, {_SPLIT_OR} AS parts FROM normal WHERE contains(t, ' or ')),
+    -- a cut inside parentheses is followed by their closing before any opening
+    cuts AS (SELECT *, i = 1 OR NOT regexp_matches(array_to_string(parts[i:], ' or '),
+        '^[^(]*\\)') AS starts FROM pieces),
+    grouped AS (SELECT *, sum(starts::INT) OVER (PARTITION BY src, a, b ORDER BY i)::BIGINT AS k
+        FROM cuts),
+    options AS (SELECT src, a, b, k, string_agg(piece, ' or ' ORDER BY i) AS text FROM grouped
+        GROUP BY src, a, b, k),
     candidates AS (
         SELECT src, a, b, 0::BIGINT AS k, t AS text FROM normal
         UNION ALL
-        SELECT src, a, b, generate_subscripts(list_filter({_SPLIT_OR}, lambda x: x <> ' or '), 1),
-            unnest(list_filter({_SPLIT_OR}, lambda x: x <> ' or '))
-        FROM normal WHERE len({_SPLIT_OR}) > 1),
+        SELECT src, a, b, k, text FROM options
+        QUALIFY count(*) OVER (PARTITION BY src, a, b) > 1),
     measured AS (SELECT *, regexp_matches(text, {_MEASURE}) AS has_measure,
         {strip(f"regexp_extract(text, {_MEASURE}, 1)")} AS measure,
         {strip(f"regexp_extract(text, {_MEASURE}, 2)")} AS rest FROM candidates),

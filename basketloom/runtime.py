@@ -187,7 +187,7 @@ def number_within(
     """
     cut = split_hot(df, keys, df.columns, hot_rows)
     split_keys = [*keys, "_split"]
-    sizes = cut.where(F.col("_split") >= 0).groupBy(*split_keys).agg(F.count("*").alias("_n"))
+    sizes = cut.groupBy(*split_keys).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     # only keys with several splits have a non-zero offset: at most 2 * rows / hot_rows entries
     offsets = (
