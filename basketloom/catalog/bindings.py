@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketloom.runtime import spread
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -139,7 +141,8 @@ LINES = f"""all_lines AS (
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct lower-case words of the documents, part names, their plurals and hyphened forms."""
-    found = table(spark, sf, "documents").select(
+    # splitting text costs far more than moving it
+    found = spread(table(spark, sf, "documents")).select(
         F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("name")
     )
     part = table(spark, sf, "part").select(
