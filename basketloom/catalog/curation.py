@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from basketloom.catalog import bindings as b
 from basketloom.catalog.registry import register
 from basketloom.operators import closure, curate, walk
-from basketloom.runtime import Scratch
+from basketloom.plans.curation import sample
+from basketloom.runtime import Scratch, number_within
 from basketloom.sources.exports import nested_baskets
+from basketloom.sources.tables import copy_table, read_table
 from basketloom.sources.vocabulary import multimap
 
 # validated items are the parts up to size 45
@@ -214,13 +216,6 @@ def _(spark, sf):
     return closure.close_mapping(curate.alias_map(edges)).mapping
 
 
-# every item points to the next part of its brand, and the last one back to the first
-_NEXT = """next_part AS (SELECT p_partkey AS subject_id, coalesce(
-    lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey),
-    CASE WHEN p_brand IN ('Brand#1', 'Brand#7') THEN first_value(p_partkey)
-        OVER (PARTITION BY p_brand ORDER BY p_partkey) END) AS object_id FROM part)"""
-
-
 @register(
     "g14_cycle_members",
     "SELECT p_partkey AS subject_id, p_name AS item_name FROM part "
@@ -232,8 +227,6 @@ def _(spark, sf):
     part = b.table(spark, sf, "part").select(
         F.col("p_partkey").alias("subject_id"), F.col("p_brand").alias("brand")
     )
-    from basketloom.runtime import number_within
-
     placed = scratch.keep(number_within(part, ["brand"], ["subject_id"]))
     sizes = placed.groupBy("brand").agg(F.count("*").alias("size"))
     to = placed.select("brand", F.col("pos").alias("_to"), F.col("subject_id").alias("object_id"))
@@ -466,7 +459,7 @@ def _plain_edges(spark, sf):
 
 @register(
     "g16_random_walks",
-    _recursive("SELECT walker, step, basket_id FROM visits", _WALK).replace("w.walker ||", "w.walker ||"),
+    _recursive("SELECT walker, step, basket_id FROM visits", _WALK),
 )
 def _(spark, sf):
     visits = walk.walk_baskets(
@@ -484,8 +477,6 @@ def _(spark, sf):
 
 @register("k7_sampled_subgraph")
 def _(spark, sf):
-    from basketloom.plans.curation import sample
-
     titles, pairs, names = sample(
         canonical_edges(spark, sf), b.baskets(spark, sf), b.items(spark, sf), 50, walkers=8,
         steps=40, seed=1,
@@ -519,15 +510,11 @@ def _(spark, sf):
 
 @register("s7_table_scan", "SELECT p_partkey, p_name FROM part WHERE p_size < 10")
 def _(spark, sf):
-    from basketloom.sources.tables import read_table
-
     return read_table(spark, f"{sf}/part.parquet").where("p_size < 10").select("p_partkey", "p_name")
 
 
 @register("k2_table_copy", "SELECT * FROM part")
 def _(spark, sf):
-    from basketloom.sources.tables import copy_table, read_table
-
     target = f"{Scratch(spark, 'copy').base}/part"
     copy_table(spark, f"{sf}/part.parquet", target)
     return read_table(spark, target)

@@ -11,7 +11,6 @@ from basketloom.operators import relations as rel
 from basketloom.runtime import Scratch
 
 _ABBREVIATIONS = (("sm", "small"), ("lg", "large"), ("std", "standard"), ("wdgt", "widget"))
-_MODIFIERS = ("blue", "cold", "hot", "large", "new", "old", "red", "small", "new red")
 
 
 def _values(pairs) -> str:
@@ -166,10 +165,9 @@ def _(spark, sf):
 
 def _modifiers(spark, sf):
     """Leading words of the part names, and a two-word modifier."""
-    leading = b.table(spark, sf, "part").select(F.substring_index("p_name", " ", 1).alias("modifier"))
-    return leading.distinct().union(
-        leading.limit(1).select(F.lit("new red"))
-    ).union(leading.limit(1).select(F.lit("new")))
+    leading = F.substring_index("p_name", " ", 1)
+    listed = F.explode(F.array(leading, F.lit("new"), F.lit("new red")))
+    return b.table(spark, sf, "part").select(listed.alias("modifier")).distinct()
 
 
 _MODIFIER_ROWS = """modifiers AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS modifier FROM part

@@ -65,14 +65,14 @@ def extract_core(
         if size == 0:
             break
         scores = scratch.keep(basket_scores(edges, counts, score))
-        histogram = score_histogram(scores)
+        histogram = scratch.keep(score_histogram(scores))
         threshold = THRESHOLDS[mode](histogram, (wanted / size) ** (1.0 / (rounds - i)))
         if threshold is None:
             threshold = 0
         next_baskets = scratch.keep(baskets_above(baskets, scores, threshold))
         next_edges = scratch.keep(restrict_edges(edges, next_baskets))
         next_counts = scratch.keep(count_items(counts.drop("count"), next_edges))
-        scratch.drop(scores, baskets, edges, counts)
+        scratch.drop(scores, histogram, baskets, edges, counts)
         baskets, edges, counts = next_baskets, next_edges, next_counts
         size = baskets.count()
         report.append((i + 1, size, edges.count(), counts.count(), float(threshold)))

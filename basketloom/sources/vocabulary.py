@@ -6,7 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketloom.schemas import ABBREVIATIONS, ALIASES, CHILD_OF, MODIFIERS, PAIRS, TRIPLES, VOCABULARY
+from basketloom.runtime import split_hot
+from basketloom.schemas import (
+    ABBREVIATIONS,
+    ALIASES,
+    CHILD_OF,
+    MODIFIERS,
+    PAIRS,
+    TRIPLES,
+    VOCABULARY,
+)
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
@@ -80,8 +89,6 @@ def grouped_arrays(
     rows: DataFrame, keys: list[str], value: str, out: str, max_values: int
 ) -> DataFrame:
     """Values per key as sorted arrays of bounded length, in ``part`` 0, 1, ... of the key."""
-    from basketloom.runtime import split_hot
-
     split = split_hot(rows, keys, rows.columns, max_values)
     return (
         split.groupBy(*keys, F.col("_split").alias("part"))
