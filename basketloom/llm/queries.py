@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketloom.llm import chat_format, decontaminate, html_extract, packing
+from basketloom.llm import chat_format, decontaminate, html_extract, packing, quality_rules
 from basketloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,81 @@ def op3_main_text(spark: SparkSession, sf: str) -> DataFrame:
     return html_extract.extract_main_text(table(spark, sf, "pages"))
 
 
+def _quality_sql() -> str:
+    """The statistics in SQL, and the estimation unrolled step by step over the vote patterns."""
+    q = quality_rules
+    m = len(q.RULES)
+    without = "length(text) - length(regexp_replace(text, '[{}]', '', 'g'))"
+    cells = [
+        f"CASE WHEN {bad} THEN {3 * j} WHEN {good} THEN {3 * j + 2} ELSE {3 * j + 1} END AS c{j}"
+        for j, (_, good, bad) in enumerate(q.RULES)
+    ]
+    names = ", ".join(f"c{j}" for j in range(m))
+    start = ", ".join(
+        f"({3 * j + k}, CAST({x} AS DOUBLE))" for j in range(m) for k, x in enumerate(q.START)
+    )
+    parts = [
+        f"""WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS MATERIALIZED (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[ \\x09-\\x0D]+'),
+    lambda x: x <> '') AS words FROM d),
+places AS (SELECT doc_id, k, words[k:k + 2] AS said FROM (
+    SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS k FROM w WHERE len(words) > 2)),
+again AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, said) AS n
+    FROM places) WHERE n > 1),
+repeats AS (SELECT doc_id, count(*) AS n FROM (
+    SELECT DISTINCT doc_id, unnest([k, k + 1, k + 2]) AS p FROM again) GROUP BY 1),
+l AS (SELECT doc_id, count(*) AS n_lines, count(DISTINCT line) AS n_different FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+    WHERE regexp_matches(line, '[^ \\x09-\\x0D]') GROUP BY 1),
+s AS MATERIALIZED (SELECT w.doc_id, len(words) AS n_words,
+    length(regexp_replace(text, '[ \\x09-\\x0D]', '', 'g')) AS word_chars,
+    {without.format("#*$%&|<>")} AS n_symbols,
+    coalesce(n_lines - n_different, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words,
+    coalesce(n_lines, 0) AS n_lines, {without.format("A-Z")} AS n_upper,
+    {without.format("0-9")} AS n_digits, {without.format(".!?")} AS n_ends
+    FROM w LEFT JOIN repeats USING (doc_id) LEFT JOIN l USING (doc_id)),
+v AS MATERIALIZED (SELECT *, {q.BASE_FAILED} AS base_failed, {", ".join(cells)} FROM s),
+patterns AS MATERIALIZED (SELECT row_number() OVER () AS id, n, unnest([{names}]) AS c FROM (
+    SELECT {names}, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL)),
+w0 AS (SELECT * FROM (VALUES {start}, ({3 * m}, {q.START_ODDS})) AS t(c, w))"""
+    ]
+    for t in range(q.ITERATIONS):
+        parts.append(
+            f"""q{t} AS MATERIALIZED (SELECT id, 1 / (1 + exp(-(sum(w) + (SELECT w FROM w{t}
+    WHERE c = {3 * m})))) AS good FROM patterns JOIN w{t} USING (c) GROUP BY id),
+m{t} AS MATERIALIZED (SELECT a.c, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM
+    (SELECT unnest(range({3 * m})) AS c) a LEFT JOIN (SELECT c, sum(n * good) AS g,
+    sum(n * (1 - good)) AS b FROM patterns JOIN q{t} USING (id) GROUP BY c) USING (c)),
+a{t} AS MATERIALIZED (SELECT sum(g) AS g, sum(b) AS b FROM m{t} WHERE c < 3),
+w{t + 1} AS MATERIALIZED (SELECT m{t}.c, CASE m{t}.c % 3 WHEN 1 THEN 0
+    WHEN 0 THEN least(greatest(r, {q.BAD_RANGE[0]}), {q.BAD_RANGE[1]})
+    ELSE least(greatest(r, {q.GOOD_RANGE[0]}), {q.GOOD_RANGE[1]}) END AS w
+    FROM (SELECT m.c, ln(((m.g + {q.SMOOTHING}) / (a.g + 3 * {q.SMOOTHING}))
+        / ((m.b + {q.SMOOTHING}) / (a.b + 3 * {q.SMOOTHING}))) AS r FROM m{t} m, a{t} a) m{t}
+    UNION ALL SELECT {3 * m}, least(greatest(ln((g + {q.SMOOTHING}) / (b + {q.SMOOTHING})),
+        {q.ODDS_RANGE[0]}), {q.ODDS_RANGE[1]}) FROM a{t})"""
+        )
+    last = f"w{q.ITERATIONS}"
+    odds = " + ".join(
+        f"list_extract(ws, c{j} + 1)" for j in range(m)
+    )
+    return (
+        ",\n".join(parts)
+        + f""",
+fit AS (SELECT list(w ORDER BY c) AS ws FROM {last})
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+    CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+    CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+    NOT base_failed AND list_extract(ws, {3 * m + 1}) + {odds} >= 0 AS kept FROM v, fit"""
+    )
+
+
+@query("op5_quality_rules", _quality_sql())
+def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    judged = quality_rules.judge_quality(table(spark, sf, "documents"), carry=["doc_id"])
+    return judged.drop("good_probability")
+
+
 @query(
     "op7_chat_format",
     r"""
