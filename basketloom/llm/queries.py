@@ -6,8 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketloom.llm import chat_format, decontaminate, html_extract, packing, quality_rules
-from basketloom.llm.common import table
+from basketloom.llm import (
+    chat_format,
+    decontaminate,
+    html_extract,
+    jaccard_join,
+    packing,
+    pii,
+    quality_rules,
+)
+from basketloom.llm.common import sha256_hex, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -136,6 +144,11 @@ def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judged.drop("good_probability")
 
 
+@query("op6_jaccard_join")
+def op6_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf, "documents"))
+
+
 @query(
     "op7_chat_format",
     r"""
@@ -166,3 +179,14 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
 
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(table(spark, sf, "documents"), path)
+
+
+@query("op9_personal_data")
+def op9_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf, "documents"), carry=["doc_id"])
+    return found.select(
+        "doc_id",
+        *[pii.count_kind("base", kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        sha256_hex(pii.spans_text("base")).alias("base_sha256"),
+        pii.spans_text("spans").alias("spans"),
+    )
