@@ -14,6 +14,7 @@ from basketloom.llm import (
     packing,
     pii,
     quality_rules,
+    repeats,
 )
 from basketloom.llm.common import sha256_hex, table
 
@@ -69,6 +70,11 @@ def op3_main_text(spark: SparkSession, sf: str) -> DataFrame:
     return html_extract.extract_main_text(table(spark, sf, "pages"))
 
 
+@query("op4_repeats")
+def op4_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf, "documents")).drop("spans")
+
+
 def _quality_sql() -> str:
     """The statistics in SQL, and the estimation unrolled step by step over the vote patterns."""
     q = quality_rules
