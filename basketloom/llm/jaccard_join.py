@@ -44,7 +44,8 @@ ORDERED_TOKENS = 200_000
 LARGE_SET, SMALL_SET = 2000, 20
 # sets to compare whose texts are found by a broadcast join; more are joined by shuffling
 SENT_SETS = 500_000
-SKETCH_WORDS = 8
+# 64-bit words of a sketch for this many tokens; sets of twice the size have sketches of twice the size
+SKETCH_WORDS, SKETCH_TOKENS = 16, 700
 PAIRS_AT_ONCE = 1_000_000
 
 SETS = "doc_id long, hash long, key string, n int, front array<long>, sketch array<long>"
@@ -63,6 +64,11 @@ def front_length(n: int, percent: int) -> int:
     return min(n, n - needed + 1 + CLASSES)
 
 
+def sketch_words(n: int) -> int:
+    doublings = max(0, -(-n // SKETCH_TOKENS) - 1).bit_length()
+    return SKETCH_WORDS << doublings
+
+
 def frequent_tokens(documents: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens that are common in some part of the documents, and their counts, ascending by token."""
 
@@ -117,7 +123,8 @@ def _fronts(known: tuple[np.ndarray, np.ndarray], size: int, percent: int):
                 hit = tokens[at] == values
                 often[hit] = counts[at[hit]]
             keys, sizes, fronts, ends, sketches = [], [], [], [0], []
-            bit = (values >> np.uint64(32)) % np.uint64(64 * SKETCH_WORDS)
+            sketch_ends = [0]
+            bit = values >> np.uint64(32)
             for first, end in zip(offsets[:-1], offsets[1:], strict=True):
                 n = int(end - first)
                 mine = values[first:end]
@@ -127,9 +134,10 @@ def _fronts(known: tuple[np.ndarray, np.ndarray], size: int, percent: int):
                 # values ascend already, and the sort is stable
                 fronts.append(mine[np.argsort(often[first:end], kind="stable")[:k]])
                 ends.append(ends[-1] + len(fronts[-1]))
-                bits = np.zeros(64 * SKETCH_WORDS, np.uint8)
-                bits[bit[first:end]] = 1
+                bits = np.zeros(64 * sketch_words(n), np.uint8)
+                bits[bit[first:end] % np.uint64(len(bits))] = 1
                 sketches.append(np.packbits(bits).view(np.int64))
+                sketch_ends.append(sketch_ends[-1] + len(sketches[-1]))
             flat = np.concatenate(fronts) if fronts else np.empty(0, np.uint64)
             sketch = np.concatenate(sketches) if sketches else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -142,8 +150,7 @@ def _fronts(known: tuple[np.ndarray, np.ndarray], size: int, percent: int):
                         pa.array(ends, pa.int32()), pa.array(flat.view(np.int64))
                     ),
                     pa.ListArray.from_arrays(
-                        pa.array(np.arange(len(keys) + 1) * SKETCH_WORDS, pa.int32()),
-                        pa.array(sketch),
+                        pa.array(sketch_ends, pa.int32()), pa.array(sketch)
                     ),
                 ],
                 names=["doc_id", "hash", "key", "n", "front", "sketch"],
@@ -232,16 +239,22 @@ def _cross_pairs(percent: int):
         sig, rep, n, component, pivot = (
             rows.column(c).to_numpy() for c in ("sig", "rep", "n", "component", "pivot")
         )
-        order, starts, lengths = _groups(sig)
+        # pairs with the pivot have been compared
+        rest = np.flatnonzero(rep != pivot)
+        rest = rest[np.lexsort((n[rest], sig[rest]))]
+        _, starts, lengths = _groups(sig[rest])
+        if not len(starts):
+            return
+        # only buckets that still have texts of several components
+        several = np.minimum.reduceat(component[rest], starts) < np.maximum.reduceat(
+            component[rest], starts
+        )
         waiting: list[np.ndarray] = []
-        for first, length in zip(starts, lengths, strict=True):
-            mine = order[first : first + length]
-            # pairs with the pivot have been compared
-            mine = mine[rep[mine] != pivot[mine]]
-            mine = mine[np.argsort(n[mine], kind="stable")]
+        for first, length in zip(starts[several], lengths[several], strict=True):
+            mine = rest[first : first + length]
             sizes, parts = n[mine].astype(np.int64), component[mine]
             # a set reaches up to this size
-            reach = np.searchsorted(100 * sizes.copy(), 100 * sizes * 100 // percent, side="right")
+            reach = np.searchsorted(sizes, sizes * 100 // percent, side="right")
             for k in range(len(mine) - 1):
                 others = mine[k + 1 : reach[k]]
                 others = others[component[others] != parts[k]]
@@ -363,13 +376,17 @@ def jaccard_components(
             lambda total, x: total + x,
         )
         needed = _needed(F.col("n_a"), F.col("n_b"), percent)
-        # bits that differ are at most the tokens that differ
+        # bits that differ are at most the tokens that differ; sketches of two sizes say nothing
         likely = scratch.keep(
             pairs.join(side("a"), "a")
             .join(side("b"), "b")
-            .where(different <= F.col("n_a") + F.col("n_b") - 2 * needed)
+            .where(
+                (F.size("s_a") != F.size("s_b"))
+                | (different <= F.col("n_a") + F.col("n_b") - 2 * needed)
+            )
             .select("a", "b", "n_a", "n_b")
         )
+        release(spark)
         wanted = likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         wanted = scratch.keep(vertices.join(wanted, "rep").select("rep", "key", "chosen.*"))
         few = F.broadcast(wanted) if wanted.count() <= SENT_SETS else wanted

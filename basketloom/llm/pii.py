@@ -25,6 +25,8 @@ LEAST_SEEDS, LEAST_SHARE, ROUNDS = 3, 0.5, 3
 CONTEXT_CHARS = 64
 # patterns that are sent to every executor; more are joined by shuffling
 SENT_PATTERNS = 200_000
+# one of so many parts of the texts is looked at first
+SLICES = 16
 
 # Possessive forms of the base patterns: nothing follows a repetition, so they match the same, and
 # Java runs them in a loop instead of by recursion.  A match may begin inside a run only where the
@@ -196,6 +198,27 @@ def _with_context(text: Column, spans: Column) -> Column:
     )
 
 
+def _pattern_totals(documents: DataFrame, patterns: DataFrame) -> DataFrame:
+    """How often each of ``patterns`` occurs in the texts, whatever follows it."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
+    pairs = documents.select(words.alias("w")).select(
+        F.explode(
+            F.transform(
+                F.when(F.size("w") >= 2, F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))))
+                .otherwise(F.array().cast("array<string>")),
+                lambda a, i: _pair(a, F.get(F.col("w"), i + 1)),
+            )
+        ).alias("pattern")
+    )
+    n_patterns = patterns.count()
+    wanted = patterns.select("pattern")
+    if n_patterns == 0:
+        return wanted.withColumn("total", F.lit(0).cast("long"))
+    if n_patterns <= SENT_PATTERNS:
+        wanted = F.broadcast(wanted)
+    return pairs.join(wanted, "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
+
+
 def trusted(mentions: DataFrame, documents: DataFrame, scratch: Scratch) -> DataFrame:
     """Known identifiers that patterns brought in: rows (pattern, value) of the scored graph."""
     spark = documents.sparkSession
@@ -206,27 +229,20 @@ def trusted(mentions: DataFrame, documents: DataFrame, scratch: Scratch) -> Data
     )
     wide = scratch.keep(
         edges.groupBy("pattern")
-        .agg(F.count("*").alias("values"), F.sum("seed").alias("seeds"))
+        .agg(F.count("*").alias("values"), F.sum("n").alias("mentions"))
         .where(F.col("values") >= LEAST_SEEDS)
-        .select("pattern")
+        .select("pattern", "mentions")
     )
-    n_patterns = wide.count()
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
-    pairs = documents.select(words.alias("w")).select(
-        F.explode(
-            F.transform(
-                F.when(F.size("w") >= 2, F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))))
-                .otherwise(F.array().cast("array<string>")),
-                lambda a, i: _pair(a, F.get(F.col("w"), i + 1)),
-            )
-        ).alias("pattern")
-    )
-    sent = F.broadcast(wide) if n_patterns <= SENT_PATTERNS else wide
-    totals = scratch.keep(
-        pairs.join(sent, "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
-        if n_patterns
-        else spark.createDataFrame([], "pattern long, total long")
+    # a pattern that a sixteenth of the texts shows to be common already cannot be trusted
+    slice_totals = _pattern_totals(
+        documents.where(F.pmod(F.xxhash64("text"), F.lit(SLICES)) == 0), wide
+    )
+    open_still = scratch.keep(
+        wide.join(slice_totals, "pattern", "left")
+        .where(F.col("mentions") >= LEAST_SHARE * F.coalesce("total", F.lit(0)))
+        .select("pattern")
     )
+    totals = scratch.keep(_pattern_totals(documents, open_still))
     graph = scratch.keep(edges.join(totals, "pattern"))
     known = scratch.keep(edges.where("seed = 1").select("value").distinct())
     good = spark.createDataFrame([], "pattern long")

@@ -15,6 +15,7 @@ from basketloom.llm import (
     pii,
     quality_rules,
     repeats,
+    weak_labels,
 )
 from basketloom.llm.common import sha256_hex, table
 
@@ -32,6 +33,13 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return weak_labels.quality_classifier(
+        table(spark, sf, "documents"), table(spark, sf, "labels")
+    )
+
+
 @query(
     "op2_decontamination",
     r"""
