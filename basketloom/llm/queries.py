@@ -13,6 +13,7 @@ from basketloom.llm import (
     jaccard_join,
     packing,
     pii,
+    pseudo_likelihood,
     quality_rules,
     repeats,
     weak_labels,
@@ -195,6 +196,11 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), path)
 
 
+@query("op8_pseudo_likelihood")
+def op8_pseudo_likelihood(spark: SparkSession, sf: str) -> DataFrame:
+    return pseudo_likelihood.pseudo_likelihood(table(spark, sf, "documents"))
+
+
 @query("op9_personal_data")
 def op9_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf, "documents"), carry=["doc_id"])

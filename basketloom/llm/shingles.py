@@ -15,7 +15,8 @@ def _scrambled(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * 2 + 1
 
 
-_OF_BYTE = _scrambled(256, 11)
+# blanks count nothing, capitals like small letters
+_OF_BYTE = np.where(_BLANK, np.uint64(0), _scrambled(256, 11)[_LOWER])
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = _scrambled(64, 12)
 
@@ -57,33 +58,18 @@ def word_hashes(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.nd
     begins = offsets[:-1][offsets[:-1] < n]
     first[begins] |= inside[begins]
     starts = np.flatnonzero(first)
-    # words end at a blank, at the next word's start or at the end
-    stop = np.flatnonzero(~inside)
-    ends = np.append(stop, n)[np.searchsorted(stop, starts)]
-    ends = np.minimum(ends, np.append(starts[1:], n))
+    if not len(starts):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     with np.errstate(over="ignore"):
-        values = _OF_BYTE[_LOWER[raw]]
-        lengths = ends - starts
-        # polynomial of the bytes by their place in the word
-        at = np.arange(n) - np.repeat(
-            starts, np.diff(np.append(starts, n))
-        ) if len(starts) and starts[0] == 0 else _places(starts, n)
-        values *= _powers_of_step(int(at.max()) + 1 if n else 1)[at]
-        values[~inside] = 0
-        sums = np.add.reduceat(values, starts) if len(starts) else np.empty(0, np.uint64)
-        hashes = mixed(sums + lengths.astype(np.uint64))
+        # polynomial of the bytes by their place after the word's start
+        used = n - starts[0]
+        at = np.arange(starts[0], n) - np.repeat(starts, np.diff(np.append(starts, n)))
+        values = _OF_BYTE[raw[n - used :]] * _powers_of_step(int(at.max()) + 1)[at]
+        hashes = mixed(np.add.reduceat(values, starts - starts[0]))
     text = np.searchsorted(offsets, starts, side="right") - 1
     return hashes, text
 
 
-def _places(starts: np.ndarray, n: int) -> np.ndarray:
-    at = np.zeros(n, np.int64)
-    if len(starts):
-        rest = np.arange(starts[0], n)
-        at[starts[0] :] = rest - np.repeat(starts, np.diff(np.append(starts, n)))
-    return at
-
-
 def shingle_hashes(
     words: np.ndarray, text: np.ndarray, n_texts: int, size: int
 ) -> tuple[np.ndarray, np.ndarray]:

@@ -3,25 +3,70 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basketloom.llm import packing
+from basketloom.llm import decontaminate, jaccard_join, packing, pii, quality_rules
 from basketloom.llm.common import table
+from basketloom.runtime import Scratch
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.judge_quality(docs).where("kept").select(*COLUMNS)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies, once if it is repeated.
+
+    Documents without an id name no group, so one stays only where its group has no other.
+    """
+    groups = jaccard_join.jaccard_components(docs).select("doc_id", "component_id").distinct()
+    named = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
+    return docs.join(named.distinct(), F.col("doc_id") == F.col("_kept"), "left_semi").select(
+        *COLUMNS
+    )
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a fair share of benchmark text."""
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.verdict(found).where("NOT contaminated").select(*COLUMNS)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
+    found = pii.find_personal_data(docs)
+    text = pii.redact(F.col("text"), F.col("spans"))
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(
+        *COLUMNS
+    )
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into training sequences."""
+    """What is left, packed into training sequences."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", pack_documents)]
+STAGES = [
+    ("quality rules", keep_good),
+    ("near copies", keep_one_of_each_group),
+    ("decontamination", keep_uncontaminated),
+    ("personal data", redact_personal_data),
+    ("packing", pack_documents),
+]
 
+# tokenizers cannot be called from SQL; tests compare the stages with brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of ``documents``, every stage written and read again."""
+    scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
