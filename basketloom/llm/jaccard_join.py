@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketloom.llm.common import release, text_buffers, without_nulls
+from basketloom.llm.common import release, small_batches, text_buffers, without_nulls
 from basketloom.llm.components import components
 from basketloom.llm.shingles import distinct_sets, mixed, shingle_hashes, word_hashes
 from basketloom.runtime import Scratch
@@ -83,12 +83,12 @@ def frequent_tokens(documents: DataFrame, size: int) -> tuple[np.ndarray, np.nda
             both, where = np.unique(np.concatenate([tokens, new]), return_inverse=True)
             total = np.bincount(where, np.concatenate([counts, n])).astype(np.int64)
             tokens, counts = both, total
-            if len(tokens) > 8_000_000:
+            if len(tokens) > 4_000_000:
                 # what is rare so far is forgotten, as in a lossy count
                 often = counts > 1
                 tokens, counts = tokens[often], counts[often]
 
-        for batch in batches:
+        for batch in small_batches(batches):
             waiting.append(batch_sets(without_nulls(batch.column("text")), size)[0])
             if sum(map(len, waiting)) > 2_000_000:
                 fold()
@@ -115,7 +115,7 @@ def _fronts(known: tuple[np.ndarray, np.ndarray], size: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = known
-        for batch in batches:
+        for batch in small_batches(batches):
             values, offsets = batch_sets(without_nulls(batch.column("text")), size)
             at = np.minimum(np.searchsorted(tokens, values), max(len(tokens) - 1, 0))
             often = np.zeros(len(values), np.int64)
@@ -284,7 +284,7 @@ def _full_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in small_batches(batches):
             values, offsets = batch_sets(without_nulls(batch.column("text")), size)
             keys = [
                 xxhash.xxh3_128_hexdigest(values[first:end].tobytes())

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketloom.llm.common import text_buffers, without_nulls
+from basketloom.llm.common import small_batches, text_buffers, without_nulls
 from basketloom.llm.shingles import word_hashes
 
 CLASSES, IN_CLASS = 64, 64
@@ -183,7 +183,7 @@ def train(documents: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             trainer = Trainer(sent.value)
-            for batch in batches:
+            for batch in small_batches(batches):
                 ids, around, _ = windows(without_nulls(batch.column("text")))
                 trainer.run(ids, around)
             if trainer.seen:
@@ -223,7 +223,7 @@ def score(documents: DataFrame, parameters: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = unpacked(sent.value)
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, around, of = windows(without_nulls(batch.column("text")))
             n = np.bincount(of, minlength=batch.num_rows)
             total = np.bincount(of, log_probabilities(parts, ids, around), minlength=batch.num_rows)

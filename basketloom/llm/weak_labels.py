@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketloom.llm.common import text_buffers, without_nulls
+from basketloom.llm.common import small_batches, text_buffers, without_nulls
 from basketloom.llm.shingles import _BLANK, mixed, word_hashes
 
 BUCKETS = 1 << 16
@@ -234,7 +234,7 @@ class Models:
 
 
 def _vote_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         seen = describe(without_nulls(batch.column("text")))
         out = []
         for kind, votes in enumerate((seen.quality, seen.toxicity)):
@@ -283,7 +283,7 @@ def fit(
     pool = pool.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < kept).dropDuplicates(["doc_id"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             seen = describe(without_nulls(batch.column("text")))
             quality, toxic = (batch.column(c).to_numpy() for c in ("quality", "toxic"))
             yield pa.RecordBatch.from_arrays(
@@ -330,7 +330,7 @@ def classify(documents: DataFrame, models: Models) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch in small_batches(batches):
             seen = describe(without_nulls(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [
