@@ -104,8 +104,14 @@ def distinct_sets(
     hashes: np.ndarray, of: np.ndarray, n_texts: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """Ascending distinct hashes text by text, and the offsets of the texts (n_texts + 1)."""
-    order = np.lexsort((hashes, of))
-    hashes, of = hashes[order], of[order]
+    if len(of) and (of[1:] < of[:-1]).any():
+        order = np.argsort(of, kind="stable")
+        hashes, of = hashes[order], of[order]
+    else:
+        hashes = hashes.copy()
+    bounds = np.searchsorted(of, np.arange(n_texts + 1))
+    for first, end in zip(bounds[:-1], bounds[1:], strict=True):
+        hashes[first:end].sort()
     new = np.ones(len(hashes), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
     hashes, of = hashes[new], of[new]
