@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from basketloom.functions.fixed_values import JUICED, STANDARD_UNITS
 from basketloom.functions.lines import is_note, parse_line
 from basketloom.functions.quantities import written_forms
 from basketloom.functions.stems import porter_stem
@@ -13,69 +14,6 @@ from basketloom.operators.lines import equipment_rows, parse_documents, parse_li
 from basketloom.plans.documents import parse_document_files
 from basketloom.schemas import DOCUMENT
 
-# text -> the fields that are set
-LINES = {
-    "14 cup fish stock": dict(name="fish stock", unit="cups", quantity_str="14", low=0.25),
-    "12 teaspoon saffron": dict(name="saffron", unit="tsp", quantity_str="12", low=0.5),
-    "13 cup malt syrup": dict(name="malt syrup", unit="cups", quantity_str="13", low=0.33),
-    "12 cups milk": dict(name="milk", unit="cups", quantity_str="12", low=12.0),
-    "1 12 cups dark vegetable glaze": dict(
-        name="dark vegetable glaze", unit="cups", quantity_str="1 12", low=1.5
-    ),
-    "1-1/2 cups cider": dict(name="cider", unit="cups", quantity_str="1-1/2", low=1.0, high=0.5),
-    "5 -7 ounces wild river trout, boned and cut small": dict(
-        name="wild river trout", unit="oz", quantity_str="5 -7", low=5.0, high=7.0,
-        modifier="boned and cut small",
-    ),
-    "1 5-pound cabbage, or 2 to 3 pounds of kale or green chard": dict(
-        name="cabbage", unit="lb", quantity_str="1 5-",
-        modifier="or 2 to 3 pounds of kale or green chard",
-    ),
-    "2 spring onions, shredded": dict(
-        name="spring onions", quantity_str="2", low=2.0, modifier="shredded"
-    ),
-    "1 tsp Nutmeg (or mace)": dict(
-        name="nutmeg", unit="tsp", quantity_str="1", low=1.0, parenthetic=["or mace"]
-    ),
-    "1 (17 ounce) package fine dried egg noodles": dict(
-        name="fine dried egg noodles", unit="17 oz packages",
-        quantity_str="1", low=1.0,
-    ),
-    "1 (15-ounce) can whole Baby Beets": dict(
-        name="baby beets", unit="15 oz cans", quantity_str="1", low=1.0
-    ),
-    "18 cup Toasted rye crumbs": dict(
-        name="toasted rye crumbs", unit="cups", quantity_str="18", low=18.0
-    ),
-    "coarse grey salt": dict(name="coarse grey salt"),
-    "Salt, to finish": dict(name="salt", modifier=" to finish"),
-    "250 grams Corn meal": dict(name="corn meal", unit="g", quantity_str="250", low=250.0),
-    "1 c. essence of celery root": dict(
-        name="essence of celery root", unit="cups", quantity_str="1", low=1.0
-    ),
-    "1/0 cup flour": dict(name="flour", unit="cups", quantity_str="1/0"),
-    "3 to 4 pounds of leeks": dict(
-        name="leeks", unit="lb", quantity_str="3 to 4", low=3.0, high=4.0
-    ),
-    "possibly 2 cups rice": dict(name="rice", unit="cups", quantity_str="2", low=2.0),
-    "2.5 kg flour": dict(name="flour", unit="kg", quantity_str="2.5", low=2.5),
-    "three eggs": dict(name="eggs", quantity_str="three", low=3.0),
-    "600 g taro (root)": dict(
-        name="taro", unit="g", quantity_str="600", low=600.0, parenthetic=["root"]
-    ),
-    "juice of 2 lemons": dict(
-        name="lemons, juice of", quantity_str="2 ", matched="juice of 2 lemons"
-    ),
-    "grated rind and juice of one lime": dict(
-        name="limes, grated rind and juice of", quantity_str="one",
-        matched="grated rind and juice of one lime",
-    ),
-    "2 lemons, juice of, strained": dict(
-        name="lemons, juice of", quantity_str="2", low=2.0, modifier="strained"
-    ),
-}
-
-
 def fields(row):
     """Set fields, with ``high`` only where it is not ``low``."""
     found = {k: v for k, v in row.asDict(recursive=True).items() if v is not None and k != "text"}
@@ -92,48 +30,137 @@ def parse(spark, texts):
     return {r["text"]: r for r in parse_lines(df).collect()}
 
 
-def test_single_lines(spark):
-    parsed = parse(spark, LINES)
-    for text, expected in LINES.items():
-        assert fields(parsed[text]) == expected, text
+# how a quantity may be written: low, high (none where it has no value)
+NUMBERS = {
+    "3": (3.0, 3.0),
+    "2.5": (2.5, 2.5),
+    "2 1/2": (2.5, 2.5),
+    "3-4": (3.0, 4.0),
+    "3 to 4": (3.0, 4.0),
+    "1/0": None,
+    "seven": (7.0, 7.0),
+}
+# written without its slash before a singular unit
+LOST_SLASH = {"12": 0.5, "14": 0.25, "13": 0.33, "34": 0.75}
+NAMES = ("zorp", "blue quib", "zorp of vim")
+# neither a word of the quantity nor one that needs more than a letter to end
+ODD_SPELLINGS = {'"', "half", "halves", "whole", "in", "inch"}
+
+
+def unit_spellings():
+    for unit, patterns in STANDARD_UNITS:
+        for pattern in patterns:
+            for form in written_forms(pattern):
+                if form not in ODD_SPELLINGS:
+                    yield unit, form
+
+
+def test_numbers_units_and_names(spark):
+    texts = {
+        f"{number} {unit} {name}": (bounds, name)
+        for number, bounds in NUMBERS.items()
+        for unit in ("cups", "kg", "tablespoons")
+        for name in NAMES
+    }
+    parsed = parse(spark, texts)
+    for text, (bounds, name) in texts.items():
+        row = parsed[text]
+        assert row["name"] == name, text
+        assert (row["quantity_low"], row["quantity_high"]) == (bounds or (None, None)), text
+
+
+def test_every_spelling_of_a_unit(spark):
+    forms = {f"3 {form} zorp": unit for unit, form in unit_spellings()}
+    parsed = parse(spark, forms)
+    for text, unit in forms.items():
+        assert (parsed[text]["name"], parsed[text]["unit"]) == ("zorp", unit), text
+
+
+def test_a_lost_slash(spark):
+    texts = [f"{number} {unit} zorp" for number in LOST_SLASH for unit in ("cup", "teaspoon")]
+    parsed = parse(spark, [*texts, "12 cups zorp", "18 cup zorp"])
+    for text in texts:
+        assert parsed[text]["quantity_low"] == LOST_SLASH[text[:2]], text
+    # a plural means the number as it is, and eighteen is no fraction that is ever meant
+    assert parsed["12 cups zorp"]["quantity_low"] == 12.0
+    assert parsed["18 cup zorp"]["quantity_low"] == 18.0
+
+
+def test_delimiters_part_name_and_modifier(spark):
+    texts = {f"3 cups zorp{d} vimmed": d for d in (",", ":", ";", "-")}
+    parsed = parse(spark, texts)
+    for text in texts:
+        assert (parsed[text]["name"], parsed[text]["modifier"]) == ("zorp", "vimmed"), text
+
+
+def test_sized_containers(spark):
+    forms = {
+        f"2 ({size} {unit}) {container} zorp": f"{size} {canonical} {many}"
+        for size in (7, 28)
+        for unit, canonical in (("ounce", "oz"), ("g", "g"))
+        for container, many in (("can", "cans"), ("jars", "jars"), ("packet", "packets"))
+    }
+    parsed = parse(spark, forms)
+    for text, unit in forms.items():
+        row = parsed[text]
+        assert (row["name"], row["unit"], row["quantity_low"]) == ("zorp", unit, 2.0), text
+
+
+def test_parentheses_are_taken_out(spark):
+    texts = {f"3 cups {'(vim) ' * k}zorp": k for k in range(4)}
+    parsed = parse(spark, texts)
+    for text, k in texts.items():
+        assert parsed[text]["name"] == "zorp"
+        assert parsed[text]["parenthetic"] == (["vim"] * k or None)
+
+
+def test_lines_without_a_measure(spark):
+    parsed = parse(spark, ["blue zorp", "zorp, vimmed", "possibly 2 cups zorp"])
+    assert fields(parsed["blue zorp"]) == {"name": "blue zorp"}
+    assert fields(parsed["zorp, vimmed"]) == {"name": "zorp", "modifier": " vimmed"}
+    assert parsed["possibly 2 cups zorp"]["quantity_low"] == 2.0
+
+
+def test_juice(spark):
+    fruits = [form for pattern in JUICED for form in written_forms(pattern)]
+    texts = [f"juice of {n} {one}" for n in ("2", "three") for one in fruits]
+    parsed = parse(spark, texts)
+    for text in texts:
+        row = parsed[text]
+        assert row["matched"] == text and row["name"].endswith(", juice of"), text
+        assert row["quantity_str"].strip() == text.split()[2]
 
 
 def test_first_unit_wins(spark):
     # every unit is taken out of the quantity, and the first one is kept
-    row = parse(spark, ["a half cup cream"])["a half cup cream"]
-    assert (row["name"], row["unit"], row["quantity_str"]) == ("cream", "half", "a")
+    row = parse(spark, ["a half cup zorp"])["a half cup zorp"]
+    assert (row["name"], row["unit"], row["quantity_str"]) == ("zorp", "half", "a")
     assert row["quantity_low"] == 1.0
 
 
-@pytest.mark.parametrize(
-    ("text", "main", "others"),
-    [
-        ("12 cup lard or 12 cup suet, rendered", ("lard", "cups", 0.5),
-         [("suet", "cups", 0.5, 0.5, "rendered")]),
-        ("1 teaspoon almond oil, or 1-2 tablespoons sherry", ("almond oil", "tsp", 1.0),
-         [("sherry", "tbsp", 1.0, 2.0, None)]),
-        ("2 12 cups goat-milk or 2 12 cups thin whey", ("goat-milk", "cups", 2.5),
-         [("thin whey", "cups", 2.5, 2.5, None)]),
-        ("torn fresh lovage or curly chervil tops", ("torn fresh lovage", None, None),
-         [("curly chervil tops", None, None, None, None)]),
-        # the second alternative has no measure, so the line is read as a whole
-        ("2 tablespoons raw poppy paste or tahini",
-         ("raw poppy paste or tahini", "tbsp", 2.0), None),
-        # an "or" in parentheses separates nothing
-        ("1 cup honey (or 1 cup sugar)", ("honey", "cups", 1.0), None),
-    ],
-)
-def test_alternatives(spark, text, main, others):
-    row = parse(spark, [text])[text]
-    assert (row["name"], row["unit"], row["quantity_low"]) == main
-    found = row["substitutions"]
-    if others is None:
-        assert found is None
-    else:
-        assert [
-            (s["name"], s["unit"], s["quantity_low"], s["quantity_high"], s["modifier"])
-            for s in found
-        ] == others
+SHAPES = {"2 cups {}": ("cups", True), "3 {}": (None, True), "{}": (None, False)}
+
+
+def test_alternatives_split_only_if_their_shapes_agree(spark):
+    lines = {
+        f"{a.format('zorp')} or {b.format('quib')} or {c.format('vim')}": (a, b, c)
+        for a in SHAPES for b in SHAPES for c in SHAPES
+    }
+    parsed = parse(spark, lines)
+    for text, (a, b, c) in lines.items():
+        others = parsed[text]["substitutions"]
+        if SHAPES[a] == SHAPES[b] == SHAPES[c]:
+            assert parsed[text]["name"] == "zorp"
+            assert [(s["name"], s["unit"]) for s in others] == [
+                ("quib", SHAPES[b][0]), ("vim", SHAPES[c][0]),
+            ]
+        else:
+            assert others is None, text
+
+
+def test_an_or_in_parentheses_separates_nothing(spark):
+    row = parse(spark, ["2 cups zorp (or 2 cups quib)"])["2 cups zorp (or 2 cups quib)"]
+    assert row["name"] == "zorp" and row["substitutions"] is None
 
 
 def test_cut_after_describing_words_can_be_passed_over(spark):
