@@ -252,6 +252,8 @@ def repeated_spans(documents: DataFrame, scratch: Scratch) -> DataFrame:
             .select("doc_id", "variant", start.alias("start"), stop.alias("stop"))
         )
     ]
+    scratch.drop(shared, often)
+    release(spark)
     several = firsts.groupBy("core").agg(F.count("*").alias("pieces")).where("pieces > 1")
     wanted = (
         firsts.join(several, "core")
@@ -280,6 +282,7 @@ def repeated_spans(documents: DataFrame, scratch: Scratch) -> DataFrame:
                 ready.repartition("core").sortWithinPartitions(*group).mapInArrow(_indexed, MARKS)
             )
         )
+        release(spark)
         crowded = sizes.where(F.col("pieces") > GROUP_PIECES)
         if crowded.isEmpty():
             break
@@ -368,13 +371,13 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     )
     unique = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     rows = rows.withColumn("variant", F.lit(0).cast("long") if unique else F.xxhash64("text"))
-    marks = repeated_spans(rows, scratch)
-    lists = (
-        marks.distinct()
+    lists = scratch.keep(
+        repeated_spans(rows, scratch)
         .groupBy("doc_id", "variant")
-        .agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
+        .agg(F.collect_set(F.struct("start", "stop")).alias("marks"))
         .withColumnsRenamed({"doc_id": "_id", "variant": "_variant"})
     )
+    release(spark)
     joined = rows.join(
         lists,
         F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("variant") == F.col("_variant")),
