@@ -13,15 +13,20 @@ from basketloom.runtime import dense_ids
 from basketloom.sources.exports import nested_baskets
 from basketloom.sources.vocabulary import multimap
 
-_SOME_EDGES = "some_edges AS (SELECT * FROM edges WHERE quantity > 45)"
+# all items, and as many again for a tenth of them that no edge names
+_MORE_ITEMS = """more_items AS (SELECT item_id, item_name FROM items UNION ALL
+    SELECT -item_id, item_name FROM items WHERE item_id % 10 = 1)"""
 _COUNTS = """counts AS (SELECT item_id, item_name, count(*) AS count
     FROM items JOIN edges USING (item_id) GROUP BY item_id, item_name)"""
 _SCORES = """scores AS (SELECT basket_id, min(count) AS score
     FROM edges JOIN counts USING (item_id) GROUP BY basket_id)"""
 
 
-def _some_edges(spark, sf):
-    return b.edges(spark, sf).where("quantity > 45")
+def _more_items(spark, sf):
+    items = b.items(spark, sf)
+    return items.unionByName(
+        items.where("item_id % 10 = 1").withColumn("item_id", -F.col("item_id"))
+    )
 
 
 def _counts(spark, sf):
@@ -35,49 +40,49 @@ def _scores(spark, sf, score="min"):
 @register(
     "a1_item_counts_outer_rows",
     b.with_ctes(
-        "SELECT item_id, item_name, count(*) AS count FROM items LEFT JOIN some_edges "
+        "SELECT item_id, item_name, count(*) AS count FROM more_items LEFT JOIN edges "
         "USING (item_id) GROUP BY item_id, item_name",
-        b.ITEMS, b.EDGES, _SOME_EDGES,
+        b.ITEMS, b.EDGES, _MORE_ITEMS,
     ),
 )
 def _(spark, sf):
-    return counts.count_items(b.items(spark, sf), _some_edges(spark, sf), "left", "rows")
+    return counts.count_items(_more_items(spark, sf), b.edges(spark, sf), "left", "rows")
 
 
 @register(
     "a1_item_counts_outer_edges",
     b.with_ctes(
-        "SELECT item_id, item_name, count(edge_id) AS count FROM items LEFT JOIN some_edges "
+        "SELECT item_id, item_name, count(edge_id) AS count FROM more_items LEFT JOIN edges "
         "USING (item_id) GROUP BY item_id, item_name",
-        b.ITEMS, b.EDGES, _SOME_EDGES,
+        b.ITEMS, b.EDGES, _MORE_ITEMS,
     ),
 )
 def _(spark, sf):
-    return counts.count_items(b.items(spark, sf), _some_edges(spark, sf), "left", "edges")
+    return counts.count_items(_more_items(spark, sf), b.edges(spark, sf), "left", "edges")
 
 
 @register(
     "a1_item_counts_distinct_baskets",
     b.with_ctes(
-        "SELECT item_id, item_name, count(DISTINCT basket_id) AS count FROM items "
-        "LEFT JOIN some_edges USING (item_id) GROUP BY item_id, item_name",
-        b.ITEMS, b.EDGES, _SOME_EDGES,
+        "SELECT item_id, item_name, count(DISTINCT basket_id) AS count FROM more_items "
+        "LEFT JOIN edges USING (item_id) GROUP BY item_id, item_name",
+        b.ITEMS, b.EDGES, _MORE_ITEMS,
     ),
 )
 def _(spark, sf):
-    return counts.count_items(b.items(spark, sf), _some_edges(spark, sf), "left", "baskets")
+    return counts.count_items(_more_items(spark, sf), b.edges(spark, sf), "left", "baskets")
 
 
 @register(
     "a2_item_counts_inner",
     b.with_ctes(
-        "SELECT item_id, item_name, count(*) AS count FROM items JOIN some_edges "
+        "SELECT item_id, item_name, count(*) AS count FROM more_items JOIN edges "
         "USING (item_id) GROUP BY item_id, item_name",
-        b.ITEMS, b.EDGES, _SOME_EDGES,
+        b.ITEMS, b.EDGES, _MORE_ITEMS,
     ),
 )
 def _(spark, sf):
-    return counts.count_items(b.items(spark, sf), _some_edges(spark, sf))
+    return counts.count_items(_more_items(spark, sf), b.edges(spark, sf))
 
 
 def _quoted(text: str) -> str:
@@ -209,27 +214,34 @@ def _(spark, sf):
     return counts.restrict_edges(b.edges(spark, sf), kept)
 
 
+_ROUNDS = 5
+
+
 def _core_sql(last: str) -> str:
-    """Two rounds to a quarter of the baskets, each to a half of what it starts from."""
+    """Rounds to a quarter of the baskets, each by the same share of what it starts from."""
 
     def chain(i: int) -> str:
-        edges, held = ("edges", "counts0") if i == 1 else ("e1", "c1")
-        frame = "baskets" if i == 1 else "b1"
+        edges, held = ("edges", "counts0") if i == 1 else (f"e{i - 1}", f"c{i - 1}")
+        frame = "baskets" if i == 1 else f"b{i - 1}"
         wanted = f"(SELECT (SELECT count(*) FROM baskets) // 4 / (SELECT count(*) FROM {frame}))"
-        fraction = wanted if i == 2 else f"pow({wanted}, 0.5)"
-        return f"""s{i} AS (SELECT basket_id, min(count) AS score FROM {edges}
+        left = _ROUNDS - i + 1
+        fraction = wanted if left == 1 else f"pow({wanted}, 1.0::DOUBLE / {left})"
+        return f"""s{i} AS MATERIALIZED (SELECT basket_id, min(count) AS score FROM {edges}
             JOIN {held} USING (item_id) GROUP BY basket_id),
-        t{i} AS (SELECT {_quantile(fraction, f's{i}')} AS t),
-        b{i} AS (SELECT f.* FROM {frame} f JOIN s{i} USING (basket_id), t{i} WHERE score > t),
-        e{i} AS (SELECT * FROM {edges} WHERE basket_id IN (SELECT basket_id FROM b{i})),
-        c{i} AS (SELECT item_id, count(*) AS count FROM {held} JOIN e{i} USING (item_id)
-            GROUP BY item_id)"""
+        t{i} AS MATERIALIZED (SELECT {_quantile(fraction, f's{i}')} AS t),
+        b{i} AS MATERIALIZED (SELECT f.* FROM {frame} f JOIN s{i} USING (basket_id), t{i}
+            WHERE score > t),
+        e{i} AS MATERIALIZED (SELECT * FROM {edges} WHERE basket_id IN
+            (SELECT basket_id FROM b{i})),
+        c{i} AS MATERIALIZED (SELECT item_id, count(*) AS count FROM {held} JOIN e{i}
+            USING (item_id) GROUP BY item_id)"""
 
     start = "counts0 AS (SELECT item_id, count(*) AS count FROM items JOIN edges USING (item_id) GROUP BY item_id)"
-    return b.with_ctes(last, b.BASKETS, b.ITEMS, b.EDGES, start, chain(1), chain(2))
+    rounds = [chain(i) for i in range(1, _ROUNDS + 1)]
+    return b.with_ctes(last, b.BASKETS, b.ITEMS, b.EDGES, start, *rounds)
 
 
-def core_rounds(spark, sf, rounds=2, mode="exact"):
+def core_rounds(spark, sf, rounds=_ROUNDS, mode="exact"):
     baskets = b.baskets(spark, sf)
     wanted = baskets.count() // 4
     return core.extract_core(
@@ -244,7 +256,7 @@ def core_rounds(spark, sf, rounds=2, mode="exact"):
             f"SELECT {i}::INT AS round, (SELECT count(*) FROM b{i}) AS baskets, "
             f"(SELECT count(*) FROM e{i}) AS edges, (SELECT count(*) FROM c{i}) AS items, "
             f"(SELECT t::DOUBLE FROM t{i}) AS threshold"
-            for i in (1, 2)
+            for i in range(1, _ROUNDS + 1)
         )
     ),
 )
@@ -252,24 +264,24 @@ def _(spark, sf):
     return core_rounds(spark, sf).rounds
 
 
-@register("a8_core_baskets", _core_sql("SELECT basket_id, basket_name FROM b2"))
+@register("a8_core_baskets", _core_sql(f"SELECT basket_id, basket_name FROM b{_ROUNDS}"))
 def _(spark, sf):
     return core_rounds(spark, sf).baskets
 
 
 @register("a8_core_halving_rounds")
 def _(spark, sf):
-    return core_rounds(spark, sf, rounds=3, mode="halving").rounds
+    return core_rounds(spark, sf, mode="halving").rounds
 
 
 @register(
     "a9_sets_per_key",
-    "SELECT p_name, 0::INT AS part, string_agg(DISTINCT p_brand, '|' ORDER BY p_brand) AS brands "
+    "SELECT p_name, string_agg(DISTINCT p_brand, '|' ORDER BY p_brand) AS brands "
     "FROM part GROUP BY p_name",
 )
 def _(spark, sf):
     sets = multimap(b.table(spark, sf, "part"), "p_name", "p_brand")
-    return sets.select("p_name", "part", F.array_join("values", "|").alias("brands"))
+    return sets.select("p_name", F.array_join("values", "|").alias("brands"))
 
 
 @register("a10_distinct", "SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem")
@@ -280,15 +292,15 @@ def _(spark, sf):
 @register(
     "k5_nested_baskets",
     b.with_ctes(
-        "SELECT basket_id, 0::INT AS part, basket_name AS title, "
-        "coalesce((SELECT string_agg(item_name, '|' ORDER BY item_name) FROM some_edges e "
+        "SELECT basket_id, basket_name AS title, "
+        "coalesce((SELECT string_agg(item_name, '|' ORDER BY item_name) FROM edges e "
         "JOIN items USING (item_id) WHERE e.basket_id = baskets.basket_id), '') AS ingredients "
         "FROM baskets",
-        b.BASKETS, b.ITEMS, b.EDGES, _SOME_EDGES,
+        b.BASKETS, b.ITEMS, b.EDGES,
     ),
 )
 def _(spark, sf):
-    nested = nested_baskets(b.baskets(spark, sf), b.items(spark, sf), _some_edges(spark, sf))
+    nested = nested_baskets(b.baskets(spark, sf), b.items(spark, sf), b.edges(spark, sf))
     return nested.withColumn("ingredients", F.array_join("ingredients", "|"))
 
 

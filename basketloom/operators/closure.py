@@ -110,7 +110,11 @@ def named_cycles(cycles: DataFrame, items: DataFrame, key: str = "subject_id") -
 def canonical_items_job(relations: DataFrame, validated: DataFrame, items: DataFrame) -> DataFrame:
     """Alias relations -> canonical map; raises with the names on a cycle if there is one."""
     closure = close_mapping(alias_map(named_alias_edges(relations, items)))
-    on_cycle = named_cycles(closure.cycles, items).limit(20).collect()
-    if on_cycle:
-        raise ValueError(f"alias cycles through {sorted(row['item_name'] for row in on_cycle)}")
+    scratch = Scratch(relations.sparkSession, "alias-cycles")
+    on_cycle = scratch.keep(named_cycles(closure.cycles, items))
+    if not on_cycle.isEmpty():
+        raise ValueError(
+            f"{on_cycle.count()} items are on alias cycles, such as {on_cycle.first()['item_name']};"
+            f" all of them are in {scratch.path_of(on_cycle)}"
+        )
     return canonical_map(validated, items, closure.mapping)

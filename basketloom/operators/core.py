@@ -58,7 +58,7 @@ def extract_core(
     counts and the threshold reach the driver.
     """
     scratch = Scratch(spark, "core")
-    counts = filter_item_names(item_counts) if filter_names else item_counts
+    counts = scratch.keep(filter_item_names(item_counts) if filter_names else item_counts)
     size = baskets.count()
     report = []
     for i in range(rounds):

@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 from basketloom.runtime import dense_ids
 
-MAX_NAME = 128
+def item_key(name: Column, longest: int | None = None) -> Column:
+    """Lower-case key of a name, cut to ``longest`` characters where a key length is wanted."""
+    lowered = F.lower(name)
+    return lowered if longest is None else F.left(lowered, F.lit(longest))
 
 
-def item_name(name: Column, text: Column, longest: int = MAX_NAME) -> Column:
-    """Key of an item: its name, else the line's text, lower-cased and cut to the key length."""
-    return F.left(F.lower(F.coalesce(name, text)), F.lit(longest))
+def item_name(name: Column, text: Column, longest: int | None = None) -> Column:
+    """Key of an item: its name, else the line's text."""
+    return item_key(F.coalesce(name, text), longest)
+
+
+def _address(basket: Column, pos: Column) -> Column:
+    """One number for a line: the dense basket id and the line's place, which are never confused."""
+    return F.shiftleft(basket, 24).bitwiseOR(pos.cast("long"))
 
 
 def basket_dimension(documents: DataFrame, partof: str) -> DataFrame:
@@ -26,17 +34,17 @@ def basket_dimension(documents: DataFrame, partof: str) -> DataFrame:
     return dense_ids(rows, ["lid"], "basket_id")
 
 
-def item_names(documents: DataFrame) -> DataFrame:
+def item_names(documents: DataFrame, longest: int | None = None) -> DataFrame:
     """Distinct item names over main lines and their substitutions."""
     lines = documents.select(F.explode("ingredients").alias("line"))
     names = lines.select(
         F.explode(
             F.concat(
-                F.array(item_name(F.col("line.name"), F.col("line.text"))),
+                F.array(item_name(F.col("line.name"), F.col("line.text"), longest)),
                 F.coalesce(
                     F.transform(
                         "line.substitutions",
-                        lambda sub: F.left(F.lower(sub["name"]), F.lit(MAX_NAME)),
+                        lambda sub: item_key(sub["name"], longest),
                     ),
                     F.array().cast("array<string>"),
                 ),
@@ -50,11 +58,11 @@ def item_dimension(names: DataFrame) -> DataFrame:
     return dense_ids(names.select("item_name").distinct(), ["item_name"], "item_id")
 
 
-def _edge_lines(documents: DataFrame) -> DataFrame:
+def _edge_lines(documents: DataFrame, longest: int | None = None) -> DataFrame:
     return documents.select("id", F.posexplode("ingredients").alias("pos", "line")).select(
         F.col("id").alias("lid"),
         "pos",
-        item_name(F.col("line.name"), F.col("line.text")).alias("item_name"),
+        item_name(F.col("line.name"), F.col("line.text"), longest).alias("item_name"),
         F.col("line.quantity_low").alias("quantity_low"),
         F.col("line.quantity_high").alias("quantity_high"),
         F.col("line.unit").alias("unit"),
@@ -62,18 +70,20 @@ def _edge_lines(documents: DataFrame) -> DataFrame:
     )
 
 
-def edge_fact(documents: DataFrame, baskets: DataFrame, items: DataFrame) -> DataFrame:
+def edge_fact(
+    documents: DataFrame, baskets: DataFrame, items: DataFrame, longest: int | None = None
+) -> DataFrame:
     """One edge per main line whose basket and item are known.
 
     Both lookups are equi joins on unique keys, so a popular item only makes one side long; the
-    adaptive skew join splits it.  ``edge_id`` hashes the line's address, which needs no order.
+    adaptive skew join splits it.  ``edge_id`` holds the basket and the place of the line.
     """
     return (
-        _edge_lines(documents)
+        _edge_lines(documents, longest)
         .join(baskets.select("lid", "basket_id"), "lid")
         .join(items.select("item_name", "item_id"), "item_name")
         .select(
-            F.xxhash64("lid", "pos").alias("edge_id"),
+            _address(F.col("basket_id"), F.col("pos")).alias("edge_id"),
             "basket_id",
             "item_id",
             "quantity_low",
@@ -84,27 +94,31 @@ def edge_fact(documents: DataFrame, baskets: DataFrame, items: DataFrame) -> Dat
     )
 
 
-def unresolved_lines(documents: DataFrame, baskets: DataFrame, items: DataFrame) -> DataFrame:
+def unresolved_lines(
+    documents: DataFrame, baskets: DataFrame, items: DataFrame, longest: int | None = None
+) -> DataFrame:
     """Lines whose basket or item is missing from the dimensions."""
-    lines = _edge_lines(documents)
+    lines = _edge_lines(documents, longest)
     no_basket = lines.join(baskets, "lid", "left_anti").withColumn("missing", F.lit("basket"))
     no_item = lines.join(items, "item_name", "left_anti").withColumn("missing", F.lit("item"))
     return no_basket.unionByName(no_item).select("lid", "pos", "item_name", "missing")
 
 
-def equipment_tables(documents: DataFrame, baskets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def equipment_tables(
+    documents: DataFrame, baskets: DataFrame, longest: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Equipment dimension (unique names) and the basket-equipment bridge."""
     used = documents.select(
         F.col("id").alias("lid"), F.posexplode("equipment").alias("pos", "piece")
     ).select("lid", "pos", F.col("piece.text").alias("text"))
-    named = used.withColumn("equipment_name", F.left(F.lower("text"), F.lit(MAX_NAME)))
+    named = used.withColumn("equipment_name", item_key(F.col("text"), longest))
     equipment = dense_ids(
         named.select("equipment_name").distinct(), ["equipment_name"], "equipment_id"
     )
     bridge = (
         named.join(baskets.select("lid", "basket_id"), "lid")
         .join(equipment, "equipment_name")
-        .select(F.xxhash64("lid", "pos").alias("id"), "basket_id", "equipment_id", "text")
+        .select(_address(F.col("basket_id"), F.col("pos")).alias("id"), "basket_id", "equipment_id", "text")
     )
     return equipment, bridge
 

@@ -40,7 +40,7 @@ def adjacency(
     """
 
     def stored(df: DataFrame, key: str, order: str) -> DataFrame:
-        numbered = number_within(df, [key], [order], hot_rows=hot_rows)
+        numbered = number_within(df, [key], [order])
         degrees = df.groupBy(key).agg(F.count("*").alias("degree"))
         shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
         table = join_counted(numbered, degrees, key, "degree", hot_rows).withColumn("shard", shard)

@@ -174,33 +174,34 @@ def one_row(*frames: DataFrame) -> DataFrame:
 
 
 def number_within(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    out: str = "pos",
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "pos"
 ) -> DataFrame:
-    """Number the rows of each key 0, 1, 2, ... without sorting a hot key in one task.
+    """Number the rows of each key 0, 1, 2, ... by ``order`` without sorting a hot key in one task.
 
-    A hot key is cut into hash splits, each split is numbered on its own, and the sizes of the
-    splits before it are added.  Ordinary keys have one split, so their numbers follow ``order``.
+    The rows are dealt out by ranges of (keys, order) and stored, each range is numbered on its
+    own, and the sizes of a key's ranges before it are added.  The numbers are the same however
+    many ranges a key falls into.
     """
-    cut = split_hot(df, keys, df.columns, hot_rows)
-    split_keys = [*keys, "_split"]
-    sizes = cut.groupBy(*split_keys).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    # only keys with several splits have a non-zero offset: at most 2 * rows / hot_rows entries
+    scratch = Scratch(df.sparkSession, "numbers")
+    ranged = scratch.keep(
+        df.repartitionByRange(*[F.col(c) for c in (*keys, *order)]).withColumn(
+            "_range", F.spark_partition_id()
+        )
+    )
+    sizes = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # a range begins inside one key at most, so there is at most one offset per shuffle partition
     offsets = (
-        sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .where(F.col("_split") > 0)
-        .select(*split_keys, "_before")
+        sizes.withColumn("_before", F.sum("_n").over(before))
+        .where(F.col("_before").isNotNull())
+        .select(*keys, "_range", "_before")
     )
-    inside = Window.partitionBy(*split_keys).orderBy(*order)
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
     return (
-        cut.withColumn(out, F.row_number().over(inside) - 1)
-        .join(F.broadcast(offsets), split_keys, "left")
+        ranged.withColumn(out, F.row_number().over(inside) - 1)
+        .join(F.broadcast(offsets), [*keys, "_range"], "left")
         .withColumn(out, (F.col(out) + F.coalesce(F.col("_before"), F.lit(0))).cast("long"))
-        .drop("_before", "_split")
+        .drop("_before", "_range")
     )
 
 

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from basketloom.sources.vocabulary import grouped_arrays
 
-MAX_LIST = 1_000_000
-
-
 def timestamped(stem: str, now: datetime | None = None) -> str:
     return f"{stem}_{(now or datetime.now()).strftime('%Y-%m-%d_%H-%M-%S')}"
 
@@ -24,26 +21,22 @@ def nested_baskets(
     items_key: str = "ingredients",
     include_title: bool = True,
     include_items: bool = True,
-    max_list: int = MAX_LIST,
 ) -> DataFrame:
     """One row per basket with its title and the sorted names of its items.
 
-    A basket without items has an empty list.  A basket with more than ``max_list`` items comes
-    as several rows (``part`` 0, 1, ...), so no list outgrows a task.
+    A basket without items has an empty list.
     """
     head = [F.col("basket_name").alias(title_key)] if include_title else []
     if not include_items:
-        return baskets.select("basket_id", F.lit(0).alias("part"), *head)
+        return baskets.select("basket_id", *head)
     named = edges.select("basket_id", "item_id").join(
         items.select("item_id", "item_name"), "item_id"
     )
     lists = grouped_arrays(
-        named.select("basket_id", "item_name", "item_id"), ["basket_id"], "item_name", "_names",
-        max_list,
+        named.select("basket_id", "item_name"), ["basket_id"], "item_name", "_names"
     )
     return baskets.join(lists, "basket_id", "left").select(
         "basket_id",
-        F.coalesce("part", F.lit(0)).alias("part"),
         *head,
         F.coalesce("_names", F.array().cast("array<string>")).alias(items_key),
     )
@@ -60,7 +53,7 @@ def export_baskets(
     if name is None:
         name = f"baskets_b{baskets.count()}i{items.count()}e{edges.count()}.json"
     path = f"{folder.rstrip('/')}/{name}"
-    nested_baskets(baskets, items, edges, **options).drop("basket_id", "part").write.json(path)
+    nested_baskets(baskets, items, edges, **options).drop("basket_id").write.json(path)
     return path
 
 

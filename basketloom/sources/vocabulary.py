@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketloom.runtime import split_hot
 from basketloom.schemas import (
     ABBREVIATIONS,
     ALIASES,
@@ -75,23 +74,11 @@ def write_vocabulary(vocabulary: DataFrame, path: str, mode: str = "errorifexist
     vocabulary.write.mode(mode).option("quote", '"').option("escape", '"').csv(path, header=True)
 
 
-def multimap(edges: DataFrame, key: str, value: str, max_values: int = 1_000_000) -> DataFrame:
-    """Distinct values per key as sorted arrays.
+def multimap(edges: DataFrame, key: str, value: str) -> DataFrame:
+    """Distinct values per key as one sorted array."""
+    return grouped_arrays(edges.select(key, value).distinct(), [key], value, "values")
 
-    A key with more than ``max_values`` values comes as several rows (``part`` 0, 1, ...), so
-    that no task has to hold all values of one key; every value is in exactly one of them.
-    """
-    pairs = edges.select(key, value).distinct()
-    return grouped_arrays(pairs, [key], value, "values", max_values)
-
-
-def grouped_arrays(
-    rows: DataFrame, keys: list[str], value: str, out: str, max_values: int
-) -> DataFrame:
-    """Values per key as sorted arrays of bounded length, in ``part`` 0, 1, ... of the key."""
-    split = split_hot(rows, keys, rows.columns, max_values)
-    return (
-        split.groupBy(*keys, F.col("_split").alias("part"))
-        .agg(F.array_sort(F.collect_list(value)).alias(out))
-        .select(*keys, "part", out)
-    )
+
+def grouped_arrays(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """All values of a key, repeated ones too, as one sorted array."""
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(out))

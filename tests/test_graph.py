@@ -23,14 +23,20 @@ def skewed_edges(spark, n=3000, hot_share=0.4, seed=1):
     return rows, spark.createDataFrame(rows, "edge_id long, basket_id long, item_id long")
 
 
-def test_numbering_with_split_keys_is_a_permutation(spark):
+@pytest.mark.parametrize("ranges", [1, 4, 64])
+def test_numbering_is_the_same_for_any_number_of_ranges(spark, ranges):
     rows, edges = skewed_edges(spark)
-    numbered = number_within(edges, ["item_id"], ["edge_id"], hot_rows=100)
-    seen = defaultdict(list)
-    for r in numbered.collect():
-        seen[r["item_id"]].append(r["pos"])
-    sizes = Counter(r[2] for r in rows)
-    assert {k: sorted(v) for k, v in seen.items()} == {k: list(range(n)) for k, n in sizes.items()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        numbered = number_within(edges, ["item_id"], ["edge_id"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    by_item = defaultdict(list)
+    for edge, _, item in sorted(rows):
+        by_item[item].append(edge)
+    assert len(numbered) == len(rows)
+    assert all(by_item[r["item_id"]][r["pos"]] == r["edge_id"] for r in numbered)
 
 
 def test_numbering_without_hot_keys_follows_the_order(spark):
