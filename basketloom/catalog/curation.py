@@ -471,7 +471,7 @@ def _(spark, sf):
 @register("g16_sampled_baskets")
 def _(spark, sf):
     edges = canonical_edges(spark, sf)
-    visits = walk.walk_baskets(edges, n_samples=50, walkers=8, steps=40, seed=1, shards=4)
+    visits = walk.walk_baskets(edges, n_samples=50, walkers=8, seed=1, shards=4)
     return walk.sampled_baskets(visits, 50)
 
 
@@ -479,7 +479,7 @@ def _(spark, sf):
 def _(spark, sf):
     titles, pairs, names = sample(
         canonical_edges(spark, sf), b.baskets(spark, sf), b.items(spark, sf), 50, walkers=8,
-        steps=40, seed=1,
+        seed=1,
     )
     return nested_baskets(titles, names, pairs.withColumnRenamed("canonical_id", "item_id"))
 

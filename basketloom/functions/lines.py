@@ -38,11 +38,16 @@ _UNITS = spellings(STANDARD_UNITS + COUNT_UNITS)
 # space.  The engine recurses once per repetition of a group and retries every way to cut a word,
 # so the pattern leaves it one way only, without changing what matches: the run is possessive per
 # word (once a word and its space fit, giving the space back already succeeds), signs and closing
-# dots are taken for good, "half" is listed once, and one word may hold up to 400 parts.
+# dots are taken for good, and "half" is listed once.  One word may hold up to 400 parts; words
+# that could hold more are cut short beforehand, see ``_without_long_words``.
 _PARTS = by_first_letter(
     ["to", *_WORDS, *(u.removesuffix(r"\.?") + r"\.?+" * u.endswith(r"\.?") for u in _UNITS if u != "half")]
 )
 _WORD = rf"(?:[0-9/.\-x()]++|{_PARTS}){{0,400}}"
+_LONG_WORD = "[^ ]{401}"
+_PART = rf"^(?:[0-9/.\-x()]|{_PARTS})$"
+# no part without a blank is longer
+_LONGEST_PART, _TAIL = 24, 100
 _BULLET = r"^\*?-? ?"
 MEASURE = rf"{_BULLET}(?:{_WORD} )++"
 
@@ -55,7 +60,7 @@ _JUICE_WORDS = " |".join(JUICE_PARTS)
 _QUANTIFIERS = "|".join([*_WORDS, "[1-9][0-9/ ]*"])
 # what is juiced may follow any run of lower-case words
 JUICE_OF = (
-    rf"((?:{_JUICE_WORDS}){{1,200}}(?:of |from ))({_QUANTIFIERS} )?(?:the |a )?"
+    rf"((?:{_JUICE_WORDS})++(?:of |from ))({_QUANTIFIERS} )?(?:the |a )?"
     rf"((?:[a-z ]* )?(?:{'|'.join(JUICED)}))"
 )
 
@@ -172,6 +177,58 @@ def juice_of(text: Column) -> Column:
     )
 
 
+def _cut_word(word: Column) -> Column:
+    """A stand-in for a long word that reads as a part of a measure exactly if the word does.
+
+    The places that whole parts can end at are followed from left to right.  What ends near the
+    end of the word stays, as a part may go on after the blank; the rest becomes one digit.
+    """
+    n = F.length(word)
+
+    def step(ends: Column, i: Column) -> Column:
+        near = F.filter(ends, lambda j: j >= i - (_LONGEST_PART + _TAIL))
+        fits = F.exists(
+            near,
+            lambda j: (i - j <= _LONGEST_PART) & F.substring(word, j + 1, i - j).rlike(_PART),
+        )
+        return F.when(fits, F.array_append(near, i)).otherwise(near)
+
+    ends = F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit(0)), step)
+    tails = lambda found: F.filter(
+        found,
+        lambda j: (n - j <= _TAIL) & F.substring(word, j + 1, n - j).rlike(f"^{_WORD}$"),
+    )
+    return let(
+        let(ends, tails),
+        lambda cuts: F.when(F.size(cuts) == 0, F.lit("~")).otherwise(
+            F.concat(
+                F.lit("1"), F.substring(word, F.element_at(cuts, 1) + 1, n - F.element_at(cuts, 1))
+            )
+        ),
+    )
+
+
+def _measure(text: Column) -> Column:
+    """The run of measure words that a line opens with, blank included; empty if there is none."""
+
+    def of_long(words: Column) -> Column:
+        short = F.array_join(
+            F.transform(words, lambda w: F.when(w.rlike(_LONG_WORD), _cut_word(w)).otherwise(w)), " "
+        )
+
+        def whole(head: Column) -> Column:
+            # a measure ends at a blank, so it has as many whole words as blanks
+            n = F.length(head) - F.length(F.replace(head, F.lit(" "), F.lit("")))
+            opened = F.concat(F.array_join(F.slice(words, F.lit(1), n), " "), F.lit(" "))
+            return F.when(head == "", F.lit("")).otherwise(opened)
+
+        return let(F.regexp_extract(short, MEASURE, 0), whole)
+
+    return F.when(text.rlike(_LONG_WORD), let(F.split(text, " ", -1), of_long)).otherwise(
+        F.regexp_extract(text, MEASURE, 0)
+    )
+
+
 def measure_parts(text: Column) -> Column:
     """``struct<matched, measure, rest>``: the measure a line opens with, and what follows."""
     def parts(head: Column) -> Column:
@@ -183,7 +240,7 @@ def measure_parts(text: Column) -> Column:
             F.when(head != "", strip(F.substring_index(rest, "\n", 1))).alias("rest"),
         )
 
-    return let(F.regexp_extract(text, MEASURE, 0), parts)
+    return let(_measure(text), parts)
 
 
 def unit_parts(measure: Column) -> Column:

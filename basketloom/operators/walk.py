@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketloom.runtime import HOT_ROWS, Scratch, join_counted, number_within
 
-# Most walkers of one job: the walkers' positions are broadcast to the adjacency.
-MAX_WALKERS = 100_000
+# Positions of at most so many walkers are broadcast to the adjacency; more are joined by shuffling.
+SENT_WALKERS = 100_000
+# After so many steps without a new basket it is checked whether there is any left to find.
+IDLE_STEPS = 5
 
 
 def seeded_number(seed: int, *parts: str | Column) -> Column:
@@ -54,7 +56,7 @@ def adjacency(
 
 
 def _hop(
-    walkers: DataFrame, table: DataFrame, key: str, to: str, draw: Column, shards: int
+    walkers: DataFrame, table: DataFrame, key: str, to: str, draw: Column, shards: int, n: int
 ) -> DataFrame:
     """Move every walker from its ``key`` to the neighbour that ``draw`` picks evenly."""
     if shards > 1:
@@ -62,20 +64,27 @@ def _hop(
         visited = [r[0] for r in walkers.select(shard).distinct().collect()]
         table = table.where(F.col("shard").isin(visited))
     drawn = walkers.select("walker", "start", F.col(key).alias("_at"), draw.alias("_draw"))
-    # at most MAX_WALKERS rows; the neighbour is picked inside the join
+    # the neighbour is picked inside the join
     return table.join(
-        F.broadcast(drawn),
+        F.broadcast(drawn) if n <= SENT_WALKERS else drawn,
         (table[key] == F.col("_at")) & (table["pos"] == F.pmod("_draw", table["degree"])),
     ).select("walker", "start", to)
 
 
+def _closed(seen: DataFrame, graph: Adjacency) -> bool:
+    """Whether every basket that shares an item with a seen one is seen."""
+    items = graph.by_basket.join(seen, "basket_id").select("canonical_id").distinct()
+    reached = graph.by_item.join(items, "canonical_id").select("basket_id")
+    return reached.join(seen, "basket_id", "left_anti").isEmpty()
+
+
 def walk_baskets(
     edges: DataFrame,
     n_samples: int = 50,
     p_restart: float = 0.1,
     first_basket: int | None = None,
     walkers: int = 16,
-    steps: int = 50,
+    steps: int | None = None,
     seed: int = 0,
     shards: int = 1,
     hot_rows: int = HOT_ROWS,
@@ -84,32 +93,33 @@ def walk_baskets(
 
     Each step restarts with probability ``p_restart``, draws one of the basket's items and then
     one of that item's rows.  Draws are hashes of (seed, walker, step), so a run repeats exactly.
-    Walking ends once ``n_samples`` distinct baskets are seen, or after ``steps`` steps.
+    Walking ends once ``n_samples`` distinct baskets are seen, or when no other basket can be
+    reached from those seen; ``steps`` ends it earlier where the caller wants that.
     """
-    if not 0 < walkers <= MAX_WALKERS:
-        raise ValueError(f"walkers must be between 1 and {MAX_WALKERS}")
+    if walkers < 1:
+        raise ValueError("there must be a walker")
     spark = edges.sparkSession
     scratch = Scratch(spark, "walk")
     graph = adjacency(edges, scratch, shards, hot_rows)
     ids = spark.range(walkers).select(F.col("id").alias("walker"))
     if first_basket is None:
         # each walker starts at its own random basket
-        starts = [
-            row[0]
-            for row in random_rows(
-                graph.by_basket.where("pos = 0").select("basket_id"), ["basket_id"], walkers, seed
-            ).collect()
-        ]
-        if not starts:
-            raise ValueError("there are no edges to walk on")
+        drawn = random_rows(
+            graph.by_basket.where("pos = 0").select("basket_id"), ["basket_id"], walkers, seed
+        )
     else:
-        starts = [first_basket]
-    start = F.element_at(
-        F.array(*[F.lit(s).cast("long") for s in starts]),
-        (F.pmod("walker", F.lit(len(starts))) + 1).cast("int"),
-    )
+        drawn = spark.createDataFrame([(first_basket,)], "basket_id long")
+    # one row per walker at most
+    order = Window.orderBy(seeded_number(seed, "basket_id"), "basket_id")
+    starts = scratch.keep(drawn.withColumn("_k", (F.row_number().over(order) - 1).cast("long")))
+    n_starts = starts.count()
+    if n_starts == 0:
+        raise ValueError("there are no edges to walk on")
     at = scratch.keep(
-        ids.select("walker", start.alias("start"), start.alias("basket_id")).coalesce(1)
+        ids.withColumn("_k", F.pmod("walker", F.lit(n_starts)))
+        .join(starts, "_k")
+        .select("walker", F.col("basket_id").alias("start"), "basket_id")
+        .coalesce(1)
     )
     visit = scratch.add("visits", at.select("walker", F.lit(0).alias("step"), "basket_id"))
     cut = int(p_restart * 0x100000000)
@@ -117,10 +127,18 @@ def walk_baskets(
     def draw(step: int, purpose: str) -> Column:
         return seeded_number(seed, "walker", F.lit(step), F.lit(purpose))
 
-    for step in range(1, steps + 1):
+    known, idle, step = 0, 0, 0
+    while steps is None or step < steps:
+        step += 1
         seen = scratch.whole("visits", visit).select("basket_id").distinct()
-        if seen.count() >= n_samples:
+        n_seen = seen.count()
+        if n_seen >= n_samples:
             break
+        idle, known = (0 if n_seen > known else idle + 1), n_seen
+        if idle == IDLE_STEPS:
+            if _closed(seen, graph):
+                break
+            idle = 0
         restart = draw(step, "restart") < cut
         here = at.select(
             "walker",
@@ -128,10 +146,10 @@ def walk_baskets(
             F.when(restart, F.col("start")).otherwise(F.col("basket_id")).alias("basket_id"),
         )
         chosen = _hop(
-            here, graph.by_basket, "basket_id", "canonical_id", draw(step, "item"), shards
+            here, graph.by_basket, "basket_id", "canonical_id", draw(step, "item"), shards, walkers
         )
         moved = _hop(
-            chosen, graph.by_item, "canonical_id", "basket_id", draw(step, "basket"), shards
+            chosen, graph.by_item, "canonical_id", "basket_id", draw(step, "basket"), shards, walkers
         )
         previous, at = at, scratch.keep(moved.coalesce(1))
         scratch.drop(previous)

@@ -122,7 +122,7 @@ def test_lines_without_a_measure(spark):
 
 
 def test_juice(spark):
-    forms = [form for pattern in JUICED for form in written_forms(pattern)]
+    forms = [form for p in JUICED if "(" not in p for form in written_forms(p)]
     # the first spelling that fits is taken, so none that another one begins
     fruits = [f for f in forms if not any(f != o and f.startswith(o) and f != o + "s" for o in forms)]
     texts = [f"juice of {n} {one}" for n in ("2", "three") for one in fruits]
@@ -189,6 +189,20 @@ def test_lines_of_any_length_parse(spark):
     assert len(parsed) == len(texts)
 
 
+@pytest.mark.parametrize("n", [90, 400, 401, 5000])
+def test_words_of_any_number_of_parts(spark, n):
+    texts = {
+        f"1 {'half' * n} zorp": ("zorp", "half"),
+        f"{'half' * n}y zorp": (f"{'half' * n}y zorp", None),
+        f"2 {'lb' * n} zorp, vim": ("zorp", "lb"),
+        f"{'half' * n} of zorp": ("zorp", "half"),
+        f"2 cups {'q' * n} zorp": (f"{'q' * n} zorp", "cups"),
+    }
+    parsed = parse(spark, texts)
+    for text, (name, unit) in texts.items():
+        assert (parsed[text]["name"], parsed[text]["unit"]) == (name, unit), text[:20]
+
+
 def test_null_and_empty_text(spark):
     df = spark.createDataFrame([(1, None), (2, "")], "id int, text string")
     rows = {r["id"]: r for r in df.select("id", parse_line(F.col("text")).alias("p")).collect()}
