@@ -46,7 +46,7 @@ LARGE_SET, SMALL_SET = 2000, 20
 SENT_SETS = 500_000
 # 64-bit words of a sketch for this many tokens; sets of twice the size have sketches of twice the size
 SKETCH_WORDS, SKETCH_TOKENS = 16, 700
-PAIRS_AT_ONCE = 1_000_000
+PAIRS_AT_ONCE, PAIRED_BUCKET = 1_000_000, 200
 
 SETS = "doc_id long, hash long, key string, n int, front array<long>, sketch array<long>"
 
@@ -239,6 +239,7 @@ def _cross_pairs(percent: int):
         sig, rep, n, component, pivot = (
             rows.column(c).to_numpy() for c in ("sig", "rep", "n", "component", "pivot")
         )
+        n = n.astype(np.int64)
         # pairs with the pivot have been compared
         rest = np.flatnonzero(rep != pivot)
         rest = rest[np.lexsort((n[rest], sig[rest]))]
@@ -249,22 +250,41 @@ def _cross_pairs(percent: int):
         several = np.minimum.reduceat(component[rest], starts) < np.maximum.reduceat(
             component[rest], starts
         )
+        starts, lengths = starts[several], lengths[several]
         waiting: list[np.ndarray] = []
-        for first, length in zip(starts[several], lengths[several], strict=True):
+        held = 0
+
+        def crossing(small: np.ndarray, large: np.ndarray) -> np.ndarray:
+            """Pairs of rows, the first one's set not larger, that may link and join components."""
+            ok = (component[small] != component[large]) & (100 * n[small] >= percent * n[large])
+            a, b = rep[small[ok]], rep[large[ok]]
+            return np.stack([np.minimum(a, b), np.maximum(a, b)])
+
+        # buckets of one length are paired up all at once, longer ones row by row
+        for length in np.unique(lengths[lengths <= PAIRED_BUCKET]):
+            i, j = np.triu_indices(length, 1)
+            same = starts[lengths == length]
+            at_once = max(1, PAIRS_AT_ONCE // len(i))
+            for first in range(0, len(same), at_once):
+                rows_of = rest[same[first : first + at_once, None] + np.arange(length)]
+                waiting.append(crossing(rows_of[:, i].ravel(), rows_of[:, j].ravel()))
+                held += waiting[-1].shape[1]
+                if held > PAIRS_AT_ONCE:
+                    yield _pairs(waiting)
+                    waiting, held = [], 0
+        long = lengths > PAIRED_BUCKET
+        for first, length in zip(starts[long], lengths[long], strict=True):
             mine = rest[first : first + length]
-            sizes, parts = n[mine].astype(np.int64), component[mine]
             # a set reaches up to this size
-            reach = np.searchsorted(sizes, sizes * 100 // percent, side="right")
+            reach = np.searchsorted(n[mine], n[mine] * 100 // percent, side="right")
             for k in range(len(mine) - 1):
                 others = mine[k + 1 : reach[k]]
-                others = others[component[others] != parts[k]]
-                if len(others):
-                    a = np.minimum(rep[mine[k]], rep[others])
-                    waiting.append(np.stack([a, np.maximum(rep[mine[k]], rep[others])]))
-            if sum(x.shape[1] for x in waiting) > PAIRS_AT_ONCE:
-                yield _pairs(waiting)
-                waiting = []
-        if waiting:
+                waiting.append(crossing(np.full(len(others), mine[k]), others))
+                held += waiting[-1].shape[1]
+                if held > PAIRS_AT_ONCE:
+                    yield _pairs(waiting)
+                    waiting, held = [], 0
+        if held:
             yield _pairs(waiting)
 
     return run
