@@ -145,9 +145,9 @@ class Trainer:
         self._move("embedding", gradient)
         self.seen += n
 
-    def run(self, ids: np.ndarray, around: np.ndarray) -> None:
-        for first in range(0, len(ids), BATCH):
-            self.step(ids[first : first + BATCH], around[first : first + BATCH])
+    def run(self, ids: np.ndarray, around: np.ndarray, batch: int = BATCH) -> None:
+        for first in range(0, len(ids), batch):
+            self.step(ids[first : first + batch], around[first : first + batch])
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +172,11 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def train(documents: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Parameters after every document has been trained on once, in ``rounds`` shares by hash."""
+def train(documents: DataFrame, rounds: int = ROUNDS, size: int = BATCH) -> np.ndarray:
+    """Parameters after every document has been trained on once, in ``rounds`` shares by hash.
+
+    ``size`` is the number of words of a mini-batch.
+    """
     spark: SparkSession = documents.sparkSession
     flat = fresh_parameters()
     texts = documents.select("text")
@@ -185,7 +188,7 @@ def train(documents: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
             trainer = Trainer(sent.value)
             for batch in small_batches(batches):
                 ids, around, _ = windows(without_nulls(batch.column("text")))
-                trainer.run(ids, around)
+                trainer.run(ids, around, size)
             if trainer.seen:
                 parts = np.array_split(trainer.flat, BLOCKS)
                 yield pa.RecordBatch.from_arrays(

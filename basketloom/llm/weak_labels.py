@@ -56,7 +56,8 @@ class Batch:
     starts: np.ndarray
 
 
-def describe(texts: pa.Array) -> Batch:
+def describe(texts: pa.Array, hashed: bool = True) -> Batch:
+    """Votes and, where ``hashed`` is set, the features of the linear models."""
     n = len(texts)
     offsets, raw = text_buffers(texts)
     words, of = word_hashes(offsets, raw)
@@ -71,8 +72,11 @@ def describe(texts: pa.Array) -> Batch:
     # continuation bytes are not characters of their own
     chars = count(~_BLANK & ~_CONTINUES)
     again = np.bincount(of[1:][(words[1:] == words[:-1]) & (of[1:] == of[:-1])], minlength=n)
-    shapes = _shapes(offsets, raw, n)
-    features, starts = _distinct([(words, of), (stripped, stripped_of), shapes], n)
+    if hashed:
+        shapes = _shapes(offsets, raw, n)
+        features, starts = _distinct([(words, of), (stripped, stripped_of), shapes], n)
+    else:
+        features, starts = np.empty(0, np.int64), np.zeros(n + 1, np.int64)
     different = _distinct([(words, of)], n)[1]
     variety = np.diff(different) / at_least
 
@@ -235,7 +239,7 @@ class Models:
 
 def _vote_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches):
-        seen = describe(without_nulls(batch.column("text")))
+        seen = describe(without_nulls(batch.column("text")), hashed=False)
         out = []
         for kind, votes in enumerate((seen.quality, seen.toxicity)):
             codes, counts = np.unique(pattern_codes(votes), return_counts=True)
