@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("counting", "curation", "line_parsing", "star_tables", "vocabulary", "clusters")
+_MODULES = (
+    "counting", "curation", "files", "line_parsing", "star_tables", "vocabulary", "clusters",
+)
 
 
 def load():
