@@ -371,6 +371,8 @@ def jaccard_components(
     single = (F.col("count") <= FREQUENT) | (singly & in_front)
     pairs_of = (
         shared.where((F.col("count") > FREQUENT) & (n <= LARGE_SET) & (n > SMALL_SET * percent // 100))
+        # few rows make many pairs, so they stay in as many tasks
+        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rep")
         .groupBy("rep", "n")
         .agg(F.collect_list("token").alias("tokens"))
         .mapInArrow(_combined, "sig long, rep long, n int")
