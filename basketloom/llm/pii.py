@@ -35,7 +35,8 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IP_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
+# at most 255 after any zeros, or zeros alone; one way to match
+IP_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9][0-9]?|(?<=0))"
 WORD = r"[^\x20\x09-\x0D]++"
 BLANK_RUN = r"[\x20\x09-\x0D]++"
 BLOCK = 256

@@ -358,6 +358,16 @@ def test_base_spans(documents, edge_rows):
         assert r["base"] == ",".join(brute_spans(r["text"])), r["text"][:80]
 
 
+def test_addresses_with_zero_parts(documents):
+    said = ["10.0.0.1", "0.0.0.0", "000.1.2.3", "1.2.3.256", "192.168.0.1", "1.2.3.0", "0256.1.1.1",
+            "100.200.010.0", "1.2.3.00", "300.0.0.0", "255.0255.249.199"]
+    rows = [(k, f"x {ip} y") for k, ip in enumerate(said)]
+    got = by_id(pii.find_personal_data(documents(rows)).select("doc_id", pii.spans_text("base").alias("base")).collect())
+    for k, text in rows:
+        assert got[k]["base"] == ",".join(brute_spans(text)), text
+    assert [k for k, _ in rows if not got[k]["base"]] == [3, 6, 9]
+
+
 def test_trusted_patterns_find_unseen_identifiers(documents):
     rows = [(k, f"Hello there my mail: user{k}{k}@mail.example and more") for k in range(6)]
     rows += [(10, "Hello there my mail: 55512345(at)mail"), (11, "sold 1234567 units of my mail: x")]
