@@ -10,6 +10,8 @@ from basketloom.llm.common import table
 from basketloom.runtime import Scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+# near copies in training text: shingles of so many words, similar by so many per cent
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +24,11 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Documents without an id name no group, so one stays only where its group has no other.
     """
-    groups = jaccard_join.jaccard_components(docs).select("doc_id", "component_id").distinct()
+    groups = (
+        jaccard_join.jaccard_components(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
+        .select("doc_id", "component_id")
+        .distinct()
+    )
     named = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
     return docs.join(named.distinct(), F.col("doc_id") == F.col("_kept"), "left_semi").select(
         *COLUMNS

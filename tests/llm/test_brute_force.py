@@ -276,6 +276,22 @@ def test_jaccard_components(documents, frequent, large, monkeypatch):
     assert sorted((tuple(r) for r in got), key=str) == brute_components(rows)
 
 
+def test_jaccard_components_of_five_words_and_eighty_percent(documents, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 1)
+    monkeypatch.setattr(jaccard_join, "LOCAL_COUNT", 1)
+    rng = random.Random(16)
+    rows = []
+    # sets about the sizes where frequent tokens are indexed singly or in pairs
+    bases = [prose(rng, n).split() for n in (20, 22, 24, 25, 26, 30, 60)]
+    for k in range(90):
+        words = list(rng.choice(bases))
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(len(words))] = rng.choice(SYLLABLES)
+        rows.append((k, " ".join(words[: len(words) - rng.randint(0, 5)])))
+    got = jaccard_join.jaccard_components(documents(rows), size=5, percent=80).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_components(rows, 5, 80)
+
+
 def test_jaccard_components_of_no_documents(documents):
     assert jaccard_join.jaccard_components(documents([])).count() == 0
 

@@ -219,3 +219,31 @@ def test_pipeline_stages(spark, documents, tokenizer_path, tmp_path):
     assert left[3][26].endswith("mail me <EMAIL>")
     packed = corpus_pipeline.run(spark, sf).collect()
     assert {r["doc_id"] for r in packed} == set(left[3])
+
+
+def near_rows(rng):
+    """A text, one whose 5-word similarity to it is between 80 and 85 %, a shorter one and another."""
+    words = [f"w{k}" for k in range(404)]
+    rng.shuffle(words)
+
+    def without(n):
+        return " ".join(words[: len(words) - n])
+
+    # 400 shingles; without 70 words 330 are left, without 170 words 230
+    return [(1, " ".join(words)), (2, without(70)), (3, "other " + prose(rng, 100)), (4, without(170))]
+
+
+def kept_rows(spark, rows):
+    table = spark.createDataFrame(
+        [(i, t, "en", "s", len(t or "")) for i, t in rows],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    kept = corpus_pipeline.keep_one_of_each_group(spark, table, "")
+    assert kept.columns == table.columns
+    return sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+
+
+def test_near_copies_of_five_words_and_eighty_percent(spark):
+    rows = near_rows(random.Random(9))
+    # 330 / 400 is 82.5 %, 230 / 330 is 69.7 %
+    assert [i for i, _ in kept_rows(spark, rows)] == [1, 3, 4]
