@@ -22,17 +22,23 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies, once if it is repeated.
 
-    Documents without an id name no group, so one stays only where its group has no other.
+    Rows without an id come after all others, and rows that share an id are told apart by a number of
+    their own, so exactly one row stays of every group.  A text without words is no copy of another.
     """
-    groups = (
-        jaccard_join.jaccard_components(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
-        .select("doc_id", "component_id")
-        .distinct()
-    )
-    named = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    return docs.join(named.distinct(), F.col("doc_id") == F.col("_kept"), "left_semi").select(
-        *COLUMNS
+    scratch = Scratch(spark, "near-copies")
+    # stored, so that the numbers are the same whenever they are read
+    rows = scratch.keep(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
+    numbered = rows.select(F.col("_row").alias("doc_id"), "text")
+    groups = jaccard_join.jaccard_components(numbered, size=NEAR_WORDS, percent=NEAR_PERCENT)
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "_row"))
+    kept = (
+        rows.select("_row", F.col("doc_id").alias("id"))
+        .join(groups.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
+        .groupBy("component_id")
+        .agg(first.alias("first"))
+        .select(F.col("first._row").alias("_row"))
     )
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

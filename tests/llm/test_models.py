@@ -247,3 +247,19 @@ def test_near_copies_of_five_words_and_eighty_percent(spark):
     rows = near_rows(random.Random(9))
     # 330 / 400 is 82.5 %, 230 / 330 is 69.7 %
     assert [i for i, _ in kept_rows(spark, rows)] == [1, 3, 4]
+
+
+def test_near_copies_with_missing_and_repeated_ids(spark):
+    rng = random.Random(10)
+    a, b, c, d, e = (prose(rng, 120) for _ in range(5))
+    rows = [
+        # a group without ids, and one with
+        (None, a), (None, a + " tail"), (None, b), (7, b + " tail"),
+        # a row twice, and an id with two texts of which one is a copy of another document's
+        (8, c), (8, c), (9, d), (9, e), (5, e + " tail"), (None, None), (10, ""),
+    ]
+    kept = kept_rows(spark, rows)
+    assert len(kept) == 7
+    assert sum(t in (a, a + " tail") for _, t in kept) == 1
+    expected = [(7, b + " tail"), (8, c), (9, d), (5, e + " tail"), (None, None), (10, "")]
+    assert [x for x in kept if x[1] not in (a, a + " tail")] == sorted(expected, key=str)
