@@ -8,11 +8,12 @@ from html import unescape
 
 import xxhash
 
-# a quoted value may hold ">"; the bound keeps an unclosed quote from being searched far
-_TAG = re.compile(
-    r"<(?:(?P<comment>!--)|(?P<decl>[!?])|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*+)"
-    r"(?P<attrs>(?:[^>\"'=]++|=\s*+(?:\"[^\"]{0,20000}+\"|'[^']{0,20000}+')?+|[\"'])*+)>)"
-)
+_TAG = re.compile(r"<(?:(?P<comment>!--)|(?P<decl>[!?])|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*+))")
+# attributes up to the end of the tag or to a quoted value
+_PLAIN = re.compile(r"(?:[^>\"'=]++|[\"']|=\s*+(?![\"']))*+")
+_EQUALS = re.compile(r"=\s*+")
+# the values that are looked into
+_READ = re.compile(r"\b(?:class|id|role|hidden)\s*$", re.I)
 _ATTR = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -90,6 +91,50 @@ def _noise(tag: str, names: set[str], role: str, in_main: bool) -> bool:
     return heading and not in_main and not names & MAIN_WORDS
 
 
+class _Quotes:
+    """Ends of tags; a quoted value may hold ">" and have any length."""
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.last_end = html.rfind(">")
+        # by quote sign: from here on there is none
+        self.none_from = {'"': len(html), "'": len(html)}
+
+    def _closing(self, at: int) -> int:
+        """Place of the sign that closes the quote at ``at``, or -1."""
+        sign = self.html[at]
+        if at + 1 >= self.none_from[sign]:
+            return -1
+        found = self.html.find(sign, at + 1)
+        if found < 0:
+            self.none_from[sign] = at + 1
+        return found
+
+    def end_of_tag(self, at: int) -> tuple[int, str] | None:
+        """The place after the ">" and the attributes; values that nobody reads are left out."""
+        html, pieces = self.html, []
+        if at > self.last_end:
+            return None
+        while True:
+            first = at
+            at = _PLAIN.match(html, at).end()
+            pieces.append(html[first:at])
+            if at == len(html):
+                return None
+            if html[at] == ">":
+                return at + 1, "".join(pieces)
+            opening = _EQUALS.match(html, at).end()
+            closing = self._closing(opening)
+            if closing < 0:
+                # a stray quote, as far as this tag goes
+                pieces.append(html[at : opening + 1])
+                at = opening + 1
+            else:
+                read = _READ.search(html, first, at)
+                pieces.append(html[at : closing + 1] if read else '=""')
+                at = closing + 1
+
+
 def read_page(html: str) -> Page:
     """Parse ``html``; unclosed and crossed elements are closed as browsers do it."""
     page = Page()
@@ -125,13 +170,16 @@ def read_page(html: str) -> Page:
         return 0
 
     at, n = 0, len(html)
+    quotes = _Quotes(html)
     while at < n:
         tag_start = html.find("<", at)
         if tag_start < 0:
             text_piece(html[at:])
             break
         match = _TAG.match(html, tag_start)
-        if match is None:
+        is_tag = match is not None and match["name"] is not None
+        ended = quotes.end_of_tag(match.end()) if is_tag else None
+        if match is None or (is_tag and ended is None):
             text_piece(html[at : tag_start + 1])
             at = tag_start + 1
             continue
@@ -144,7 +192,7 @@ def read_page(html: str) -> Page:
             end = html.find(">", tag_start)
             at = n if end < 0 else end + 1
             continue
-        at = match.end()
+        at, attrs = ended
         tag = match["name"].lower()
         if match["close"]:
             if tag not in INLINE:
@@ -173,7 +221,7 @@ def read_page(html: str) -> Page:
         if tag in VOID:
             continue
         above = stack[-1]
-        attrs, names, role, hidden = match["attrs"], set(), "", False
+        names, role, hidden = set(), "", False
         if attrs and not attrs.isspace():
             for name, *values in _ATTR.findall(attrs):
                 value = "".join(values).lower()

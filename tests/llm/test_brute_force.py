@@ -12,6 +12,7 @@ import pytest
 from basketloom.llm import (
     chat_format,
     decontaminate,
+    dom,
     html_extract,
     jaccard_join,
     pii,
@@ -80,6 +81,18 @@ def test_contamination_of_empty_tables(spark, documents):
 # HTML
 
 
+@pytest.mark.parametrize("n", [19_000, 20_001, 1_000_000])
+def test_quoted_values_of_any_length(n):
+    said = prose(random.Random(12), 60)
+    for sign, other in (('"', "'"), ("'", '"')):
+        value = (f"a>b <p class={other}ad hidden{other}> hidden " * (n // 20))[:n]
+        page = f"<body><article><p title={sign}{value}{sign} class='text'>{said}</p></article></body>"
+        assert html_extract.main_text(page, frozenset()) == said
+    # a quote that is never closed is none, and is not searched for again at every tag
+    assert [t for _, t in dom.read_page("<p a='x>one</p><p>two</p>").blocks] == ["one", "two"]
+    assert len(dom.read_page("<p>x</p>" * (n // 8) + "<p a='x>one</p><p b=\"y>two</p>" * 1).blocks) > n // 8
+
+
 def test_main_text_of_mixed_markup():
     page = (
         '<html><body class="home"><header><h1>Site</h1></header><div id="sidebar"><p>side</p></div>'
