@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame expressions only.
 
-Four base kinds are found by their form.  They are the seeds: the two words before a seed are a
-lexical pattern, and words with many digits are the identifiers that a pattern may introduce.
-Patterns and identifiers form a graph that is scored in rounds.  A pattern is trusted if at least
+Four base kinds are found by their form.  They are the seeds: the two words before the word that
+holds a seed, and what that word has glued to the seed's front, are a lexical pattern, and words
+with many digits are the identifiers that a pattern may introduce.  Patterns and identifiers form a
+graph that is scored in rounds until no identifier is added.  A pattern is trusted if at least
 ``LEAST_SEEDS`` different known identifiers follow it and they follow most of its occurrences in
 the whole corpus; every identifier that a trusted pattern introduces becomes known, which may raise
 other patterns.  What the trusted patterns introduce is found too, wherever it stands.
@@ -16,13 +17,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketloom.llm.common import ascii_lower
 from basketloom.runtime import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = "other"
-LEAST_SEEDS, LEAST_SHARE, ROUNDS = 3, 0.5, 3
-# a pattern is looked for in this many characters before an identifier
-CONTEXT_CHARS = 64
+LEAST_SEEDS, LEAST_SHARE = 3, 0.5
+# a pattern is first looked for in so many characters before an identifier, then in all of them
+CONTEXT_CHARS = (64, 2048)
 # patterns that are sent to every executor; more are joined by shuffling
 SENT_PATTERNS = 200_000
 # one of so many parts of the texts is looked at first
@@ -39,6 +41,10 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9][0-9]?|(?<=0))"
 WORD = r"[^\x20\x09-\x0D]++"
 BLANK_RUN = r"[\x20\x09-\x0D]++"
+# what may stand glued before an identifier
+LABEL = r"^[^0-9+@]*[:=<(\[{\"'|]"
+# the last two words before a place and what is glued to its front
+BEFORE = r"[\x20\x09-\x0D][^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]*+\z"
 BLOCK = 256
 
 SPAN = "struct<start:int,end:int,kind:string>"
@@ -153,12 +159,17 @@ def _base(text: Column, kind: str) -> Column:
 
 
 def _identifiers(text: Column) -> Column:
-    """Words with five digits or more, without the marks around them."""
+    """Words with five digits or more, without the marks around them and a label like ``tel:``."""
 
     def core(m: Column) -> Column:
-        said = F.regexp_extract(m["text"], r"[A-Za-z0-9+@](?:.*[A-Za-z0-9])?", 0)
+        label = F.regexp_extract(m["text"], LABEL, 0)
+        rest = F.substring(m["text"], F.length(label) + 1, F.length(m["text"]))
+        said = F.regexp_extract(rest, r"[A-Za-z0-9+@](?:.*[A-Za-z0-9])?", 0)
         return _let(
-            F.struct((m["start"] + F.position(said, m["text"]) - 1).alias("start"), said.alias("said")),
+            F.struct(
+                (m["start"] + F.length(label) + F.position(said, rest) - 1).alias("start"),
+                said.alias("said"),
+            ),
             lambda x: F.struct(
                 x["start"].alias("start"),
                 (x["start"] + F.length(x["said"])).alias("end"),
@@ -177,14 +188,49 @@ def _pair(first: Column, second: Column) -> Column:
     return F.xxhash64(F.lower(first), F.lower(second))
 
 
+def _pattern(pair: Column, glued: Column) -> Column:
+    return F.xxhash64(pair, glued)
+
+
 def _context(text: Column, start: Column) -> Column:
-    """Hash of the two words before ``start``; null if there are not two."""
-    first = F.greatest(start - CONTEXT_CHARS, F.lit(0))
-    before = F.substring(text, first + 1, start - first)
+    """Hashes of the pattern and of the two words in it, and how many characters it has glued.
+
+    Null if there are not two words before the one that holds ``start``.
+    """
+
+    def said(n: Column) -> Column:
+        first = F.greatest(start - n, F.lit(0))
+        before = F.substring(text, first + 1, start - first)
+        # a word also begins where the text begins
+        begun = F.when(first == 0, F.concat(F.lit(" "), before)).otherwise(before)
+        return F.regexp_extract(begun, BEFORE, 0)
+
+    def widened(n: Column, *wider: Column) -> Column:
+        if not wider:
+            return said(n)
+        return _let(
+            said(n), lambda s: F.when((s != "") | (n >= start), s).otherwise(widened(*wider))
+        )
+
     return _let(
-        F.regexp_extract_all(before, F.lit(WORD), F.lit(0)),
-        lambda w: F.when(
-            F.size(w) >= 2, _pair(F.get(w, F.size(w) - 2), F.get(w, F.size(w) - 1))
+        widened(*map(F.lit, CONTEXT_CHARS), start),
+        lambda s: F.when(
+            s != "",
+            _let(
+                F.split(s, BLANK_RUN, -1),
+                lambda w: _let(
+                    F.struct(
+                        _pair(F.get(w, F.lit(1)), F.get(w, F.lit(2))).alias("pair"),
+                        # lower-cased letter by letter, so that a part is the same as within its word
+                        ascii_lower(F.get(w, F.lit(3))).alias("glued"),
+                    ),
+                    lambda p: F.struct(
+                        _pattern(p["pair"], p["glued"]).alias("pattern"),
+                        p["pair"].alias("pair"),
+                        F.length(p["glued"]).alias("n_glued"),
+                    ),
+                ),
+            ),
         ),
     )
 
@@ -192,47 +238,68 @@ def _context(text: Column, start: Column) -> Column:
 def _with_context(text: Column, spans: Column) -> Column:
     return F.transform(
         spans,
-        lambda s: F.struct(
-            s["start"], s["end"], s["kind"], F.xxhash64(s["text"]).alias("value"),
-            _context(text, s["start"]).alias("pattern"),
+        lambda s: _let(
+            _context(text, s["start"]),
+            lambda c: F.struct(
+                s["start"], s["end"], s["kind"], F.xxhash64(s["text"]).alias("value"),
+                c["pattern"].alias("pattern"), c["pair"].alias("pair"), c["n_glued"].alias("n_glued"),
+            ),
         ),
     )
 
 
 def _pattern_totals(documents: DataFrame, patterns: DataFrame) -> DataFrame:
     """How often each of ``patterns`` occurs in the texts, whatever follows it."""
+    n_patterns = patterns.count()
+    if n_patterns == 0:
+        return patterns.select("pattern").withColumn("total", F.lit(0).cast("long"))
+    wanted = patterns.groupBy("pair").agg(F.collect_set("n_glued").alias("lengths"))
+    known = patterns.select("pattern")
+    if n_patterns <= SENT_PATTERNS:
+        wanted, known = F.broadcast(wanted), F.broadcast(known)
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
     pairs = documents.select(words.alias("w")).select(
         F.explode(
             F.transform(
                 F.when(F.size("w") >= 2, F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))))
                 .otherwise(F.array().cast("array<string>")),
-                lambda a, i: _pair(a, F.get(F.col("w"), i + 1)),
+                lambda a, i: F.struct(
+                    _pair(a, F.get(F.col("w"), i + 1)).alias("pair"),
+                    F.coalesce(F.get(F.col("w"), i + 2), F.lit("")).alias("next"),
+                ),
             )
-        ).alias("pattern")
-    )
-    n_patterns = patterns.count()
-    wanted = patterns.select("pattern")
-    if n_patterns == 0:
-        return wanted.withColumn("total", F.lit(0).cast("long"))
-    if n_patterns <= SENT_PATTERNS:
-        wanted = F.broadcast(wanted)
-    return pairs.join(wanted, "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
+        ).alias("p")
+    ).select("p.*")
+    glued = lambda n: ascii_lower(F.substring("next", F.lit(1), n))
+    fitting = F.filter("lengths", lambda n: n <= F.length("next"))
+    found = pairs.join(wanted, "pair").select(
+        F.explode(F.transform(fitting, lambda n: _pattern(F.col("pair"), glued(n)))).alias("pattern")
+    )
+    return found.join(known, "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
 
 
 def trusted(mentions: DataFrame, documents: DataFrame, scratch: Scratch) -> DataFrame:
     """Known identifiers that patterns brought in: rows (pattern, value) of the scored graph."""
-    spark = documents.sparkSession
     edges = scratch.keep(
         mentions.where(F.col("pattern").isNotNull())
         .groupBy("pattern", "value")
-        .agg(F.count("*").alias("n"), F.max((F.col("kind") != OTHER).cast("int")).alias("seed"))
+        .agg(
+            F.count("*").alias("n"),
+            F.max((F.col("kind") != OTHER).cast("int")).alias("seed"),
+            F.first("pair").alias("pair"),
+            F.first("n_glued").alias("n_glued"),
+        )
     )
     wide = scratch.keep(
         edges.groupBy("pattern")
-        .agg(F.count("*").alias("values"), F.sum("n").alias("mentions"))
+        .agg(
+            F.count("*").alias("values"),
+            F.sum("n").alias("mentions"),
+            F.first("pair").alias("pair"),
+            F.first("n_glued").alias("n_glued"),
+        )
         .where(F.col("values") >= LEAST_SEEDS)
-        .select("pattern", "mentions")
+        .select("pattern", "pair", "n_glued", "mentions")
     )
     # a pattern that a sixteenth of the texts shows to be common already cannot be trusted
     slice_totals = _pattern_totals(
@@ -241,13 +308,13 @@ def trusted(mentions: DataFrame, documents: DataFrame, scratch: Scratch) -> Data
     open_still = scratch.keep(
         wide.join(slice_totals, "pattern", "left")
         .where(F.col("mentions") >= LEAST_SHARE * F.coalesce("total", F.lit(0)))
-        .select("pattern")
+        .select("pattern", "pair", "n_glued")
     )
     totals = scratch.keep(_pattern_totals(documents, open_still))
-    graph = scratch.keep(edges.join(totals, "pattern"))
+    graph = scratch.keep(edges.join(totals, "pattern").select("pattern", "value", "n", "total"))
     known = scratch.keep(edges.where("seed = 1").select("value").distinct())
-    good = spark.createDataFrame([], "pattern long")
-    for _ in range(ROUNDS):
+    n_known, grown = known.count(), True
+    while grown:
         scores = (
             graph.join(known.withColumn("is_known", F.lit(1)), "value", "left")
             .where("is_known = 1")
@@ -258,20 +325,15 @@ def trusted(mentions: DataFrame, documents: DataFrame, scratch: Scratch) -> Data
                 F.max("total").alias("total"),
             )
         )
-        good = scratch.keep(
-            scores.where(
-                (F.col("values") >= LEAST_SEEDS)
-                & (F.col("n") >= LEAST_SHARE * F.col("total"))
-                & (F.col("n") <= F.col("total"))
-            ).select("pattern")
-        )
+        good = scores.where(
+            (F.col("values") >= LEAST_SEEDS) & (F.col("n") >= LEAST_SHARE * F.col("total"))
+        ).select("pattern")
         more = scratch.keep(
             graph.join(good, "pattern").select("value").unionByName(known).distinct()
         )
-        grown = more.count() > known.count()
-        known = more
-        if not grown:
-            break
+        scratch.drop(known)
+        known, before, n_known = more, n_known, more.count()
+        grown = n_known > before
     return edges.where("seed = 0").join(known, "value").select("value").distinct()
 
 

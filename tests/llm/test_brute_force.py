@@ -410,6 +410,36 @@ def test_trusted_patterns_find_unseen_identifiers(documents):
     assert len(found[13]["spans"]) == 1
 
 
+def test_patterns_before_long_blanks_and_glued_marks(documents):
+    cases = [
+        (lambda v: f"Hello my{' ' * 90}mail:\n{v} and more", 0),
+        (lambda v: f"Hello see {'long' * 700} at {v} and more", 0),
+        (lambda v: f"Hello write to <{v}> and more", 1),
+        (lambda v: f"Hello reach them TEL:{v} and more", 4),
+        (lambda v: f"Hello ask for (mail={v}) and more", 6),
+    ]
+    for said, glued in cases:
+        rows = [(k, said(f"user{k}{k}@mail.example")) for k in range(5)] + [(10, said("1234567-ab"))]
+        # the same two words before other marks do not count against a pattern with a mark
+        rows += [(k, said("none").replace("<", "").replace("TEL:", "").replace("(mail=", "")) for k in range(20, 40)] * (glued > 0)
+        found = by_id(pii.find_personal_data(documents(rows)).collect())
+        text = dict(rows)[10]
+        assert [text[s["start"] : s["end"]] for s in found[10]["spans"]] == ["1234567-ab"], text[:60]
+
+
+def test_scoring_goes_on_until_nothing_is_added(documents):
+    rows, n = [], 0
+    number = lambda step, k: f"{step}{k}77{step}{k}99"
+    for step in range(7):
+        for k in range(4):
+            # what one pattern introduces is what makes the next one trusted
+            value = f"user{k}@mail.example" if step == 0 else number(step, k)
+            rows += [(n, f"note first{step} second{step} {value} end"), (n + 1, f"note first{step} second{step} {number(step + 1, k)} end")]
+            n += 2
+    found = by_id(pii.find_personal_data(documents(rows)).collect())
+    assert all(len(found[i]["spans"]) == 1 for i, _ in rows)
+
+
 def test_redaction(spark):
     table = spark.createDataFrame(
         [("é a@b.c, 1.2.3.4!", [(2, 7, "email"), (9, 16, "ip")]), ("+1 2", [(0, 4, "card"), (1, 3, "ip")]),
