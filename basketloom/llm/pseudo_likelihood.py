@@ -1,16 +1,20 @@
 """Masked pseudo-likelihood of documents by a bidirectional window network.
 
 The network sees the two words on either side of a word and predicts the word itself, which it
-never sees.  A document's score is the sum of the log-probabilities of its words.  Words are hashed
-to ``WORDS`` ids; the softmax has two levels (class, word within class), so a prediction costs two
-short products.  Every document trains the network once: in each round the tasks start from the
-shared parameters, run mini-batches over their part of that round's documents, and the parameters
-are averaged by the number of words, block by block on the executors.
+never sees.  A document's score is the sum of the log-probabilities of its words.  The words of all
+documents are counted first.  Every word that occurs ``OWN_COUNT`` times has an id of its own, so the
+ids, the classes of the two-level softmax (class, word within class) and the parameters grow with
+the corpus.  Rarer words share ids by hash, one for about ``SHARED_COUNT`` occurrences, and the probability
+of a shared id is spread over its words by their counts, with one more for words never seen.  Every
+document trains the network once: in each round the tasks start from the shared parameters, run
+mini-batches over their part of that round's documents, and the parameters are averaged by the number
+of words, block by block on the executors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -19,53 +23,171 @@ from pyspark.sql import functions as F
 
 from basketloom.llm.common import small_batches, text_buffers, without_nulls
 from basketloom.llm.shingles import word_hashes
+from basketloom.runtime import Scratch
 
+# sizes without a counted vocabulary: all words share ids by hash
 CLASSES, IN_CLASS = 64, 64
 WORDS = CLASSES * IN_CLASS
+# words that occur so often have an id of their own; shared ids stand for so many occurrences
+OWN_COUNT, SHARED_COUNT = 200, 2000
 SIDE, EMBEDDING, HIDDEN = 2, 8, 16
 ROUNDS, BATCH, RATE = 2, 8192, 0.05
 BLOCKS = 64
 
-# parameter arrays and their shapes; the last embedding stands for what lies beyond the text
-SHAPES = (
-    ("embedding", (WORDS + 1, EMBEDDING)),
-    ("mixing", (2 * SIDE * EMBEDDING, HIDDEN)),
-    ("class_out", (HIDDEN + 1, CLASSES)),
-    ("word_out", (CLASSES, HIDDEN + 1, IN_CLASS)),
-)
-N_PARAMETERS = sum(int(np.prod(shape)) for _, shape in SHAPES)
 
 
-def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
+@dataclass
+class Vocabulary:
+    """Which id a word has, and which share of the id's probability.
+
+    ``hashes`` are the words that occur more than once, ascending, with their ``counts`` and their
+    ``own`` ids (-1: shared).  ``mass`` is how often the words of each shared id occur together; shared
+    ids come after the own ones.  Without any mass all words share the ids by hash, unspread.
+    """
+
+    classes: int = CLASSES
+    in_class: int = IN_CLASS
+    hashes: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    counts: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    own: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    mass: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+
+    @property
+    def words(self) -> int:
+        return self.classes * self.in_class
+
+    @property
+    def shapes(self) -> tuple[tuple[str, tuple[int, ...]], ...]:
+        """Parameter arrays; the last embedding stands for what lies beyond the text."""
+        return (
+            ("embedding", (self.words + 1, EMBEDDING)),
+            ("mixing", (2 * SIDE * EMBEDDING, HIDDEN)),
+            ("class_out", (HIDDEN + 1, self.classes)),
+            ("word_out", (self.classes, HIDDEN + 1, self.in_class)),
+        )
+
+    @property
+    def n_parameters(self) -> int:
+        return sum(int(np.prod(shape)) for _, shape in self.shapes)
+
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Id of each word and the logarithm of its share of the id."""
+        if not len(self.mass):
+            return (hashes % np.uint64(self.words)).astype(np.int64), np.zeros(len(hashes))
+        n_own = len(self.own) - int((self.own < 0).sum())
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        ids, count = np.full(len(hashes), -1), np.ones(len(hashes), np.int64)
+        ids[known], count[known] = self.own[at[known]], self.counts[at[known]]
+        shared = ids < 0
+        bucket = (hashes[shared] % np.uint64(len(self.mass))).astype(np.int64)
+        share = np.zeros(len(hashes))
+        share[shared] = np.log(count[shared] / (self.mass[bucket] + 1))
+        ids[shared] = n_own + bucket
+        return ids, share
+
+
+HASHED = Vocabulary()
+SHAPES, N_PARAMETERS = HASHED.shapes, HASHED.n_parameters
+
+
+@dataclass
+class Model:
+    vocabulary: Vocabulary
+    flat: np.ndarray
+
+
+def unpacked(flat: np.ndarray, vocabulary: Vocabulary = HASHED) -> dict[str, np.ndarray]:
     """Views of the parameter arrays inside one flat array."""
     out, at = {}, 0
-    for name, shape in SHAPES:
+    for name, shape in vocabulary.shapes:
         size = int(np.prod(shape))
         out[name] = flat[at : at + size].reshape(shape)
         at += size
     return out
 
 
-def fresh_parameters(seed: int = 3) -> np.ndarray:
-    flat = np.random.default_rng(seed).normal(0, 0.1, N_PARAMETERS).astype(np.float32)
-    parts = unpacked(flat)
+def fresh_parameters(seed: int = 3, vocabulary: Vocabulary = HASHED) -> np.ndarray:
+    flat = np.random.default_rng(seed).normal(0, 0.1, vocabulary.n_parameters).astype(np.float32)
+    parts = unpacked(flat, vocabulary)
     parts["class_out"][:] = 0
     parts["word_out"][:] = 0
     return flat
 
 
-def windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in small_batches(batches):
+        offsets, raw = text_buffers(without_nulls(batch.column("text")))
+        words, counts = np.unique(word_hashes(offsets, raw)[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(words.view(np.int64)), pa.array(counts, pa.int64())], names=["word", "n"]
+        )
+
+
+def count_words(documents: DataFrame) -> Vocabulary:
+    """The vocabulary of all documents.
+
+    The driver and every task hold the words that occur more than once, 24 bytes each.
+    """
+    scratch = Scratch(documents.sparkSession, "words")
+    counted = scratch.keep(
+        documents.select("text")
+        .mapInArrow(_word_counts, "word long, n long")
+        .groupBy("word")
+        .agg(F.sum("n").alias("n"))
+    )
+    n_own, rare_mass = counted.agg(
+        F.count_if(F.col("n") >= OWN_COUNT), F.sum(F.when(F.col("n") < OWN_COUNT, F.col("n")))
+    ).first()
+    # at least one shared id, for words never seen
+    n_shared = max(1, -(-(rare_mass or 0) // SHARED_COUNT))
+    in_class = max(1, int(np.ceil(np.sqrt(n_own + n_shared))))
+    classes = -(-(n_own + n_shared) // in_class)
+    # no id is left without a word
+    n_shared = classes * in_class - n_own
+    # hashes are unsigned
+    split = F.lit(1 << 32)
+    high, low = F.shiftrightunsigned("word", 32), F.col("word").bitwiseAND(F.lit((1 << 32) - 1))
+    bucket = ((high % n_shared) * (split % n_shared) + low) % n_shared
+    masses = (
+        counted.where(F.col("n") < OWN_COUNT)
+        .groupBy(bucket.alias("bucket"))
+        .agg(F.sum("n").alias("n"))
+        .toArrow()
+    )
+    mass = np.zeros(n_shared, np.int64)
+    mass[masses.column("bucket").to_numpy()] = masses.column("n").to_numpy()
+    often = counted.where("n > 1").toArrow()
+    hashes, counts = often.column("word").to_numpy().view(np.uint64), often.column("n").to_numpy()
+    order = np.argsort(hashes)
+    hashes, counts = hashes[order], counts[order]
+    # words of a class are about equally frequent
+    own = np.full(len(hashes), -1)
+    by_count = np.lexsort((hashes, -counts))[:n_own]
+    own[by_count] = np.arange(n_own)
+    scratch.drop(counted)
+    return Vocabulary(classes, in_class, hashes, counts, own, mass)
+
+
+def windows(
+    texts: pa.Array, vocabulary: Vocabulary = HASHED
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word ids, the ids around each (two left, two right) and the text of each word."""
+    return _windows(texts, vocabulary)[:3]
+
+
+def _windows(texts: pa.Array, vocabulary: Vocabulary):
+    """``windows``, and the logarithm of each word's share of its id."""
     offsets, raw = text_buffers(texts)
     hashes, of = word_hashes(offsets, raw)
-    ids = (hashes % np.uint64(WORDS)).astype(np.int64)
-    around = np.full((len(ids), 2 * SIDE), WORDS)
+    ids, share = vocabulary.look_up(hashes)
+    around = np.full((len(ids), 2 * SIDE), vocabulary.words)
     for k, shift in enumerate((-2, -1, 1, 2)):
         a, b = max(0, -shift), min(len(ids), len(ids) - shift)
         if a < b:
             same = of[a:b] == of[a + shift : b + shift]
-            around[a:b, k] = np.where(same, ids[a + shift : b + shift], WORDS)
-    return ids, around, of
+            around[a:b, k] = np.where(same, ids[a + shift : b + shift], vocabulary.words)
+    return ids, around, of, share
 
 
 def _with_bias(hidden: np.ndarray) -> np.ndarray:
@@ -82,20 +204,21 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def _class_slices(kind: np.ndarray) -> list[tuple[int, slice]]:
     """The rows of each class in ascending ``kind``."""
-    cuts = np.searchsorted(kind, np.arange(CLASSES + 1))
-    return [(c, slice(cuts[c], cuts[c + 1])) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
+    found, cuts = np.unique(kind, return_index=True)
+    ends = np.append(cuts[1:], len(kind))
+    return [(int(c), slice(a, b)) for c, a, b in zip(found, cuts, ends, strict=True)]
 
 
 def log_probabilities(parts: dict, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Natural log-probability of each word given the words around it."""
-    out = np.empty(len(ids))
+    out, in_class = np.empty(len(ids)), parts["word_out"].shape[2]
     for first in range(0, len(ids), BATCH):
         mine = ids[first : first + BATCH]
-        order = np.argsort(mine // IN_CLASS, kind="stable")
+        order = np.argsort(mine // in_class, kind="stable")
         mine, seen = mine[order], around[first : first + BATCH][order]
         x = parts["embedding"][seen].reshape(len(mine), -1)
         hidden = _with_bias(np.tanh(x @ parts["mixing"]))
-        kind, word = mine // IN_CLASS, mine % IN_CLASS
+        kind, word = mine // in_class, mine % in_class
         chance = _softmax(hidden @ parts["class_out"])[np.arange(len(mine)), kind].astype(float)
         for c, rows in _class_slices(kind):
             within = _softmax(hidden[rows] @ parts["word_out"][c])
@@ -107,10 +230,11 @@ def log_probabilities(parts: dict, ids: np.ndarray, around: np.ndarray) -> np.nd
 class Trainer:
     """AdaGrad over mini-batches of one task."""
 
-    def __init__(self, flat: np.ndarray) -> None:
+    def __init__(self, flat: np.ndarray, vocabulary: Vocabulary = HASHED) -> None:
         self.flat = flat.copy()
-        self.parts = unpacked(self.flat)
-        self.squares = unpacked(np.full(N_PARAMETERS, 1e-4, np.float32))
+        self.parts = unpacked(self.flat, vocabulary)
+        self.squares = unpacked(np.full(len(flat), 1e-4, np.float32), vocabulary)
+        self.in_class = vocabulary.in_class
         self.seen = 0
 
     def _move(self, name: str, gradient: np.ndarray, where=slice(None)) -> None:
@@ -120,12 +244,12 @@ class Trainer:
 
     def step(self, ids: np.ndarray, around: np.ndarray) -> None:
         p, n = self.parts, len(ids)
-        order = np.argsort(ids // IN_CLASS, kind="stable")
+        order = np.argsort(ids // self.in_class, kind="stable")
         ids, around = ids[order], around[order]
         x = p["embedding"][around].reshape(n, -1)
         hidden = np.tanh(x @ p["mixing"])
         full = _with_bias(hidden)
-        kind, word = ids // IN_CLASS, ids % IN_CLASS
+        kind, word = ids // self.in_class, ids % self.in_class
         error = _softmax(full @ p["class_out"])
         error[np.arange(n), kind] -= 1
         back = error @ p["class_out"][:-1].T
@@ -138,11 +262,12 @@ class Trainer:
         back *= 1 - hidden**2
         to_words = np.ascontiguousarray((back @ p["mixing"].T).reshape(-1, EMBEDDING).T)
         self._move("mixing", x.T @ back)
-        place = around.ravel()
-        gradient = np.empty((WORDS + 1, EMBEDDING), np.float32)
+        # only the embeddings that were seen move
+        seen, place = np.unique(around.ravel(), return_inverse=True)
+        gradient = np.empty((len(seen), EMBEDDING), np.float32)
         for d in range(EMBEDDING):
-            gradient[:, d] = np.bincount(place, to_words[d], minlength=WORDS + 1)
-        self._move("embedding", gradient)
+            gradient[:, d] = np.bincount(place.ravel(), to_words[d], minlength=len(seen))
+        self._move("embedding", gradient, seen)
         self.seen += n
 
     def run(self, ids: np.ndarray, around: np.ndarray, batch: int = BATCH) -> None:
@@ -172,22 +297,24 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def train(documents: DataFrame, rounds: int = ROUNDS, size: int = BATCH) -> np.ndarray:
-    """Parameters after every document has been trained on once, in ``rounds`` shares by hash.
+def train(documents: DataFrame, rounds: int = ROUNDS, size: int = BATCH) -> Model:
+    """Vocabulary of all documents, and parameters after every document has been trained on once, in ``rounds`` shares by hash.
 
     ``size`` is the number of words of a mini-batch.
     """
     spark: SparkSession = documents.sparkSession
-    flat = fresh_parameters()
+    vocabulary = count_words(documents)
+    flat = fresh_parameters(vocabulary=vocabulary)
+    words = spark.sparkContext.broadcast(vocabulary)
     texts = documents.select("text")
     share = F.pmod(F.xxhash64("text"), F.lit(rounds))
     for k in range(rounds):
         sent = spark.sparkContext.broadcast(flat)
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            trainer = Trainer(sent.value)
+            trainer = Trainer(sent.value, words.value)
             for batch in small_batches(batches):
-                ids, around, _ = windows(without_nulls(batch.column("text")))
+                ids, around, _ = windows(without_nulls(batch.column("text")), words.value)
                 trainer.run(ids, around, size)
             if trainer.seen:
                 parts = np.array_split(trainer.flat, BLOCKS)
@@ -213,23 +340,29 @@ def train(documents: DataFrame, rounds: int = ROUNDS, size: int = BATCH) -> np.n
         if rows:
             flat = np.concatenate([np.asarray(r["values"]) / r["weight"] for r in rows])
             flat = flat.astype(np.float32)
-    return flat
+    return Model(vocabulary, flat)
 
 
-def score(documents: DataFrame, parameters: np.ndarray) -> DataFrame:
+def score(documents: DataFrame, model: Model | np.ndarray) -> DataFrame:
     """doc_id, n_words, log_likelihood (the sum) and per_word of every document.
 
     ``documents``: doc_id, text; other columns are ignored.  A null or empty text has no words, a
     sum of 0 and a null mean.  Repeated rows are scored one by one.  No rows give no rows.
+    Parameters without a vocabulary are those of hashed ids.
     """
-    sent = documents.sparkSession.sparkContext.broadcast(parameters)
+    if not isinstance(model, Model):
+        model = Model(HASHED, model)
+    sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = unpacked(sent.value)
+        vocabulary = sent.value.vocabulary
+        parts = unpacked(sent.value.flat, vocabulary)
         for batch in small_batches(batches):
-            ids, around, of = windows(without_nulls(batch.column("text")))
+            ids, around, of, share = _windows(without_nulls(batch.column("text")), vocabulary)
             n = np.bincount(of, minlength=batch.num_rows)
-            total = np.bincount(of, log_probabilities(parts, ids, around), minlength=batch.num_rows)
+            total = np.bincount(
+                of, log_probabilities(parts, ids, around) + share, minlength=batch.num_rows
+            )
             mean = np.where(n > 0, total / np.maximum(n, 1), 0)
             yield pa.RecordBatch.from_arrays(
                 [

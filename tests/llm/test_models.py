@@ -135,6 +135,32 @@ def test_training_predicts_held_out_text_better(documents):
     assert pseudo_likelihood.pseudo_likelihood(documents([])).count() == 0
 
 
+def test_vocabulary_grows_and_shared_ids_are_spread_by_counts(documents, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "OWN_COUNT", 5)
+    sizes = []
+    for n in (300, 9000):
+        # n frequent words, and rare ones seen 1 to 4 times
+        rare = [f"r{k}" for k in range(n) for _ in range(1 + k % 4)]
+        text = " ".join([f"w{k}" for k in range(n) for _ in range(6)] + rare)
+        words = pseudo_likelihood.count_words(documents([(1, text), (2, None)]))
+        sizes.append((words.words, words.n_parameters))
+        everything = [*(f"w{k}" for k in range(n)), *dict.fromkeys(rare)]
+        ids, _, _, share = pseudo_likelihood._windows(pa.array([" ".join(everything)]), words)
+        assert len(set(ids[:n])) == n and not share[:n].any() and ids.max() < words.words
+        # what is left of a shared id is one more occurrence, for words never seen
+        sums = np.bincount(ids[n:], np.exp(share[n:]), minlength=words.words)
+        mass = np.bincount(ids[n:], [1 + k % 4 for k in range(n)], minlength=words.words)
+        assert np.allclose(sums, mass / (mass + 1))
+        assert not set(ids[:n]) & set(ids[n:])
+        unseen, _, _, share = pseudo_likelihood._windows(pa.array(["never"]), words)
+        assert share[0] == -np.log(mass[unseen[0]] + 1)
+        parts = pseudo_likelihood.unpacked(pseudo_likelihood.fresh_parameters(vocabulary=words), words)
+        every = np.arange(words.words)
+        total = np.exp(pseudo_likelihood.log_probabilities(parts, every, np.zeros((len(every), 4), int)))
+        assert abs(total.sum() - 1) < 1e-3
+    assert sizes[1][0] > 9000 and sizes[1][1] > 20 * sizes[0][1]
+
+
 # weak labels
 
 
