@@ -5,7 +5,7 @@ documents are counted, expectation-maximisation over the counts estimates how of
 votes either way on either class, and the posterior of a document is its soft label.  A linear
 model over hashed words and word shapes is fitted to the soft labels of a bounded sample and scores
 every document.  Quality and toxicity are separate classes with heuristics of their own.  Where
-people have labelled documents, their labels vote too, and the sample is taken among those.
+people have labelled documents, their labels vote too, and those documents are in the sample first.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from basketloom.llm.shingles import _BLANK, mixed, word_hashes
 BUCKETS = 1 << 16
 # documents that the linear models are fitted on, at most about this many
 SAMPLE = 20_000
+# the variety of words is measured in parts of so many words, as it falls with the length of a text
+VARIETY_WORDS = 5000
 # log-odds that a label given by people adds to those of the heuristics
 LABEL_WEIGHT = 5.0
 EM_ROUNDS, EPOCHS, RATE, DECAY = 40, 12, 0.5, 1e-7
@@ -77,8 +79,12 @@ def describe(texts: pa.Array, hashed: bool = True) -> Batch:
         features, starts = _distinct([(words, of), (stripped, stripped_of), shapes], n)
     else:
         features, starts = np.empty(0, np.int64), np.zeros(n + 1, np.int64)
-    different = _distinct([(words, of)], n)[1]
-    variety = np.diff(different) / at_least
+    # distinct words part by part
+    n_parts = -(-at_least // VARIETY_WORDS)
+    first_part, first_word = np.cumsum(n_parts) - n_parts, np.cumsum(n_words) - n_words
+    part = first_part[of] + (np.arange(len(of)) - first_word[of]) // VARIETY_WORDS
+    different = _distinct([(words, part)], int(n_parts.sum()))[1]
+    variety = (different[first_part + n_parts] - different[first_part]) / at_least
 
     def vote(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
         return np.where(n_words == 0, 0, np.where(bad, -1, np.where(good, 1, 0)))
@@ -91,7 +97,7 @@ def describe(texts: pa.Array, hashed: bool = True) -> Batch:
             vote(symbols <= 0.02, symbols > 0.2),
             vote(capitals < 0.15, capitals > 0.4),
             vote((ends >= 0.02) & (ends <= 0.25), ends > 1),
-            vote(variety > 0.3, (variety < 0.1) & (n_words < 5000)),
+            vote(variety > 0.3, variety < 0.1),
             vote(runs < 0.05, runs > 0.2),
             vote((length >= 3) & (length <= 9), (length < 2) | (length > 20)),
             vote(digits < 0.1, digits > 0.5),
@@ -151,18 +157,21 @@ def pattern_codes(votes: np.ndarray) -> np.ndarray:
     return (votes + 1) @ (3 ** np.arange(votes.shape[1]))
 
 
-def expectation_maximisation(codes: np.ndarray, counts: np.ndarray, m: int) -> np.ndarray:
+def expectation_maximisation(
+    codes: np.ndarray, counts: np.ndarray, m: int, given: np.ndarray | float = 0
+) -> np.ndarray:
     """Log-likelihood ratios (good over bad) by heuristic and vote (bad, none, good), then log-odds.
 
     A vote never counts against its own side, abstaining counts for nothing, and passing a
-    heuristic, which most documents of either class do, counts little.
+    heuristic, which most documents of either class do, counts little.  ``given`` is 1 or -1 where
+    people said good or bad, 0 elsewhere.
     """
     votes = (codes[:, None] // 3 ** np.arange(m)) % 3
     # one bad vote is trusted at first, and only the counts can make it weak
     weights = np.tile([-6.0, 0.0, 0.2], (m, 1))
     odds = 1.0
     for _ in range(EM_ROUNDS):
-        good = 1 / (1 + np.exp(-(odds + weights[np.arange(m), votes].sum(axis=1))))
+        good = 1 / (1 + np.exp(-(odds + weights[np.arange(m), votes].sum(axis=1) + LABEL_WEIGHT * given)))
         mass_good, mass_bad = counts * good, counts * (1 - good)
         for j in range(m):
             p = np.bincount(votes[:, j], mass_good, minlength=3) + 1
@@ -243,12 +252,13 @@ def _vote_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches):
         seen = describe(without_nulls(batch.column("text")), hashed=False)
         out = []
-        for kind, votes in enumerate((seen.quality, seen.toxicity)):
-            codes, counts = np.unique(pattern_codes(votes), return_counts=True)
-            out.append((np.full(len(codes), kind), codes, counts))
-        kinds, codes, counts = (np.concatenate(x) for x in zip(*out, strict=True))
+        for kind, (votes, c) in enumerate(((seen.quality, "quality"), (seen.toxicity, "toxic"))):
+            both = np.stack([pattern_codes(votes), batch.column(c).to_numpy()], axis=1)
+            both, counts = np.unique(both, axis=0, return_counts=True)
+            out.append((np.full(len(both), kind), both[:, 0], both[:, 1], counts))
+        columns = (np.concatenate(x) for x in zip(*out, strict=True))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x, pa.int64()) for x in (kinds, codes, counts)], names=["kind", "code", "n"]
+            [pa.array(x, pa.int64()) for x in columns], names=["kind", "code", "said", "n"]
         )
 
 
@@ -257,36 +267,56 @@ def fit(
 ) -> Models:
     """Vote models from all documents, linear models from about ``sample`` documents at most.
 
-    ``labels`` (doc_id, quality, toxic), where given, name the documents to sample from; null
-    labels do not vote.  The sample is what a hash of the id selects, so it depends on nothing else.
+    ``labels`` (doc_id, quality, toxic), where given, vote in the posterior of their documents; null
+    labels do not vote.  Labelled documents are sampled first, up to ``sample``, then others.  A hash
+    of the id (of the text where there is none) selects, so the sample depends on nothing else.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # at most 3 ** heuristics rows for each class
+    if labels is None:
+        pool = rows.select("doc_id").limit(0).select("doc_id", F.lit(0).alias("quality"), F.lit(0).alias("toxic"))
+    else:
+        said = lambda c, yes: F.coalesce(F.when(F.col(c) == yes, 1).otherwise(-1), F.lit(0))
+        pool = (
+            labels.where("doc_id IS NOT NULL")
+            .select(
+                F.col("doc_id").cast("long").alias("doc_id"),
+                F.when(F.col("quality").isNull(), 0).otherwise(said("quality", 1)).alias("quality"),
+                F.when(F.col("toxic").isNull(), 0).otherwise(said("toxic", 0)).alias("toxic"),
+            )
+            .dropDuplicates(["doc_id"])
+            .join(rows.select("doc_id"), "doc_id", "left_semi")
+        )
+    parts = 1_000_000
+    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), "text")), F.lit(parts))
+    labelled, total = 0 if labels is None else pool.count(), rows.count()
+    kept = parts if labelled <= sample else int(parts * sample / labelled)
+    others, room = max(total - labelled, 0), max(sample - labelled, 0)
+    kept_others = parts if others <= room else int(parts * room / others)
+    by_id = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(parts))
+    # about ``sample`` rows at most; no others are taken where labelled ones had to be left out
+    pool = pool.where(by_id < kept).withColumn("given", F.lit(True))
+    none = F.lit(0)
+    rows = rows.join(F.broadcast(pool), "doc_id", "left").select(
+        "doc_id", "text", F.coalesce("quality", none).alias("quality"),
+        F.coalesce("toxic", none).alias("toxic"), F.coalesce("given", F.lit(False)).alias("given"),
+    )
+    # at most 3 ** heuristics rows for each class and label
     counted = (
-        rows.select("text")
-        .mapInArrow(_vote_counts, "kind long, code long, n long")
-        .groupBy("kind", "code")
+        rows.select("text", "quality", "toxic")
+        .mapInArrow(_vote_counts, "kind long, code long, said long, n long")
+        .groupBy("kind", "code", "said")
         .agg(F.sum("n").alias("n"))
-        .orderBy("kind", "code")
+        .orderBy("kind", "code", "said")
         .toPandas()
     )
     fitted = []
     for kind, m in enumerate((len(QUALITY), len(TOXICITY))):
         mine = counted[counted.kind == kind]
-        fitted.append(expectation_maximisation(mine.code.to_numpy(), mine.n.to_numpy(float), m))
-    parts = 1_000_000
-    if labels is None:
-        pool = rows.select("doc_id", F.lit(0).alias("quality"), F.lit(0).alias("toxic"))
-    else:
-        said = lambda c, yes: F.coalesce(F.when(F.col(c) == yes, 1).otherwise(-1), F.lit(0))
-        pool = labels.where("doc_id IS NOT NULL").select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.when(F.col("quality").isNull(), 0).otherwise(said("quality", 1)).alias("quality"),
-            F.when(F.col("toxic").isNull(), 0).otherwise(said("toxic", 0)).alias("toxic"),
+        fitted.append(
+            expectation_maximisation(
+                mine.code.to_numpy(), mine.n.to_numpy(float), m, mine.said.to_numpy()
+            )
         )
-    total = pool.count()
-    kept = parts if total <= sample else int(parts * sample / total)
-    pool = pool.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < kept).dropDuplicates(["doc_id"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -305,9 +335,9 @@ def fit(
                 names=["doc_id", "features", "cast", "quality", "toxic"],
             )
 
-    # the pool has about ``sample`` rows at most
     taken = (
-        rows.join(F.broadcast(pool), "doc_id")
+        rows.where(F.col("given") | (place < kept_others))
+        .drop("given")
         .mapInArrow(features, "doc_id long, features array<int>, cast array<double>, quality double, toxic double")
         .toArrow()
         .sort_by([("doc_id", "ascending")])

@@ -201,6 +201,27 @@ def test_classifier_edges(documents, edge_rows):
     assert weak_labels.quality_classifier(documents([])).count() == 0
 
 
+def test_labels_that_name_nothing_or_little(spark, documents):
+    rng = random.Random(13)
+    rows = [(k, junk(rng, k // 4 % 3) if k % 4 == 0 else prose(rng, 120)) for k in range(200)]
+    without = {r["doc_id"]: r for r in weak_labels.quality_classifier(documents(rows)).collect()}
+    assert sum(r["kept"] for r in without.values()) > 100
+    for labels in ([], [(-5, 1, 0)], [(None, 1, 0)], [(1, 1, 0)]):
+        given = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        scored = {r["doc_id"]: r for r in weak_labels.quality_classifier(documents(rows), given).collect()}
+        assert sum(scored[k]["kept"] != without[k]["kept"] for k in scored) <= 20
+        if labels != [(1, 1, 0)]:
+            assert scored == without
+
+
+def test_variety_does_not_fall_with_length():
+    words = prose(random.Random(14), 10).replace(".", "").split()
+    many = [f"w{k}" for k in range(2000)]
+    texts = [" ".join(words * 2000), " ".join(words * 20), " ".join(many), " ".join(many * 20), ""]  # the last but one has 40,000 words, 40 % of each part are different
+    variety = weak_labels.describe(pa.array(texts), hashed=False).quality[:, weak_labels.QUALITY.index("variety")]
+    assert variety.tolist() == [-1, -1, 1, 1, 0]
+
+
 def test_expectation_maximisation_finds_the_reliable_voter():
     rng = np.random.default_rng(7)
     good = rng.random(20_000) < 0.8
