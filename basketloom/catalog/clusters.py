@@ -314,20 +314,20 @@ def _(spark, sf):
 @register("c7_k_medoids_labels")
 def _(spark, sf):
     cells = metrics.edge_cells(b.edges(spark, sf))
-    found = medoids.k_medoids(Scratch(spark, "cells").keep(cells), k=5, iterations=4)
+    found = medoids.k_medoids(Scratch(spark, "cells").keep(cells), k=5)
     return found.labels
 
 
 @register("c7_k_medoids_exact_step")
 def _(spark, sf):
-    found = medoids.k_medoids(_whole(spark, sf), k=10, iterations=4, step="exact")
+    found = medoids.k_medoids(_whole(spark, sf), k=10, step="exact")
     return found.labels
 
 
 @register("c11_mini_batch_kmeans")
 def _(spark, sf):
     cells = _embeddings(spark, sf)[0]
-    return kmeans.mini_batch_kmeans(cells, k=10, batch_size=256, max_iter=10, n_init=1).labels
+    return kmeans.mini_batch_kmeans(cells, k=10).labels
 
 
 @register("c13_synthetic_rows")

@@ -89,7 +89,7 @@ def profile_clustering(
 
 
 def kmeans_sweep(
-    cells: DataFrame, ks: Sequence[int] = SWEEP, seed: int = 0, max_iter: int = 20
+    cells: DataFrame, ks: Sequence[int] = SWEEP, seed: int = 0, max_iter: int = 300
 ) -> DataFrame:
     """Fit K-means for every K on the same stored rows and profile each result."""
     spark = cells.sparkSession

@@ -178,3 +178,45 @@ def test_binary_incidence(spark):
     rows = {r["row_id"]: r["dims"] for r in kmeans.incidence_rows(pairs).collect()}
     assert rows == {1: [2, 5], 2: [0]}
     assert kmeans.matrix_width(metrics.edge_cells(pairs, "rid", "iid")) == 6
+
+
+def test_queries_keep_the_parameters_of_the_reference(monkeypatch):
+    """cluster_metrics.py:121, cluster_scaling_MiniBatchKMeans.py:60 and scikit-learn's K-means."""
+    import inspect
+
+    import __spark_entry__ as entry
+    from basketloom.catalog import clusters
+
+    class Called(Exception):
+        pass
+
+    def caught(function, seen):
+        def call(*args, **kwargs):
+            given = inspect.signature(function).bind(*args, **kwargs)
+            given.apply_defaults()
+            seen.update(given.arguments)
+            raise Called
+
+        return call
+
+    real = {
+        "kmeans_sweep": kmeans.kmeans_sweep,
+        "k_medoids": medoids.k_medoids,
+        "mini_batch_kmeans": kmeans.mini_batch_kmeans,
+    }
+    monkeypatch.setattr(clusters, "_whole", lambda *a: None)
+    monkeypatch.setattr(clusters, "_embeddings", lambda *a: (None, None, None))
+    monkeypatch.setattr(clusters.b, "edges", lambda *a: None)
+    monkeypatch.setattr(clusters.metrics, "edge_cells", lambda *a: None)
+    monkeypatch.setattr(clusters, "Scratch", lambda *a: type("S", (), {"keep": lambda self, x: x})())
+    for name, module, operator, wanted in [
+        ("c1_kmeans_sweep_profiles", kmeans, "kmeans_sweep", {"max_iter": 300}),
+        ("c7_k_medoids_labels", medoids, "k_medoids", {"iterations": 10}),
+        ("c7_k_medoids_exact_step", medoids, "k_medoids", {"iterations": 10, "step": "exact"}),
+        ("c11_mini_batch_kmeans", kmeans, "mini_batch_kmeans", {"batch_size": 1024, "max_iter": 100, "n_init": 3}),
+    ]:
+        seen = {}
+        monkeypatch.setattr(module, operator, caught(real[operator], seen))
+        with pytest.raises(Called):
+            entry.queries()[name](None, "")
+        assert wanted.items() <= seen.items(), name
