@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from basketloom.llm import (
+    bit_sliced_search,
     chat_format,
     decontaminate,
     html_extract,
@@ -16,6 +17,8 @@ from basketloom.llm import (
     pseudo_likelihood,
     quality_rules,
     repeats,
+    toxic_grammar,
+    vector_codes,
     weak_labels,
 )
 from basketloom.llm.common import sha256_hex, table
@@ -210,3 +213,76 @@ def op9_personal_data(spark: SparkSession, sf: str) -> DataFrame:
         sha256_hex(pii.spans_text("base")).alias("base_sha256"),
         pii.spans_text("spans").alias("spans"),
     )
+
+
+def _codes_sql() -> str:
+    """The rounds unrolled: squared distances to all entries, then floors of the means."""
+    v = vector_codes
+    width = f"(SELECT CAST(ceil(max(len(embedding)) / {v.PARTS}.0) AS BIGINT) FROM kept)"
+    nearest = """a{t} AS MATERIALIZED (SELECT rn, part, arg_min(entry, (apart, entry)) AS entry, min(apart) AS apart
+    FROM (SELECT p.rn, p.part, b.entry, sum((p.x - b.x) * (p.x - b.x)) AS apart
+        FROM p JOIN b{t} b ON p.part = b.part AND p.pos = b.pos GROUP BY ALL) GROUP BY rn, part)"""
+    steps = [
+        f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS rn,
+    vec_id, label, embedding FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT rn, k // {width} AS part, k % {width} AS pos,
+    CAST(floor({v.SCALE} * CAST(coalesce(embedding[k + 1], 0) AS DOUBLE)) AS HUGEINT) AS x
+    FROM (SELECT rn, embedding, unnest(range({v.PARTS} * {width})) AS k FROM kept)),
+b0 AS MATERIALIZED (SELECT rn AS entry, part, pos, x FROM p WHERE rn < {v.ENTRIES})"""
+    ]
+    for t in range(v.ROUNDS):
+        steps.append(nearest.format(t=t))
+        steps.append(f"""b{t + 1} AS MATERIALIZED (SELECT entry, part, pos,
+    CASE WHEN n IS NULL THEN old ELSE (s - ((s % n) + n) % n) // n END AS x
+    FROM (SELECT entry, part, pos, x AS old FROM b{t}) LEFT JOIN (
+        SELECT a.entry, p.part, p.pos, sum(p.x) AS s, count(*) AS n
+        FROM p JOIN a{t} a USING (rn, part) GROUP BY ALL) USING (entry, part, pos))""")
+    last = v.ROUNDS
+    return (
+        ",\n".join([*steps, nearest.format(t=last)])
+        + f""",
+coded AS (SELECT rn, string_agg(printf('%02x', entry), '' ORDER BY part) AS code,
+    CAST(sum(apart) AS BIGINT) AS error FROM a{last} GROUP BY rn),
+digest AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) AS d FROM b{last})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+    d AS codebooks_sha256 FROM kept JOIN coded USING (rn), digest"""
+    )
+
+
+@query("op11_vector_codes", _codes_sql())
+def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes.product_codes(table(spark, sf, "embeddings"))
+
+
+@query("op12_toxicity")
+def op12_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxic_grammar.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")).select(
+        "doc_id", "held_out", "score", "predicted"
+    )
+
+
+@query(
+    "op13_ranked_search",
+    r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(regexp_replace(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS words FROM documents),
+i AS MATERIALIZED (SELECT DISTINCT item_id, unnest(regexp_extract_all(regexp_replace(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+')) AS term FROM benchmark),
+size AS MATERIALIZED (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(words)) AS BIGINT) AS total
+    FROM d WHERE len(words) > 0),
+tf AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM d)
+    WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS MATERIALIZED (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+    FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), size),
+parts AS MATERIALIZED (SELECT r, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(words) * docs) // total)))
+    AS worth FROM tf JOIN d USING (r) JOIN w USING (term), size),
+scores AS (SELECT item_id, r, CAST(sum(worth) AS BIGINT) AS score FROM i JOIN parts USING (term) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+    SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)
+        AS rank FROM scores JOIN d USING (r) WHERE score > 0) WHERE rank <= 10""",
+)
+def op13_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return bit_sliced_search.ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
