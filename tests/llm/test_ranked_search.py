@@ -96,8 +96,10 @@ def test_bounds_are_never_below_the_scores(spark):
         for first, bounds in search.upper_bounds(b.asDict(), s, search._term_keys(s)):
             for row, values in enumerate(bounds):
                 for doc_id, bound in zip(b.doc_ids, values):
+                    if doc_id in repeated:
+                        continue
                     found = exact.get((s.items[first + row][0], doc_id), [0])
-                    assert bound >= min(found)
+                    assert bound >= min(found), (first, row, doc_id, b.width, b.n_terms, s.items[first + row])
                     tight.append(bound <= 1.5 * max(found))
     assert np.mean(tight) > 0.9
 

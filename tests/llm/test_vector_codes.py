@@ -50,7 +50,7 @@ def brute(rows, parts, entries, rounds, scale=4096):
         by_label[label] = by_label.get(label, 0) + e
     digest = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
     return sorted(
-        ((i, "".join(f"{k:02x}" for k, _ in row), e, by_label[label], digest)
+        ((i, "".join(f"{k:02x}" for k, _ in row), min(e, 2**63 - 1), min(by_label[label], 2**63 - 1), digest)
          for (i, _, label), row, e in zip(usable, found, errors)),
         key=str,
     )
