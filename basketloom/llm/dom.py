@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -17,13 +18,14 @@ _READ = re.compile(r"\b(?:class|id|role|hidden)\s*$", re.I)
 _ATTR = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
-# elements deeper than this stay open beside each other, as in browsers
-DEEPEST = 512
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe xmp noembed svg math".split())
+RAW = frozenset("script style title textarea noscript template iframe xmp noembed svg".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt "
-    "ruby s samp small span strike strong sub sup time tt u var wbr input".split()
+    "ruby s samp small span strike strong sub sup time tt u var wbr input "
+    # formulas stand in their line of text
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover "
+    "mmultiscripts mpadded mphantom mstyle mtable mtr mtd semantics annotation".split()
 )
 # an opening tag of these ends an open element of the same family
 _ENDS = {
@@ -139,6 +141,8 @@ def read_page(html: str) -> Page:
     """Parse ``html``; unclosed and crossed elements are closed as browsers do it."""
     page = Page()
     stack = [0]
+    # places in the stack of the open elements of a tag, so that no search walks down a deep page
+    open_at: dict[str, list[int]] = defaultdict(list)
     pieces: list[str] = []
     holder = 0
 
@@ -158,16 +162,15 @@ def read_page(html: str) -> Page:
             pieces.append(piece)
 
     def pop_to(depth: int) -> None:
-        del stack[depth:]
+        while len(stack) > depth:
+            open_at[page.tag[stack.pop()]].pop()
+
+    def last_open(names) -> int:
+        return max((open_at[name][-1] for name in names if open_at[name]), default=0)
 
     def innermost(names, barrier) -> int:
-        for depth in range(len(stack) - 1, 0, -1):
-            tag = page.tag[stack[depth]]
-            if tag in names:
-                return depth
-            if tag in barrier:
-                break
-        return 0
+        found = last_open(names)
+        return found if found and found >= last_open(barrier) else 0
 
     at, n = 0, len(html)
     quotes = _Quotes(html)
@@ -244,7 +247,7 @@ def read_page(html: str) -> Page:
         )
         page.in_main.append(in_main)
         page.children.append([])
-        if len(stack) < DEEPEST:
-            stack.append(len(page.tag) - 1)
+        open_at[tag].append(len(stack))
+        stack.append(len(page.tag) - 1)
     end_block()
     return page

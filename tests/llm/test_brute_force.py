@@ -93,6 +93,19 @@ def test_quoted_values_of_any_length(n):
     assert len(dom.read_page("<p>x</p>" * (n // 8) + "<p a='x>one</p><p b=\"y>two</p>" * 1).blocks) > n // 8
 
 
+@pytest.mark.parametrize("depth", [400, 600, 20_000])
+def test_pages_of_any_depth_are_read_whole(depth):
+    for tag in ("div", "span", "b"):
+        inner = f"<{tag}>" * depth + "<p>deep</p>" + f"</{tag}>" * depth
+        page = f"<div><article><p>head</p>{inner}<p>tail</p></article></div><footer>f</footer>"
+        assert html_extract.main_text(page, frozenset()) == "head\ndeep\ntail"
+
+
+def test_formulas_stand_in_their_line():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be z.</p></article>"
+    assert html_extract.main_text(page, frozenset()) == "Let x=1 be z."
+
+
 def test_main_text_of_mixed_markup():
     page = (
         '<html><body class="home"><header><h1>Site</h1></header><div id="sidebar"><p>side</p></div>'
