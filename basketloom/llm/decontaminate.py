@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from basketloom.llm.common import sha256_hex
 
 WINDOW = 13
-# characters of benchmark text searched for in one pass over the documents
-BLOCK_CHARS = 64_000_000
+# characters of benchmark text searched for in one pass over the documents; their tables take about
+# 110 bytes a character in the driver and in every worker
+BLOCK_CHARS = 1_000_000
 # words of a text that are held at a time
 CHUNK_BYTES = 4_000_000
 
