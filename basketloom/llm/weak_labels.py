@@ -283,7 +283,9 @@ def fit(
                 F.when(F.col("quality").isNull(), 0).otherwise(said("quality", 1)).alias("quality"),
                 F.when(F.col("toxic").isNull(), 0).otherwise(said("toxic", 0)).alias("toxic"),
             )
-            .dropDuplicates(["doc_id"])
+            # of conflicting labels the worse one counts
+            .groupBy("doc_id")
+            .agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
             .join(rows.select("doc_id"), "doc_id", "left_semi")
         )
     parts = 1_000_000
@@ -291,7 +293,10 @@ def fit(
     labelled, total = 0 if labels is None else pool.count(), rows.count()
     kept = parts if labelled <= sample else int(parts * sample / labelled)
     others, room = max(total - labelled, 0), max(sample - labelled, 0)
-    kept_others = parts if others <= room else int(parts * room / others)
+    if others == 0:
+        kept_others = 0
+    else:
+        kept_others = parts if others <= room else int(parts * room / others)
     by_id = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(parts))
     # about ``sample`` rows at most; no others are taken where labelled ones had to be left out
     pool = pool.where(by_id < kept).withColumn("given", F.lit(True))

@@ -310,3 +310,23 @@ def test_near_copies_with_missing_and_repeated_ids(spark):
     assert sum(t in (a, a + " tail") for _, t in kept) == 1
     expected = [(7, b + " tail"), (8, c), (9, d), (5, e + " tail"), (None, None), (10, "")]
     assert [x for x in kept if x[1] not in (a, a + " tail")] == sorted(expected, key=str)
+
+
+@pytest.mark.parametrize("labelled", [200, 100, 0])
+def test_linear_models_see_a_bounded_sample(spark, documents, monkeypatch, labelled):
+    rng = random.Random(15)
+    rows = [(k, prose(rng, 30)) for k in range(200)]
+    labels = [(k, k % 2, k % 3 == 0) for k in range(labelled)]
+    # conflicting labels of one document count once
+    labels += [(k, 1 - k % 2, True) for k in range(0, labelled, 5)]
+    given = spark.createDataFrame([(a, int(b), int(c)) for a, b, c in labels], "doc_id long, quality int, toxic int")
+    seen = []
+    plain = weak_labels.fit_linear
+
+    def counted(flat, starts, cast, target):
+        seen.append(len(target))
+        return plain(flat, starts, cast, target)
+
+    monkeypatch.setattr(weak_labels, "fit_linear", counted)
+    weak_labels.fit(documents(rows), given, sample=50)
+    assert seen and max(seen) < 90
