@@ -432,7 +432,9 @@ def fit(documents: DataFrame, labels: DataFrame | None, most: int = FIT_ROWS) ->
             )
 
     # at most about ``most`` rows
-    fitted = rows.mapInArrow(outcomes, "toxic int, x array<double>").orderBy("toxic", "x").toPandas()
+    fitted = rows.mapInArrow(outcomes, "toxic int, x array<double>").toPandas()
+    # in one order, so that the sums do not depend on the layout
+    fitted = fitted.iloc[np.lexsort([*np.stack(fitted.x.tolist()).T, fitted.toxic])] if len(fitted) else fitted
     if fitted.toxic.nunique() < 2:
         return Grammar(Lexicon(seed_entries()), machine, PRIOR)
     weights = fit_weights(np.stack(fitted.x.tolist()), fitted.toxic.to_numpy(float))
