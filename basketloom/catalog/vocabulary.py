@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from basketloom.catalog import bindings as b
 from basketloom.catalog.registry import register
+from basketloom.functions.stems import stem_sql
 from basketloom.functions.text import IRREGULAR_NOUNS
 from basketloom.operators import relations as rel
 from basketloom.runtime import Scratch
@@ -65,17 +66,21 @@ def _(spark, sf):
     return rel.hyphen_aliases(_words(spark, sf))
 
 
+# types and brands are words of the vocabulary in their hyphened form only
+_TYPED = "words AS (SELECT name FROM plain_words UNION SELECT lower(p_type || '-' || p_brand) FROM part)"
+
+
 @register(
     "g2_discovered_names",
     b.with_ctes(
-        "SELECT DISTINCT object AS name FROM hyphens WHERE object NOT IN "
-        "(SELECT name FROM words WHERE NOT contains(name, ' '))",
-        b.WORDS, _HYPHENS,
+        "SELECT DISTINCT object AS name FROM hyphens WHERE object NOT IN (SELECT name FROM words)",
+        b.WORDS.replace("words AS (", "plain_words AS ("), _TYPED, _HYPHENS,
     ),
 )
 def _(spark, sf):
-    words = Scratch(spark, "words").keep(_words(spark, sf))
-    return rel.discovered(rel.hyphen_aliases(words), words.where(~F.col("name").contains(" ")))
+    typed = b.table(spark, sf, "part").select(F.lower(F.concat_ws("-", "p_type", "p_brand")).alias("name"))
+    words = Scratch(spark, "words").keep(_words(spark, sf).unionByName(typed).distinct())
+    return rel.discovered(rel.hyphen_aliases(words), words)
 
 
 @register(
@@ -102,7 +107,12 @@ def _(spark, sf):
     return rel.singular_aliases(_words(spark, sf))
 
 
-@register("g5_stem_aliases")
+_STEMS = stem_sql("words")
+_STEM_ALIASES = """SELECT stem AS subject, 'alias:stem-of' AS relation, name AS object FROM stems JOIN numbers USING (name)
+    WHERE stem <> name AND stem <> singular AND stem IN (SELECT name FROM words)"""
+
+
+@register("g5_stem_aliases", b.with_ctes(_STEM_ALIASES, b.WORDS, _IRREGULAR, _FORMS, _STEMS))
 def _(spark, sf):
     return rel.stem_aliases(Scratch(spark, "words").keep(_words(spark, sf)))
 
@@ -133,34 +143,45 @@ def _(spark, sf):
     return rel.abbreviation_aliases(_short_names(spark, sf), _ABBREVIATIONS)
 
 
-@register("g6b_all_aliases")
+_EXPANDED = ("array_to_string(list_transform(string_split(name, ' '), lambda w: CASE w "
+    + " ".join(f"WHEN '{short}' THEN '{full}'" for short, full in _ABBREVIATIONS)
+    + " ELSE w END), ' ')")
+_ALL_WORDS = (
+    b.WORDS.replace("words AS (", "all_words AS ("),
+    _SHORT,
+    "words AS (SELECT name FROM all_words UNION SELECT name FROM short)",
+)
+_ALL_ALIASES = f"""aliases AS (SELECT * FROM hyphens
+    UNION ALL SELECT name, 'alias:spacing', replace(name, '  ', ' ') FROM words WHERE contains(name, '  ')
+    UNION ALL SELECT name, 'alias:abbreviation', {_EXPANDED} FROM words WHERE {_EXPANDED} <> name
+    UNION ALL SELECT name, 'alias:plural-of', singular FROM numbers
+        WHERE singular <> name AND singular IN (SELECT name FROM words)
+    UNION ALL SELECT name, 'alias:singular-of', plural FROM numbers
+        WHERE plural <> name AND plural IN (SELECT name FROM words)
+    UNION ALL {_STEM_ALIASES})"""
+
+
+def _all_words(spark, sf):
+    return Scratch(spark, "words").keep(_words(spark, sf).unionByName(_short_names(spark, sf)).distinct())
+
+
+@register(
+    "g6b_all_aliases",
+    b.with_ctes("SELECT * FROM aliases", *_ALL_WORDS, _HYPHENS, _IRREGULAR, _FORMS, _STEMS, _ALL_ALIASES),
+)
 def _(spark, sf):
-    words = Scratch(spark, "words").keep(_words(spark, sf))
-    return rel.all_aliases(words, _ABBREVIATIONS)[0]
+    return rel.all_aliases(_all_words(spark, sf), _ABBREVIATIONS)[0]
 
 
 @register(
     "g6b_all_discovered",
     b.with_ctes(
-        "SELECT DISTINCT object AS name FROM (SELECT object FROM hyphens UNION ALL "
-        "SELECT replace(name, '  ', ' ') FROM words UNION ALL SELECT array_to_string("
-        "list_transform(string_split(name, ' '), lambda w: CASE w "
-        + " ".join(f"WHEN '{short}' THEN '{full}'" for short, full in _ABBREVIATIONS)
-        + " ELSE w END), ' ') FROM words) WHERE object NOT IN (SELECT name FROM words)",
-        b.WORDS.replace("words AS (", "all_words AS ("),
-        _SHORT,
-        "words AS (SELECT name FROM all_words WHERE contains(name, '-') OR contains(name, '  ') "
-        "OR NOT contains(name, ' ') UNION SELECT name FROM short)",
-        _HYPHENS,
+        "SELECT DISTINCT object AS name FROM aliases WHERE object NOT IN (SELECT name FROM words)",
+        *_ALL_WORDS, _HYPHENS, _IRREGULAR, _FORMS, _STEMS, _ALL_ALIASES,
     ),
 )
 def _(spark, sf):
-    name = F.col("name")
-    open_words = _words(spark, sf).where(
-        name.contains("-") | name.contains("  ") | ~name.contains(" ")
-    )
-    words = Scratch(spark, "words").keep(open_words.union(_short_names(spark, sf)).distinct())
-    return rel.all_aliases(words, _ABBREVIATIONS)[1]
+    return rel.all_aliases(_all_words(spark, sf), _ABBREVIATIONS)[1]
 
 
 def _modifiers(spark, sf):
@@ -252,7 +273,20 @@ def _(spark, sf):
     return rel.subtypes_of_roots(roots.distinct())
 
 
-@register("g10_related_terms")
+_RELATED = """one AS (SELECT name, singular, plural, stem FROM numbers JOIN stems USING (name) WHERE NOT contains(name, ' ')),
+    other_forms AS (SELECT name, singular AS form FROM one UNION SELECT name, plural FROM one
+        UNION SELECT name, stem FROM one)"""
+
+
+@register(
+    "g10_related_terms",
+    b.with_ctes(
+        "SELECT DISTINCT word, term FROM (SELECT f.name AS word, o.name AS term FROM other_forms f JOIN one o "
+        "ON f.form = o.name UNION ALL SELECT o.name, f.name FROM other_forms f JOIN one o ON f.form = o.name) "
+        "WHERE word <> term",
+        b.WORDS, _IRREGULAR, _FORMS, _STEMS, _RELATED,
+    ),
+)
 def _(spark, sf):
     words = Scratch(spark, "words").keep(_words(spark, sf).where(~F.col("name").contains(" ")))
     return rel.related_terms(

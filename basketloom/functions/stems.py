@@ -1,20 +1,18 @@
-"""Porter's suffix-stripping stemmer (Program 14(3), 1980) as an Arrow column function."""
+"""Porter's suffix-stripping stemmer (Program 14(3), 1980) as a chain of column expressions.
 
-from __future__ import annotations
+A word is [C](VC)^m[V] with runs C of consonants and V of vowels, so the tests on the measure m are
+regular expressions.  "y" is a vowel after a consonant; one that opens the word is written "Y" on the
+way, which no vowel pattern matches.  The same patterns build the chain in SQL (``stem_sql``).
+"""
 
-import re
-import sys
+from __future__ import annotations
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# executors get the functions themselves, so the package need not be installed there
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from basketloom.functions.text import let, literal_map
 
-# The published rule tables: (suffix, replacement), tried longest first.
+# The published rule tables, (suffix, replacement); the longest suffix that fits counts.
 _STEP2 = (
     ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"),
     ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
@@ -35,92 +33,125 @@ _STEP4 = tuple(
 )
 
 
-def _shape(stem: str) -> str:
-    """The stem as a string of c (consonant) and v (vowel)."""
-    out = []
-    for char in stem:
-        vowel = char in "aeiou" or (char == "y" and out and out[-1] == "c")
-        out.append("v" if vowel else "c")
-    return "".join(out)
 
+_C = "[^aeiou][^aeiouy]*"
+_V = "[aeiouy][aeiou]*"
+HAS_VOWEL = f"^(?:{_C})?[aeiouy]"
+SOME = f"^(?:{_C})?{_V}[^aeiou]"  # m > 0
+ONE = f"^(?:{_C})?{_V}{_C}(?:{_V})?$"  # m = 1
+MANY = f"^(?:{_C})?{_V}{_C}{_V}[^aeiou]"  # m > 1
+SHORT = f"^{_C}[aeiouy][^aeiouwxy]$"  # m = 1, consonant-vowel-consonant at the end
+# a double consonant other than l, s, z; the second of two "y" is one if the first is a vowel
+DOUBLED = "(?:" + "|".join(c * 2 for c in "bcdfghjkmnpqrtvwx") + f")$|^(?:{_C})?(?:{_V}{_C})*yy$"
+RESTORED = "(?:at|bl|iz)$"
 
-def _measure(stem: str) -> int:
-    return len(re.findall("vc", re.sub(r"(.)\1+", r"\1", _shape(stem))))
 
+def _ending(rules) -> str:
+    """The longest of the suffixes: alternatives at the end match from the left-most place."""
+    return "(" + "|".join(suffix for suffix, _ in rules) + ")$"
 
-def _has_vowel(stem: str) -> bool:
-    return "v" in _shape(stem)
 
+def _cut(word: Column, n: int | Column) -> Column:
+    return F.left(word, F.length(word) - n)
 
-def _double_consonant(word: str) -> bool:
-    return len(word) > 1 and word[-1] == word[-2] and _shape(word)[-1] == "c"
 
+def _replaced(word: Column, rules, least: str) -> Column:
+    def apply(w: Column) -> Column:
+        suffix = F.regexp_extract(w, _ending(rules), 1)
+        stem = _cut(w, F.length(suffix))
+        fits = stem.rlike(least) & ((suffix != "ion") | stem.rlike("[st]$"))
+        new = F.try_element_at(literal_map({s: n for s, n in rules}), suffix)
+        return F.when(suffix == "", w).when(fits, F.concat(stem, new)).otherwise(w)
 
-def _short_ending(word: str) -> bool:
-    """Consonant, vowel, consonant (not w, x or y) at the end."""
-    return _shape(word)[-3:] == "cvc" and word[-1] not in "wxy"
+    return let(word, apply)
 
 
-def _replace(word: str, rules, least: int) -> str:
-    for suffix, new in sorted(rules, key=lambda rule: -len(rule[0])):
-        if word.endswith(suffix):
-            stem = word[: -len(suffix)]
-            if suffix == "ion" and not stem.endswith(("s", "t")):
-                return word
-            return stem + new if _measure(stem) >= least else word
-    return word
+def _plurals(w: Column) -> Column:
+    return (
+        F.when(w.rlike("(?:sses|ies)$"), _cut(w, 2))
+        .when(w.endswith("s") & ~w.endswith("ss"), _cut(w, 1))
+        .otherwise(w)
+    )
 
 
-def _tidy(word: str) -> str:
+def _tidy(w: Column) -> Column:
     """After -ed or -ing went: restore an e or undouble the last consonant."""
-    if word.endswith(("at", "bl", "iz")):
-        return word + "e"
-    if _double_consonant(word) and word[-1] not in "lsz":
-        return word[:-1]
-    if _measure(word) == 1 and _short_ending(word):
-        return word + "e"
-    return word
-
-
-def porter_stem(word: str) -> str:
-    word = word.lower()
-    if len(word) <= 2:
-        return word
-    # plurals
-    if word.endswith("sses"):
-        word = word[:-2]
-    elif word.endswith("ies"):
-        word = word[:-2]
-    elif word.endswith("s") and not word.endswith("ss"):
-        word = word[:-1]
-    # past and continuous forms
-    if word.endswith("eed"):
-        if _measure(word[:-3]) > 0:
-            word = word[:-1]
-    else:
-        for suffix in ("ed", "ing"):
-            if word.endswith(suffix):
-                if _has_vowel(word[: -len(suffix)]):
-                    word = _tidy(word[: -len(suffix)])
-                break
-    if word.endswith("y") and _has_vowel(word[:-1]):
-        word = word[:-1] + "i"
-    word = _replace(word, _STEP2, 1)
-    word = _replace(word, _STEP3, 1)
-    word = _replace(word, _STEP4, 2)
-    # final e and double l
-    if word.endswith("e"):
-        stem = word[:-1]
-        if _measure(stem) > 1 or (_measure(stem) == 1 and not _short_ending(stem)):
-            word = stem
-    if word.endswith("ll") and _measure(word) > 1:
-        word = word[:-1]
-    return word
-
-
-def _stem_series(words: pd.Series) -> pd.Series:
-    return words.map(porter_stem, na_action="ignore")
+    return (
+        F.when(w.rlike(RESTORED), F.concat(w, F.lit("e")))
+        .when(w.rlike(DOUBLED), _cut(w, 1))
+        .when(w.rlike(SHORT), F.concat(w, F.lit("e")))
+        .otherwise(w)
+    )
+
+
+def _past(w: Column) -> Column:
+    without = F.regexp_replace(w, "(?:ed|ing)$", "")
+    return (
+        F.when(w.endswith("eed"), F.when(_cut(w, 3).rlike(SOME), _cut(w, 1)).otherwise(w))
+        .when(w.rlike("(?:ed|ing)$") & without.rlike(HAS_VOWEL), let(without, _tidy))
+        .otherwise(w)
+    )
+
+
+def _final_y(w: Column) -> Column:
+    return F.when(w.endswith("y") & _cut(w, 1).rlike(HAS_VOWEL), F.concat(_cut(w, 1), F.lit("i"))).otherwise(w)
+
+
+def _final_e(w: Column) -> Column:
+    stem = _cut(w, 1)
+    goes = w.endswith("e") & (stem.rlike(MANY) | (stem.rlike(ONE) & ~stem.rlike(SHORT)))
+    return F.when(goes, stem).otherwise(w)
+
+
+def _final_l(w: Column) -> Column:
+    return F.when(w.endswith("ll") & w.rlike(MANY), _cut(w, 1)).otherwise(w)
 
 
 def stem(col: Column) -> Column:
-    return F.pandas_udf(_stem_series, T.StringType())(col)
+    """Stem of a word; words of one or two letters are left as they are, in lower case."""
+    word = F.regexp_replace(F.lower(col), "^y", "Y")
+    for step in (_plurals, _past, _final_y):
+        word = let(word, step)
+    for rules, least in ((_STEP2, SOME), (_STEP3, SOME), (_STEP4, MANY)):
+        word = _replaced(word, rules, least)
+    word = F.lower(let(let(word, _final_e), _final_l))
+    return F.when(F.length(col) <= 2, F.lower(col)).otherwise(word)
+
+
+def stem_sql(source: str, name: str = "name") -> str:
+    """The chain as common table expressions of DuckDB; the last one is ``stems`` (name, stem)."""
+
+    def cut(n) -> str:
+        return f"left(w, length(w) - {n})"
+
+    def matches(text: str, pattern: str) -> str:
+        return f"regexp_matches({text}, '{pattern}')"
+
+    def rules(table: str, source: str, listed, least: str) -> str:
+        cases = " ".join(f"WHEN '{s}' THEN '{n}'" for s, n in listed)
+        return f"""{table}_parts AS (SELECT name, w, regexp_extract(w, '{_ending(listed)}', 1) AS suffix FROM {source}),
+{table} AS (SELECT name, CASE WHEN suffix <> '' AND {matches(cut("length(suffix)"), least)}
+    AND (suffix <> 'ion' OR {matches(cut("length(suffix)"), "[st]$")})
+    THEN {cut("length(suffix)")} || CASE suffix {cases} END ELSE w END AS w FROM {table}_parts)"""
+
+    stripped = "regexp_replace(w, '(?:ed|ing)$', '')"
+    return ",\n".join([
+        f"porter0 AS (SELECT {name} AS name, regexp_replace(lower({name}), '^y', 'Y') AS w FROM {source})",
+        f"""porter1 AS (SELECT name, CASE WHEN {matches("w", "(?:sses|ies)$")} THEN {cut(2)}
+    WHEN {matches("w", "s$")} AND NOT {matches("w", "ss$")} THEN {cut(1)} ELSE w END AS w FROM porter0)""",
+        f"""porter2 AS (SELECT name, w AS whole, CASE WHEN {matches("w", "eed$")} THEN NULL
+    WHEN {matches("w", "(?:ed|ing)$")} AND {matches(stripped, HAS_VOWEL)} THEN {stripped} END AS w FROM porter1)""",
+        f"""porter3 AS (SELECT name, CASE WHEN w IS NULL AND {matches("whole", "eed$")}
+        AND {matches("left(whole, length(whole) - 3)", SOME)} THEN left(whole, length(whole) - 1)
+    WHEN w IS NULL THEN whole WHEN {matches("w", RESTORED)} THEN w || 'e'
+    WHEN {matches("w", DOUBLED)} THEN {cut(1)} WHEN {matches("w", SHORT)} THEN w || 'e' ELSE w END AS w FROM porter2)""",
+        f"""porter4 AS (SELECT name, CASE WHEN {matches("w", "y$")} AND {matches(cut(1), HAS_VOWEL)}
+    THEN {cut(1)} || 'i' ELSE w END AS w FROM porter3)""",
+        rules("porter5", "porter4", _STEP2, SOME),
+        rules("porter6", "porter5", _STEP3, SOME),
+        rules("porter7", "porter6", _STEP4, MANY),
+        f"""porter8 AS (SELECT name, CASE WHEN {matches("w", "e$")} AND ({matches(cut(1), MANY)}
+    OR ({matches(cut(1), ONE)} AND NOT {matches(cut(1), SHORT)})) THEN {cut(1)} ELSE w END AS w FROM porter7)""",
+        f"""stems AS (SELECT name, CASE WHEN length(name) <= 2 THEN lower(name)
+    WHEN {matches("w", "ll$")} AND {matches("w", MANY)} THEN lower({cut(1)}) ELSE lower(w) END AS stem FROM porter8)""",
+    ])

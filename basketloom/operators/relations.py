@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketloom.functions.fixed_values import BAD_PARENT_OPENINGS, TRADEMARK_SIGNS
@@ -16,9 +16,6 @@ from basketloom.functions.stems import stem
 from basketloom.functions.text import one_space, plural, singular, tokens
 from basketloom.runtime import Scratch
 
-# Longest abbreviation dictionary that is inlined as a constant.
-MAX_ABBREVIATIONS = 10_000
-
 
 def _relation(subject: str | Column, relation: str | Column, obj: str | Column) -> list[Column]:
     def col(value: str | Column) -> Column:
@@ -78,57 +75,90 @@ def stem_aliases(names: DataFrame) -> DataFrame:
     return _in_vocabulary(pairs, names, "subject")
 
 
-def abbreviation_pairs(dictionary: DataFrame) -> list[tuple[str, str]]:
-    """Dictionary frame as ordered pairs; refuses one too long to be a constant."""
-    rows = dictionary.limit(MAX_ABBREVIATIONS + 1).collect()
-    if len(rows) > MAX_ABBREVIATIONS:
-        raise ValueError(f"more than {MAX_ABBREVIATIONS} abbreviations")
-    return [(row[0], row[1]) for row in rows]
+Abbreviations = DataFrame | Mapping[str, str] | Sequence[tuple[str, str]]
 
+# characters with a meaning in patterns
+_SPECIAL = r"([\\.\[\]{}()*+?^$|\-])"
 
-def expand_abbreviations(name: Column, pairs: Sequence[tuple[str, str]]) -> Column:
-    """Replace whole space-separated words, one dictionary entry after the other."""
-    special = set("\\.[]{}()*+?^$|-")
 
-    def escaped(text: str) -> str:
-        return "".join("\\" + c if c in special else c for c in text)
+def abbreviation_table(spark: SparkSession, abbreviations: Abbreviations) -> DataFrame:
+    """(pos, short, full) in dictionary order: rows of a frame as they are read, or by its ``pos``."""
+    if isinstance(abbreviations, DataFrame):
+        short, full = [c for c in abbreviations.columns if c != "pos"][:2]
+        pos = F.col("pos") if "pos" in abbreviations.columns else F.monotonically_increasing_id()
+        rows = abbreviations.select(pos.alias("pos"), F.col(short).alias("short"), F.col(full).alias("full"))
+    else:
+        pairs = abbreviations.items() if isinstance(abbreviations, Mapping) else abbreviations
+        rows = spark.createDataFrame(
+            [(k, short, full) for k, (short, full) in enumerate(pairs)], "pos long, short string, full string"
+        )
+    return rows.where((F.col("short") != "") & F.col("full").isNotNull())
 
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(short).alias("short"),
-                F.lit(rf"(?<!\S){escaped(short)}(?!\S)").alias("pattern"),
-                F.lit(full.replace("\\", "\\\\").replace("$", "\\$")).alias("full"),
-            )
-            for short, full in pairs
-        ]
+
+def _parts(text: Column) -> Column:
+    return F.split(text, r"\s", -1)
+
+
+def expand_abbreviations(names: DataFrame, abbreviations: Abbreviations) -> DataFrame:
+    """(name, full) of the names that change when whole words are replaced, one entry after the other.
+
+    Words are looked up in the first words of the entries, and only there the lengths of the entries
+    that begin with the word give phrases to look up.  A round applies to every name the first entry
+    that it holds after the one applied last, so that an entry sees what earlier ones wrote; names
+    without a further entry leave.  Rounds are as many as one name has entries, plus one.
+    """
+    spark = names.sparkSession
+    scratch = Scratch(spark, "abbreviations")
+    words = _parts(F.col("short"))
+    # looked up with any white space as a blank; the pattern then asks for the entry's own
+    entries = scratch.keep(
+        abbreviation_table(spark, abbreviations).withColumn("phrase", F.array_join(words, " "))
     )
-    return F.aggregate(
-        entries,
-        name,
-        lambda text, entry: F.when(
-            text.contains(entry["short"]),
-            F.regexp_replace(text, entry["pattern"], entry["full"]),
-        ).otherwise(text),
+    openings = scratch.keep(
+        entries.groupBy(words[0].alias("word")).agg(F.collect_set(F.size(words)).alias("sizes"))
     )
+    current = names.select("name", F.col("name").alias("text"), F.lit(-1).cast("long").alias("last")).distinct()
+    while True:
+        placed = current.select("name", "text", "last", F.posexplode(_parts(F.col("text"))).alias("at", "word"))
+        phrases = (
+            placed.join(openings, "word")
+            .select("name", "text", "last", "at", F.explode("sizes").alias("size"))
+            .select(
+                "name", "text", "last",
+                F.array_join(F.slice(_parts(F.col("text")), F.col("at") + 1, F.col("size")), " ").alias("phrase"),
+            )
+        )
+        first = F.min(F.struct("pos", "short", "full")).alias("entry")
+        hits = phrases.join(entries, "phrase").where("pos > last").groupBy("name", "text").agg(first)
+        pattern = F.concat(
+            F.lit(r"(?<!\S)"), F.regexp_replace(F.col("entry.short"), _SPECIAL, r"\\$1"), F.lit(r"(?!\S)")
+        )
+        replacement = F.regexp_replace(F.col("entry.full"), r"([\\$])", r"\\$1")
+        current = scratch.add(
+            "expanded",
+            hits.select(
+                "name",
+                F.regexp_replace("text", pattern, replacement).alias("text"),
+                F.col("entry.pos").alias("last"),
+            ),
+        )
+        if current.isEmpty():
+            break
+    done = scratch.whole("expanded", current).groupBy("name").agg(F.max_by("text", "last").alias("full"))
+    return done.where(F.col("full") != F.col("name"))
 
 
-def abbreviation_aliases(
-    names: DataFrame, abbreviations: Mapping[str, str] | Sequence[tuple[str, str]]
-) -> DataFrame:
-    pairs = list(abbreviations.items()) if isinstance(abbreviations, Mapping) else abbreviations
-    full = names.select("name", expand_abbreviations(F.col("name"), pairs).alias("_full"))
-    return full.where(F.col("_full") != F.col("name")).select(
-        *_relation("name", "alias:abbreviation", "_full")
-    )
+def abbreviation_aliases(names: DataFrame, abbreviations: Abbreviations) -> DataFrame:
+    full = expand_abbreviations(names.select("name"), abbreviations)
+    return full.select(*_relation("name", "alias:abbreviation", "full"))
 
 
 def all_aliases(
-    names: DataFrame, abbreviations: Mapping[str, str] | Sequence[tuple[str, str]]
+    names: DataFrame, abbreviations: Abbreviations | None
 ) -> tuple[DataFrame, DataFrame]:
     """Relations of every alias rule, and the names they discover."""
     open_rules = [spacing_aliases(names), hyphen_aliases(names)]
-    if abbreviations:
+    if abbreviations is not None and not (isinstance(abbreviations, Sequence | Mapping) and not abbreviations):
         open_rules.append(abbreviation_aliases(names, abbreviations))
     closed_rules = [plural_aliases(names), singular_aliases(names), stem_aliases(names)]
     relations = open_rules[0]

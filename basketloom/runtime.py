@@ -56,6 +56,10 @@ class Scratch:
         self._stored[id(stored)] = (stored, path)
         return stored
 
+    def next_number(self) -> int:
+        self._n += 1
+        return self._n
+
     def path_of(self, stored: DataFrame) -> str:
         return self._stored[id(stored)][1]
 

@@ -170,6 +170,63 @@ def test_canonical_job_names_a_cycle(spark):
         closure.canonical_items_job(relations, items.select("item_id"), items)
 
 
+def brute_validity(vocabulary, aliases, childofs):
+    valid = dict(vocabulary)
+    arrows = [*aliases, *((b, a) for a, b in aliases), *((p, c) for c, p in childofs)]
+    todo = [n for n, v in valid.items() if v == 1]
+    into = defaultdict(list)
+    for a, b in arrows:
+        into[a].append(b)
+    while todo:
+        for b in into[todo.pop()]:
+            if valid.get(b) == 0:
+                valid[b] = 1
+                todo.append(b)
+    return valid
+
+
+@pytest.mark.parametrize("near_rounds", [0, 2])
+@pytest.mark.parametrize("seed", range(3))
+def test_validity_equals_brute_force(spark, monkeypatch, near_rounds, seed):
+    monkeypatch.setattr(closure, "NEAR_ROUNDS", max(near_rounds, 1))
+    rng = random.Random(seed)
+    names = [f"n{k}" for k in range(150)]
+    vocabulary = [(n, rng.choice([0] * 12 + [-1, 1])) for n in names]
+    pick = lambda: (rng.choice([*names, "unknown"]), rng.choice(names))
+    aliases, childofs = [pick() for _ in range(25 + 30 * seed)], [pick() for _ in range(100)]
+    found = closure.propagate_validity(
+        spark.createDataFrame(vocabulary, "name string, valid tinyint"),
+        spark.createDataFrame(aliases, "alias string, ingredient string"),
+        spark.createDataFrame(childofs, "child string, parent string"),
+    )
+    assert dict(found.select("name", "valid").collect()) == brute_validity(vocabulary, aliases, childofs)
+
+
+@pytest.mark.parametrize("kind", ["childof", "alias", "ladder"])
+def test_long_chains_take_few_rounds(spark, monkeypatch, kind):
+    n = 10_000
+    rows = spark.range(n)
+    vocabulary = rows.select(
+        F.col("id").cast("string").alias("name"), F.when(F.col("id") == 0, 1).otherwise(0).cast("tinyint").alias("valid")
+    )
+    step = lambda by: rows.select(
+        (F.col("id") + by).cast("string").alias("child"), F.col("id").cast("string").alias("parent")
+    )
+    arrows = step(1).unionByName(step(3)) if kind == "ladder" else step(1)
+    nothing = arrows.limit(0)
+    aliases = (arrows if kind == "alias" else nothing).toDF("alias", "ingredient")
+    rounds = []
+    for name in ("keep", "add"):
+        plain = getattr(Scratch, name)
+        monkeypatch.setattr(
+            Scratch, name, lambda *a, plain=plain, **k: (rounds.append(1), plain(*a, **k))[1]
+        )
+    found = closure.propagate_validity(vocabulary, aliases, nothing if kind == "alias" else arrows)
+    assert found.where("valid <> 1").count() == 0
+    # a round of contraction stores two tables, and one when it is played back
+    assert len(rounds) <= (70 if kind == "alias" else 30)
+
+
 def test_validity_is_monotone_and_skips_invalid_names(spark):
     rng = random.Random(3)
     valid = {f"n{i}": rng.choice([-1, 0, 0, 0, 1]) for i in range(80)}

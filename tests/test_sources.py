@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,8 +36,9 @@ def test_small_dictionaries(spark, tmp_path):
     modifiers = write(tmp_path / "m.csv", "word\nred\nnew\n")
     assert {r["modifier"] for r in vocabulary.read_modifiers(spark, modifiers).collect()} == {"red", "new"}
     short = write(tmp_path / "a.csv", "abbreviations,expanded\nlg.,large\nevoo,olive oil\n")
-    pairs = rel.abbreviation_pairs(vocabulary.read_abbreviations(spark, short))
-    assert pairs == [("lg.", "large"), ("evoo", "olive oil")]
+    pairs = vocabulary.read_abbreviations(spark, short)
+    table = rel.abbreviation_table(spark, pairs).orderBy("pos").collect()
+    assert [(r["short"], r["full"]) for r in table] == [("lg.", "large"), ("evoo", "olive oil")]
     names = spark.createDataFrame([("lg. egg",), ("evoo",), ("lg.egg",), ("$ lg.",)], "name string")
     found = {r["subject"]: r["object"] for r in rel.abbreviation_aliases(names, pairs).collect()}
     assert found == {"lg. egg": "large egg", "evoo": "olive oil", "$ lg.": "$ large"}
@@ -49,6 +52,35 @@ def test_abbreviations_apply_in_order(spark):
     assert reverse["object"] == "b x"
 
 
+def test_abbreviations_equal_replacing_one_by_one(spark):
+    rng = random.Random(2)
+    parts = ["a", "b", "c", "d.", "(e)", "$f", "g\\h", "tab\tx"]
+    phrases = [" ".join(rng.choices(parts, k=rng.choice([1, 1, 2, 3]))) for _ in range(25)]
+    entries = [(p, " ".join(rng.choices(parts, k=rng.choice([1, 2])))) for p in phrases]
+    names = {" ".join(rng.choices([*parts, ""], k=rng.randint(1, 7))) for _ in range(300)} | {"", " ", "  a  b "}
+
+    def replaced(name):
+        for short, full in entries:
+            name = re.sub(rf"(?<!\S){re.escape(short)}(?!\S)", lambda _: full, name)
+        return name
+
+    frame = spark.createDataFrame([(n,) for n in sorted(names)], "name string")
+    expected = {n: replaced(n) for n in names if replaced(n) != n}
+    assert dict(rel.expand_abbreviations(frame, entries).collect()) == expected
+    rows = [(k, *e) for k, e in enumerate(entries)]
+    table = spark.createDataFrame(rng.sample(rows, len(rows)), "pos int, s string, f string")
+    assert dict(rel.expand_abbreviations(frame, table).collect()) == expected
+
+
+def test_large_dictionaries_are_joined(spark):
+    entries = spark.range(100_000).select(
+        F.col("id").alias("pos"), F.concat(F.lit("w"), "id").alias("short"), F.concat(F.lit("word "), "id").alias("full")
+    )
+    names = spark.createDataFrame([("w7 and w99999 w100000",), ("none",)], "name string")
+    found = [tuple(r) for r in rel.abbreviation_aliases(names, entries).collect()]
+    assert found == [("w7 and w99999 w100000", "alias:abbreviation", "word 7 and word 99999 w100000")]
+
+
 def test_edges_and_triples(spark, tmp_path):
     child = vocabulary.read_child_of(spark, write(tmp_path / "c.csv", "child,parent\na,b\na,c\na,b\n"))
     maps = vocabulary.multimap(child, "child", "parent").collect()
