@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from basketloom.catalog import bindings as b
-from basketloom.catalog.line_parsing import order_documents
 from basketloom.catalog.registry import register
 from basketloom.runtime import Scratch
 from basketloom.sources import documents, exports, vocabulary
@@ -18,23 +17,25 @@ def _folder(spark, name: str) -> str:
 @register(
     "s1_k1_documents",
     b.with_ctes(
-        "SELECT a::VARCHAR AS id, count(*) AS lines, string_agg(text, '|' ORDER BY b, text) AS texts "
-        "FROM all_lines WHERE src = 'line' GROUP BY a",
+        "SELECT id, count(*) AS lines, string_agg(text, '|' ORDER BY b, text) AS texts FROM ("
+        "SELECT a::VARCHAR AS id, b, text FROM all_lines WHERE src = 'line' UNION ALL "
+        "SELECT 'doc ' || a, b, text FROM all_lines WHERE src = 'doc') GROUP BY id",
         b.LINES,
     ),
 )
 def _(spark, sf):
     path = _folder(spark, "documents")
-    documents.write_documents(order_documents(spark, sf), path)
-    # one object per line is also what a file of a single outer list holds
-    read = spark.read.schema(documents.DOCUMENT).json(path)
-    lines = F.filter(
-        F.transform("ingredients", lambda i: i["text"]), lambda t: ~t.contains("equipment: ")
-    )
+    source = F.when(F.col("src") == "doc", F.concat(F.lit("doc "), F.col("a"))).otherwise(F.col("a").cast("string"))
+    lines = F.array_sort(F.collect_list(F.struct("b", "text")))
+    texts = F.transform(lines, lambda line: F.struct(line["text"].alias("text")))
+    rows = b.all_lines(spark, sf).groupBy(source.alias("id")).agg(texts.alias("ingredients"))
+    # every file holds one outer list
+    documents.write_document_lists(rows, path)
+    read = documents.read_documents(spark, path)
     return read.select(
         "id",
-        F.size(lines).cast("long").alias("lines"),
-        F.array_join(lines, "|").alias("texts"),
+        F.size("ingredients").cast("long").alias("lines"),
+        F.array_join(F.transform("ingredients", lambda i: i["text"]), "|").alias("texts"),
     )
 
 
