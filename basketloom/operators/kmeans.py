@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketloom.operators.medoids import nearest_point
 from basketloom.operators.metrics import calinski_harabasz, davies_bouldin, label_sizes
 from basketloom.operators.walk import seeded_number
 from basketloom.runtime import Scratch
@@ -95,26 +96,24 @@ def kmeans_sweep(
     spark = cells.sparkSession
     scratch = Scratch(spark, "kmeans")
     stored = scratch.keep(cells.select("row_id", F.col("dim").cast("long").alias("dim"), "value"))
-    rows = vector_rows(stored, matrix_width(stored), scratch).persist()
+    # stored, so that every fit reads them again after a lost executor too
+    rows = vector_rows(stored, matrix_width(stored), scratch)
     profiles = []
-    try:
-        for k in ks:
-            model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(rows)
-            labels = scratch.keep(
-                model.transform(rows).select("row_id", F.col("prediction").alias("label"))
-            )
-            profiles.append(
-                profile_clustering(
-                    stored,
-                    labels,
-                    centre_cells(spark, model.clusterCenters()),
-                    k,
-                    float(model.summary.trainingCost),
-                )
+    for k in ks:
+        model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(rows)
+        labels = scratch.keep(
+            model.transform(rows).select("row_id", F.col("prediction").alias("label"))
+        )
+        profiles.append(
+            profile_clustering(
+                stored,
+                labels,
+                centre_cells(spark, model.clusterCenters()),
+                k,
+                float(model.summary.trainingCost),
             )
-            scratch.drop(labels)
-    finally:
-        rows.unpersist()
+        )
+        scratch.drop(labels)
     return spark.createDataFrame(profiles, PROFILE)
 
 
@@ -124,6 +123,146 @@ class MiniBatch(NamedTuple):
     inertia: float
 
 
+def array_rows(cells: DataFrame) -> DataFrame:
+    """row_id, dims, values: the cells of a row as two arrays, by column number."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("dim").cast("long").alias("dim"), F.col("value").cast("double").alias("value"))))
+    return cells.groupBy("row_id").agg(pairs.alias("_cells")).select(
+        "row_id",
+        F.transform("_cells", lambda c: c["dim"]).alias("dims"),
+        F.transform("_cells", lambda c: c["value"]).alias("values"),
+    )
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Column numbers, values and row starts of a batch of array rows."""
+    lists = batch.column("dims")
+    sizes = lists.value_lengths().to_numpy()
+    return lists.flatten().to_numpy(), batch.column("values").flatten().to_numpy(), np.cumsum(sizes) - sizes
+
+
+def _nearest(batch: pa.RecordBatch, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Label and squared distance of each row; the lowest label of equally near ones."""
+    dims, values, starts = _flat(batch)
+    dots = np.add.reduceat(centres.T[dims] * values[:, None], starts)
+    own = np.add.reduceat(values * values, starts)
+    apart = np.maximum(own[:, None] - 2 * dots + (centres * centres).sum(axis=1), 0.0)
+    labels = apart.argmin(axis=1)
+    return labels, apart[np.arange(len(labels)), labels]
+
+
+# in place of a column number: rows and summed squared distances of a label
+COUNT, SQUARES = -1, -2
+
+
+def batch_sums(
+    rows: DataFrame, centres: dict[int, np.ndarray], one_batch: bool = False
+) -> dict[tuple[int, int, int], float]:
+    """(start, label, column) -> sum over the rows that ``starts`` deals to each start.
+
+    One aggregate assigns the rows and sums them: every task sends one number for each start, label
+    and column it has seen, besides ``COUNT`` and ``SQUARES``.  The few tasks of ``one_batch`` send
+    theirs straight to the driver, more are added up by a shuffle.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            starts = batch.column("starts")
+            row_of = np.repeat(np.arange(batch.num_rows), starts.value_lengths().to_numpy())
+            start_of = starts.flatten().to_numpy()
+            for start, means in sent.value.items():
+                mine = batch.take(pa.array(row_of[start_of == start]))
+                if not mine.num_rows:
+                    continue
+                labels, squares = _nearest(mine, means)
+                dims, values, at = _flat(mine)
+                # two more columns at the end, so that COUNT and SQUARES are places too
+                sums = total.setdefault(start, np.zeros((means.shape[0], means.shape[1] + 2)))
+                sizes = np.diff(np.append(at, len(dims)))
+                np.add.at(sums, (np.repeat(labels, sizes), dims), values)
+                np.add.at(sums, (labels, COUNT), 1.0)
+                np.add.at(sums, (labels, SQUARES), squares)
+        for start, sums in total.items():
+            label, dim = np.nonzero(sums)
+            width = sums.shape[1]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(label), start), pa.int32()),
+                    pa.array(label, pa.int32()),
+                    pa.array(np.where(dim >= width - 2, dim - width, dim), pa.int64()),
+                    pa.array(sums[label, dim]),
+                ],
+                names=["start", "label", "dim", "value"],
+            )
+
+    parts = rows.select("starts", "dims", "values").mapInArrow(
+        run, "start int, label int, dim long, value double"
+    )
+    if not one_batch:
+        parts = parts.groupBy("start", "label", "dim").agg(F.sum("value").alias("value"))
+    found: dict[tuple[int, int, int], float] = defaultdict(float)
+    # in one order, so that the sums do not depend on which task ends first
+    for r in sorted(parts.collect()):
+        found[r["start"], r["label"], r["dim"]] += r["value"]
+    sent.unpersist()
+    return found
+
+
+class _Start:
+    """Running means of one start, and whether its batches still bring something."""
+
+    def __init__(self, first: np.ndarray) -> None:
+        self.sums, self.sizes = first.copy(), np.ones(len(first))
+        self.smoothed = self.lowest = None
+        self.waited = 0
+
+    def centres(self) -> np.ndarray:
+        return self.sums / self.sizes[:, None]
+
+    def take(self, found: dict[tuple[int, int], float], weight: float) -> None:
+        rows = squares = 0.0
+        for (label, dim), value in found.items():
+            if dim == COUNT:
+                self.sizes[label] += value
+                rows += value
+            elif dim == SQUARES:
+                squares += value
+            else:
+                self.sums[label, dim] += value
+        if not rows:
+            return
+        inertia = squares / rows
+        self.smoothed = inertia if self.smoothed is None else self.smoothed + weight * (inertia - self.smoothed)
+        if self.lowest is None or self.smoothed < self.lowest:
+            self.lowest, self.waited = self.smoothed, 0
+        else:
+            self.waited += 1
+
+
+def drawn_batches(
+    rows: DataFrame, total: int, batch_size: int, max_iter: int, salts: Sequence[int]
+) -> DataFrame:
+    """Rows with ``iteration`` and ``starts``: the batch of every iteration and start.
+
+    A pass deals all rows to batches of about ``batch_size`` by a hash that differs from pass to pass,
+    so later passes meet other batches.  At most about ``max_iter * batch_size`` rows of every start
+    are drawn.
+    """
+    batches = max(total // batch_size, 1)
+    draws = []
+    for start, salt in enumerate(salts):
+        for turn in range(-(-max_iter // batches)):
+            place = F.pmod(seeded_number(salt, "row_id", F.lit(turn)), F.lit(batches)).cast("int")
+            draws.append(F.struct((place + turn * batches).alias("iteration"), F.lit(start).alias("start")))
+    kept = F.filter(F.array(*draws), lambda d: d["iteration"] < max_iter)
+    return (
+        rows.withColumn("_draw", F.explode(kept))
+        .groupBy("row_id", F.col("_draw.iteration").alias("iteration"))
+        .agg(F.collect_list("_draw.start").alias("starts"), F.first("dims").alias("dims"), F.first("values").alias("values"))
+    )
+
+
 def mini_batch_kmeans(
     cells: DataFrame,
     k: int,
@@ -135,89 +274,56 @@ def mini_batch_kmeans(
 ) -> MiniBatch:
     """Mini-batch K-means: centres are running means of the batch rows assigned to them.
 
-    All batches of a start are drawn in one pass over the data and stored batch by batch (at most
-    ``max_iter * batch_size`` rows in expectation), so an iteration reads its batch only.  The
-    start with the lowest inertia wins.
+    All starts go side by side.  An iteration is one aggregate over its stored batch; only the centres
+    (starts x k x columns) live on the driver.  The start with the lowest inertia over all rows wins.
     """
-    scratch = Scratch(cells.sparkSession, "mini-batch")
-    stored = scratch.keep(cells.select("row_id", "dim", "value"))
-    rows = scratch.keep(stored.select("row_id").distinct())
+    spark = cells.sparkSession
+    scratch = Scratch(spark, "mini-batch")
+    rows = scratch.keep(array_rows(cells))
     total = rows.count()
     if total < k:
         raise ValueError(f"{total} rows cannot form {k} clusters")
-    best: MiniBatch | None = None
-    for start in range(n_init):
-        salt = seed * n_init + start
-        # a row's draw number decides its batch; with fewer rows than draws, batches cover the
-        # data several times over and each pass reshuffles it
-        batches = max(total // batch_size, 1)
-        if batches > max_iter:
-            drawn = rows.where(
-                F.pmod(seeded_number(salt, "row_id"), F.lit(batches)) < max_iter
-            )
-        else:
-            drawn = rows
-        batch = F.pmod(seeded_number(salt, "row_id"), F.lit(batches)).cast("int")
-        table = scratch.keep(
-            stored.join(drawn.select("row_id", batch.alias("batch")), "row_id"),
-            partition_by=["batch"],
-        )
-        first = [
-            row[0]
-            for row in rows.orderBy(seeded_number(salt, "row_id", F.lit("start")), "row_id")
-            .limit(k)
-            .collect()
-        ]
-        place = F.array_position(F.array(*[F.lit(r) for r in first]), F.col("row_id"))
-        sums = scratch.keep(
-            stored.where(F.col("row_id").isin(first)).select(
-                (place - 1).cast("int").alias("label"), "dim", "value"
-            )
-        )
-        sizes = dict.fromkeys(range(k), 1)
-        smoothed, lowest, waited = None, None, 0
-        centres = sums
-        for i in range(max_iter):
-            current = table.where(F.col("batch") == i % batches).drop("batch")
-            assigned = scratch.keep(nearest_point(current, centres, k))
-            stats = assigned.groupBy("label").agg(
-                F.count("*").alias("n"),
-                F.sum(F.col("distance") * F.col("distance")).alias("squares"),
-            ).collect()  # at most k rows
-            if not stats:
-                continue
-            for row in stats:
-                sizes[row["label"]] += row["n"]
-            gained = (
-                current.join(assigned.select("row_id", "label"), "row_id")
-                .groupBy("label", "dim")
-                .agg(F.sum("value").alias("value"))
-            )
-            # a centre is its summed rows over their number: the running mean
-            next_sums = scratch.keep(
-                sums.unionByName(gained).groupBy("label", "dim").agg(F.sum("value").alias("value"))
-            )
-            scratch.drop(sums, assigned)
-            sums = next_sums
-            centres = sums.select(
-                "label",
-                "dim",
-                (F.col("value") / F.element_at(
-                    F.array(*[F.lit(float(sizes[j])) for j in range(k)]), F.col("label") + 1
-                )).alias("value"),
-            )
-            inertia = sum(row["squares"] for row in stats) / sum(row["n"] for row in stats)
-            weight = min(2.0 * batch_size / (total + 1), 1.0)
-            smoothed = inertia if smoothed is None else smoothed + weight * (inertia - smoothed)
-            if lowest is None or smoothed < lowest:
-                lowest, waited = smoothed, 0
-            else:
-                waited += 1
-                if waited >= max_no_improvement:
-                    break
-        labels = scratch.keep(nearest_point(stored, centres, k))
-        inertia = labels.agg(F.sum(F.col("distance") * F.col("distance"))).first()[0]
-        if best is None or inertia < best.inertia:
-            best = MiniBatch(centres, labels, inertia)
-        scratch.drop(table)
-    return best
+    width = int(rows.agg(F.max(F.element_at("dims", -1))).first()[0]) + 1
+    salts = [seed * n_init + start for start in range(n_init)]
+    starts: list[_Start] = []
+    for salt in salts:
+        first = np.zeros((k, width))
+        chosen = rows.orderBy(seeded_number(salt, "row_id", F.lit("start")), "row_id").limit(k).collect()
+        for label, row in enumerate(chosen):
+            first[label, row["dims"]] = row["values"]
+        starts.append(_Start(first))
+    everyone = rows.withColumn("starts", F.array(*[F.lit(n) for n in range(n_init)]))
+    table = None
+    if total >= 2 * batch_size:
+        drawn = drawn_batches(rows, total, batch_size, max_iter, salts)
+        # one file for every iteration
+        table = scratch.keep(drawn.repartition("iteration"), partition_by=["iteration"])
+    weight = min(2.0 * batch_size / (total + 1), 1.0)
+    for i in range(max_iter):
+        going = {n: s.centres() for n, s in enumerate(starts) if s.waited < max_no_improvement}
+        if not going:
+            break
+        batch = everyone if table is None else table.where(F.col("iteration") == i)
+        found: dict[int, dict] = {n: {} for n in going}
+        for (start, label, dim), value in batch_sums(batch, going, one_batch=True).items():
+            found[start][label, dim] = value
+        for n in going:
+            starts[n].take(found[n], weight)
+    centres = [s.centres() for s in starts]
+    last = batch_sums(everyone, dict(enumerate(centres)))
+    inertia = [sum(v for (n, _, dim), v in last.items() if n == start and dim == SQUARES) for start in range(n_init)]
+    best = int(np.argmin(inertia))
+    sent = spark.sparkContext.broadcast(centres[best])
+
+    def label_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                labels, squares = _nearest(batch, sent.value)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row_id"), pa.array(labels, pa.int32()), pa.array(np.sqrt(squares))],
+                    names=["row_id", "label", "distance"],
+                )
+
+    kind = rows.schema["row_id"].dataType.simpleString()
+    labels = scratch.keep(rows.mapInArrow(label_rows, f"row_id {kind}, label int, distance double"))
+    return MiniBatch(centre_cells(spark, centres[best]), labels, inertia[best])

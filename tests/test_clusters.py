@@ -152,6 +152,35 @@ def test_mini_batches_recover_blocks(spark):
     assert kinds.select("kind", "label").distinct().count() == 3
 
 
+@pytest.mark.parametrize("batch_size", [16, 10_000])
+def test_mini_batches_equal_numpy(spark, batch_size):
+    rng = np.random.default_rng(5)
+    data = np.concatenate([rng.normal(c, 0.3, (40, 5)) for c in (-4, 0, 4)])
+    cells = spark.createDataFrame(
+        [(int(r), int(d), float(x)) for r, row in enumerate(data) for d, x in enumerate(row)],
+        "row_id long, dim long, value double",
+    )
+    found = kmeans.mini_batch_kmeans(cells, 3, batch_size=batch_size, max_iter=9, n_init=2, seed=1)
+    rows = sorted(map(tuple, found.labels.collect()))
+    centres = np.zeros((3, 5))
+    for r in found.centres.collect():
+        centres[r["label"], r["dim"]] = r["value"]
+    apart = ((data[:, None] - centres[None]) ** 2).sum(2)
+    assert [label for _, label, _ in rows] == apart.argmin(1).tolist()
+    assert [d for _, _, d in rows] == pytest.approx(np.sqrt(apart.min(1)).tolist(), rel=1e-6, abs=1e-6)
+    assert found.inertia == pytest.approx(apart.min(1).sum())
+
+
+def test_batches_are_dealt_anew_every_pass(spark):
+    rows = spark.range(1000).select(F.col("id").alias("row_id"), F.array(F.lit(0)).alias("dims"), F.array(F.lit(1.0)).alias("values"))
+    drawn = kmeans.drawn_batches(rows, 1000, 100, 25, [0, 1]).collect()
+    for start in (0, 1):
+        batches = [{r["row_id"] for r in drawn if r["iteration"] == i and start in r["starts"]} for i in range(25)]
+        assert all(60 < len(b) < 140 for b in batches)
+        assert set().union(*batches[:10]) == set(range(1000)) and sum(map(len, batches[:10])) == 1000
+        assert len(batches[0] & batches[10]) < 40
+
+
 def test_too_few_rows_for_mini_batches(spark):
     cells = metrics.edge_cells(blocks(spark, 2), "rid", "iid")
     with pytest.raises(ValueError):
