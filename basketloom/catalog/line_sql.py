@@ -105,18 +105,18 @@ PARSED = f"""normal AS (SELECT src, a, b, text, {normalised('text')} AS t FROM s
         FROM cuts),
     options AS (SELECT src, a, b, k, string_agg(piece, ' or ' ORDER BY i) AS text FROM grouped
         GROUP BY src, a, b, k),
-    candidates AS (
+    candidates AS MATERIALIZED (
         SELECT src, a, b, 0::BIGINT AS k, t AS text FROM normal
         UNION ALL
         SELECT src, a, b, k, text FROM options
         QUALIFY count(*) OVER (PARTITION BY src, a, b) > 1),
-    measured AS (SELECT *, regexp_matches(text, {_MEASURE}) AS has_measure,
+    measured AS MATERIALIZED (SELECT *, regexp_matches(text, {_MEASURE}) AS has_measure,
         {strip(f"regexp_extract(text, {_MEASURE}, 1)")} AS measure,
         {strip(f"regexp_extract(text, {_MEASURE}, 2)")} AS rest FROM candidates),
     sized AS (SELECT *, regexp_extract(measure, {_SIZED}) AS w1,
         regexp_extract(measure, {_BARE}) AS w2,
         {without_parentheses('measure')} AS bare FROM measured),
-    united AS (SELECT *,
+    united AS MATERIALIZED (SELECT *,
         nullif(CASE WHEN w1 <> '' THEN regexp_replace(w1, '[()]', '', 'g')
             WHEN w2 <> '' THEN regexp_replace(w2, '[()]', '', 'g')
             ELSE regexp_extract(bare, {_UNIT}) END, '') AS raw_unit,
@@ -127,7 +127,7 @@ PARSED = f"""normal AS (SELECT src, a, b, text, {normalised('text')} AS t FROM s
     worded AS (SELECT *, CASE WHEN has_measure AND lq <> '' THEN {strip('lq')} END AS quantity_str,
         CASE WHEN has_measure THEN {canonical_unit('raw_unit')} END AS unit,
         regexp_extract(ext, '^(.+?)(?:,|:|;|- | -)', 1) AS cut FROM united),
-    sided AS (SELECT *, CASE
+    sided AS MATERIALIZED (SELECT *, CASE
         WHEN contains(quantity_str, '-') OR contains(quantity_str, ' to ') THEN
             CASE WHEN len(string_split(quantity_str, '-')) = 2 THEN string_split(quantity_str, '-')
                 WHEN len(string_split(quantity_str, ' to ')) = 2
@@ -149,7 +149,7 @@ PARSED = f"""normal AS (SELECT src, a, b, text, {normalised('text')} AS t FROM s
         CASE WHEN count(v) = max(n) THEN max(v) FILTER (side = 1) END AS quantity_low,
         CASE WHEN count(v) = max(n) THEN max(v) FILTER (side = n) END AS quantity_high
         FROM valued GROUP BY src, a, b, k),
-    parsed AS (SELECT src, a, b, k, text, has_measure, measure, rest, raw_unit, unit,
+    parsed AS MATERIALIZED (SELECT src, a, b, k, text, has_measure, measure, rest, raw_unit, unit,
         quantity_str, quantity_low, quantity_high,
         CASE WHEN NOT has_measure THEN string_split(text, ',')[1]
             ELSE {strip("regexp_replace(CASE WHEN cut = '' THEN " + strip('ext') + " ELSE cut END, '^of ', '')")}
