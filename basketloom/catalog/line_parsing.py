@@ -72,17 +72,19 @@ def _(spark, sf):
 
 @register(
     "t3_parenthetic_text",
+    # one pair after the other, the first that holds no other
     b.with_ctes(
-        "SELECT src, a, b, array_to_string(list_transform("
-        "regexp_extract_all(text, '\\([^()]*\\)'), lambda x: x[2:-2]), '|') AS inside FROM all_lines "
-        "WHERE src = 'line'",
+        "SELECT src, a, b, array_to_string(arg_max(inside, n), '|') AS inside FROM peeled GROUP BY r, src, a, b",
         b.LINES,
-    ),
+        """peeled AS (SELECT row_number() OVER () AS r, src, a, b, text, CAST([] AS VARCHAR[]) AS inside, 0 AS n
+        FROM all_lines UNION ALL SELECT r, src, a, b, regexp_replace(text, '\\([^()]*\\)', ''),
+            list_append(inside, regexp_extract(text, '\\(([^()]*)\\)', 1)), n + 1
+        FROM peeled WHERE regexp_matches(text, '\\([^()]*\\)'))""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def _(spark, sf):
-    lines = b.order_lines(spark, sf)
     inside = fl.take_parentheses(F.col("text"))["inside"]
-    return lines.select(*_KEYS, F.array_join(inside, "|").alias("inside"))
+    return b.all_lines(spark, sf).select(*_KEYS, F.array_join(inside, "|").alias("inside"))
 
 
 def _units(spark, sf):

@@ -99,27 +99,39 @@ def equipment_pieces(text: Column) -> Column:
 
 
 def take_parentheses(text: Column) -> Column:
-    """``struct<text, inside>``: text with all balanced parentheses removed, innermost first."""
-    closing = F.length(text) - F.length(F.replace(text, F.lit(")"), F.lit("")))
-    start = F.struct(
-        text.alias("text"), F.array().cast("array<string>").alias("inside")
-    )
+    """``struct<text, inside>``: text with all balanced parentheses removed, in order of their ends.
 
-    def take_one(state: Column, _: Column) -> Column:
-        first = r"(?s)^(.*?)\(([^()]*)\)"
-        return F.when(
-            state["text"].rlike(r"\([^()]*\)"),
-            F.struct(
-                F.regexp_replace(state["text"], first, "$1").alias("text"),
-                F.array_append(state["inside"], F.regexp_extract(state["text"], first, 2)).alias(
-                    "inside"
-                ),
-            ),
-        ).otherwise(state)
+    One pass over the pieces between brackets.  The state is the stack of texts that are still open:
+    the line itself below, a text for every "(" that has not met its ")" above.
+    """
+    nothing = F.array().cast("array<string>")
+    start = F.struct(F.array(F.lit("")).alias("open"), nothing.alias("inside"))
 
-    return F.when(
-        text.contains(")"), F.aggregate(F.sequence(F.lit(1), closing), start, take_one)
-    ).otherwise(start)
+    def below(stack: Column, n: int) -> Column:
+        return F.slice(stack, F.lit(1), F.size(stack) - n)
+
+    def on_top(stack: Column, piece: Column) -> Column:
+        return F.array_append(below(stack, 1), F.concat(F.element_at(stack, -1), piece))
+
+    def step(state: Column, piece: Column) -> Column:
+        stack, inside = state["open"], state["inside"]
+        closes = (piece == ")") & (F.size(stack) > 1)
+        return F.struct(
+            F.when(piece == "(", F.array_append(stack, F.lit("")))
+            .when(closes, below(stack, 1))
+            .otherwise(on_top(stack, piece))
+            .alias("open"),
+            F.when(closes, F.array_append(inside, F.element_at(stack, -1))).otherwise(inside).alias("inside"),
+        )
+
+    def finish(state: Column) -> Column:
+        # what was never closed stays as it stood
+        return F.struct(F.array_join(state["open"], "(").alias("text"), state["inside"].alias("inside"))
+
+    pieces = F.regexp_extract_all(text, F.lit(r"[^()]+|[()]"), F.lit(0))
+    return F.when(text.contains(")"), F.aggregate(pieces, start, step, finish)).otherwise(
+        F.struct(text.alias("text"), nothing.alias("inside"))
+    )
 
 
 def split_name(text: Column, keep_after: Sequence[str] = ()) -> Column:

@@ -206,6 +206,20 @@ def _summed_distances(
     )
 
 
+def most_promising(open_rows: DataFrame, batch: int) -> DataFrame:
+    """The ``batch`` rows of each label with the least bounds, numbered from 0 in ``slot``.
+
+    A comparison of the row number itself lets Spark keep ``batch`` rows of a label in every task
+    before the rows of a cluster come together.
+    """
+    by_bound = F.row_number().over(Window.partitionBy("label").orderBy("bound", "row_id"))
+    return (
+        open_rows.withColumn("_rank", by_bound)
+        .where(F.col("_rank") <= batch)
+        .select("row_id", "label", "n", (F.col("_rank") - 1).alias("slot"))
+    )
+
+
 def exact_medoids(cells: DataFrame, labels: DataFrame, batch: int = 32) -> DataFrame:
     """Per label the row with the least summed distance to its cluster, and that sum as the loss.
 
@@ -224,15 +238,7 @@ def exact_medoids(cells: DataFrame, labels: DataFrame, batch: int = 32) -> DataF
     )
     best: DataFrame | None = None
     while not open_rows.isEmpty():
-        by_bound = F.row_number().over(
-            Window.partitionBy("label").orderBy("bound", "row_id")
-        )
-        # the rank limit is applied in every task before rows of a cluster come together
-        candidates = scratch.keep(
-            open_rows.withColumn("slot", by_bound - 1)
-            .where(F.col("slot") < batch)
-            .select("row_id", "label", "n", "slot")
-        )
+        candidates = scratch.keep(most_promising(open_rows, batch))
         distances = scratch.keep(_summed_distances(labelled, rows, candidates, batch))
         sums = scratch.keep(
             distances.groupBy("label").agg(

@@ -152,6 +152,18 @@ def test_mini_batches_recover_blocks(spark):
     assert kinds.select("kind", "label").distinct().count() == 3
 
 
+def test_candidates_are_limited_before_the_shuffle(spark):
+    rows = spark.range(1000).select(
+        F.col("id").alias("row_id"), (F.col("id") % 3).alias("label"), F.lit(1).alias("n"), F.rand(1).alias("bound")
+    )
+    found = medoids.most_promising(rows, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # a limit in the tasks that read the rows, and one after they have been dealt by label
+    before, _, after = plan.partition("Exchange hashpartitioning(label")
+    assert "WindowGroupLimit" in before and "WindowGroupLimit" in after
+    assert found.groupBy("label").agg(F.max("slot"), F.count("*")).where("`max(slot)` <> 4 OR `count(1)` <> 5").isEmpty()
+
+
 @pytest.mark.parametrize("batch_size", [16, 10_000])
 def test_mini_batches_equal_numpy(spark, batch_size):
     rng = np.random.default_rng(5)

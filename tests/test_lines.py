@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 
 import duckdb
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 import porter
 from basketloom.functions import stems
 from basketloom.functions.fixed_values import JUICED, STANDARD_UNITS
-from basketloom.functions.lines import is_note, parse_line
+from basketloom.functions.lines import is_note, parse_line, take_parentheses
 from basketloom.functions.quantities import written_forms
 from basketloom.functions.stems import stem as stem_of
 from basketloom.functions.text import plural, singular
@@ -289,6 +290,26 @@ def test_number_of_nouns(spark):
     assert all(r["s"] == r["w"] for r in kept.select("w", singular(F.col("w")).alias("s")).collect())
 
 
+def peeled(text):
+    """One pair of parentheses after the other, the first that holds no other."""
+    inside = []
+    while found := re.search(r"\(([^()]*)\)", text):
+        inside.append(found[1])
+        text = text[: found.start()] + text[found.end() :]
+    return text, inside
+
+
+def test_parentheses_equal_peeling(spark):
+    rng = random.Random(4)
+    texts = {"".join(rng.choices("((()))ab \n", k=rng.randint(0, 14))) for _ in range(1500)}
+    deep = ["(" * 3000 + "x" + ")" * 3000, "(a)" * 5000, ")" * 5000 + "(" * 5000]
+    frame = spark.createDataFrame([(t,) for t in [*sorted(texts), *deep]], "text string")
+    for text, got in frame.select("text", take_parentheses(F.col("text")).alias("t")).collect():
+        if len(text) < 100:
+            assert (got["text"], got["inside"]) == peeled(text), text
+    assert [len(r["inside"]) for r in frame.where(F.length("text") > 100).select(F.explode(F.array(take_parentheses(F.col("text")))).alias("t")).select("t.*").collect()] == [3000, 5000, 0]
+
+
 def test_stems(spark):
     pairs = [
         ("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("feed", "feed"),
