@@ -330,13 +330,21 @@ def _(spark, sf):
     return kmeans.mini_batch_kmeans(cells, k=10).labels
 
 
-@register("c13_synthetic_rows")
+def _made(body: str, block: str) -> str:
+    source = f"given AS (SELECT o_orderkey AS row_id, {block} AS block FROM orders)"
+    return f"WITH RECURSIVE {source}, {synthetic.sparse_rows_sql('given', 200, 0.02, 0.1, 3)} {body}"
+
+
+@register("c13_synthetic_rows", _made("SELECT row_id, dim, 1.0::DOUBLE AS value FROM made", "0"))
 def _(spark, sf):
     rows = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"))
     return synthetic.sparse_rows(rows, 200, 0.02, 0.1, seed=3)
 
 
-@register("c14_synthetic_clusters")
+@register(
+    "c14_synthetic_clusters",
+    _made("SELECT row_id, dim, 1.0::DOUBLE AS value, block AS label FROM made", "o_orderpriority"),
+)
 def _(spark, sf):
     rows = b.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("label")

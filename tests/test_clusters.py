@@ -214,6 +214,19 @@ def test_synthetic_rows_have_the_wanted_density(spark):
         synthetic.sparse_rows(rows, 100, 0.5, 0.2)
 
 
+@pytest.mark.parametrize("density,col_density", [(1.0, None), (0.5, 0.5), (0.0, 0.5), (0.9, None), (0.003, 0.01)])
+def test_synthetic_rows_at_all_densities(spark, monkeypatch, density, col_density):
+    rows = spark.range(400).select(F.col("id").alias("row_id"))
+    found = sorted(map(tuple, synthetic.sparse_rows(rows, 300, density, col_density, seed=7).collect()))
+    assert len(found) == len(set(found)) and all(0 <= d < 300 for _, d, _ in found)
+    assert len(found) / (400 * 300) == pytest.approx(density, rel=0.1, abs=1e-9)
+    if 0 < density < 1:
+        # rows that need more draws than are taken at first come out the same
+        monkeypatch.setattr(synthetic, "sqrt", lambda x: -x / 6)
+        again = synthetic.sparse_rows(rows, 300, density, col_density, seed=7).collect()
+        assert sorted(map(tuple, again)) == found
+
+
 def test_binary_incidence(spark):
     pairs = spark.createDataFrame([(1, 5), (1, 5), (1, 2), (2, 0)], "rid long, iid long")
     rows = {r["row_id"]: r["dims"] for r in kmeans.incidence_rows(pairs).collect()}
