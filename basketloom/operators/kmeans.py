@@ -15,7 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketloom.operators.metrics import calinski_harabasz, davies_bouldin, label_sizes
+from basketloom.operators.metrics import (
+    calinski_harabasz,
+    davies_bouldin,
+    label_sizes,
+    stored_moments,
+)
 from basketloom.operators.walk import seeded_number
 from basketloom.runtime import Scratch
 
@@ -84,8 +89,9 @@ def profile_clustering(
 ) -> tuple:
     """Cluster sizes, score (minus the inertia), inertia and both quality indices."""
     sizes = {row["label"]: row["n"] for row in label_sizes(labels).collect()}  # k rows
-    ch = calinski_harabasz(cells, labels, centres).first()["ch_score"]
-    db = davies_bouldin(cells, labels, centres).first()["db_score"]
+    table = stored_moments(cells, labels)
+    ch = calinski_harabasz(cells, labels, centres, table).first()["ch_score"]
+    db = davies_bouldin(cells, labels, centres, table=table).first()["db_score"]
     return (k, [sizes.get(i, 0) for i in range(k)], -inertia, inertia, ch, db)
 
 

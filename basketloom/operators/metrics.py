@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketloom.runtime import join_counted, one_row
+from basketloom.runtime import Scratch, join_counted, one_row
 
 
 def array_cells(rows: DataFrame, row_id: str, vector: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -44,27 +44,33 @@ def centroids(labelled: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
-def _per_cell(labelled: DataFrame, centres: DataFrame, n_and_sums: list[Column]) -> DataFrame:
-    """Group sums per (label, dim) next to the centroid's value there (0 where it has none)."""
-    grouped = labelled.groupBy("label", "dim").agg(*n_and_sums)
-    return grouped.join(
-        centres.withColumnRenamed("value", "c"), ["label", "dim"], "left"
-    ).fillna(0.0, ["c"])
+def moments(cells: DataFrame, labels: DataFrame) -> DataFrame:
+    """Sums of the values and of their squares by (label, dim): all that the squared indices need.
 
+    One scan of the cells; rows without a label are under the label NULL.  ``stored_moments`` keeps
+    the table, which has at most labels x columns rows, for any number of indices.
+    """
+    return (
+        cells.join(labels.select("row_id", "label"), "row_id", "left")
+        .groupBy("label", "dim")
+        .agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
+    )
+
+
+def stored_moments(cells: DataFrame, labels: DataFrame) -> DataFrame:
+    return Scratch(cells.sparkSession, "moments").keep(moments(cells, labels))
 
-def _square_sums(labelled: DataFrame, centres: DataFrame, sizes: DataFrame) -> DataFrame:
+
+def _square_sums(table: DataFrame, centres: DataFrame, sizes: DataFrame) -> DataFrame:
     """Per label the summed squared distance of its rows to its centroid (label, n, squares).
 
-    Sum |x - c|^2 = sum x^2 - 2 c sum x + n |c|^2, group by group.
+    Sum |x - c|^2 = sum x^2 - 2 c sum x + n |c|^2, moment by moment.
     """
     cross = (
-        _per_cell(
-            labelled,
-            centres,
-            [F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss")],
-        )
+        table.where(F.col("label").isNotNull())
+        .join(centres.withColumnRenamed("value", "c"), ["label", "dim"], "left")
         .groupBy("label")
-        .agg(F.sum(F.col("ss") - 2 * F.col("c") * F.col("s")).alias("_cross"))
+        .agg(F.sum(F.col("ss") - 2 * F.coalesce("c", F.lit(0.0)) * F.col("s")).alias("_cross"))
     )
     norms = centres.groupBy("label").agg(F.sum(F.col("value") * F.col("value")).alias("_norm"))
     squares = (
@@ -78,14 +84,19 @@ def _square_sums(labelled: DataFrame, centres: DataFrame, sizes: DataFrame) -> D
     )
 
 
-def between_separation(cells: DataFrame, labels: DataFrame, centres: DataFrame) -> DataFrame:
+def between_separation(
+    cells: DataFrame, labels: DataFrame, centres: DataFrame, table: DataFrame | None = None
+) -> DataFrame:
     """Size-weighted squared distance of centroids to the overall mean, over K - 1.
 
     With S the column sums, N the rows and m = S / N the mean, the sum over labels of n |c - m|^2
     is  sum n |c|^2 - 2/N sum_dim S sum_label n c + |S|^2 / N^2 sum n.
     """
     sizes = label_sizes(labels)
-    sums = cells.groupBy("dim").agg(F.sum("value").alias("s"))
+    if table is None:
+        sums = cells.groupBy("dim").agg(F.sum("value").alias("s"))
+    else:
+        sums = table.groupBy("dim").agg(F.sum("s").alias("s"))
     weighted = (
         centres.join(sizes, "label")
         .groupBy("dim")
@@ -109,16 +120,19 @@ def between_separation(cells: DataFrame, labels: DataFrame, centres: DataFrame)
     return one_row(totals, clusters).select((spread / (F.col("k") - 1)).alias("separation"))
 
 
-def within_cohesion(labelled: DataFrame, labels: DataFrame, centres: DataFrame) -> DataFrame:
-    """Summed squared distance of rows to their centroid, over N - K."""
-    return _square_sums(labelled, centres, label_sizes(labels)).agg(
+def within_cohesion(table: DataFrame, labels: DataFrame, centres: DataFrame) -> DataFrame:
+    """Summed squared distance of rows to their centroid, over N - K; ``table``: ``moments``."""
+    return _square_sums(table, centres, label_sizes(labels)).agg(
         (F.sum("squares") / (F.sum("n") - F.count("*"))).alias("cohesion")
     )
 
 
-def calinski_harabasz(cells: DataFrame, labels: DataFrame, centres: DataFrame) -> DataFrame:
-    separation = between_separation(cells, labels, centres)
-    cohesion = within_cohesion(label_cells(cells, labels), labels, centres)
+def calinski_harabasz(
+    cells: DataFrame, labels: DataFrame, centres: DataFrame, table: DataFrame | None = None
+) -> DataFrame:
+    table = stored_moments(cells, labels) if table is None else table
+    separation = between_separation(cells, labels, centres, table)
+    cohesion = within_cohesion(table, labels, centres)
     return one_row(separation, cohesion).select(
         "separation",
         "cohesion",
@@ -127,12 +141,21 @@ def calinski_harabasz(cells: DataFrame, labels: DataFrame, centres: DataFrame) -
 
 
 def scatter(
-    labelled: DataFrame, labels: DataFrame, centres: DataFrame, p: float = 2, q: float = 2
+    labelled: DataFrame,
+    labels: DataFrame,
+    centres: DataFrame,
+    p: float = 2,
+    q: float = 2,
+    table: DataFrame | None = None,
 ) -> DataFrame:
-    """(mean of |x - c|_p^q)^(1/q) per label."""
+    """(mean of |x - c|_p^q)^(1/q) per label; the moments alone do for p = q = 2."""
     sizes = label_sizes(labels)
     if p == 2 and q == 2:
-        return _square_sums(labelled, centres, sizes).select(
+        if table is None:
+            table = labelled.groupBy("label", "dim").agg(
+                F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss")
+            )
+        return _square_sums(table, centres, sizes).select(
             "label", F.sqrt(F.col("squares") / F.col("n")).alias("scatter")
         )
     norms = centres.groupBy("label").agg(
@@ -223,9 +246,16 @@ def worst_similarity(scatters: DataFrame, distances: DataFrame) -> DataFrame:
 
 
 def davies_bouldin(
-    cells: DataFrame, labels: DataFrame, centres: DataFrame, p: float = 2, q: float = 2
+    cells: DataFrame,
+    labels: DataFrame,
+    centres: DataFrame,
+    p: float = 2,
+    q: float = 2,
+    table: DataFrame | None = None,
 ) -> DataFrame:
-    scatters = scatter(label_cells(cells, labels), labels, centres, p, q)
+    if table is None and p == 2 and q == 2:
+        table = stored_moments(cells, labels)
+    scatters = scatter(label_cells(cells, labels), labels, centres, p, q, table)
     distances = centroid_distances(centres, label_sizes(labels), p)
     return worst_similarity(scatters, distances).agg(F.avg("worst").alias("db_score"))
 

@@ -152,6 +152,20 @@ def test_mini_batches_recover_blocks(spark):
     assert kinds.select("kind", "label").distinct().count() == 3
 
 
+def test_moments_take_one_scan_of_the_cells(spark, tmp_path):
+    spark.range(2000).select(
+        (F.col("id") % 100).alias("row_id"), (F.col("id") % 7).alias("dim"), F.rand(1).alias("value")
+    ).write.parquet(f"{tmp_path}/cells")
+    cells = spark.read.parquet(f"{tmp_path}/cells")
+    labels = spark.range(90).select(F.col("id").alias("row_id"), (F.col("id") % 4).alias("label"))
+    found = metrics.moments(cells, labels)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange ") + plan.count("BroadcastExchange") <= 4
+    # rows without a label count for the columns, not for a cluster
+    assert found.where("label IS NULL").count() > 0
+    assert found.agg(F.sum("s")).first()[0] == pytest.approx(cells.agg(F.sum("value")).first()[0])
+
+
 def test_candidates_are_limited_before_the_shuffle(spark):
     rows = spark.range(1000).select(
         F.col("id").alias("row_id"), (F.col("id") % 3).alias("label"), F.lit(1).alias("n"), F.rand(1).alias("bound")
