@@ -306,6 +306,34 @@ def _(spark, sf):
     return metrics.label_sizes(_embeddings(spark, sf)[1])
 
 
+# the profile of the labels that the vectors come with
+PROFILE_SQL = b.with_ctes(
+    f"""SELECT (SELECT max(label) + 1 FROM sizes)::INT AS k,
+        (SELECT string_agg(n::VARCHAR, ',' ORDER BY label) FROM sizes) AS cluster_counts,
+        round(-inertia, {_DIGITS}) AS score, round(inertia, {_DIGITS}) AS inertia,
+        round(separation / (inertia / ((SELECT sum(n) FROM sizes) - (SELECT count(*) FROM sizes))), {_DIGITS})
+            AS ch_score, round((SELECT avg(worst) FROM worst), {_DIGITS}) AS db_score FROM
+        (SELECT sum((x - c) * (x - c)) AS inertia FROM cells JOIN centres USING (label, dim)),
+        (SELECT sum(n * (c - m) * (c - m)) / ((SELECT count(*) FROM sizes) - 1) AS separation
+            FROM centres JOIN sizes USING (label) JOIN mean USING (dim))""",
+    _VECTORS, _SCATTER,
+)
+
+
+def given_profile(spark, sf):
+    return kmeans.profile_of_labels(*_embeddings(spark, sf))
+
+
+def shown_profile(profile):
+    counts = F.array_join(F.transform("cluster_counts", lambda n: n.cast("string")), ",")
+    return _rounded(profile.withColumn("cluster_counts", counts), "score", "inertia", "ch_score", "db_score")
+
+
+@register("c2_profile_of_labels", PROFILE_SQL)
+def _(spark, sf):
+    return shown_profile(given_profile(spark, sf))
+
+
 @register("c1_kmeans_sweep_profiles")
 def _(spark, sf):
     return kmeans.kmeans_sweep(metrics.edge_cells(b.edges(spark, sf)))

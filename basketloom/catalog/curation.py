@@ -520,16 +520,52 @@ def _(spark, sf):
     return read_table(spark, target)
 
 
+def _open_names(spark, sf):
+    return b.vocabulary(spark, sf).where("valid = 0").select("name")
+
+
 @register(
-    "u1_vocabulary_difference",
+    "u1_vocabulary_union",
     b.with_ctes(
         "SELECT name FROM known UNION SELECT name FROM vocabulary WHERE valid = 0",
         b.VOCABULARY, _KNOWN,
     ),
 )
 def _(spark, sf):
-    unknown = b.vocabulary(spark, sf).where("valid = 0").select("name")
-    return known_names(spark, sf).union(unknown).distinct()
+    return known_names(spark, sf).union(_open_names(spark, sf)).distinct()
+
+
+@register(
+    "u1_vocabulary_difference",
+    b.with_ctes(
+        "SELECT name, 'known' AS only_in FROM (SELECT name FROM known EXCEPT SELECT name FROM vocabulary) "
+        "UNION ALL SELECT name, 'vocabulary' FROM (SELECT name FROM vocabulary EXCEPT SELECT name FROM known)",
+        b.VOCABULARY, _KNOWN,
+    ),
+)
+def _(spark, sf):
+    names, known = b.vocabulary(spark, sf).select("name"), known_names(spark, sf)
+    return (
+        known.subtract(names)
+        .withColumn("only_in", F.lit("known"))
+        .unionByName(names.subtract(known).withColumn("only_in", F.lit("vocabulary")))
+    )
+
+
+@register(
+    "u1_vocabulary_membership",
+    b.with_ctes(
+        "SELECT name, name IN (SELECT name FROM known) AS is_known FROM vocabulary",
+        b.VOCABULARY, _KNOWN,
+    ),
+)
+def _(spark, sf):
+    known = known_names(spark, sf).distinct().withColumn("_known", F.lit(True))
+    return (
+        b.vocabulary(spark, sf)
+        .join(known, "name", "left")
+        .select("name", F.coalesce("_known", F.lit(False)).alias("is_known"))
+    )
 
 
 @register(

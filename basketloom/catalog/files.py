@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from basketloom.catalog import bindings as b
+from basketloom.catalog.clusters import PROFILE_SQL, given_profile, shown_profile
 from basketloom.catalog.registry import register
 from basketloom.runtime import Scratch
 from basketloom.sources import documents, exports, vocabulary
@@ -90,9 +91,7 @@ def _(spark, sf):
     return vocabulary.read_triples(spark, path)
 
 
-@register("k8_results", "SELECT o_orderpriority AS profile, count(*) AS n FROM orders GROUP BY 1")
+@register("k8_results", PROFILE_SQL)
 def _(spark, sf):
-    profiles = b.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("profile")).agg(
-        F.count("*").alias("n")
-    )
-    return spark.read.parquet(exports.write_results(profiles, Scratch(spark, "results").base))
+    written = exports.write_results(given_profile(spark, sf), Scratch(spark, "results").base)
+    return shown_profile(spark.read.parquet(written))

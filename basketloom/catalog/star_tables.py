@@ -128,13 +128,15 @@ def _(spark, sf):
 @register(
     "r5_required_equipment",
     b.with_ctes(
-        "SELECT basket_id, CASE text WHEN '2 bowls' THEN 1::BIGINT ELSE 2::BIGINT END "
+        # the piece's place among those of its document
+        "SELECT basket_id * 16777216 + CASE text WHEN '2 bowls' THEN 1 ELSE 0 END AS id, basket_id, "
+        "CASE text WHEN '2 bowls' THEN 1::BIGINT ELSE 2::BIGINT END "
         "AS equipment_id, text FROM gear JOIN basket_dim USING (lid)",
         _GEAR, "names AS (SELECT '' AS item_name)", _DIMS,
     ),
 )
 def _(spark, sf):
-    return _equipment(spark, sf)[1].drop("id")
+    return _equipment(spark, sf)[1]
 
 
 @register(

@@ -19,6 +19,7 @@ from basketloom.operators.metrics import (
     calinski_harabasz,
     davies_bouldin,
     label_sizes,
+    square_sums,
     stored_moments,
 )
 from basketloom.operators.walk import seeded_number
@@ -85,16 +86,31 @@ def centre_cells(spark, centres: Sequence[np.ndarray]) -> DataFrame:
 
 
 def profile_clustering(
-    cells: DataFrame, labels: DataFrame, centres: DataFrame, k: int, inertia: float
+    cells: DataFrame,
+    labels: DataFrame,
+    centres: DataFrame,
+    k: int,
+    inertia: float,
+    table: DataFrame | None = None,
 ) -> tuple:
     """Cluster sizes, score (minus the inertia), inertia and both quality indices."""
     sizes = {row["label"]: row["n"] for row in label_sizes(labels).collect()}  # k rows
-    table = stored_moments(cells, labels)
+    table = stored_moments(cells, labels) if table is None else table
     ch = calinski_harabasz(cells, labels, centres, table).first()["ch_score"]
     db = davies_bouldin(cells, labels, centres, table=table).first()["db_score"]
     return (k, [sizes.get(i, 0) for i in range(k)], -inertia, inertia, ch, db)
 
 
+def profile_of_labels(cells: DataFrame, labels: DataFrame, centres: DataFrame) -> DataFrame:
+    """The profile of a labelling that is given, its inertia taken from the stored moments."""
+    spark = cells.sparkSession
+    table = stored_moments(cells, labels)
+    inertia = square_sums(table, centres, label_sizes(labels)).agg(F.sum("squares")).first()[0]
+    k = labels.agg(F.max("label")).first()[0] + 1
+    profile = profile_clustering(cells, labels, centres, int(k), float(inertia), table)
+    return spark.createDataFrame([profile], PROFILE)
+
+
 def kmeans_sweep(
     cells: DataFrame, ks: Sequence[int] = SWEEP, seed: int = 0, max_iter: int = 300
 ) -> DataFrame:

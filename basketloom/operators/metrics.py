@@ -61,7 +61,7 @@ def stored_moments(cells: DataFrame, labels: DataFrame) -> DataFrame:
     return Scratch(cells.sparkSession, "moments").keep(moments(cells, labels))
 
 
-def _square_sums(table: DataFrame, centres: DataFrame, sizes: DataFrame) -> DataFrame:
+def square_sums(table: DataFrame, centres: DataFrame, sizes: DataFrame) -> DataFrame:
     """Per label the summed squared distance of its rows to its centroid (label, n, squares).
 
     Sum |x - c|^2 = sum x^2 - 2 c sum x + n |c|^2, moment by moment.
@@ -122,7 +122,7 @@ def between_separation(
 
 def within_cohesion(table: DataFrame, labels: DataFrame, centres: DataFrame) -> DataFrame:
     """Summed squared distance of rows to their centroid, over N - K; ``table``: ``moments``."""
-    return _square_sums(table, centres, label_sizes(labels)).agg(
+    return square_sums(table, centres, label_sizes(labels)).agg(
         (F.sum("squares") / (F.sum("n") - F.count("*"))).alias("cohesion")
     )
 
@@ -155,7 +155,7 @@ def scatter(
             table = labelled.groupBy("label", "dim").agg(
                 F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss")
             )
-        return _square_sums(table, centres, sizes).select(
+        return square_sums(table, centres, sizes).select(
             "label", F.sqrt(F.col("squares") / F.col("n")).alias("scatter")
         )
     norms = centres.groupBy("label").agg(

@@ -19,7 +19,10 @@ def item_name(name: Column, text: Column, longest: int | None = None) -> Column:
 
 
 def _address(basket: Column, pos: Column) -> Column:
-    """One number for a line: the dense basket id and the line's place, which are never confused."""
+    """One number for a line: the dense basket id and the line's place.
+
+    A document may have up to 2^24 lines and there may be up to 2^39 baskets.
+    """
     return F.shiftleft(basket, 24).bitwiseOR(pos.cast("long"))
 
 
