@@ -170,11 +170,13 @@ def all_aliases(
 def child_of(names: DataFrame, modifiers: DataFrame) -> DataFrame:
     """Names that open with a modifier are children of the rest of the name.
 
-    Each name is exploded into its leading word runs, which meet the modifiers in an equi join.
+    Each name is exploded into its leading word runs, none longer than the longest modifier, which
+    meet the modifiers in an equi join.
     """
+    longest = modifiers.agg(F.max(F.size(tokens(F.col("modifier"))))).first()[0] or 1
     words = names.select("name", tokens(F.col("name")).alias("_words"))
     openings = words.select(
-        "name", "_words", F.explode(F.sequence(F.lit(1), F.size("_words"))).alias("_n")
+        "name", "_words", F.explode(F.sequence(F.lit(1), F.least(F.size("_words"), F.lit(longest)))).alias("_n")
     ).select(
         "name",
         F.array_join(F.slice("_words", F.lit(1), F.col("_n")), " ").alias("modifier"),
