@@ -9,9 +9,11 @@ that share a signature are candidates; a bound from bit sketches drops most of t
 overlap of the whole sets decides.
 
 Only connectivity is asked for, so a group of thousands of copies is not paired up: equal sets are
-one vertex, every text is first compared with the smallest of each of its buckets, and later only
-pairs whose texts are still in different components are compared, which loses no link that could
-join two components.
+one vertex and equal buckets are one bucket; every text is compared with the smallest text it shares
+a bucket with, then with the smallest of each bucket, and at last all pairs of a bucket whose texts are
+still in different components are compared, which loses no link that could join two components.  That
+last step carries the sketches along, so a pair leaves its task only if it passes them, and it deals
+large buckets out in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -43,10 +45,12 @@ ORDERED_TOKENS = 200_000
 # up to the other, which may share fewer tokens than there are classes
 LARGE_SET, SMALL_SET = 2000, 20
 # sets to compare whose texts are found by a broadcast join; more are joined by shuffling
-SENT_SETS = 500_000
+SENT_SETS = 200_000
 # 64-bit words of a sketch for this many tokens; sets of twice the size have sketches of twice the size
-SKETCH_WORDS, SKETCH_TOKENS = 16, 700
-PAIRS_AT_ONCE, PAIRED_BUCKET = 1_000_000, 200
+SKETCH_WORDS, SKETCH_TOKENS = 8, 350
+PAIRS_AT_ONCE, PAIRED_BUCKET, SKETCHED_AT_ONCE = 250_000, 200, 2_000_000
+# rows of a bucket that are paired up in one task, cell by cell; larger buckets are cut into blocks
+BLOCK_ROWS, CELL_ROWS = 4096, 50_000
 
 SETS = "doc_id long, hash long, key string, n int, front array<long>, sketch array<long>"
 
@@ -159,29 +163,67 @@ def _fronts(known: tuple[np.ndarray, np.ndarray], size: int, percent: int):
     return run
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    gathered = list(batches)
-    return pa.Table.from_batches(gathered).combine_chunks() if gathered else None
-
+def _grouped(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows that hold whole groups; the rows of a group come together."""
+    waiting: list[pa.Table] = []
+    held = 0
+    for batch in batches:
+        waiting.append(pa.Table.from_batches([batch]))
+        held += batch.num_rows
+        if held < rows:
+            continue
+        table = pa.concat_tables(waiting).combine_chunks()
+        keys = table.column(key).to_numpy()
+        before = np.flatnonzero(keys != keys[-1])
+        cut = int(before[-1]) + 1 if len(before) else 0
+        if cut:
+            yield table.slice(0, cut)
+        waiting, held = [table.slice(cut)], table.num_rows - cut
+    if held:
+        yield pa.concat_tables(waiting).combine_chunks()
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The start of each group of equal keys that stand together, and its length."""
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
+    return starts, np.diff(np.append(starts, len(key)))
+
+
+def _shared_tokens(frequent: int):
+    """Rows, sorted by token, whose token is in two sets or more, with the token's count.
+
+    Above ``frequent`` the count may be any number above it, so that a token of very many sets is
+    never held whole.
+    """
 
-def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order that brings equal keys together, the start of each group and its length."""
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(key) else order
-    return order, starts, np.diff(np.append(starts, len(key)))
+    def counted(table: pa.Table, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+        several = pa.array(count > 1)
+        yield from table.append_column("count", pa.array(count)).filter(several).to_batches()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unfinished, hot = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if unfinished is not None:
+                table = pa.concat_tables([unfinished, table]).combine_chunks()
+            token = table.column("token").to_numpy()
+            _, lengths = _groups(token)
+            count = np.repeat(lengths, lengths)
+            if hot is not None:
+                count[token == hot] = frequent + 1
+            done = len(token)
+            if count[-1] > frequent:
+                hot = token[-1]
+            else:
+                done -= int(lengths[-1])
+            unfinished = table.slice(done) if done < len(token) else None
+            yield from counted(table.slice(0, done), count[:done])
+        if unfinished is not None:
+            yield from counted(unfinished, np.full(unfinished.num_rows, unfinished.num_rows))
 
-def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one shuffle partition whose token is in two sets or more, with the token's count."""
-    rows = _whole(batches)
-    if rows is None or not rows.num_rows:
-        return
-    order, starts, lengths = _groups(rows.column("token").to_numpy())
-    count = np.empty(len(order), np.int64)
-    count[order] = np.repeat(lengths, lengths)
-    rows = rows.append_column("count", pa.array(count)).filter(pa.array(count > 1))
-    yield from rows.to_batches(max_chunksize=100_000)
+    return run
 
 
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,92 +249,106 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures of two sets or more, with the smallest set of each."""
-    rows = _whole(batches)
-    if rows is None or not rows.num_rows:
-        return
-    sig, rep, n = (rows.column(c).to_numpy() for c in ("sig", "rep", "n"))
-    order = np.lexsort((rep, sig))
-    sig, rep, n = sig[order], rep[order], n[order]
-    new = np.append(True, (sig[1:] != sig[:-1]) | (rep[1:] != rep[:-1]))
-    sig, rep, n = sig[new], rep[new], n[new]
-    _, starts, lengths = _groups(sig)
-    first = np.repeat(starts, lengths)
-    out = np.repeat(lengths, lengths) > 1
-    table = pa.table(
-        {
-            "sig": sig[out], "rep": rep[out], "n": n[out],
-            "pivot": rep[first][out], "pivot_n": n[first][out],
-        }
-    )
-    yield from table.to_batches(max_chunksize=100_000)
+def _apart(
+    flat: np.ndarray, first: np.ndarray, words: np.ndarray, small: np.ndarray, large: np.ndarray
+) -> np.ndarray:
+    """Bits in which the sketches of two rows differ; a longer sketch is folded to the shorter."""
+    apart = np.zeros(len(small), np.int64)
+    sizes = words[small] << 32 | words[large]
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        w, v = int(size >> 32), int(size & 0xFFFFFFFF)
+        step = max(1, SKETCHED_AT_ONCE // v)
+        for k in range(0, len(at), step):
+            part = at[k : k + step]
+            x = flat[first[small[part], None] + np.arange(w)]
+            y = flat[first[large[part], None] + np.arange(v)].reshape(len(part), -1, w)
+            differ = np.bitwise_xor(x, np.bitwise_or.reduce(y, axis=1)).view(np.uint64)
+            apart[part] = np.bitwise_count(differ).sum(axis=1)
+    return apart
 
 
 def _cross_pairs(percent: int):
-    """Pairs of one bucket whose texts are in different components and of similar size."""
+    """Likely links of one cell between texts in different components.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _whole(batches)
-        if rows is None or not rows.num_rows:
-            return
-        sig, rep, n, component, pivot = (
-            rows.column(c).to_numpy() for c in ("sig", "rep", "n", "component", "pivot")
+    Sizes and sketches are compared here, so that only pairs worth a comparison of the whole sets
+    leave the task.
+    """
+
+    def crossing(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        cell, rep, n, component, block, cross = (
+            rows.column(c).to_numpy()
+            for c in ("cell", "rep", "n", "component", "block", "cross")
         )
         n = n.astype(np.int64)
-        # pairs with the pivot have been compared
-        rest = np.flatnonzero(rep != pivot)
-        rest = rest[np.lexsort((n[rest], sig[rest]))]
-        _, starts, lengths = _groups(sig[rest])
-        if not len(starts):
-            return
-        # only buckets that still have texts of several components
-        several = np.minimum.reduceat(component[rest], starts) < np.maximum.reduceat(
-            component[rest], starts
+        sketch = rows.column("sketch").combine_chunks()
+        ends = sketch.offsets.to_numpy().astype(np.int64)
+        flat, first, words = sketch.values.to_numpy(), ends[:-1], np.diff(ends)
+        order = np.lexsort((n, cell))
+        starts, lengths = _groups(cell[order])
+        # only cells that have texts of several components
+        several = np.minimum.reduceat(component[order], starts) < np.maximum.reduceat(
+            component[order], starts
         )
         starts, lengths = starts[several], lengths[several]
-        waiting: list[np.ndarray] = []
-        held = 0
 
-        def crossing(small: np.ndarray, large: np.ndarray) -> np.ndarray:
+        def likely(small: np.ndarray, large: np.ndarray) -> np.ndarray:
             """Pairs of rows, the first one's set not larger, that may link and join components."""
             ok = (component[small] != component[large]) & (100 * n[small] >= percent * n[large])
-            a, b = rep[small[ok]], rep[large[ok]]
-            return np.stack([np.minimum(a, b), np.maximum(a, b)])
+            # rows of one block meet in a cell of their own
+            ok &= (block[small] != block[large]) | ~(cross[small] | cross[large])
+            small, large = small[ok], large[ok]
+            both = n[small] + n[large]
+            room = both - 2 * -(-percent * both // (100 + percent))
+            # bits that differ are at most the tokens that differ
+            ok = _apart(flat, first, words, small, large) <= room
+            small, large = small[ok], large[ok]
+            swap = rep[small] > rep[large]
+            a, b = np.where(swap, large, small), np.where(swap, small, large)
+            return np.stack([rep[a], rep[b], n[a], n[b]])
 
-        # buckets of one length are paired up all at once, longer ones row by row
+        waiting: list[np.ndarray] = []
+        seen = 0
+        # cells of one length are paired up all at once, longer ones row by row
         for length in np.unique(lengths[lengths <= PAIRED_BUCKET]):
             i, j = np.triu_indices(length, 1)
             same = starts[lengths == length]
             at_once = max(1, PAIRS_AT_ONCE // len(i))
-            for first in range(0, len(same), at_once):
-                rows_of = rest[same[first : first + at_once, None] + np.arange(length)]
-                waiting.append(crossing(rows_of[:, i].ravel(), rows_of[:, j].ravel()))
-                held += waiting[-1].shape[1]
-                if held > PAIRS_AT_ONCE:
+            for k in range(0, len(same), at_once):
+                rows_of = order[same[k : k + at_once, None] + np.arange(length)]
+                waiting.append(likely(rows_of[:, i].ravel(), rows_of[:, j].ravel()))
+                seen += waiting[-1].shape[1]
+                if seen > PAIRS_AT_ONCE:
                     yield _pairs(waiting)
-                    waiting, held = [], 0
+                    waiting, seen = [], 0
         long = lengths > PAIRED_BUCKET
-        for first, length in zip(starts[long], lengths[long], strict=True):
-            mine = rest[first : first + length]
+        for start, length in zip(starts[long], lengths[long], strict=True):
+            mine = order[start : start + length]
             # a set reaches up to this size
             reach = np.searchsorted(n[mine], n[mine] * 100 // percent, side="right")
             for k in range(len(mine) - 1):
                 others = mine[k + 1 : reach[k]]
-                waiting.append(crossing(np.full(len(others), mine[k]), others))
-                held += waiting[-1].shape[1]
-                if held > PAIRS_AT_ONCE:
+                waiting.append(likely(np.full(len(others), mine[k]), others))
+                seen += waiting[-1].shape[1]
+                if seen > PAIRS_AT_ONCE:
                     yield _pairs(waiting)
-                    waiting, held = [], 0
-        if held:
+                    waiting, seen = [], 0
+        if seen:
             yield _pairs(waiting)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, "cell", CELL_ROWS):
+            yield from crossing(rows)
+
     return run
 
 
 def _pairs(waiting: list[np.ndarray]) -> pa.RecordBatch:
     pairs = np.unique(np.concatenate(waiting, axis=1), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2]), pa.array(pairs[3])],
+        names=["a", "b", "n_a", "n_b"],
+    )
 
 
 def _needed(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -360,7 +416,8 @@ def jaccard_components(
     shared = scratch.keep(
         vertices.select("rep", "n", F.posexplode("front").alias("pos", "token"))
         .repartition("token")
-        .mapInArrow(_shared_tokens, "rep long, n int, pos int, token long, count long")
+        .sortWithinPartitions("token")
+        .mapInArrow(_shared_tokens(FREQUENT), "rep long, n int, pos int, token long, count long")
     )
     release(spark)
     n = F.col("n")
@@ -377,18 +434,37 @@ def jaccard_components(
         .agg(F.collect_list("token").alias("tokens"))
         .mapInArrow(_combined, "sig long, rep long, n int")
     )
-    signatures = shared.where(single).select(F.col("token").alias("sig"), "rep", "n")
-    buckets = scratch.keep(
-        signatures.unionByName(pairs_of)
-        .repartition("sig")
-        .mapInArrow(_buckets, "sig long, rep long, n int, pivot long, pivot_n int")
+    signatures = scratch.keep(
+        shared.where(single).select(F.col("token").alias("sig"), "rep", "n").unionByName(pairs_of)
     )
     scratch.drop(shared)
     release(spark)
+    # the tokens of one passage have the same sets, so a bucket is named by its sets; should two
+    # names be equal by chance, their sets only share one bucket
+    pivots = (
+        signatures.groupBy("sig")
+        .agg(
+            F.min(F.struct("rep", "n")).alias("least"),
+            F.max("rep").alias("last"),
+            F.bit_xor(F.xxhash64("rep")).alias("sets"),
+        )
+        .where("least.rep < last")
+        .select(
+            "sig",
+            F.xxhash64("least.rep", "last", "sets").alias("bucket"),
+            F.col("least.rep").alias("pivot"),
+            F.col("least.n").alias("pivot_n"),
+        )
+    )
+    buckets = scratch.keep(
+        signatures.join(pivots, "sig").select("bucket", "rep", "n", "pivot", "pivot_n").distinct()
+    )
+    scratch.drop(signatures)
+    release(spark)
     sketches = vertices.select("rep", "n", "sketch")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Links among candidate pairs (a, b): first by the sketches, then by the whole sets."""
+    def likely_pairs(pairs: DataFrame) -> DataFrame:
+        """Candidate pairs (a, b) that the sketches leave, with the sizes of their sets."""
         side = lambda c: sketches.select(
             F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")
         )
@@ -399,7 +475,7 @@ def jaccard_components(
         )
         needed = _needed(F.col("n_a"), F.col("n_b"), percent)
         # bits that differ are at most the tokens that differ; sketches of two sizes say nothing
-        likely = scratch.keep(
+        return (
             pairs.join(side("a"), "a")
             .join(side("b"), "b")
             .where(
@@ -408,9 +484,14 @@ def jaccard_components(
             )
             .select("a", "b", "n_a", "n_b")
         )
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Links among likely pairs (a, b, n_a, n_b), by the whole sets."""
+        likely = scratch.keep(pairs)
         release(spark)
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        wanted = scratch.keep(vertices.join(wanted, "rep").select("rep", "key", "chosen.*"))
+        ends = likely.select(F.col("a").alias("rep")).distinct()
+        ends = ends.unionByName(likely.select(F.col("b").alias("rep")).distinct()).distinct()
+        wanted = scratch.keep(vertices.join(ends, "rep").select("rep", "key", "chosen.*"))
         few = F.broadcast(wanted) if wanted.count() <= SENT_SETS else wanted
         texts = rows.join(
             few.withColumnRenamed("doc_id", "chosen_id"),
@@ -425,29 +506,65 @@ def jaccard_components(
             .where(100 * overlap >= percent * (F.col("n_a") + F.col("n_b") - overlap))
             .select("a", "b")
         )
-        scratch.drop(likely, full)
+        scratch.drop(likely, wanted, full)
         release(spark)
         return links
 
+    def placed(frame: DataFrame, parts: DataFrame, of: str, out: str) -> DataFrame:
+        """``frame`` with the component of column ``of``."""
+        named = parts.select(F.col("node").alias(of), F.col("component").alias(out))
+        return frame.join(named, of, "left").withColumn(out, F.coalesce(out, of))
+
     similar = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
-    with_pivot = (
-        buckets.where((F.col("rep") != F.col("pivot")) & similar)
-        .select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-        .distinct()
+    with_pivot = buckets.where((F.col("rep") != F.col("pivot")) & similar).select(
+        F.col("pivot").alias("a"), F.col("rep").alias("b")
     )
-    first_links = verified(with_pivot, "pivots")
+    # one pivot a text joins most of a large group
+    smallest_pivot = with_pivot.groupBy("b").agg(F.min("a").alias("a"))
+    first_links = verified(likely_pairs(smallest_pivot))
     parts = components(first_links, scratch)
-    placed = buckets.join(
-        parts.select(F.col("node").alias("rep"), "component"), "rep", "left"
-    ).withColumn("component", F.coalesce("component", "rep"))
+    apart = placed(placed(with_pivot.distinct(), parts, "a", "c_a"), parts, "b", "c_b")
+    second_links = verified(likely_pairs(apart.where("c_a <> c_b").select("a", "b")))
+    parts = components(first_links.unionByName(second_links), scratch)
+    # pairs with the pivot have been compared
+    rest = scratch.keep(
+        placed(buckets.where("rep <> pivot").select("bucket", "rep", "n"), parts, "rep", "component")
+    )
+    scratch.drop(buckets)
+    mixed_buckets = (
+        rest.groupBy("bucket")
+        .agg(
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+            F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"),
+        )
+        .where("low < high")
+        .select("bucket", "blocks")
+    )
+    blocks, block, other = F.col("blocks"), F.col("block"), F.col("other")
+    cells = (
+        rest.join(mixed_buckets, "bucket")
+        .withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select(
+            F.xxhash64("bucket", F.least(block, other), F.greatest(block, other)).alias("cell"),
+            "rep", "n", "component", "block",
+            (block != other).alias("cross"),
+        )
+    )
     crossing = (
-        placed.select("sig", "rep", "n", "component", "pivot")
-        .repartition("sig")
-        .mapInArrow(_cross_pairs(percent), "a long, b long")
+        cells.join(vertices.select("rep", "sketch"), "rep")
+        .select("cell", "rep", "n", "component", "block", "cross", "sketch")
+        .repartition("cell")
+        .sortWithinPartitions("cell")
+        .mapInArrow(_cross_pairs(percent), "a long, b long, n_a long, n_b long")
         .distinct()
     )
-    second_links = verified(crossing, "crossing")
-    joined = components(first_links.unionByName(second_links), scratch)
+    third_links = verified(crossing)
+    scratch.drop(rest)
+    joined = components(
+        first_links.unionByName(second_links).unionByName(third_links), scratch
+    )
     named = vertices.join(
         joined.select(F.col("node").alias("rep"), "component"), "rep", "left"
     ).select("key", "first", F.coalesce("component", "rep").alias("component"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from basketloom.llm import (
@@ -285,10 +287,14 @@ def brute_components(rows, size=4, percent=85):
     )
 
 
-@pytest.mark.parametrize(("frequent", "large"), [(64, 2000), (1, 2000), (1, 60)])
-def test_jaccard_components(documents, frequent, large, monkeypatch):
+@pytest.mark.parametrize(
+    ("frequent", "large", "block"), [(64, 2000, 3), (1, 2000, 4096), (1, 60, 2)]
+)
+def test_jaccard_components(documents, frequent, large, block, monkeypatch):
     monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard_join, "LARGE_SET", large)
+    # buckets of several components are paired up block by block
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", block)
     monkeypatch.setattr(jaccard_join, "LOCAL_COUNT", 1)
     rng = random.Random(6)
     rows = [(0, None), (1, ""), (2, "a b"), (3, "A b"), (4, "a b c"), (None, "a B"), (2, "other words")]
@@ -318,6 +324,52 @@ def test_jaccard_components_of_five_words_and_eighty_percent(documents, monkeypa
     assert sorted((tuple(r) for r in got), key=str) == brute_components(rows, 5, 80)
 
 
+@pytest.mark.parametrize("cut", [1, 2, 5, 100])
+def test_tokens_are_counted_whatever_the_batches(cut):
+    rng = random.Random(3)
+    tokens = sorted(rng.choice([1, 2, 3, 3, 3, 3, 3, 4, 5, 6, 7, 8, 9]) for _ in range(60)) + [10]
+    rows = pa.RecordBatch.from_pydict({"rep": list(range(61)), "token": tokens})
+    batches = (rows.slice(k, cut) for k in range(0, 61, cut))
+    got = pa.Table.from_batches(list(jaccard_join._shared_tokens(4)(batches))).to_pylist()
+    counts = Counter(tokens)
+    want = [(k, t) for k, t in enumerate(tokens) if counts[t] > 1]
+    assert [(r["rep"], r["token"]) for r in got] == want
+    assert all(min(r["count"], 5) == min(counts[r["token"]], 5) for r in got)
+
+
+def test_likely_pairs_of_one_cell(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PAIRED_BUCKET", 5)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 800, dtype=np.uint64)
+    rows, sets = [], []
+    # about the size where sketches double, so that long ones are folded
+    for rep in range(40):
+        mine = np.append(base[: rng.integers(320, 380)], rng.integers(0, 2**63, rep, dtype=np.uint64))
+        mine = np.append(mine, base[500 : 500 + 10 * (rep % 3)])
+        bits = np.zeros(64 * jaccard_join.sketch_words(len(mine)), np.uint8)
+        bits[(mine >> np.uint64(32)) % np.uint64(len(bits))] = 1
+        sets.append(set(mine.tolist()))
+        rows.append(
+            {
+                "cell": rep // 20, "rep": rep, "n": len(mine), "component": rep // 2,
+                "block": rep % 2, "cross": rep >= 20,
+                "sketch": np.packbits(bits).view(np.int64).tolist(),
+            }
+        )
+    batch = pa.RecordBatch.from_pylist(rows)
+    got = pa.Table.from_batches(list(jaccard_join._cross_pairs(85)([batch]))).to_pylist()
+    found = {(r["a"], r["b"]) for r in got}
+    assert len(found) == len(got) and all(r["n_a"] == len(sets[r["a"]]) for r in got)
+    linked = {
+        (a, b)
+        for b in range(40)
+        for a in range(b)
+        if a // 20 == b // 20 and a // 2 != b // 2 and (b < 20 or a % 2 != b % 2)
+        and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    }
+    assert linked and linked <= found
+
+
 def test_jaccard_components_of_no_documents(documents):
     assert jaccard_join.jaccard_components(documents([])).count() == 0
 
