@@ -87,14 +87,14 @@ def frequent_tokens(documents: DataFrame, size: int) -> tuple[np.ndarray, np.nda
             both, where = np.unique(np.concatenate([tokens, new]), return_inverse=True)
             total = np.bincount(where, np.concatenate([counts, n])).astype(np.int64)
             tokens, counts = both, total
-            if len(tokens) > 4_000_000:
+            if len(tokens) > 2_000_000:
                 # what is rare so far is forgotten, as in a lossy count
                 often = counts > 1
                 tokens, counts = tokens[often], counts[often]
 
         for batch in small_batches(batches):
             waiting.append(batch_sets(without_nulls(batch.column("text")), size)[0])
-            if sum(map(len, waiting)) > 2_000_000:
+            if sum(map(len, waiting)) > 500_000:
                 fold()
         if waiting:
             fold()
