@@ -10,10 +10,10 @@ overlap of the whole sets decides.
 
 Only connectivity is asked for, so a group of thousands of copies is not paired up: equal sets are
 one vertex and equal buckets are one bucket; every text is compared with the smallest text it shares
-a bucket with, then with the smallest of each bucket, and at last all pairs of a bucket whose texts are
-still in different components are compared, which loses no link that could join two components.  That
-last step carries the sketches along, so a pair leaves its task only if it passes them, and it deals
-large buckets out in pairs of blocks.
+a bucket with, then with a text of each bucket, another one in each of a few rounds, and at last all pairs
+of a bucket whose texts are still in different components are compared, which loses no link that could
+join two components.  That last step carries the sketches along, so a pair leaves its task only if it
+passes them, by one of its buckets, and it deals large buckets out in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -49,6 +49,8 @@ SENT_SETS = 200_000
 # 64-bit words of a sketch for this many tokens; sets of twice the size have sketches of twice the size
 SKETCH_WORDS, SKETCH_TOKENS = 8, 350
 PAIRS_AT_ONCE, PAIRED_BUCKET, SKETCHED_AT_ONCE = 250_000, 200, 2_000_000
+# a text of every bucket is compared with the others so often before all pairs are; no link depends on it
+PIVOT_ROUNDS = 4
 # rows of a bucket that are paired up in one task, cell by cell; larger buckets are cut into blocks
 BLOCK_ROWS, CELL_ROWS = 4096, 50_000
 
@@ -276,10 +278,17 @@ def _cross_pairs(percent: int):
     """
 
     def crossing(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        cell, rep, n, component, block, cross = (
+        cell, bucket, rep, n, component, block, cross = (
             rows.column(c).to_numpy()
-            for c in ("cell", "rep", "n", "component", "block", "cross")
+            for c in ("cell", "bucket", "rep", "n", "component", "block", "cross")
         )
+        buckets: dict[int, frozenset] = {}
+
+        def buckets_of(row: int) -> frozenset:
+            if row not in buckets:
+                buckets[row] = frozenset(rows.column("buckets")[row].as_py())
+            return buckets[row]
+
         n = n.astype(np.int64)
         sketch = rows.column("sketch").combine_chunks()
         ends = sketch.offsets.to_numpy().astype(np.int64)
@@ -303,6 +312,13 @@ def _cross_pairs(percent: int):
             # bits that differ are at most the tokens that differ
             ok = _apart(flat, first, words, small, large) <= room
             small, large = small[ok], large[ok]
+            # a pair leaves by the first of the buckets that it shares
+            firsts = (
+                min(buckets_of(a) & buckets_of(b))
+                for a, b in zip(small.tolist(), large.tolist(), strict=True)
+            )
+            ok = np.fromiter(firsts, np.int64, len(small)) == bucket[small]
+            small, large = small[ok], large[ok]
             swap = rep[small] > rep[large]
             a, b = np.where(swap, large, small), np.where(swap, small, large)
             return np.stack([rep[a], rep[b], n[a], n[b]])
@@ -522,49 +538,67 @@ def jaccard_components(
     # one pivot a text joins most of a large group
     smallest_pivot = with_pivot.groupBy("b").agg(F.min("a").alias("a"))
     first_links = verified(likely_pairs(smallest_pivot))
-    parts = components(first_links, scratch)
-    apart = placed(placed(with_pivot.distinct(), parts, "a", "c_a"), parts, "b", "c_b")
-    second_links = verified(likely_pairs(apart.where("c_a <> c_b").select("a", "b")))
-    parts = components(first_links.unionByName(second_links), scratch)
-    # pairs with the pivot have been compared
-    rest = scratch.keep(
-        placed(buckets.where("rep <> pivot").select("bucket", "rep", "n"), parts, "rep", "component")
-    )
-    scratch.drop(buckets)
-    mixed_buckets = (
-        rest.groupBy("bucket")
-        .agg(
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-            F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"),
+    links = first_links
+
+    def mixed_rows(parts: DataFrame, choice: Column) -> DataFrame:
+        """Rows of the buckets that have texts of several components, each with a chosen text."""
+        rest = scratch.keep(
+            placed(buckets.select("bucket", "rep", "n"), parts, "rep", "component")
         )
-        .where("low < high")
-        .select("bucket", "blocks")
-    )
+        several = (
+            rest.groupBy("bucket")
+            .agg(
+                F.min("component").alias("low"),
+                F.max("component").alias("high"),
+                F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"),
+                F.min_by(F.struct("rep", "n", "component"), choice).alias("chosen"),
+            )
+            .where("low < high")
+            .select("bucket", "blocks", "chosen")
+        )
+        return rest.join(several, "bucket")
+
+    for k in range(PIVOT_ROUNDS):
+        # other pivots each time, so that texts far from one pivot meet another
+        parts = components(links, scratch)
+        rest = mixed_rows(parts, F.xxhash64("rep", "bucket", F.lit(k)))
+        chosen = F.col("chosen.n")
+        with_chosen = rest.where(
+            (F.col("component") != F.col("chosen.component"))
+            & (100 * F.least("n", chosen) >= percent * F.greatest("n", chosen))
+        ).select(
+            F.least("rep", "chosen.rep").alias("a"), F.greatest("rep", "chosen.rep").alias("b")
+        )
+        more = verified(likely_pairs(with_chosen.distinct()))
+        if more.isEmpty():
+            break
+        links = scratch.keep(links.unionByName(more))
+    parts = components(links, scratch)
+    mixed_buckets = scratch.keep(mixed_rows(parts, F.col("rep")).drop("chosen"))
+    scratch.drop(buckets)
+    lists = mixed_buckets.groupBy("rep").agg(F.collect_set("bucket").alias("buckets"))
     blocks, block, other = F.col("blocks"), F.col("block"), F.col("other")
     cells = (
-        rest.join(mixed_buckets, "bucket")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+        mixed_buckets.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select(
             F.xxhash64("bucket", F.least(block, other), F.greatest(block, other)).alias("cell"),
-            "rep", "n", "component", "block",
+            "bucket", "rep", "n", "component", "block",
             (block != other).alias("cross"),
         )
     )
     crossing = (
         cells.join(vertices.select("rep", "sketch"), "rep")
-        .select("cell", "rep", "n", "component", "block", "cross", "sketch")
+        .join(lists, "rep")
+        .select("cell", "bucket", "rep", "n", "component", "block", "cross", "sketch", "buckets")
         .repartition("cell")
         .sortWithinPartitions("cell")
         .mapInArrow(_cross_pairs(percent), "a long, b long, n_a long, n_b long")
         .distinct()
     )
-    third_links = verified(crossing)
-    scratch.drop(rest)
-    joined = components(
-        first_links.unionByName(second_links).unionByName(third_links), scratch
-    )
+    last_links = verified(crossing)
+    scratch.drop(mixed_buckets)
+    joined = components(links.unionByName(last_links), scratch)
     named = vertices.join(
         joined.select(F.col("node").alias("rep"), "component"), "rep", "left"
     ).select("key", "first", F.coalesce("component", "rep").alias("component"))

@@ -351,8 +351,8 @@ def test_likely_pairs_of_one_cell(monkeypatch):
         sets.append(set(mine.tolist()))
         rows.append(
             {
-                "cell": rep // 20, "rep": rep, "n": len(mine), "component": rep // 2,
-                "block": rep % 2, "cross": rep >= 20,
+                "cell": rep // 20, "bucket": rep // 20, "rep": rep, "n": len(mine), "component": rep // 2,
+                "block": rep % 2, "cross": rep >= 20, "buckets": [7, rep // 20],
                 "sketch": np.packbits(bits).view(np.int64).tolist(),
             }
         )
