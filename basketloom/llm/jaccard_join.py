@@ -48,11 +48,11 @@ LARGE_SET, SMALL_SET = 2000, 20
 SENT_SETS = 200_000
 # 64-bit words of a sketch for this many tokens; sets of twice the size have sketches of twice the size
 SKETCH_WORDS, SKETCH_TOKENS = 8, 350
-PAIRS_AT_ONCE, PAIRED_BUCKET, SKETCHED_AT_ONCE = 250_000, 200, 2_000_000
+PAIRS_AT_ONCE, PAIRED_BUCKET, SKETCHED_AT_ONCE = 50_000, 200, 250_000
 # a text of every bucket is compared with the others so often before all pairs are; no link depends on it
 PIVOT_ROUNDS = 4
 # rows of a bucket that are paired up in one task, cell by cell; larger buckets are cut into blocks
-BLOCK_ROWS, CELL_ROWS = 4096, 50_000
+BLOCK_ROWS, CELL_ROWS = 4096, 10_000
 
 SETS = "doc_id long, hash long, key string, n int, front array<long>, sketch array<long>"
 
@@ -89,14 +89,14 @@ def frequent_tokens(documents: DataFrame, size: int) -> tuple[np.ndarray, np.nda
             both, where = np.unique(np.concatenate([tokens, new]), return_inverse=True)
             total = np.bincount(where, np.concatenate([counts, n])).astype(np.int64)
             tokens, counts = both, total
-            if len(tokens) > 2_000_000:
+            if len(tokens) > 1_000_000:
                 # what is rare so far is forgotten, as in a lossy count
                 often = counts > 1
                 tokens, counts = tokens[often], counts[often]
 
         for batch in small_batches(batches):
             waiting.append(batch_sets(without_nulls(batch.column("text")), size)[0])
-            if sum(map(len, waiting)) > 500_000:
+            if sum(map(len, waiting)) > 250_000:
                 fold()
         if waiting:
             fold()
