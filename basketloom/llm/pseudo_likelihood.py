@@ -2,19 +2,26 @@
 
 The network sees the two words on either side of a word and predicts the word itself, which it
 never sees.  A document's score is the sum of the log-probabilities of its words.  The words of all
-documents are counted first.  Every word that occurs ``OWN_COUNT`` times has an id of its own, so the
+documents are counted first.  Every frequent word has an id of its own (``Sizes`` says which), so the
 ids, the classes of the two-level softmax (class, word within class) and the parameters grow with
-the corpus.  Rarer words share ids by hash, one for about ``SHARED_COUNT`` occurrences, and the probability
-of a shared id is spread over its words by their counts, with one more for words never seen.  Every
-document trains the network once: in each round the tasks start from the shared parameters, run
-mini-batches over their part of that round's documents, and the parameters are averaged by the number
-of words, block by block on the executors.
+the corpus.  Rarer words share ids by hash, and the probability of a shared id is spread over its
+words by their counts, with one more for words never seen.
+
+Ids, counted words and learners grow with the square root of the corpus, as the vocabulary of natural
+text does: what is broadcast has a proven bound, and what all learners send together, learners times
+parameters, grows like the corpus and no faster.
+
+Every document trains the network once: in each round the learners start from the shared parameters,
+run mini-batches over their part of that round's documents, and the parameters are averaged by the
+number of words, block by block on the executors.  Documents are dealt to the learners, and ordered
+there, by the hash of id and text, so the model does not depend on how the input is split.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +35,51 @@ from basketloom.runtime import Scratch
 # sizes without a counted vocabulary: all words share ids by hash
 CLASSES, IN_CLASS = 64, 64
 WORDS = CLASSES * IN_CLASS
-# words that occur so often have an id of their own; shared ids stand for so many occurrences
-OWN_COUNT, SHARED_COUNT = 200, 2000
+# at least so often occurs a word with an id of its own; a shared id stands for ten times as much
+OWN_COUNT, SHARED = 200, 10
 SIDE, EMBEDDING, HIDDEN = 2, 8, 16
 ROUNDS, BATCH, RATE = 2, 8192, 0.05
 BLOCKS = 64
+# probabilities need no order of training, so larger batches serve as well
+SCORED, SLICE = 65536, 512
+
 
+@dataclass(frozen=True)
+class Sizes:
+    """What follows from the number of words of a corpus.
+
+    Words that occur ``own`` times have an id of their own: at most 18 times the root of the corpus.
+    Words that occur ``known`` times, at most 200 times the root, are sent to the tasks.
+    ``learners`` train side by side on about 200 times the root each.
+    """
+
+    words: int
+
+    @property
+    def own(self) -> int:
+        return max(OWN_COUNT, isqrt(OWN_COUNT * self.words) // 250)
+
+    @property
+    def shared(self) -> int:
+        return SHARED * self.own
+
+    @property
+    def known(self) -> int:
+        return min(self.own, max(2, isqrt(self.words) // 200))
+
+    @property
+    def learners(self) -> int:
+        return max(1, isqrt(self.words) // 200)
 
 
 @dataclass
 class Vocabulary:
     """Which id a word has, and which share of the id's probability.
 
-    ``hashes`` are the words that occur more than once, ascending, with their ``counts`` and their
-    ``own`` ids (-1: shared).  ``mass`` is how often the words of each shared id occur together; shared
-    ids come after the own ones.  Without any mass all words share the ids by hash, unspread.
+    ``hashes`` are the known words, ascending, with their ``counts`` and their ``own`` ids (-1: shared).
+    ``mass`` is how often the words of each shared id occur together, ``low`` how often its words
+    that are not known occur on average, and so often as well the words never seen; shared ids come
+    after the own ones.  Without any mass all words share the ids by hash, unspread.
     """
 
     classes: int = CLASSES
@@ -51,6 +88,8 @@ class Vocabulary:
     counts: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     own: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     mass: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    low: np.ndarray = field(default_factory=lambda: np.empty(0, float))
+    learners: int = 1
 
     @property
     def words(self) -> int:
@@ -74,17 +113,22 @@ class Vocabulary:
         """Id of each word and the logarithm of its share of the id."""
         if not len(self.mass):
             return (hashes % np.uint64(self.words)).astype(np.int64), np.zeros(len(hashes))
-        n_own = len(self.own) - int((self.own < 0).sum())
-        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
-        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
-        ids, count = np.full(len(hashes), -1), np.ones(len(hashes), np.int64)
-        ids[known], count[known] = self.own[at[known]], self.counts[at[known]]
+        n_own = self.words - len(self.mass)
+        # a text repeats its words: each is looked up once
+        found, place = np.unique(hashes, return_inverse=True)
+        ids, share = np.full(len(found), -1), np.zeros(len(found))
+        counts = np.zeros(len(found))
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+            known = self.hashes[at] == found
+            ids[known], counts[known] = self.own[at[known]], self.counts[at[known]]
         shared = ids < 0
-        bucket = (hashes[shared] % np.uint64(len(self.mass))).astype(np.int64)
-        share = np.zeros(len(hashes))
-        share[shared] = np.log(count[shared] / (self.mass[bucket] + 1))
+        bucket = (found[shared] % np.uint64(len(self.mass))).astype(np.int64)
+        low = self.low[bucket]
+        count = np.where(counts[shared] > 0, counts[shared], low)
+        share[shared] = np.log(count / (self.mass[bucket] + low))
         ids[shared] = n_own + bucket
-        return ids, share
+        return ids[place], share[place]
 
 
 HASHED = Vocabulary()
@@ -127,7 +171,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def count_words(documents: DataFrame) -> Vocabulary:
     """The vocabulary of all documents.
 
-    The driver and every task hold the words that occur more than once, 24 bytes each.
+    The driver and every task hold the known words, 24 bytes each; ``Sizes`` bounds their number.
     """
     scratch = Scratch(documents.sparkSession, "words")
     counted = scratch.keep(
@@ -136,29 +180,31 @@ def count_words(documents: DataFrame) -> Vocabulary:
         .groupBy("word")
         .agg(F.sum("n").alias("n"))
     )
-    n_own, rare_mass = counted.agg(
-        F.count_if(F.col("n") >= OWN_COUNT), F.sum(F.when(F.col("n") < OWN_COUNT, F.col("n")))
-    ).first()
+    sizes = Sizes(counted.agg(F.sum("n")).first()[0] or 0)
+    rare, low = F.col("n") < sizes.own, F.col("n") < sizes.known
+    n_own, rare_mass = counted.agg(F.count_if(~rare), F.sum(F.when(rare, F.col("n")))).first()
     # at least one shared id, for words never seen
-    n_shared = max(1, -(-(rare_mass or 0) // SHARED_COUNT))
+    n_shared = max(1, -(-(rare_mass or 0) // sizes.shared))
     in_class = max(1, int(np.ceil(np.sqrt(n_own + n_shared))))
     classes = -(-(n_own + n_shared) // in_class)
     # no id is left without a word
     n_shared = classes * in_class - n_own
     # hashes are unsigned
     split = F.lit(1 << 32)
-    high, low = F.shiftrightunsigned("word", 32), F.col("word").bitwiseAND(F.lit((1 << 32) - 1))
-    bucket = ((high % n_shared) * (split % n_shared) + low) % n_shared
+    high, rest = F.shiftrightunsigned("word", 32), F.col("word").bitwiseAND(F.lit((1 << 32) - 1))
+    bucket = ((high % n_shared) * (split % n_shared) + rest) % n_shared
     masses = (
-        counted.where(F.col("n") < OWN_COUNT)
+        counted.where(rare)
         .groupBy(bucket.alias("bucket"))
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n"), F.avg(F.when(low, F.col("n"))).alias("low"))
+        .select("bucket", "n", F.coalesce("low", F.lit(1.0)).alias("low"))
         .toArrow()
     )
-    mass = np.zeros(n_shared, np.int64)
+    mass, average = np.zeros(n_shared, np.int64), np.ones(n_shared)
     mass[masses.column("bucket").to_numpy()] = masses.column("n").to_numpy()
-    often = counted.where("n > 1").toArrow()
-    hashes, counts = often.column("word").to_numpy().view(np.uint64), often.column("n").to_numpy()
+    average[masses.column("bucket").to_numpy()] = masses.column("low").to_numpy()
+    known = counted.where(~low).toArrow()
+    hashes, counts = known.column("word").to_numpy().view(np.uint64), known.column("n").to_numpy()
     order = np.argsort(hashes)
     hashes, counts = hashes[order], counts[order]
     # words of a class are about equally frequent
@@ -166,7 +212,7 @@ def count_words(documents: DataFrame) -> Vocabulary:
     by_count = np.lexsort((hashes, -counts))[:n_own]
     own[by_count] = np.arange(n_own)
     scratch.drop(counted)
-    return Vocabulary(classes, in_class, hashes, counts, own, mass)
+    return Vocabulary(classes, in_class, hashes, counts, own, mass, average, sizes.learners)
 
 
 def windows(
@@ -194,36 +240,61 @@ def _with_bias(hidden: np.ndarray) -> np.ndarray:
     return np.concatenate([hidden, np.ones((len(hidden), 1), np.float32)], axis=1)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    # far beyond what bounded hidden values reach, and safe from overflow
-    np.minimum(z, 60, out=z)
+def _bounded(parts: dict) -> bool:
+    """Whether no power of e can overflow: hidden values and the bias are within -1 and 1."""
+    return max(np.abs(parts[name]).sum(axis=-2).max() for name in ("class_out", "word_out")) < 60
+
+
+def _log_chance(z: np.ndarray, at: np.ndarray, bounded: bool) -> np.ndarray:
+    """Logarithm of the softmax at one place of each row."""
+    if not bounded:
+        z -= z.max(axis=1, keepdims=True)
+    chosen = z[np.arange(len(z)), at].astype(float)
+    return chosen - np.log(np.exp(z, out=z).sum(axis=1))
+
+
+def _errors(z: np.ndarray, at: np.ndarray, bounded: bool) -> np.ndarray:
+    """The softmax of each row, less one at one place: the gradient of the negative logarithm."""
+    if not bounded:
+        z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z *= 1 / z.sum(axis=1, keepdims=True)
+    z[np.arange(len(z)), at] -= 1
     return z
 
 
+def _by_class(kind: np.ndarray) -> np.ndarray:
+    """Stable order by class; numbers of 16 bits are sorted by counting."""
+    return np.argsort(kind.astype(np.uint16) if kind.max() < 1 << 16 else kind, kind="stable")
+
+
 def _class_slices(kind: np.ndarray) -> list[tuple[int, slice]]:
     """The rows of each class in ascending ``kind``."""
-    found, cuts = np.unique(kind, return_index=True)
-    ends = np.append(cuts[1:], len(kind))
-    return [(int(c), slice(a, b)) for c, a, b in zip(found, cuts, ends, strict=True)]
+    cuts = np.concatenate([[0], np.flatnonzero(kind[1:] != kind[:-1]) + 1, [len(kind)]]).tolist()
+    found = kind[cuts[:-1]].tolist()
+    return [(c, slice(a, b)) for c, a, b in zip(found, cuts[:-1], cuts[1:], strict=True)]
 
 
 def log_probabilities(parts: dict, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Natural log-probability of each word given the words around it."""
-    out, in_class = np.empty(len(ids)), parts["word_out"].shape[2]
-    for first in range(0, len(ids), BATCH):
-        mine = ids[first : first + BATCH]
-        order = np.argsort(mine // in_class, kind="stable")
-        mine, seen = mine[order], around[first : first + BATCH][order]
+    out, in_class, bounded = np.empty(len(ids)), parts["word_out"].shape[2], _bounded(parts)
+    for first in range(0, len(ids), SCORED):
+        mine = ids[first : first + SCORED]
+        kind = mine // in_class
+        order = _by_class(kind)
+        mine, kind, seen = mine[order], kind[order], around[first : first + SCORED][order]
         x = parts["embedding"][seen].reshape(len(mine), -1)
         hidden = _with_bias(np.tanh(x @ parts["mixing"]))
-        kind, word = mine // in_class, mine % in_class
-        chance = _softmax(hidden @ parts["class_out"])[np.arange(len(mine)), kind].astype(float)
+        word = mine - kind * in_class
+        chance = np.empty(len(mine))
+        # a slice at a time stays in the processor's cache
+        for a in range(0, len(mine), SLICE):
+            rows = slice(a, a + SLICE)
+            chance[rows] = _log_chance(hidden[rows] @ parts["class_out"], kind[rows], bounded)
         for c, rows in _class_slices(kind):
-            within = _softmax(hidden[rows] @ parts["word_out"][c])
-            chance[rows] *= within[np.arange(len(within)), word[rows]]
-        out[first + order] = np.log(np.maximum(chance, 1e-30))
+            z = hidden[rows] @ parts["word_out"][c]
+            chance[rows] += _log_chance(z, word[rows], bounded)
+        out[first + order] = chance
     return out
 
 
@@ -235,38 +306,51 @@ class Trainer:
         self.parts = unpacked(self.flat, vocabulary)
         self.squares = unpacked(np.full(len(flat), 1e-4, np.float32), vocabulary)
         self.in_class = vocabulary.in_class
+        self.place = np.zeros(vocabulary.words + 1, np.int64)
         self.seen = 0
 
     def _move(self, name: str, gradient: np.ndarray, where=slice(None)) -> None:
-        squares = self.squares[name][where] + gradient**2
+        squares = self.squares[name][where] + gradient * gradient
         self.squares[name][where] = squares
-        self.parts[name][where] -= RATE * gradient / np.sqrt(squares)
+        gradient *= RATE
+        gradient /= np.sqrt(squares, out=squares)
+        self.parts[name][where] -= gradient
 
     def step(self, ids: np.ndarray, around: np.ndarray) -> None:
         p, n = self.parts, len(ids)
-        order = np.argsort(ids // self.in_class, kind="stable")
-        ids, around = ids[order], around[order]
+        kind = ids // self.in_class
+        order = _by_class(kind)
+        ids, kind, around = ids[order], kind[order], around[order]
         x = p["embedding"][around].reshape(n, -1)
         hidden = np.tanh(x @ p["mixing"])
         full = _with_bias(hidden)
-        kind, word = ids // self.in_class, ids % self.in_class
-        error = _softmax(full @ p["class_out"])
-        error[np.arange(n), kind] -= 1
-        back = error @ p["class_out"][:-1].T
-        self._move("class_out", full.T @ error)
+        word = ids - kind * self.in_class
+        back = np.empty((n, HIDDEN), np.float32)
+        gradient, bounded = np.zeros_like(p["class_out"]), _bounded(p)
+        for a in range(0, n, SLICE):
+            rows = slice(a, a + SLICE)
+            error = _errors(full[rows] @ p["class_out"], kind[rows], bounded)
+            back[rows] = error @ p["class_out"][:-1].T
+            gradient += full[rows].T @ error
+        self._move("class_out", gradient)
         for c, rows in _class_slices(kind):
-            within = _softmax(full[rows] @ p["word_out"][c])
-            within[np.arange(len(within)), word[rows]] -= 1
-            back[rows] += within @ p["word_out"][c][:-1].T
-            self._move("word_out", full[rows].T @ within, c)
+            weights, mine = p["word_out"][c], full[rows]
+            error = _errors(mine @ weights, word[rows], bounded)
+            back[rows] += error @ weights[:-1].T
+            self._move("word_out", mine.T @ error, c)
         back *= 1 - hidden**2
         to_words = np.ascontiguousarray((back @ p["mixing"].T).reshape(-1, EMBEDDING).T)
         self._move("mixing", x.T @ back)
         # only the embeddings that were seen move
-        seen, place = np.unique(around.ravel(), return_inverse=True)
+        flat = around.ravel()
+        self.place[flat] = 1
+        seen = np.flatnonzero(self.place)
+        self.place[seen] = np.arange(len(seen))
+        place = self.place[flat]
+        self.place[seen] = 0
         gradient = np.empty((len(seen), EMBEDDING), np.float32)
         for d in range(EMBEDDING):
-            gradient[:, d] = np.bincount(place.ravel(), to_words[d], minlength=len(seen))
+            gradient[:, d] = np.bincount(place, to_words[d], minlength=len(seen))
         self._move("embedding", gradient, seen)
         self.seen += n
 
@@ -275,8 +359,21 @@ class Trainer:
             self.step(ids[first : first + batch], around[first : first + batch])
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum of the weighted blocks of one shuffle partition, held one per block number."""
+def _blocks(numbers, weights, values: list[np.ndarray]) -> pa.RecordBatch:
+    ends = np.cumsum([0, *map(len, values)])
+    flat = np.concatenate(values) if values else np.empty(0, np.float32)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(numbers, pa.int32()),
+            pa.array(weights, pa.int64()),
+            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.float32())),
+        ],
+        names=["block", "weight", "values"],
+    )
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weighted averages of the blocks of one shuffle partition, held one per block number."""
     sums: dict[int, np.ndarray] = {}
     weights: dict[int, int] = {}
     for batch in batches:
@@ -287,14 +384,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = weight * values[k].values.to_numpy().astype(float)
             sums[block] = sums.get(block, 0) + part
             weights[block] = weights.get(block, 0) + weight
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(list(sums), pa.int32()),
-            pa.array(list(weights.values()), pa.int64()),
-            pa.array([s.tolist() for s in sums.values()], pa.list_(pa.float64())),
-        ],
-        names=["block", "weight", "values"],
-    )
+    means = [(sums[b] / weights[b]).astype(np.float32) for b in sums]
+    yield _blocks(list(sums), [weights[b] for b in sums], means)
 
 
 def train(documents: DataFrame, rounds: int = ROUNDS, size: int = BATCH) -> Model:
@@ -306,8 +397,9 @@ def train(documents: DataFrame, rounds: int = ROUNDS, size: int = BATCH) -> Mode
     vocabulary = count_words(documents)
     flat = fresh_parameters(vocabulary=vocabulary)
     words = spark.sparkContext.broadcast(vocabulary)
-    texts = documents.select("text")
-    share = F.pmod(F.xxhash64("text"), F.lit(rounds))
+    deal = F.xxhash64("text", "doc_id")
+    texts = documents.select("text", deal.alias("deal"))
+    share = F.pmod("deal", F.lit(rounds))
     for k in range(rounds):
         sent = spark.sparkContext.broadcast(flat)
 
@@ -318,28 +410,26 @@ def train(documents: DataFrame, rounds: int = ROUNDS, size: int = BATCH) -> Mode
                 trainer.run(ids, around, size)
             if trainer.seen:
                 parts = np.array_split(trainer.flat, BLOCKS)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(BLOCKS), pa.int32()),
-                        pa.array(np.full(BLOCKS, trainer.seen), pa.int64()),
-                        pa.array([p.tolist() for p in parts], pa.list_(pa.float32())),
-                    ],
-                    names=["block", "weight", "values"],
-                )
-
-        learned = texts.where(share == k).mapInArrow(
-            learn, "block int, weight long, values array<float>"
+                yield _blocks(np.arange(BLOCKS), np.full(BLOCKS, trainer.seen), parts)
+
+        learned = (
+            texts.where(share == k)
+            .repartition(vocabulary.learners, "deal")
+            .sortWithinPartitions("deal")
+            .mapInArrow(learn, "block int, weight long, values array<float>")
         )
         # BLOCKS rows, one network in all
         rows = (
             learned.repartition("block")
-            .mapInArrow(_summed, "block int, weight long, values array<double>")
-            .orderBy("block")
-            .collect()
+            .mapInArrow(_averaged, "block int, weight long, values array<float>")
+            .toArrow()
         )
-        if rows:
-            flat = np.concatenate([np.asarray(r["values"]) / r["weight"] for r in rows])
-            flat = flat.astype(np.float32)
+        if rows.num_rows:
+            values = rows.column("values").combine_chunks()
+            flat = np.concatenate(
+                [values[k].values.to_numpy() for k in np.argsort(rows.column("block").to_numpy())]
+            )
+        sent.unpersist()
     return Model(vocabulary, flat)
 
 

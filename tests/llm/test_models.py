@@ -161,6 +161,39 @@ def test_vocabulary_grows_and_shared_ids_are_spread_by_counts(documents, monkeyp
     assert sizes[1][0] > 9000 and sizes[1][1] > 20 * sizes[0][1]
 
 
+def test_model_does_not_depend_on_the_layout(documents, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "OWN_COUNT", 5)
+    monkeypatch.setattr(pseudo_likelihood.Sizes, "learners", 3)
+    rng = random.Random(8)
+    rows = [(k, prose(rng, 60)) for k in range(60)] + [(None, None), (1, "")]
+    table = documents(rows)
+    # one batch per learner, so that every document is in the mini-batches it always is in
+    models = [pseudo_likelihood.train(table.repartition(n, "text"), size=64) for n in (1, 7)]
+    assert models[0].vocabulary.words == models[1].vocabulary.words
+    assert np.allclose(models[0].flat, models[1].flat, atol=1e-5)
+    assert not np.allclose(models[0].flat, pseudo_likelihood.fresh_parameters(vocabulary=models[0].vocabulary))
+
+
+def test_ids_and_learners_grow_with_the_root_of_the_corpus():
+    for words in (10**7, 10**9, 10**12, 10**14):
+        one, four = pseudo_likelihood.Sizes(words), pseudo_likelihood.Sizes(4 * words)
+        # the most ids and known words there can be
+        assert words / one.own <= 18 * words**0.5 and words / one.known <= 201 * words**0.5
+        assert four.learners in (2 * one.learners, 2 * one.learners + 1)
+        assert 4 * words / four.own >= words / one.own
+
+
+def test_large_weights_do_not_overflow():
+    rng = np.random.default_rng(9)
+    flat = rng.normal(0, 40, pseudo_likelihood.N_PARAMETERS).astype(np.float32)
+    parts = pseudo_likelihood.unpacked(flat)
+    assert not pseudo_likelihood._bounded(parts)
+    every, around = np.arange(pseudo_likelihood.WORDS), np.full((pseudo_likelihood.WORDS, 4), 7)
+    given = pseudo_likelihood.log_probabilities(parts, every, around)
+    # far beyond what a probability can hold
+    assert np.isfinite(given).all() and given.min() < -200 and abs(np.exp(given).sum() - 1) < 1e-3
+
+
 # weak labels
 
 
