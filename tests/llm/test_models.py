@@ -177,8 +177,9 @@ def test_model_does_not_depend_on_the_layout(documents, monkeypatch):
 def test_ids_and_learners_grow_with_the_root_of_the_corpus():
     for words in (10**7, 10**9, 10**12, 10**14):
         one, four = pseudo_likelihood.Sizes(words), pseudo_likelihood.Sizes(4 * words)
-        # the most ids and known words there can be
-        assert words / one.own <= 18 * words**0.5 and words / one.known <= 201 * words**0.5
+        # the most ids and known words there can be;
+        # rounding down adds less than a tenth
+        assert words / one.own <= 1.1 * 18 * words**0.5 and words / one.known <= 1.1 * 200 * words**0.5
         assert four.learners in (2 * one.learners, 2 * one.learners + 1)
         assert 4 * words / four.own >= words / one.own
 
