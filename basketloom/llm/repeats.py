@@ -30,8 +30,8 @@ from basketloom.runtime import Scratch
 LENGTH, GRAM = 100, 24
 # different pieces of an anchor that go to one shard; more are split
 GROUP_PIECES = 1000
-# bytes of pieces that one index holds
-SHARD_BYTES = 2_000_000
+# bytes of pieces that one index holds; three ranks of so many suffixes fit into 63 bits
+SHARD_BYTES = 1_500_000
 SLICE_BYTES = 2_000_000
 
 ANCHORS = "core long, piece long, doc_id long, variant long, place long"
@@ -75,10 +75,10 @@ def anchored_runs(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     span = length - gram + 1
     with np.errstate(over="ignore"):
         sums = _prefix_sums(0, raw)
-        grams = np.arange(n - gram + 1)
-        hashes = _range_hash(0, sums, grams, grams + gram)
+        hashes = mixed((sums[gram:] - sums[:-gram]) * _powers(0, len(sums))[: n - gram + 1])
         # the position breaks ties from the left
-        key = (hashes & ~np.uint64(0xFFFFFFFF)) | grams.astype(np.uint64)
+        key = hashes & ~np.uint64(0xFFFFFFFF)
+        key |= np.arange(len(key), dtype=np.uint64)
         least, width = key, 1
         while 2 * width <= span:
             least = np.minimum(least[:-width], least[width:])
@@ -87,9 +87,9 @@ def anchored_runs(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int):
             least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
         anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
         window = np.arange(len(anchor))
-        text = np.searchsorted(offsets, window, side="right") - 1
-        inside = window + length <= offsets[text + 1]
-        window, anchor = window[inside], anchor[inside]
+        ends = np.repeat(offsets[1:], np.diff(offsets))[: len(anchor)]
+        window = np.flatnonzero(window + length <= ends)
+        anchor = anchor[window]
         if not len(window):
             return none, none, none, none.view(np.uint64), none.view(np.uint64)
         new = np.append(True, (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-PACKED = 7
+PACKED, WORD = 7, 8
 
 
 class RunLengthIndex:
@@ -41,6 +41,26 @@ class RunLengthIndex:
         self.shared = self._common(raw, samples, self.above)
 
     def _suffix_order(self, raw: np.ndarray, longest: int) -> np.ndarray:
+        """Order of all suffixes: ranks by 7 bytes, then by three times as many in each step."""
+        rank, width = self._packed_ranks(raw), PACKED
+        # three ranks fit into 63 bits, or else two
+        terms = 3 if 3 * len(raw).bit_length() <= 63 else 2
+        bits = len(raw).bit_length()
+        while width <= longest:
+            both = rank
+            for k in range(1, terms):
+                both = both << bits
+                # shorter suffixes are told apart by their separators already
+                far = np.flatnonzero(self.left >= k * width)
+                both[far] += rank[far + k * width]
+            width *= terms
+            if width > longest:
+                return np.argsort(both)
+            rank = np.unique(both, return_inverse=True)[1].astype(np.int64)
+        return np.argsort(rank)
+
+    def _packed_ranks(self, raw: np.ndarray) -> np.ndarray:
+        """Ranks by the first bytes; suffixes that end within these are told apart by their piece."""
         n = len(raw)
         packed = np.zeros(n, np.int64)
         for k in range(PACKED):
@@ -49,34 +69,31 @@ class RunLengthIndex:
             shifted[self.left <= k] = 0
             packed = (packed << 9) | shifted
         rank = np.unique(packed, return_inverse=True)[1].astype(np.int64)
-        m, width = len(self.ends), PACKED
-        while True:
-            # a suffix that ended before is told apart by its separator
-            second = np.where(self.left < width, self.piece, 0)
-            far = np.flatnonzero(self.left >= width)
-            second[far] = rank[far + width] + m
-            both = rank * (n + m) + second
-            rank = np.unique(both, return_inverse=True)[1].astype(np.int64)
-            if width > longest:
-                break
-            width *= 2
-        order = np.empty(n, np.int64)
-        order[rank] = np.arange(n)
-        return order
+        ended = np.flatnonzero(self.left < PACKED)
+        ended = ended[np.lexsort((self.piece[ended], rank[ended]))]
+        among = rank[ended]
+        # equal ones take consecutive ranks and move up what comes after them
+        sizes = np.bincount(among, minlength=rank.max(initial=-1) + 1)
+        first = np.cumsum(np.maximum(sizes, 1)) - np.maximum(sizes, 1)
+        rank = first[rank]
+        rank[ended] += np.arange(len(ended)) - np.searchsorted(among, among)
+        return rank
 
     def _common(self, raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bytes that the suffixes at ``a`` and ``b`` share within their pieces."""
         most = np.where(b >= 0, np.minimum(self.left[a], self.left[b]), 0)
         shared = np.zeros(len(a), np.int64)
+        # eight bytes at a time, then those of the first eight that differ
+        words = np.lib.stride_tricks.sliding_window_view(np.append(raw, np.zeros(WORD, np.uint8)), WORD)
         live = np.flatnonzero(most > 0)
-        step = 0
         while len(live):
-            same = raw[a[live] + step] == raw[b[live] + step]
-            live = live[same]
-            step += 1
-            shared[live] = step
-            live = live[most[live] > step]
-        return shared
+            at = shared[live]
+            x, y = words[a[live] + at], words[b[live] + at]
+            differ = x != y
+            equal = np.where(differ.any(axis=1), differ.argmax(axis=1), WORD)
+            shared[live] = at + equal
+            live = live[(equal == WORD) & (shared[live] < most[live])]
+        return np.minimum(shared, most)
 
     def matching_statistics(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For text positions: the suffix above, and the bytes shared with it."""
