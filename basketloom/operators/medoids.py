@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +20,14 @@ from basketloom.runtime import Scratch, join_counted
 # Largest K x D that dense medoids may have when they are inlined as constants.
 MAX_INLINE_VALUES = 2_000_000
 
+# Rows and cells of a block; a task holds two blocks and the distances of a few of their rows.
+BLOCK_ROWS, BLOCK_CELLS = 8_192, 500_000
+_SLICE_ROWS, _SLICE_COLUMNS = 128, 2_048
+MAX_BLOCK_TASKS = 4_096
+
+# Below this number of row-row pairs, passes that drop rows by bounds cost more than the pairs.
+PLAIN_PAIRS = 100_000_000_000
+
 
 def _norms(points: DataFrame) -> dict[int, float]:
     """Squared norm per label: K numbers."""
@@ -220,13 +232,108 @@ def most_promising(open_rows: DataFrame, batch: int) -> DataFrame:
     )
 
 
-def exact_medoids(cells: DataFrame, labels: DataFrame, batch: int = 32) -> DataFrame:
-    """Per label the row with the least summed distance to its cluster, and that sum as the loss.
+def row_vectors(cells: DataFrame) -> DataFrame:
+    """Rows as arrays (row_id, dims, values) in the order of the dims."""
+    row = F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("_row")
+    return (
+        cells.groupBy("row_id")
+        .agg(row)
+        .select("row_id", F.col("_row.dim").alias("dims"), F.col("_row.value").alias("values"))
+    )
+
+
+def _flat(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of a table of rows: row number, dim, value."""
+    dims = rows["dims"].combine_chunks()
+    counts = pc.fill_null(pc.list_value_length(dims), 0).to_numpy(zero_copy_only=False)
+    number = np.repeat(np.arange(len(counts)), counts)
+    values = pc.list_flatten(rows["values"].combine_chunks()).to_numpy(zero_copy_only=False)
+    return number, pc.list_flatten(dims).to_numpy(zero_copy_only=False), values
+
+
+def _block_distances(block: pa.Table) -> pa.Table:
+    """Summed distances of the wanted rows of a block to its other rows, a few rows at a time."""
+    block = block.sort_by("row_id")  # equal rows add up alike, whatever order they came in
+    wanted, others = block.filter(pc.field("wanted")), block.filter(~pc.field("wanted"))
+    row, dim, value = _flat(others)
+    norms = np.bincount(row, value * value, minlength=others.num_rows)
+    parts = np.zeros(wanted.num_rows)
+    known: tuple[np.ndarray, np.ndarray] | None = None
+    for first in range(0, wanted.num_rows, _SLICE_ROWS):
+        few = wanted.slice(first, _SLICE_ROWS)
+        own_row, own_dim, own_value = _flat(few)
+        own_norms = np.bincount(own_row, own_value * own_value, minlength=few.num_rows)
+        squares = own_norms[:, None] + norms[None, :]
+        columns, place = np.unique(own_dim, return_inverse=True)
+        for start in range(0, len(columns), _SLICE_COLUMNS):
+            some = columns[start : start + _SLICE_COLUMNS]
+            if known is None or not np.array_equal(known[0], some):
+                found = np.minimum(np.searchsorted(some, dim), len(some) - 1)
+                hit = some[found] == dim
+                dense = np.zeros((others.num_rows, len(some)))
+                dense[row[hit], found[hit]] = value[hit]
+                known = some, dense
+            inside = (place >= start) & (place < start + len(some))
+            own = np.zeros((few.num_rows, len(some)))
+            own[own_row[inside], place[inside] - start] = own_value[inside]
+            squares -= 2 * (own @ known[1].T)
+        parts[first : first + few.num_rows] = np.sqrt(np.maximum(squares, 0, out=squares), out=squares).sum(axis=1)
+    return pa.table({"label": wanted["label"], "row_id": wanted["row_id"], "part": parts})
+
+
+def summed_distances(
+    vectors: DataFrame, wanted: DataFrame, block_rows: int = BLOCK_ROWS, block_cells: int = BLOCK_CELLS
+) -> DataFrame:
+    """Summed distance of the wanted rows to all rows of their label (label, row_id, loss).
+
+    ``vectors`` are (row_id, label, dims, values).  The rows of a label are dealt into blocks by
+    hash, on either side, and every pair of blocks is a group of its own: a task never holds more
+    than two blocks, and no row-row pair leaves it.
+    """
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        cells = F.sum(F.coalesce(F.size("dims"), F.lit(0)))
+        needed = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(cells / block_cells))
+        return rows.groupBy("label").agg(needed.cast("int").alias(name))
+
+    sought = vectors.join(wanted.select("row_id"), "row_id")
+    # one row per label
+    sizes = Scratch(vectors.sparkSession, "blocks").keep(
+        blocks(sought, "_a").join(blocks(vectors, "_b"), "label")
+    )
+    pairs = sizes.agg(F.sum(F.col("_a") * F.col("_b"))).first()[0] or 1
+
+    def place(rows: DataFrame, own: str, other: str, is_wanted: bool) -> DataFrame:
+        dealt = rows.join(F.broadcast(sizes), "label").select(
+            "label", "row_id", "dims", "values", F.lit(is_wanted).alias("wanted"),
+            F.pmod(F.xxhash64("row_id"), F.col(own)).cast("int").alias(f"{own}_at"),
+            F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{other}_at"),
+        )
+        return dealt
+
+    placed = place(sought, "_a", "_b", True).unionByName(place(vectors, "_b", "_a", False))
+    keys = ("label", "_a_at", "_b_at")
+    label, row_id = vectors.schema["label"].dataType, vectors.schema["row_id"].dataType
+    parts = (
+        placed.repartition(min(pairs, MAX_BLOCK_TASKS), *keys)
+        .groupBy(*keys)
+        .applyInArrow(
+            _block_distances,
+            f"label {label.simpleString()}, row_id {row_id.simpleString()}, part double",
+        )
+    )
+    # added in one order, so that equal rows have equal sums
+    total = F.aggregate(F.array_sort(F.collect_list("part")), F.lit(0.0), lambda s, x: s + x)
+    return parts.groupBy("label", "row_id").agg(total.alias("loss"))
+
+
+def possible_medoids(cells: DataFrame, labels: DataFrame, batch: int = 32) -> DataFrame:
+    """The rows that may have the least summed distance to their cluster (row_id).
 
     A row's sum S(i) is at least n |x_i - mean|, and at least |n d(i, c) - S(c)| for any row c
     whose sum is known.  Each round computes the sums of the ``batch`` most promising rows per
     cluster in one pass, tightens the bounds of the others, and drops those that can no longer
-    win; it ends when none is left, so the answer is exact without ever forming all pairs at once.
+    win; the rounds end when one drops less than half of the rows.
     """
     scratch = Scratch(cells.sparkSession, "medoids")
     labelled = scratch.keep(label_cells(cells, labels))
@@ -236,8 +343,12 @@ def exact_medoids(cells: DataFrame, labels: DataFrame, batch: int = 32) -> DataF
             "row_id", "label", "n", (F.col("n") * F.col("distance")).alias("bound")
         )
     )
-    best: DataFrame | None = None
-    while not open_rows.isEmpty():
+    # the margin covers rounding in the bounds and sums
+    margin = 1 + 1e-9
+    tried: DataFrame | None = None
+    left = open_rows.count()
+    before = 2 * left
+    while left and 2 * left <= before:
         candidates = scratch.keep(most_promising(open_rows, batch))
         distances = scratch.keep(_summed_distances(labelled, rows, candidates, batch))
         sums = scratch.keep(
@@ -245,20 +356,16 @@ def exact_medoids(cells: DataFrame, labels: DataFrame, batch: int = 32) -> DataF
                 F.array(*[F.sum(f"t{i}") for i in range(batch)]).alias("sums")
             )
         )
-        tried = candidates.join(sums, "label").select(
-            "label",
-            F.struct(
-                F.element_at("sums", F.col("slot") + 1).alias("loss"), F.col("row_id")
-            ).alias("found"),
+        found = candidates.join(sums, "label").select(
+            "label", "row_id", F.element_at("sums", F.col("slot") + 1).alias("loss")
         )
-        if best is not None:
-            tried = tried.unionByName(best)
-        best = scratch.keep(tried.groupBy("label").agg(F.min("found").alias("found")))
+        tried = scratch.keep(found if tried is None else found.unionByName(tried))
+        best = tried.groupBy("label").agg(F.min("loss").alias("_loss"))
         per_candidate = F.array(*[F.col(f"t{i}") for i in range(batch)])
         bounds = F.zip_with(
             per_candidate, "sums", lambda d, s: F.abs(F.col("n") * d - s)
         )
-        still_open = (
+        open_rows = scratch.keep(
             open_rows.join(candidates.select("row_id"), "row_id", "left_anti")
             .join(distances.drop("label"), "row_id")
             .join(sums, "label")
@@ -268,15 +375,44 @@ def exact_medoids(cells: DataFrame, labels: DataFrame, batch: int = 32) -> DataF
                 "label",
                 "n",
                 F.greatest("bound", F.array_max(bounds)).alias("bound"),
-                F.col("found.loss").alias("_loss"),
+                "_loss",
             )
-            # the margin covers rounding in the bound
-            .where(F.col("bound") <= F.col("_loss") * (1 + 1e-9))
+            .where(F.col("bound") <= F.col("_loss") * margin)
             .drop("_loss")
         )
-        open_rows = scratch.keep(still_open)
-    return best.select(
-        "label", F.col("found.row_id").alias("medoid"), F.col("found.loss").alias("loss")
+        before, left = left, open_rows.count()
+    if tried is None:
+        return rows.select("row_id")
+    best = tried.groupBy("label").agg(F.min("loss").alias("_loss"))
+    near = tried.join(best, "label").where(F.col("loss") <= F.col("_loss") * margin)
+    return open_rows.select("row_id").unionByName(near.select("row_id"))
+
+
+def exact_medoids(
+    cells: DataFrame,
+    labels: DataFrame,
+    batch: int = 32,
+    vectors: DataFrame | None = None,
+    plain_pairs: int = PLAIN_PAIRS,
+) -> DataFrame:
+    """Per label the row with the least summed distance to its cluster, and that sum as the loss.
+
+    Sums are taken over pairs of blocks, so the answer is exact without ever forming all pairs at
+    once; with more than ``plain_pairs`` pairs, rows that cannot win are dropped by bounds first.
+    ``vectors`` are the rows of ``cells`` as arrays, if there are any already.
+    """
+    scratch = Scratch(cells.sparkSession, "medoids")
+    vectors = row_vectors(cells) if vectors is None else vectors
+    labelled = scratch.keep(labels.select("row_id", "label").join(vectors, "row_id", "left"))
+    sizes = labelled.groupBy("label").agg(F.count("*").cast("double").alias("n"))
+    pairs = sizes.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    wanted = labelled if pairs <= plain_pairs else possible_medoids(cells, labels, batch)
+    best = F.min(F.struct("loss", "row_id")).alias("found")
+    return (
+        summed_distances(labelled, wanted)
+        .groupBy("label")
+        .agg(best)
+        .select("label", F.col("found.row_id").alias("medoid"), F.col("found.loss").alias("loss"))
     )
 
 
@@ -301,6 +437,9 @@ def k_medoids(
     """Alternate assignment and medoid update until the loss gains no more than ``threshold``."""
     scratch = Scratch(cells.sparkSession, "k-medoids")
     rows = scratch.keep(cells.select("row_id").distinct())
+    update = MEDOID_STEPS[step]
+    if step == "exact":
+        update = partial(update, vectors=scratch.keep(row_vectors(cells)))
     medoids = (
         list(initial)
         if initial is not None
@@ -316,7 +455,7 @@ def k_medoids(
         if superseded is not None:
             scratch.drop(superseded)
         found = {
-            row["label"]: row for row in MEDOID_STEPS[step](cells, labels).collect()  # k rows
+            row["label"]: row for row in update(cells, labels).collect()  # k rows
         }
         # a label that lost all rows to an equal medoid keeps its medoid
         medoids = [found[i]["medoid"] if i in found else medoids[i] for i in range(k)]

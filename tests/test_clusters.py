@@ -105,6 +105,40 @@ def test_exact_medoids_whatever_the_batch(spark, batch):
         assert found[k]["loss"] == pytest.approx(sums.min(), abs=1e-6)
 
 
+def test_blocks_sum_all_pairs_of_a_label(spark):
+    data = matrix(90, 9, seed=4)
+    labels = np.array([0] * 50 + [1] * 39 + [2])
+    cells, frame = frames(spark, data, labels)
+    vectors = frame.join(medoids.row_vectors(cells), "row_id", "left")
+    wanted = frame.where("row_id % 3 = 0")
+    found = medoids.summed_distances(vectors, wanted, block_rows=7, block_cells=20)
+    sums = {r["row_id"]: r["loss"] for r in found.collect()}
+    assert sorted(sums) == [i for i in range(90) if i % 3 == 0]
+    for i, loss in sums.items():
+        mates = data[labels == labels[i]]
+        assert loss == pytest.approx(np.linalg.norm(mates - data[i], axis=1).sum(), abs=1e-6)
+
+
+@pytest.mark.parametrize("d", [2, 40])
+def test_exact_medoids_need_few_passes_where_bounds_say_nothing(spark, monkeypatch, d):
+    data = np.random.default_rng(d).normal(size=(150, d)).round(2)
+    data[149] = data[0]  # equal rows tie, the smaller id wins
+    labels = np.arange(150) % 2 * 0
+    cells, frame = frames(spark, data, labels)
+    passes, plain = [], medoids._summed_distances
+    monkeypatch.setattr(
+        medoids, "_summed_distances", lambda *given: passes.append(1) or plain(*given)
+    )
+    found = medoids.exact_medoids(cells, frame, 4, plain_pairs=0).first()
+    sums = np.linalg.norm(data[:, None] - data[None], axis=2).sum(axis=1)
+    assert found["medoid"] == sums.argmin()
+    assert found["loss"] == pytest.approx(sums.min(), abs=1e-6)
+    assert len(passes) <= 8  # 38 in batches of 4
+    passes.clear()
+    assert medoids.exact_medoids(cells, frame, 4).first()["medoid"] == sums.argmin()
+    assert not passes
+
+
 def test_medoids_near_mean(case):
     data, labels, _, cells, frame, _ = case
     found = {r["label"]: r for r in medoids.medoids_near_mean(cells, frame).collect()}
