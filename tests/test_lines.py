@@ -15,7 +15,14 @@ from basketloom.functions.lines import is_note, parse_line, take_parentheses
 from basketloom.functions.quantities import written_forms
 from basketloom.functions.stems import stem as stem_of
 from basketloom.functions.text import plural, singular
-from basketloom.operators.lines import equipment_rows, parse_documents, parse_lines, rejected_documents
+from basketloom.catalog import line_parsing, load, star_tables
+from basketloom.operators.lines import (
+    equipment_rows,
+    parse_documents,
+    parse_lines,
+    rejected_documents,
+    route_documents,
+)
 from basketloom.plans.documents import parse_document_files
 from basketloom.schemas import DOCUMENT
 
@@ -257,6 +264,26 @@ def test_documents_are_routed_and_rejected(spark):
     assert sorted(r["id"] for r in rejected.collect()) == ["3", "4", "5"]
 
 
+def test_routing_alone_agrees_with_parsing(spark):
+    def shown(frame):
+        texts = F.transform("ingredients", lambda line: line["text"]).alias("texts")
+        return sorted(map(str, frame.select("id", texts, "equipment", "parse_ok").collect()))
+
+    assert shown(route_documents(documents(spark))) == shown(parse_documents(documents(spark)))
+
+
+@pytest.mark.parametrize(
+    "name", ["t17_routed_documents", "t18_rejected_documents", "r5_equipment_dimension", "r5_required_equipment"]
+)
+def test_queries_without_line_fields_do_not_parse_lines(spark, monkeypatch, name):
+    def parsed(*_):
+        raise AssertionError("lines were parsed")
+
+    for module in (line_parsing, star_tables):
+        monkeypatch.setattr(module, "parse_documents", parsed)
+    assert load()[0][name](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_document_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for part in (1, 2):
