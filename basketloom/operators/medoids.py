@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import partial
 from typing import NamedTuple
 
 import numpy as np
@@ -81,6 +80,66 @@ def nearest_point(
     )
 
 
+def row_vectors(cells: DataFrame) -> DataFrame:
+    """Rows as arrays (row_id, dims, values) in the order of the dims, with two norms (xx, l1)."""
+    row = F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("_row")
+    return (
+        cells.groupBy("row_id")
+        .agg(
+            row,
+            F.sum(F.col("value") * F.col("value")).alias("xx"),
+            F.sum(F.abs("value")).alias("l1"),
+        )
+        .select(
+            "row_id", F.col("_row.dim").alias("dims"), F.col("_row.value").alias("values"), "xx", "l1"
+        )
+    )
+
+
+def vector_cells(vectors: DataFrame, *keep: str) -> DataFrame:
+    pairs = F.arrays_zip("dims", "values")
+    return vectors.select("row_id", *keep, F.explode(pairs).alias("_c")).select(
+        "row_id", *keep, F.col("_c.dims").alias("dim"), F.col("_c.values").alias("value")
+    )
+
+
+def label_vectors(vectors: DataFrame, medoids: Sequence[int], scratch: Scratch) -> DataFrame:
+    """The vectors with the label of their nearest medoid, lowest of equally near ones.
+
+    Only cells in columns of a medoid are grouped; the vectors are read where they lie.
+    """
+    k = len(medoids)
+    points = scratch.keep(medoid_points(vector_cells(vectors), medoids))  # the cells of k rows
+    norms = _norms(points)
+    weights = points.groupBy("dim").agg(
+        *[F.sum(F.when(F.col("label") == i, F.col("value"))).alias(f"w{i}") for i in range(k)]
+    )
+    products = (
+        vector_cells(vectors)
+        .join(weights, "dim")
+        .groupBy("row_id")
+        .agg(*[F.sum(F.col("value") * F.col(f"w{i}")).alias(f"d{i}") for i in range(k)])
+    )
+    zero = F.lit(0.0)
+    squares = F.array(
+        *[
+            F.greatest(
+                F.col("xx") - 2 * F.coalesce(f"d{i}", zero) + F.lit(float(norms.get(i, 0.0))), zero
+            )
+            for i in range(k)
+        ]
+    )
+    distances = F.transform(squares, F.sqrt)
+    return (
+        vectors.join(products, "row_id", "left")
+        .select(*vectors.columns, distances.alias("_d"))
+        .select(
+            *vectors.columns,
+            (F.array_position("_d", F.array_min("_d")) - 1).cast("int").alias("label"),
+        )
+    )
+
+
 def medoid_points(cells: DataFrame, medoids: Sequence[int]) -> DataFrame:
     """Cells of the k medoid rows, labelled by their place in the list."""
     places = {str(int(m)): str(i) for i, m in enumerate(medoids)}
@@ -145,20 +204,64 @@ def distance_to_mean(cells: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def medoids_near_mean(cells: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per label the row nearest to the cluster's mean, and its distance as the loss.
+def nearest_to_mean(labelled: DataFrame) -> DataFrame:
+    """Per label the row nearest to the mean of its vectors (row_id, label, dims, values, xx, l1).
 
-    Linear in the rows, which makes it the step to use at scale.
+    With c the mean, |x - c|^2 differs from |x|^2 + |c|^2 by 2 |x.c|, which is at most
+    2 |x|_1 max|c| and 2 |x| |c|.  Rows that these bounds leave behind another row's are not joined
+    to the mean; the others are compared exactly.
     """
-    nearest = F.min(F.struct("distance", "row_id")).alias("_best")
+    scratch = Scratch(labelled.sparkSession, "means")
+    sizes = scratch.keep(labelled.groupBy("label").agg(F.count("*").alias("n")))
+    means = scratch.keep(
+        vector_cells(labelled, "label")
+        .groupBy("label", "dim")
+        .agg(F.sum("value").alias("_sum"), F.count("*").alias("count"))
+        .join(F.broadcast(sizes), "label")
+        .select("label", "dim", (F.col("_sum") / F.col("n")).alias("c"), "count")
+    )
+    centre = means.groupBy("label").agg(
+        F.sum(F.col("c") * F.col("c")).alias("_norm"), F.max(F.abs("c")).alias("_most")
+    )
+    # one row per label
+    centre = scratch.keep(sizes.join(centre, "label", "left").fillna(0.0, ["_norm", "_most"]))
+    xx, l1 = F.coalesce("xx", F.lit(0.0)), F.coalesce("l1", F.lit(0.0))
+    apart = F.least(2 * l1 * F.col("_most"), 2 * F.sqrt(xx) * F.sqrt("_norm"))
+    bounded = labelled.join(F.broadcast(centre), "label").withColumns(
+        {"_low": xx + F.col("_norm") - apart, "_high": xx + F.col("_norm") + apart}
+    )
+    reach = bounded.groupBy("label").agg(F.min("_high").alias("_reach"))
+    # the margin covers rounding
+    near = scratch.keep(
+        bounded.join(F.broadcast(reach), "label")
+        .where(F.col("_low") <= F.col("_reach") + 1e-9 * (F.col("_reach") + xx + F.col("_norm")))
+        .select("row_id", "label", "dims", "values", "_norm")
+    )
+    own = (
+        join_counted(vector_cells(near, "label"), means, ["label", "dim"])
+        .groupBy("row_id")
+        .agg(F.sum(F.col("value") * (F.col("value") - 2 * F.col("c"))).alias("_own"))
+    )
+    square = F.coalesce("_own", F.lit(0.0)) + F.col("_norm")
+    distance = F.sqrt(F.greatest(square, F.lit(0.0))).alias("distance")
     return (
-        distance_to_mean(cells, labels)
+        near.join(own, "row_id", "left")
+        .select("label", F.struct(distance, "row_id").alias("_row"))
         .groupBy("label")
-        .agg(nearest)
+        .agg(F.min("_row").alias("_best"))
         .select("label", F.col("_best.row_id").alias("medoid"), F.col("_best.distance").alias("loss"))
     )
 
 
+def medoids_near_mean(cells: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per label the row nearest to the cluster's mean, and its distance as the loss.
+
+    Linear in the rows, which makes it the step to use at scale.
+    """
+    vectors = labels.select("row_id", "label").join(row_vectors(cells), "row_id", "left")
+    return nearest_to_mean(Scratch(cells.sparkSession, "labelled").keep(vectors))
+
+
 def _summed_distances(
     labelled: DataFrame, labels: DataFrame, candidates: DataFrame, batch: int
 ) -> DataFrame:
@@ -232,16 +335,6 @@ def most_promising(open_rows: DataFrame, batch: int) -> DataFrame:
     )
 
 
-def row_vectors(cells: DataFrame) -> DataFrame:
-    """Rows as arrays (row_id, dims, values) in the order of the dims."""
-    row = F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("_row")
-    return (
-        cells.groupBy("row_id")
-        .agg(row)
-        .select("row_id", F.col("_row.dim").alias("dims"), F.col("_row.value").alias("values"))
-    )
-
-
 def _flat(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cells of a table of rows: row number, dim, value."""
     dims = rows["dims"].combine_chunks()
@@ -388,25 +481,16 @@ def possible_medoids(cells: DataFrame, labels: DataFrame, batch: int = 32) -> Da
     return open_rows.select("row_id").unionByName(near.select("row_id"))
 
 
-def exact_medoids(
-    cells: DataFrame,
-    labels: DataFrame,
-    batch: int = 32,
-    vectors: DataFrame | None = None,
-    plain_pairs: int = PLAIN_PAIRS,
+def best_medoids(
+    labelled: DataFrame, batch: int = 32, plain_pairs: int = PLAIN_PAIRS
 ) -> DataFrame:
-    """Per label the row with the least summed distance to its cluster, and that sum as the loss.
-
-    Sums are taken over pairs of blocks, so the answer is exact without ever forming all pairs at
-    once; with more than ``plain_pairs`` pairs, rows that cannot win are dropped by bounds first.
-    ``vectors`` are the rows of ``cells`` as arrays, if there are any already.
-    """
-    scratch = Scratch(cells.sparkSession, "medoids")
-    vectors = row_vectors(cells) if vectors is None else vectors
-    labelled = scratch.keep(labels.select("row_id", "label").join(vectors, "row_id", "left"))
+    """``exact_medoids`` of stored vectors with labels."""
     sizes = labelled.groupBy("label").agg(F.count("*").cast("double").alias("n"))
     pairs = sizes.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
-    wanted = labelled if pairs <= plain_pairs else possible_medoids(cells, labels, batch)
+    wanted = labelled
+    if pairs > plain_pairs:
+        labels = labelled.select("row_id", "label")
+        wanted = possible_medoids(vector_cells(labelled), labels, batch)
     best = F.min(F.struct("loss", "row_id")).alias("found")
     return (
         summed_distances(labelled, wanted)
@@ -416,7 +500,20 @@ def exact_medoids(
     )
 
 
-MEDOID_STEPS = {"mean": medoids_near_mean, "exact": exact_medoids}
+def exact_medoids(
+    cells: DataFrame, labels: DataFrame, batch: int = 32, plain_pairs: int = PLAIN_PAIRS
+) -> DataFrame:
+    """Per label the row with the least summed distance to its cluster, and that sum as the loss.
+
+    Sums are taken over pairs of blocks, so the answer is exact without ever forming all pairs at
+    once; with more than ``plain_pairs`` pairs, rows that cannot win are dropped by bounds first.
+    """
+    vectors = labels.select("row_id", "label").join(row_vectors(cells), "row_id", "left")
+    labelled = Scratch(cells.sparkSession, "labelled").keep(vectors)
+    return best_medoids(labelled, batch, plain_pairs)
+
+
+MEDOID_STEPS = {"mean": nearest_to_mean, "exact": best_medoids}
 
 
 class Medoids(NamedTuple):
@@ -436,27 +533,22 @@ def k_medoids(
 ) -> Medoids:
     """Alternate assignment and medoid update until the loss gains no more than ``threshold``."""
     scratch = Scratch(cells.sparkSession, "k-medoids")
-    rows = scratch.keep(cells.select("row_id").distinct())
-    update = MEDOID_STEPS[step]
-    if step == "exact":
-        update = partial(update, vectors=scratch.keep(row_vectors(cells)))
+    vectors = scratch.keep(row_vectors(cells))
     medoids = (
         list(initial)
         if initial is not None
-        else [row[0] for row in random_rows(rows, ["row_id"], k, seed).collect()]
+        else [row[0] for row in random_rows(vectors.select("row_id"), ["row_id"], k, seed).collect()]
     )
     losses: list[float] = []
     previous = None
     change = float("inf")
-    labels = None
+    labelled = None
     while change > threshold:
-        superseded = labels
-        labels = scratch.keep(assign_to_medoids(cells, medoids, rows).select("row_id", "label"))
+        superseded = labelled
+        labelled = scratch.keep(label_vectors(vectors, medoids, scratch))
         if superseded is not None:
             scratch.drop(superseded)
-        found = {
-            row["label"]: row for row in update(cells, labels).collect()  # k rows
-        }
+        found = {row["label"]: row for row in MEDOID_STEPS[step](labelled).collect()}  # k rows
         # a label that lost all rows to an equal medoid keeps its medoid
         medoids = [found[i]["medoid"] if i in found else medoids[i] for i in range(k)]
         loss = sum(row["loss"] for row in found.values())
@@ -465,4 +557,4 @@ def k_medoids(
         previous = loss
         if iterations is not None and len(losses) >= iterations:
             break
-    return Medoids(medoids, labels, losses)
+    return Medoids(medoids, labelled.select("row_id", "label"), losses)

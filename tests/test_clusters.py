@@ -148,6 +148,27 @@ def test_medoids_near_mean(case):
         assert found[k]["loss"] == pytest.approx(distances.min())
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_few_rows_are_joined_to_the_mean(spark, monkeypatch, seed):
+    rng = np.random.default_rng(seed)
+    data = (rng.random((300, 400)) < 0.01).astype(float)  # no column fills a cluster
+    data[:, 0] = np.arange(300) % 50 == 0
+    data[7] = -2 * data[8]
+    labels = np.arange(300) % 3
+    cells, frame = frames(spark, data, labels)
+    joined, plain = [], medoids.join_counted
+    monkeypatch.setattr(
+        medoids, "join_counted", lambda rows, *rest: joined.append(rows.count()) or plain(rows, *rest)
+    )
+    found = {r["label"]: r for r in medoids.medoids_near_mean(cells, frame).collect()}
+    for k in range(3):
+        ids = np.flatnonzero(labels == k)
+        distances = np.linalg.norm(data[ids] - data[ids].mean(axis=0), axis=1)
+        assert found[k]["loss"] == pytest.approx(distances.min())
+        assert distances[list(ids).index(found[k]["medoid"])] == pytest.approx(distances.min())
+    assert sum(joined) < cells.count() / 4
+
+
 def test_k_medoids_loss_does_not_grow(spark):
     rng = np.random.default_rng(2)
     data = np.concatenate([rng.normal(c, 0.4, size=(12, 2)) for c in (0, 5, 10)])
