@@ -364,3 +364,22 @@ def test_linear_models_see_a_bounded_sample(spark, documents, monkeypatch, label
     monkeypatch.setattr(weak_labels, "fit_linear", counted)
     weak_labels.fit(documents(rows), given, sample=50)
     assert seen and max(seen) < 90
+
+
+@pytest.mark.parametrize("bounded", [True, False])
+def test_slices_of_classes_are_short_and_their_gradients_those_of_the_softmax(bounded):
+    # one class has nearly all rows
+    kind = np.sort(np.where(np.arange(5000) % 50 == 0, 3, 1))
+    slices = pseudo_likelihood._class_slices(kind)
+    assert max(rows.stop - rows.start for _, rows in slices) <= pseudo_likelihood.SLICE
+    assert np.array_equal(np.concatenate([np.arange(5000)[rows] for _, rows in slices]), np.arange(5000))
+    assert all((kind[rows] == c).all() for c, rows in slices)
+    rng = np.random.default_rng(1)
+    full, weights = rng.normal(size=(40, 5)).astype(np.float32), rng.normal(size=(5, 7)).astype(np.float32)
+    full[:, -1], at = 1, rng.integers(0, 7, 40)
+    back, gradient = pseudo_likelihood._back(full, weights, pseudo_likelihood._summing(weights), at, bounded)
+    error = np.exp(full @ weights)
+    error /= error.sum(axis=1, keepdims=True)
+    error[np.arange(40), at] -= 1
+    assert np.allclose(back, error @ weights[:-1].T, atol=1e-4)
+    assert np.allclose(gradient, full.T @ error, atol=1e-4)
