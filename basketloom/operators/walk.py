@@ -151,7 +151,8 @@ def walk_baskets(
         moved = _hop(
             chosen, graph.by_item, "canonical_id", "basket_id", draw(step, "basket"), shards, walkers
         )
-        previous, at = at, scratch.keep(moved.coalesce(1))
+        # dealt out anew after the join: coalesced, one task would read the whole adjacency
+        previous, at = at, scratch.keep(moved.repartition(-(-walkers // SENT_WALKERS)))
         scratch.drop(previous)
         visit = scratch.add(
             "visits", at.select("walker", F.lit(step).alias("step"), "basket_id")

@@ -313,3 +313,19 @@ def test_scratch_drops_only_its_own_tables(spark):
     assert b.count() == 7
     with pytest.raises(Exception):
         a.count()
+
+
+def test_a_step_of_a_walk_does_not_read_the_adjacency_in_one_task(spark, monkeypatch):
+    plans, keep = [], walk.Scratch.keep
+
+    def noted(self, df, partition_by=()):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(self, df, partition_by)
+
+    monkeypatch.setattr(walk.Scratch, "keep", noted)
+    edges = spark.createDataFrame([(k, k % 3) for k in range(12)], "basket_id long, canonical_id long")
+    walk.walk_baskets(edges, n_samples=100, walkers=2, steps=2)
+    steps = [plan for plan in plans if "degree" in plan and "walker" in plan]
+    assert len(steps) == 2
+    # "Repartition 1, false" is a coalesce: it takes the scan below it along into its task
+    assert not any("Repartition 1, false" in plan for plan in steps)
