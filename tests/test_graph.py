@@ -160,6 +160,21 @@ def test_cycles_of_any_length_are_found(spark, length):
     assert dict(map(tuple, found.mapping.collect())) == mapping
 
 
+def test_doubling_does_not_pass_through_the_driver(spark, monkeypatch):
+    plans, keep = [], Scratch.keep
+
+    def watched(self, df, *more, **named):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(self, df, *more, **named)
+
+    monkeypatch.setattr(Scratch, "keep", watched)
+    mapping = mapping_frame(spark, {0: 1, 1: 0} | {i: i + 1 for i in range(2, 20)})
+    found = closure.close_mapping(mapping)
+    assert {r["subject_id"] for r in found.cycles.collect()} == {0, 1}
+    doubled = [p for p in plans if "_next" in p]
+    assert doubled and not any("BroadcastHashJoin" in p for p in doubled)
+
+
 def test_canonical_job_names_a_cycle(spark):
     items = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "item_id long, item_name string")
     relations = spark.createDataFrame(
