@@ -20,6 +20,7 @@ from basketloom.operators.lines import (
     equipment_rows,
     parse_documents,
     parse_lines,
+    read_distinct,
     rejected_documents,
     route_documents,
 )
@@ -284,6 +285,36 @@ def test_queries_without_line_fields_do_not_parse_lines(spark, monkeypatch, name
     assert load()[0][name](spark, "/root/testdata/sf0.001").count() > 0
 
 
+def test_lines_one_by_one_agree_with_nested_ones(spark):
+    nested = parse_documents(documents(spark)).select("id", "parse_ok", F.posexplode("ingredients").alias("pos", "line"))
+    single = parse_documents(documents(spark), by_line=["id"])
+    assert single.columns == nested.columns
+
+    def shown(frame):
+        # rejected lines have no substitutions, be they empty or absent
+        line = F.col("line").withField("substitutions", F.coalesce("line.substitutions", F.array()))
+        return sorted(map(str, frame.select("id", "parse_ok", "pos", F.to_json(line)).collect()))
+
+    assert shown(single) == shown(nested)
+
+
+def test_each_distinct_text_is_read_once(spark):
+    rows = [(i, t) for i, t in enumerate(["1 cup rice", "2 eggs", None, "", "1 cup rice", None, "2 eggs"] * 30)]
+    df = spark.createDataFrame(rows, "n int, text string")
+    read = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        read.add(1)
+        return text and text.upper()
+
+    counted = F.udf(count)
+    found = read_distinct(df, "text", lambda t: F.struct(counted(t).alias("loud"))).collect()
+    assert sorted((r["n"], r["_line"]["loud"]) for r in found) == [(n, t and t.upper()) for n, t in rows]
+    assert read.value == 4
+    plain = df.select("n", parse_line(F.col("text")).alias("p")).select("n", "p.*")
+    assert sorted(map(str, parse_lines(df).collect())) == sorted(map(str, plain.collect()))
+
+
 def test_document_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for part in (1, 2):
