@@ -315,6 +315,12 @@ def test_each_distinct_text_is_read_once(spark):
     assert sorted(map(str, parse_lines(df).collect())) == sorted(map(str, plain.collect()))
 
 
+@pytest.mark.parametrize("name", ["t7_t9_quantities", "t13_alternatives"])
+def test_queries_read_distinct_texts(spark, name):
+    frame = load()[0][name](spark, "/root/testdata/sf0.001")
+    assert "Aggregate" in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_document_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for part in (1, 2):
