@@ -13,7 +13,8 @@ one vertex and equal buckets are one bucket; every text is compared with the sma
 a bucket with, then with a text of each bucket, another one in each of a few rounds, and at last all pairs
 of a bucket whose texts are still in different components are compared, which loses no link that could
 join two components.  That last step carries the sketches along, so a pair leaves its task only if it
-passes them, by one of its buckets, and it deals large buckets out in pairs of blocks.
+passes them, by one of its buckets as far as the few smallest of each text can tell, and it deals large
+buckets out in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -49,8 +50,11 @@ SENT_SETS = 200_000
 # 64-bit words of a sketch for this many tokens; sets of twice the size have sketches of twice the size
 SKETCH_WORDS, SKETCH_TOKENS = 8, 350
 PAIRS_AT_ONCE, PAIRED_BUCKET, SKETCHED_AT_ONCE = 50_000, 200, 250_000
-# a text of every bucket is compared with the others so often before all pairs are; no link depends on it
-PIVOT_ROUNDS = 4
+# a text of every bucket is compared with the others so often before all pairs are, and no more after
+# a round with fewer links in a hundred pairs; no link depends on it
+PIVOT_ROUNDS, ROUND_PERCENT = 4, 1
+# buckets of a text that its rows carry along to tell which bucket a pair leaves by
+CARRIED_BUCKETS = 8
 # rows of a bucket that are paired up in one task, cell by cell; larger buckets are cut into blocks
 BLOCK_ROWS, CELL_ROWS = 4096, 10_000
 
@@ -312,12 +316,15 @@ def _cross_pairs(percent: int):
             # bits that differ are at most the tokens that differ
             ok = _apart(flat, first, words, small, large) <= room
             small, large = small[ok], large[ok]
-            # a pair leaves by the first of the buckets that it shares
+            # a pair leaves by the first of the buckets that it shares; where the carried buckets
+            # do not tell, it leaves once more
             firsts = (
-                min(buckets_of(a) & buckets_of(b))
-                for a, b in zip(small.tolist(), large.tolist(), strict=True)
+                min(buckets_of(a) & buckets_of(b), default=here)
+                for a, b, here in zip(
+                    small.tolist(), large.tolist(), bucket[small].tolist(), strict=True
+                )
             )
-            ok = np.fromiter(firsts, np.int64, len(small)) == bucket[small]
+            ok = np.fromiter(firsts, np.int64, len(small)) >= bucket[small]
             small, large = small[ok], large[ok]
             swap = rep[small] > rep[large]
             a, b = np.where(swap, large, small), np.where(swap, small, large)
@@ -428,13 +435,18 @@ def jaccard_components(
         )
         .withColumn("rep", F.monotonically_increasing_id())
     )
+    # what is read to the end is kept without the fronts, which are most of these tables
+    members = scratch.keep(sets.select("doc_id", "key", "n"))
+    scratch.drop(sets)
+    fronted, vertices = vertices, scratch.keep(vertices.drop("front"))
     release(spark)
     shared = scratch.keep(
-        vertices.select("rep", "n", F.posexplode("front").alias("pos", "token"))
+        fronted.select("rep", "n", F.posexplode("front").alias("pos", "token"))
         .repartition("token")
         .sortWithinPartitions("token")
         .mapInArrow(_shared_tokens(FREQUENT), "rep long, n int, pos int, token long, count long")
     )
+    scratch.drop(fronted)
     release(spark)
     n = F.col("n")
     # partners of sets without pairs index frequent tokens singly as well; one shared token at
@@ -501,9 +513,8 @@ def jaccard_components(
             .select("a", "b", "n_a", "n_b")
         )
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links among likely pairs (a, b, n_a, n_b), by the whole sets."""
-        likely = scratch.keep(pairs)
+    def verified(likely: DataFrame) -> DataFrame:
+        """Links among stored likely pairs (a, b, n_a, n_b), which are dropped, by the whole sets."""
         release(spark)
         ends = likely.select(F.col("a").alias("rep")).distinct()
         ends = ends.unionByName(likely.select(F.col("b").alias("rep")).distinct()).distinct()
@@ -537,14 +548,11 @@ def jaccard_components(
     )
     # one pivot a text joins most of a large group
     smallest_pivot = with_pivot.groupBy("b").agg(F.min("a").alias("a"))
-    first_links = verified(likely_pairs(smallest_pivot))
+    first_links = verified(scratch.keep(likely_pairs(smallest_pivot)))
     links = first_links
 
-    def mixed_rows(parts: DataFrame, choice: Column) -> DataFrame:
+    def mixed_rows(rest: DataFrame, choice: Column) -> DataFrame:
         """Rows of the buckets that have texts of several components, each with a chosen text."""
-        rest = scratch.keep(
-            placed(buckets.select("bucket", "rep", "n"), parts, "rep", "component")
-        )
         several = (
             rest.groupBy("bucket")
             .agg(
@@ -558,25 +566,39 @@ def jaccard_components(
         )
         return rest.join(several, "bucket")
 
+    def placed_rows(links: DataFrame) -> DataFrame:
+        parts = components(links, scratch)
+        return scratch.keep(
+            placed(buckets.select("bucket", "rep", "n"), parts, "rep", "component")
+        )
+
     for k in range(PIVOT_ROUNDS):
         # other pivots each time, so that texts far from one pivot meet another
-        parts = components(links, scratch)
-        rest = mixed_rows(parts, F.xxhash64("rep", "bucket", F.lit(k)))
+        rest = placed_rows(links)
+        several = mixed_rows(rest, F.xxhash64("rep", "bucket", F.lit(k)))
         chosen = F.col("chosen.n")
-        with_chosen = rest.where(
+        with_chosen = several.where(
             (F.col("component") != F.col("chosen.component"))
             & (100 * F.least("n", chosen) >= percent * F.greatest("n", chosen))
         ).select(
             F.least("rep", "chosen.rep").alias("a"), F.greatest("rep", "chosen.rep").alias("b")
         )
-        more = verified(likely_pairs(with_chosen.distinct()))
-        if more.isEmpty():
-            break
+        likely = scratch.keep(likely_pairs(with_chosen.distinct()))
+        tried = likely.count()
+        more = verified(likely)
+        scratch.drop(rest)
+        release(spark)
         links = scratch.keep(links.unionByName(more))
-    parts = components(links, scratch)
-    mixed_buckets = scratch.keep(mixed_rows(parts, F.col("rep")).drop("chosen"))
+        if 100 * more.count() <= ROUND_PERCENT * tried:
+            break
+    rest = placed_rows(links)
     scratch.drop(buckets)
-    lists = mixed_buckets.groupBy("rep").agg(F.collect_set("bucket").alias("buckets"))
+    mixed_buckets = scratch.keep(mixed_rows(rest, F.col("rep")).drop("chosen"))
+    scratch.drop(rest)
+    release(spark)
+    # as many buckets a row however many a text has, so that the rows of a text do not grow by square
+    carried = F.slice(F.array_sort(F.collect_set("bucket")), 1, CARRIED_BUCKETS)
+    lists = mixed_buckets.groupBy("rep").agg(carried.alias("buckets"))
     blocks, block, other = F.col("blocks"), F.col("block"), F.col("other")
     cells = (
         mixed_buckets.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
@@ -596,15 +618,17 @@ def jaccard_components(
         .mapInArrow(_cross_pairs(percent), "a long, b long, n_a long, n_b long")
         .distinct()
     )
-    last_links = verified(crossing)
+    last_pairs = scratch.keep(crossing)
     scratch.drop(mixed_buckets)
+    last_links = verified(last_pairs)
     joined = components(links.unionByName(last_links), scratch)
     named = vertices.join(
         joined.select(F.col("node").alias("rep"), "component"), "rep", "left"
     ).select("key", "first", F.coalesce("component", "rep").alias("component"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     by_key = scratch.keep(named.join(smallest, "component").select("key", "component_id"))
-    return sets.join(by_key, "key", "left").select(
+    scratch.drop(vertices)
+    return members.join(by_key, "key", "left").select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from basketloom.llm import (
@@ -370,6 +371,27 @@ def test_likely_pairs_of_one_cell(monkeypatch):
     assert linked and linked <= found
 
 
+def test_pair_leaves_though_the_carried_buckets_are_not_shared():
+    row = {"cell": 1, "bucket": 5, "n": 3, "block": 0, "cross": False, "sketch": [7] * 8}
+    rows = [row | {"rep": 0, "component": 0, "buckets": [1, 2]}, row | {"rep": 1, "component": 1, "buckets": [3, 4]}]
+    got = pa.Table.from_batches(list(jaccard_join._cross_pairs(85)([pa.RecordBatch.from_pylist(rows)]))).to_pylist()
+    assert got == [{"a": 0, "b": 1, "n_a": 3, "n_b": 3}]
+    # a smaller bucket that both carry is where the pair leaves
+    rows[1]["buckets"] = [2, 5]
+    assert not list(jaccard_join._cross_pairs(85)([pa.RecordBatch.from_pylist(rows)]))
+
+
+def test_jaccard_components_leave_small_tables(documents, tmp_path, monkeypatch):
+    monkeypatch.setattr("basketloom.runtime.checkpoint_root", lambda spark: f"file://{tmp_path}")
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(999)) for _ in range(300))) for k in range(40)]
+    got = jaccard_join.jaccard_components(documents(rows))
+    # fronts and sketches of the texts are not held until the result is read
+    left = [spark_table for spark_table in tmp_path.glob("basketloom/jaccard-*/*") if any(spark_table.iterdir())]
+    columns = {c for path in left for c in pq.read_table(path).column_names}
+    assert got.count() == 40 and left and not columns & {"front", "sketch", "tokens"}
+
+
 def test_jaccard_components_of_no_documents(documents):
     assert jaccard_join.jaccard_components(documents([])).count() == 0
 
