@@ -8,18 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketloom.operators.curate import alias_map, canonical_map, named_alias_edges
-from basketloom.runtime import Scratch
+from basketloom.runtime import Scratch, shuffled
 
 
 # rounds that look at the next names only, before whole chains are followed
 NEAR_ROUNDS = 4
 
 
-def _shuffled(step: DataFrame) -> DataFrame:
-    """A table that doubling joins to itself: under the broadcast limit it would pass through the driver every round."""
-    return step.hint("merge")
-
-
 def contract(edges: DataFrame, scratch: Scratch, left: str = "a", right: str = "b") -> DataFrame:
     """(node, component) of an undirected graph, for every node that has an edge.
 
@@ -97,7 +92,7 @@ def reachable(arrows: DataFrame, sources: DataFrame, scratch: Scratch) -> DataFr
             step = current.select(F.col("node").alias("from"), F.col("from").alias("_from"), F.col("hit").alias("_hit"))
             follows = ~F.col("hit") & F.col("_from").isNotNull()
             jumped = scratch.keep(
-                current.join(_shuffled(step), "from", "left").select(
+                current.join(shuffled(step), "from", "left").select(
                     "node",
                     F.when(follows, F.col("_from")).otherwise(F.col("from")).alias("from"),
                     F.when(follows, F.col("_hit")).otherwise(F.col("hit")).alias("hit"),
@@ -177,7 +172,7 @@ def close_mapping(mapping: DataFrame, key: str = "subject_id", value: str = "obj
     for _ in range(max(current.count(), 1).bit_length() + 2):
         step = current.select(F.col(key).alias(value), F.col(value).alias("_next"))
         jumped = scratch.keep(
-            current.join(_shuffled(step), value, "left").select(
+            current.join(shuffled(step), value, "left").select(
                 key,
                 F.coalesce("_next", value).alias(value),
                 F.col("_next").isNotNull().alias("_moved"),
@@ -204,7 +199,7 @@ def cycle_members(
         step = current.select(F.col(key).alias(value), F.col(value).alias("_next"))
         # pointers that leave the keys can not come back and are dropped
         jumped = scratch.keep(
-            current.join(_shuffled(step), value).select(key, F.col("_next").alias(value))
+            current.join(shuffled(step), value).select(key, F.col("_next").alias(value))
         )
         scratch.drop(current)
         current = jumped
@@ -212,7 +207,7 @@ def cycle_members(
 
 
 def named_cycles(cycles: DataFrame, items: DataFrame, key: str = "subject_id") -> DataFrame:
-    return cycles.join(items.withColumnRenamed("item_id", key), key).select(key, "item_name")
+    return cycles.join(shuffled(items.withColumnRenamed("item_id", key)), key).select(key, "item_name")
 
 
 def canonical_items_job(relations: DataFrame, validated: DataFrame, items: DataFrame) -> DataFrame:

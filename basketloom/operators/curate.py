@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketloom.functions.text import strip
-from basketloom.runtime import dense_ids
+from basketloom.runtime import dense_ids, shuffled
 
 
 def new_valid_items(vocabulary: DataFrame, items: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def validated_baskets(edges: DataFrame, validated: DataFrame) -> DataFrame:
     return (
         edges.where(F.col("basket_id").isNotNull())
         .select("basket_id", "item_id")
-        .join(flags, "item_id", "left")
+        .join(shuffled(flags), "item_id", "left")
         .groupBy("basket_id")
         .agg(F.every(F.coalesce("_ok", F.lit(False))).alias("_all"))
         .where("_all")
@@ -88,8 +88,8 @@ def named_alias_edges(relations: DataFrame, items: DataFrame) -> DataFrame:
             & ~F.col("predicate").startswith("alias:singular-of")
             & (F.col("subject_id") != F.col("object_id"))
         )
-        .join(subjects, "subject_id", "left")
-        .join(objects, "object_id", "left")
+        .join(shuffled(subjects), "subject_id", "left")
+        .join(shuffled(objects), "object_id", "left")
         .select("subject_id", "subject_name", "predicate", "object_id", "object_name")
     )
 
@@ -101,15 +101,10 @@ def alias_map(alias_edges: DataFrame) -> DataFrame:
 
 def canonical_map(validated: DataFrame, items: DataFrame, closure: DataFrame) -> DataFrame:
     """Validated item -> canonical item (itself when it is no alias)."""
+    targets = closure.select(F.col("subject_id").alias("item_id"), F.col("object_id").alias("_target"))
     return (
-        validated.join(items.select("item_id"), "item_id", "left_semi")
-        .join(
-            closure.select(
-                F.col("subject_id").alias("item_id"), F.col("object_id").alias("_target")
-            ),
-            "item_id",
-            "left",
-        )
+        validated.join(shuffled(items.select("item_id")), "item_id", "left_semi")
+        .join(shuffled(targets), "item_id", "left")
         .select("item_id", F.coalesce("_target", "item_id").alias("canonical_id"))
     )
 
@@ -118,8 +113,8 @@ def canonical_edges(edges: DataFrame, baskets: DataFrame, canonical: DataFrame)
     """Distinct (edge, basket, canonical item) over validated baskets."""
     return (
         edges.select("edge_id", "basket_id", "item_id")
-        .join(baskets.select("basket_id"), "basket_id", "left_semi")
-        .join(canonical, "item_id")
+        .join(shuffled(baskets.select("basket_id")), "basket_id", "left_semi")
+        .join(shuffled(canonical), "item_id")
         .select("edge_id", "basket_id", "canonical_id")
         .distinct()
     )

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketloom.runtime import HOT_ROWS, Scratch, join_counted, number_within
+from basketloom.runtime import HOT_ROWS, Scratch, join_counted, number_within, shuffled
 
 # Positions of at most so many walkers are broadcast to the adjacency; more are joined by shuffling.
 SENT_WALKERS = 100_000
@@ -45,14 +45,17 @@ def adjacency(
         numbered = number_within(df, [key], [order])
         degrees = df.groupBy(key).agg(F.count("*").alias("degree"))
         shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
-        table = join_counted(numbered, degrees, key, "degree", hot_rows).withColumn("shard", shard)
+        table = join_counted(numbered, shuffled(degrees), key, "degree", hot_rows).withColumn("shard", shard)
         return scratch.keep(table, partition_by=["shard"])
 
-    pairs = edges.select("basket_id", "canonical_id")
-    return Adjacency(
+    # each direction reads the edges twice
+    pairs = scratch.keep(edges.select("basket_id", "canonical_id"))
+    graph = Adjacency(
         stored(pairs.distinct(), "basket_id", "canonical_id"),
         stored(pairs, "canonical_id", "basket_id"),
     )
+    scratch.drop(pairs)
+    return graph
 
 
 def _hop(

@@ -344,3 +344,34 @@ def test_a_step_of_a_walk_does_not_read_the_adjacency_in_one_task(spark, monkeyp
     assert len(steps) == 2
     # "Repartition 1, false" is a coalesce: it takes the scan below it along into its task
     assert not any("Repartition 1, false" in plan for plan in steps)
+
+
+def test_canonical_edges_and_adjacency_do_not_pass_through_the_driver(spark, monkeypatch):
+    plans, keep = [], Scratch.keep
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def noted(self, df, partition_by=()):
+        plans.append(plan(df))
+        return keep(self, df, partition_by)
+
+    monkeypatch.setattr(Scratch, "keep", noted)
+    # ranges are known to be small, so they would be broadcast
+    items = spark.range(20).select(F.col("id").alias("item_id"), F.format_string("item %d", "id").alias("item_name"))
+    valid = items.where("item_id <> 13").select("item_id")
+    edges = spark.range(100).selectExpr("id AS edge_id", "id % 30 AS basket_id", "id % 20 AS item_id")
+    relations = spark.range(5).selectExpr("id AS subject_id", "'alias:spacing' AS predicate", "id + 1 AS object_id")
+    canonical = closure.canonical_items_job(relations, valid, items)
+    chosen = curate.canonical_edges(edges, curate.validated_baskets(edges, valid), canonical)
+    assert "BroadcastHashJoin" not in plan(chosen)
+    assert not any("BroadcastHashJoin" in p for p in plans)
+    baskets = {e % 30 for e in range(100)} - {e % 30 for e in range(100) if e % 20 == 13}
+    wanted = {(e, e % 30, 5 if e % 20 < 5 else e % 20) for e in range(100) if e % 30 in baskets}
+    assert sorted(map(tuple, chosen.collect())) == sorted(wanted)
+    plans.clear()
+    walk.adjacency(chosen, Scratch(spark, "test"))
+    salted = [line for p in plans for line in p.splitlines() if "_salt" in line and "Join" in line]
+    assert len(salted) == 2 and not any("BroadcastHashJoin" in line for line in salted)
+    # the edges are worked out once
+    assert sum("edge_id" in p for p in plans) == 1
