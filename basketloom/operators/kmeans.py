@@ -9,12 +9,11 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basketloom.operators import lloyd
 from basketloom.operators.metrics import (
     calinski_harabasz,
     davies_bouldin,
@@ -54,10 +53,11 @@ def matrix_width(cells: DataFrame, dim: str = "dim") -> int:
 
 
 def vector_rows(cells: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """Stored rows (row_id, features) with sparse ML vectors.
+    """Stored rows (row_id, dims, values).
 
-    A vector is stored as its plain struct and read back under the vector type, so no Python
-    touches a row.  One row of the matrix has at most ``width`` cells.
+    They are stored as the plain structs of sparse ML vectors: draws go by the partitions of the
+    files, so Spark ML's K-means draws the same rows from them.  One row of the matrix has at most
+    ``width`` cells.
     """
     sparse = F.struct(
         F.lit(0).cast("tinyint").alias("type"),
@@ -70,10 +70,11 @@ def vector_rows(cells: DataFrame, width: int, scratch: Scratch) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("_cells"))
         .select("row_id", sparse.alias("features"))
     )
-    schema = T.StructType(
-        [plain.schema["row_id"], T.StructField("features", VectorUDT())]
+    return plain.select(
+        "row_id",
+        F.col("features.indices").alias("dims"),
+        F.col("features.values").alias("values"),
     )
-    return cells.sparkSession.read.schema(schema).parquet(scratch.path_of(plain))
 
 
 def centre_cells(spark, centres: Sequence[np.ndarray]) -> DataFrame:
@@ -114,28 +115,21 @@ def profile_of_labels(cells: DataFrame, labels: DataFrame, centres: DataFrame) -
 def kmeans_sweep(
     cells: DataFrame, ks: Sequence[int] = SWEEP, seed: int = 0, max_iter: int = 300
 ) -> DataFrame:
-    """Fit K-means for every K on the same stored rows and profile each result."""
+    """Fit K-means for every K on the same stored rows and profile each result.
+
+    Centres are tables, so neither the driver nor a task holds a vector of the matrix's width.
+    """
     spark = cells.sparkSession
     scratch = Scratch(spark, "kmeans")
     stored = scratch.keep(cells.select("row_id", F.col("dim").cast("long").alias("dim"), "value"))
     # stored, so that every fit reads them again after a lost executor too
     rows = vector_rows(stored, matrix_width(stored), scratch)
+    whole = lloyd.totals(rows, seed, scratch)
     profiles = []
     for k in ks:
-        model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(rows)
-        labels = scratch.keep(
-            model.transform(rows).select("row_id", F.col("prediction").alias("label"))
-        )
-        profiles.append(
-            profile_clustering(
-                stored,
-                labels,
-                centre_cells(spark, model.clusterCenters()),
-                k,
-                float(model.summary.trainingCost),
-            )
-        )
-        scratch.drop(labels)
+        fit = lloyd.fit(rows, k, max_iter, whole, scratch)
+        profiles.append(profile_clustering(stored, fit.labels, fit.centres, k, fit.cost))
+        scratch.drop(fit.labels, fit.stored)
     return spark.createDataFrame(profiles, PROFILE)
 
 

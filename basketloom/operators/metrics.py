@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketloom.runtime import Scratch, join_counted, one_row
+from basketloom.runtime import Scratch, join_counted, one_row, shuffled
 
 
 def array_cells(rows: DataFrame, row_id: str, vector: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -51,7 +51,7 @@ def moments(cells: DataFrame, labels: DataFrame) -> DataFrame:
     the table, which has at most labels x columns rows, for any number of indices.
     """
     return (
-        cells.join(labels.select("row_id", "label"), "row_id", "left")
+        cells.join(shuffled(labels.select("row_id", "label")), "row_id", "left")
         .groupBy("label", "dim")
         .agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
     )
@@ -68,7 +68,7 @@ def square_sums(table: DataFrame, centres: DataFrame, sizes: DataFrame) -> DataF
     """
     cross = (
         table.where(F.col("label").isNotNull())
-        .join(centres.withColumnRenamed("value", "c"), ["label", "dim"], "left")
+        .join(shuffled(centres.withColumnRenamed("value", "c")), ["label", "dim"], "left")
         .groupBy("label")
         .agg(F.sum(F.col("ss") - 2 * F.coalesce("c", F.lit(0.0)) * F.col("s")).alias("_cross"))
     )
@@ -98,7 +98,7 @@ def between_separation(
     else:
         sums = table.groupBy("dim").agg(F.sum("s").alias("s"))
     weighted = (
-        centres.join(sizes, "label")
+        centres.join(F.broadcast(sizes), "label")  # a row per label
         .groupBy("dim")
         .agg(
             F.sum(F.col("n") * F.col("value") * F.col("value")).alias("ncc"),
@@ -212,7 +212,7 @@ def centroid_distances(centres: DataFrame, sizes: DataFrame, p: float = 2) -> Da
     a = values.select("dim", F.col("label").alias("i"), F.col("value").alias("x"))
     b = values.select("dim", F.col("label").alias("j"), F.col("value").alias("y"))
     shared = (
-        a.join(b, "dim")
+        a.join(shuffled(b), "dim")
         .where(F.col("i") != F.col("j"))
         .groupBy("i", "j")
         .agg(

@@ -343,3 +343,52 @@ def test_queries_keep_the_parameters_of_the_reference(monkeypatch):
         with pytest.raises(Called):
             entry.queries()[name](None, "")
         assert wanted.items() <= seen.items(), name
+
+
+@pytest.mark.parametrize("head", [1000, 3])
+def test_sweep_agrees_with_spark_ml(spark, monkeypatch, head):
+    """With few known entries of a centre, bounds and the join to all entries decide."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql import types as T
+
+    from basketloom.operators import lloyd
+    from basketloom.runtime import Scratch
+
+    monkeypatch.setattr(lloyd, "HEAD", head)
+    rng = np.random.default_rng(7)
+    rows = []
+    for row in range(400):
+        kind = row % 4
+        own = rng.choice(12, rng.integers(3, 7), replace=False) + 12 * kind
+        dims = {*map(int, own), *(48 + int(d) for d in rng.integers(0, 30, rng.integers(0, 3)))}
+        rows += [(row, d, float(1 + (d + row) % 2)) for d in dims]
+    cells = spark.createDataFrame(rows, "row_id long, dim long, value double")
+    ks = (2, 3, 5, 9)
+    scratch = Scratch(spark, "test")
+    kmeans.vector_rows(scratch.keep(cells), kmeans.matrix_width(cells), scratch)
+    schema = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("features", VectorUDT())])
+    vectors = spark.read.schema(schema).parquet(f"{scratch.base}/0001")
+    for found in kmeans.kmeans_sweep(cells, ks, seed=4).collect():
+        model = KMeans(k=found["k"], seed=4, maxIter=300).fit(vectors)
+        assert found["cluster_counts"] == model.summary.clusterSizes
+        assert found["inertia"] == pytest.approx(model.summary.trainingCost, rel=1e-9)
+
+
+def test_sweep_holds_no_vector_of_the_full_width(spark):
+    """A single dense centre would take 16 GB."""
+    wide = 2_000_000_000
+    cells = spark.range(60).selectExpr(
+        "id AS row_id", f"explode(array(id % 3 * 600000000 + 7, {wide} - id % 3, 100 + id)) AS dim", "1.0D AS value"
+    )
+    found = kmeans.kmeans_sweep(cells, (3,), seed=1).first()
+    assert sum(found["cluster_counts"]) == 60 and len(found["cluster_counts"]) == 3
+    assert 0 < found["inertia"] < 180
+
+
+def test_draws_are_those_of_spark(spark):
+    from basketloom.operators.lloyd import Draws
+
+    for seed in (0, 7, -12345, 1 << 40):
+        made, theirs = Draws(seed), spark._jvm.org.apache.spark.util.random.XORShiftRandom(seed)
+        assert [*made.doubles(3), *made.doubles(600)] == [theirs.nextDouble() for _ in range(603)]
