@@ -56,8 +56,8 @@ def vector_rows(cells: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """Stored rows (row_id, dims, values).
 
     They are stored as the plain structs of sparse ML vectors: draws go by the partitions of the
-    files, so Spark ML's K-means draws the same rows from them.  One row of the matrix has at most
-    ``width`` cells.
+    files, so Spark ML's K-means draws the same rows from them.  Cells without a column are left out,
+    but not their rows.  One row of the matrix has at most ``width`` cells.
     """
     sparse = F.struct(
         F.lit(0).cast("tinyint").alias("type"),
@@ -68,6 +68,7 @@ def vector_rows(cells: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     plain = scratch.keep(
         cells.groupBy("row_id")
         .agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("_cells"))
+        .withColumn("_cells", F.filter("_cells", lambda c: c["dim"].isNotNull()))
         .select("row_id", sparse.alias("features"))
     )
     return plain.select(
@@ -125,10 +126,11 @@ def kmeans_sweep(
     # stored, so that every fit reads them again after a lost executor too
     rows = vector_rows(stored, matrix_width(stored), scratch)
     whole = lloyd.totals(rows, seed, scratch)
+    placed = stored.where(F.col("dim").isNotNull())
     profiles = []
     for k in ks:
         fit = lloyd.fit(rows, k, max_iter, whole, scratch)
-        profiles.append(profile_clustering(stored, fit.labels, fit.centres, k, fit.cost))
+        profiles.append(profile_clustering(placed, fit.labels, fit.centres, k, fit.cost))
         scratch.drop(fit.labels, fit.stored)
     return spark.createDataFrame(profiles, PROFILE)
 

@@ -2,7 +2,7 @@
 
 The steps are those of Spark ML's ``KMeans`` (seeded ``k-means||`` start, Lloyd iterations until no centre
 moves further than the tolerance, ties to the lowest label), with the same draws over the same
-partitions, so labels and costs agree with it.  A cell without a column counts as column 0.  Spark ML holds some 4 K candidates and K centres, each of
+partitions, so labels and costs agree with it.  Spark ML holds some 4 K candidates and K centres, each of
 the matrix's full width, on the driver and in every task; here the driver holds the cells of the drawn
 rows and the ``HEAD`` largest entries of each centre.
 """
@@ -127,8 +127,7 @@ class _Batch(NamedTuple):
         lists = batch.column("dims")
         row_of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
         values = batch.column("values").flatten().to_numpy()
-        dims = lists.flatten().fill_null(0).to_numpy()
-        return _Batch(dims, values, row_of, batch.num_rows)
+        return _Batch(lists.flatten().to_numpy(), values, row_of, batch.num_rows)
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.row_of, values, self.n)
@@ -166,7 +165,7 @@ def _mapped(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def _row(dims: list, values: list) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([d or 0 for d in dims], np.int64), np.array(values, float)
+    return np.array(dims, np.int64), np.array(values, float)
 
 
 def _drawn_heads(drawn: list[tuple[np.ndarray, np.ndarray]]) -> Heads:
@@ -203,13 +202,17 @@ class Totals(NamedTuple):
 def totals(rows: DataFrame, seed: int, scratch: Scratch) -> Totals:
     cells = _cells(rows.select("dims", "values"))
     table = scratch.keep(cells.groupBy("dim").agg(F.sum("value").alias("s")))
-    squares = cells.agg(F.sum(F.col("value") * F.col("value"))).first()[0]
+    squares = cells.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0
+    repeated = F.size(F.array_distinct("dims")) < F.size("dims")
+    n, twice = rows.agg(F.count("*"), F.count_if(repeated)).first()
+    if twice:
+        raise ValueError(f"{twice} rows have several cells in a column")
     seed = Draws(seed).integer()
     found = list(rows.select("dims", "values")._jdf.toJSON().rdd().takeSample(False, 1, seed))
     if not found:
         raise ValueError("there are no rows to cluster")
     first = _row(**json.loads(found[0]))
-    return Totals(table, rows.count(), squares, seed, first, _cost(rows, [_drawn_heads([first])]))
+    return Totals(table, n, squares, seed, first, _cost(rows, [_drawn_heads([first])]))
 
 
 def _start(rows: DataFrame, k: int, whole: Totals) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -275,7 +278,7 @@ def _start(rows: DataFrame, k: int, whole: Totals) -> list[tuple[np.ndarray, np.
 def _cells(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_cell", F.explode(F.arrays_zip("dims", "values"))).select(
         *[c for c in rows.columns if c not in ("dims", "values")],
-        F.coalesce("_cell.dims", F.lit(0)).alias("dim"),
+        F.col("_cell.dims").alias("dim"),
         F.col("_cell.values").alias("value"),
     )
 
@@ -423,7 +426,7 @@ def fit(
         for label, n in enumerate(sizes):
             if label in sums:
                 cost += n * norms[label] ** 2 - 2 * sums[label]["cross"]
-        moved = max(r["moved"] for r in sums.values())
+        moved = max((r["moved"] for r in sums.values()), default=0.0)
         of = lambda field, none: [sums[j][field] if j in sums else none for j in range(len(sizes))]  # noqa: E731, B023
         centres = _centres(both.where("value <> 0").select("label", "dim", "value"), of("entries", 0), of("squares", 0.0))
         scratch.drop(table)
@@ -443,6 +446,6 @@ def fit(
         .select("row_id", F.coalesce("_label", F.lit(usual)).alias("label"))
     )
     scratch.drop(*stored)
-    return Fit(
-        centres.table.withColumn("dim", F.col("dim").cast("long")), labels, float(max(cost, 0.0)), iteration, table
-    )
+    # less is rounding
+    cost = float(cost) if cost > 1e-12 * whole.squares else 0.0
+    return Fit(centres.table.withColumn("dim", F.col("dim").cast("long")), labels, cost, iteration, table)

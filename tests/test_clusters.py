@@ -392,3 +392,16 @@ def test_draws_are_those_of_spark(spark):
     for seed in (0, 7, -12345, 1 << 40):
         made, theirs = Draws(seed), spark._jvm.org.apache.spark.util.random.XORShiftRandom(seed)
         assert [*made.doubles(3), *made.doubles(600)] == [theirs.nextDouble() for _ in range(603)]
+
+
+def test_sweep_leaves_out_cells_without_a_column_but_not_their_rows(spark):
+    def swept(more):
+        rows = [(row, dim, 1.0) for row in range(8) for dim in (3 + row % 2, 9)] + more
+        cells = spark.createDataFrame(rows, "row_id long, dim long, value double").coalesce(1)
+        return kmeans.kmeans_sweep(cells, (2,), seed=1).first()
+
+    one, both = swept([(20, 5, 1.0)]), swept([(20, None, 1.0), (20, 5, 1.0)])
+    assert both == one
+    assert sum(swept([(20, None, 1.0)])["cluster_counts"]) == 9
+    with pytest.raises(ValueError, match="several cells"):
+        swept([(20, 5, 1.0), (20, 5, 1.0)])
